@@ -72,6 +72,7 @@ def facts_from_days(ud: DataFrame, p: Params = Params()) -> DataFrame:
         F.sum("ltv_n").alias("ltv_n"),
         F.sum("ltv_cents").alias("ltv_cents"),
         F.count(F.lit(1)).alias("n_days"),
+        F.min(F.when(F.col("tx_year") >= p.min_cohort, F.col("tx_year"))).alias("first_year_truncated"),
     )
     return (f.withColumn("has_second", F.col("second_date").isNotNull().cast("int"))
              .withColumn("activated", activated_expr("first_date", "second_date", p)))

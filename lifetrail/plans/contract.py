@@ -198,3 +198,252 @@ def q_activation_x_retention(spark, sf_dir):
 @register("activation_extract")
 def q_activation_extract(spark, sf_dir):
     return lifecycle.activation_extract(_facts(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- A15: subset
+@register("user_subset")
+def q_user_subset(spark, sf_dir):
+    from lifetrail.sources.files import entity_subset
+    raw = _raw(spark, sf_dir)
+    users = raw_users(spark, sf_dir)
+    sub = entity_subset(raw, users, n_users=200, seed=PARAMS.seed, p=PARAMS)
+    return sub.select("user_id", "tx_year", "tx_month", "tx_day", "amount_raw", "mcc", "errors", "is_fraud")
+
+
+# ---------------------------------------------------------------- J: cohorts and value
+from lifetrail.operators import cohort, value, rfm, mix, experiment  # noqa: E402
+from lifetrail.operators.facts import user_years  # noqa: E402
+
+
+def _user_years(spark, sf_dir, p=PARAMS):
+    return user_years(_clean(spark, sf_dir, p), p)
+
+
+def _annual(spark, sf_dir, p=PARAMS):
+    return value.annual_ltv(_facts(spark, sf_dir, p), p)
+
+
+@register("cohort_sizes")
+def q_cohort_sizes(spark, sf_dir):
+    return cohort.cohort_sizes(_facts(spark, sf_dir))
+
+
+@register("cohort_truncation_check")
+def q_cohort_truncation_check(spark, sf_dir):
+    return cohort.cohort_truncation_check(_facts(spark, sf_dir), PARAMS)
+
+
+@register("cohort_retention")
+def q_cohort_retention(spark, sf_dir):
+    return cohort.cohort_retention(_user_years(spark, sf_dir), PARAMS)
+
+
+@register("cohort_retention_matrix")
+def q_cohort_retention_matrix(spark, sf_dir):
+    return cohort.cohort_retention_matrix(_user_years(spark, sf_dir), PARAMS)
+
+
+@register("cohort_retention_by_age")
+def q_cohort_retention_by_age(spark, sf_dir):
+    return cohort.cohort_retention_by_age(_user_years(spark, sf_dir), PARAMS)
+
+
+@register("cohort_behavior")
+def q_cohort_behavior(spark, sf_dir):
+    return cohort.cohort_behavior(_user_years(spark, sf_dir), PARAMS)
+
+
+@register("cohort_behavior_complete_years")
+def q_cohort_behavior_complete_years(spark, sf_dir):
+    return cohort.cohort_behavior_complete_years(_user_years(spark, sf_dir), PARAMS)
+
+
+@register("cohort_frequency_matrix")
+def q_cohort_frequency_matrix(spark, sf_dir):
+    return cohort.cohort_frequency_matrix(_user_years(spark, sf_dir), PARAMS)
+
+
+@register("cohort_revenue_matrix")
+def q_cohort_revenue_matrix(spark, sf_dir):
+    return cohort.cohort_revenue_matrix(_user_years(spark, sf_dir), PARAMS)
+
+
+@register("cohort_behavior_by_age")
+def q_cohort_behavior_by_age(spark, sf_dir):
+    return cohort.cohort_behavior_by_age(_user_years(spark, sf_dir), PARAMS)
+
+
+@register("cohort_demographics")
+def q_cohort_demographics(spark, sf_dir):
+    return cohort.cohort_demographics(_facts(spark, sf_dir), raw_users(spark, sf_dir), PARAMS)
+
+
+@register("observed_lifespan")
+def q_observed_lifespan(spark, sf_dir):
+    return cohort.observed_lifespan(_facts(spark, sf_dir), PARAMS)
+
+
+@register("annual_ltv")
+def q_annual_ltv(spark, sf_dir):
+    return _annual(spark, sf_dir)
+
+
+@register("ltv_summary")
+def q_ltv_summary(spark, sf_dir):
+    return value.ltv_summary(_annual(spark, sf_dir))
+
+
+@register("ltv_distribution")
+def q_ltv_distribution(spark, sf_dir):
+    return value.ltv_distribution(_annual(spark, sf_dir), bins=PARAMS.hist_bins)
+
+
+@register("ltv_describe")
+def q_ltv_describe(spark, sf_dir):
+    return value.ltv_describe(_annual(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- K: RFM and segment mix
+def _rfm_raw(spark, sf_dir, p=PARAMS):
+    return rfm.rfm_raw(_facts(spark, sf_dir, p), p)
+
+
+def _segments(spark, sf_dir, method, p=PARAMS):
+    return rfm.rfm_segments(rfm.rfm_scored(_rfm_raw(spark, sf_dir, p), p, method), p)
+
+
+RFM_COLS = ("user_id", "recency_years", "frequency", "monetary", "r_score", "f_score", "m_score")
+
+
+@register("rfm_raw")
+def q_rfm_raw(spark, sf_dir):
+    return _rfm_raw(spark, sf_dir).select("user_id", "recency_years", "frequency", "monetary")
+
+
+@register("rfm_scored_ntile")
+def q_rfm_scored_ntile(spark, sf_dir):
+    return rfm.rfm_scored(_rfm_raw(spark, sf_dir), PARAMS, "ntile").select(*RFM_COLS)
+
+
+@register("rfm_scored_qcut")
+def q_rfm_scored_qcut(spark, sf_dir):
+    return rfm.rfm_scored(_rfm_raw(spark, sf_dir), PARAMS, "qcut").select(*RFM_COLS)
+
+
+@register("rfm_quantile_recency")
+def q_rfm_quantile_recency(spark, sf_dir):
+    return rfm.rfm_quantile_recency(_rfm_raw(spark, sf_dir), PARAMS)
+
+
+@register("rfm_segments")
+def q_rfm_segments(spark, sf_dir):
+    return _segments(spark, sf_dir, "ntile").select(*RFM_COLS, "rfm_score", "segment")
+
+
+@register("rfm_segments_qcut")
+def q_rfm_segments_qcut(spark, sf_dir):
+    return _segments(spark, sf_dir, "qcut").select(*RFM_COLS, "rfm_score", "segment")
+
+
+@register("rfm_segment_summary")
+def q_rfm_segment_summary(spark, sf_dir):
+    return rfm.rfm_segment_summary(_segments(spark, sf_dir, "ntile"))
+
+
+@register("segment_transactions")
+def q_segment_transactions(spark, sf_dir):
+    return mix.segment_transactions(_segments(spark, sf_dir, "qcut"))
+
+
+def _mix(spark, sf_dir):
+    return mix.segment_category_mix(_clean(spark, sf_dir), _segments(spark, sf_dir, "qcut"), category_map(spark))
+
+
+@register("segment_category_mix")
+def q_segment_category_mix(spark, sf_dir):
+    return _mix(spark, sf_dir)
+
+
+@register("segment_category_matrix")
+def q_segment_category_matrix(spark, sf_dir):
+    return mix.segment_category_matrix(_mix(spark, sf_dir))
+
+
+@register("segment_top_categories")
+def q_segment_top_categories(spark, sf_dir):
+    return mix.segment_top_categories(_mix(spark, sf_dir), PARAMS)
+
+
+@register("segment_seasonality")
+def q_segment_seasonality(spark, sf_dir):
+    return mix.segment_seasonality(_clean(spark, sf_dir), _segments(spark, sf_dir, "qcut"))
+
+
+# ---------------------------------------------------------------- L: experiment
+def _units(spark, sf_dir, p=PARAMS):
+    f = _facts(spark, sf_dir, p)
+    return experiment.with_segment(f, _segments(spark, sf_dir, "qcut", p), p)
+
+
+def _outcomes(spark, sf_dir, p=PARAMS):
+    return experiment.uplift_scenario(experiment.experiment_assignment(_units(spark, sf_dir, p), p), p)
+
+
+@register("activation_by_segment")
+def q_activation_by_segment(spark, sf_dir):
+    return experiment.activation_by_segment(_units(spark, sf_dir))
+
+
+@register("experiment_assignment")
+def q_experiment_assignment(spark, sf_dir):
+    a = experiment.experiment_assignment(_units(spark, sf_dir), PARAMS)
+    return a.select("user_id", F.col("activated").cast("long").alias("activated"), "segment", "draw_order", "arm")
+
+
+@register("uplift_scenario")
+def q_uplift_scenario(spark, sf_dir):
+    o = _outcomes(spark, sf_dir)
+    return o.withColumn("activated", F.col("activated").cast("long"))
+
+
+@register("experiment_groups")
+def q_experiment_groups(spark, sf_dir):
+    return experiment.experiment_groups(_outcomes(spark, sf_dir))
+
+
+@register("experiment_by_segment")
+def q_experiment_by_segment(spark, sf_dir):
+    return experiment.experiment_by_segment(_outcomes(spark, sf_dir))
+
+
+@register("two_proportion_ztest")
+def q_two_proportion_ztest(spark, sf_dir):
+    return experiment.two_proportion_ztest(_outcomes(spark, sf_dir), PARAMS)
+
+
+@register("proportion_ci")
+def q_proportion_ci(spark, sf_dir):
+    return experiment.proportion_ci(_outcomes(spark, sf_dir), PARAMS)
+
+
+@register("sample_size_plan")
+def q_sample_size_plan(spark, sf_dir):
+    return experiment.sample_size_plan(_units(spark, sf_dir), PARAMS)
+
+
+@register("power_curve")
+def q_power_curve(spark, sf_dir):
+    return experiment.power_curve(_units(spark, sf_dir), PARAMS)
+
+
+@register("scenario_comparison")
+def q_scenario_comparison(spark, sf_dir):
+    return experiment.scenario_comparison(_outcomes(spark, sf_dir), PARAMS)
+
+
+@register("impact_estimate")
+def q_impact_estimate(spark, sf_dir):
+    f = _facts(spark, sf_dir)
+    eligible = f.filter(F.col("first_year") >= PARAMS.min_cohort)
+    summary = value.ltv_summary(value.annual_ltv(f, PARAMS))
+    return experiment.impact_estimate(_outcomes(spark, sf_dir), eligible, summary)

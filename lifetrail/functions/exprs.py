@@ -129,9 +129,9 @@ def qcut_from_rank(r, n, k: int) -> Column:
 
 
 def recency_score(years, bands=(0, 2, 5, 9)) -> Column:
-    """R score: 5 at <= bands[0], 4 at <= bands[1], ... else 1."""
+    """R score: 5 at bands[0] (the as-of year), 4 up to bands[1], ... else 1."""
     y = _c(years)
-    e = F.when(y <= bands[0], 5)
+    e = F.when(y == bands[0], 5)
     for score, b in zip((4, 3, 2), bands[1:]):
         e = e.when(y <= b, score)
     return e.otherwise(1).cast("int")

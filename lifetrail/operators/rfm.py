@@ -50,7 +50,8 @@ def rfm_quantile_recency(raw: DataFrame, p: Params = Params()) -> DataFrame:
     probs = [i / p.n_bins for i in range(p.n_bins + 1)]
     edges = F.array_distinct(raw.select(F.percentile("recency_years", probs)).scalar())
     m = F.size(edges) - 1
-    label = F.size(F.filter(F.slice(edges, 2, p.n_bins), lambda e: e < F.col("recency_years")))
+    x = F.col("recency_years")
+    label = sum(F.when(F.try_element_at(edges, F.lit(j)) < x, 1).otherwise(0) for j in range(2, p.n_bins + 2))
     return raw.select("user_id", "recency_years",
                       F.greatest(F.lit(1), m - label).cast("int").alias("r_score"))
 

@@ -22,7 +22,7 @@ def annual_ltv(facts: DataFrame, p: Params = Params(), int_division: bool = Fals
     SQLite variant); the default rounds it."""
     f = facts.filter((F.col("first_year") >= p.min_cohort) & (F.col("ltv_n") > 0))
     yrs = span_years("first_year", "last_year").cast("long")
-    annual_tx = idiv("ltv_n", "active_years") if int_division else round_ratio_int("ltv_n", "active_years")
+    annual_tx = idiv("total_tx", "active_years") if int_division else round_ratio_int("total_tx", "active_years")
     return (f.select("user_id", F.col("first_year").cast("long").alias("cohort_year"),
                      F.col("last_year").cast("long").alias("last_year"), yrs.alias("active_years"),
                      "ltv_cents", F.col("ltv_n").alias("total_tx"))

@@ -296,7 +296,416 @@ FROM flags GROUP BY 1"""
 SELECT user_id, CAST(first_date AS BIGINT) AS first_date, CAST(second_date AS BIGINT) AS second_date,
        CAST(activated AS BIGINT) AS activated
 FROM flags"""
+    _sql_jkl(q)
     return q
 
 
+# ---------------------------------------------------------------- J / K / L
+def sql_normal_cdf(x: str) -> str:
+    """The same rational normal CDF as ``functions.normal_cdf``, in SQL."""
+    from lifetrail.functions.exprs import _HART_P, _HART_Q, _HART_SPLIT, _SQRT_2PI
+
+    def lit(v):
+        return f"CAST({v!r} AS DOUBLE)"
+
+    ax = f"abs({x})"
+
+    def horner(cs):
+        acc = f"({lit(cs[0])} * {ax} + {lit(cs[1])})"
+        for c in cs[2:]:
+            acc = f"({acc} * {ax} + {lit(c)})"
+        return acc
+
+    ex = f"exp(-({ax}) * {ax} / 2)"
+    near = f"({ex} * {horner(_HART_P)} / {horner(_HART_Q)})"
+    frac = f"({ax} + {lit(0.65)})"
+    for k in (4, 3, 2, 1):
+        frac = f"({ax} + {lit(float(k))} / {frac})"
+    far = f"({ex} / {frac} / {lit(_SQRT_2PI)})"
+    tail = f"(CASE WHEN {ax} > 37 THEN 0.0 WHEN {ax} < {lit(_HART_SPLIT)} THEN {near} ELSE {far} END)"
+    return f"(CASE WHEN ({x}) > 0 THEN 1 - {tail} ELSE {tail} END)"
+
+
+def fround(x: str, k: int) -> str:
+    s = float(10 ** k)
+    return f"(floor(({x}) * {s} + 0.5) / {s})"
+
+
+def qcut_sql(order: str, k: int) -> str:
+    """pandas qcut(rank(method='first'), k) via float bin edges 1 + i(n-1)/k."""
+    rn = f"ROW_NUMBER() OVER (ORDER BY {order}, user_id)"
+    n = "COUNT(*) OVER ()"
+    terms = " + ".join(f"CASE WHEN {rn} > 1 + CAST({i} * ({n} - 1) AS DOUBLE) / {float(k)} THEN 1 ELSE 0 END"
+                       for i in range(1, k))
+    return f"CAST(1 + {terms} AS INTEGER)"
+
+
+def brand_group(col: str) -> str:
+    num = f"TRY_CAST(substr({col}, 7) AS INTEGER)"
+    return (f"(CASE WHEN {col} LIKE 'Brand#%' AND {num} BETWEEN 1 AND 20 "
+            f"THEN 'group-' || CAST(({num} - 1) // 5 + 1 AS VARCHAR) ELSE 'other' END)")
+
+
+def cohort_ctes(p: Params = P) -> str:
+    sp = span("MIN(c.tx_year)", "MAX(c.tx_year)")
+    return f"""
+cb AS (SELECT user_id, MIN(tx_year) AS cohort_year, MAX(tx_year) AS last_year FROM clean GROUP BY user_id),
+fc AS (SELECT * FROM cb WHERE cohort_year >= {p.min_cohort}),
+cs AS (SELECT cohort_year, COUNT(*) AS cohort_users FROM fc GROUP BY cohort_year),
+ua AS (
+  SELECT DISTINCT c.user_id, fc.cohort_year, c.tx_year - fc.cohort_year AS age
+  FROM clean c JOIN fc ON c.user_id = fc.user_id WHERE c.tx_year >= fc.cohort_year
+),
+ret AS (
+  SELECT ua.cohort_year, ua.age, COUNT(DISTINCT ua.user_id) AS retained_users, cs.cohort_users
+  FROM ua JOIN cs ON ua.cohort_year = cs.cohort_year
+  GROUP BY ua.cohort_year, ua.age, cs.cohort_users
+),
+beh AS (
+  SELECT fc.cohort_year, c.tx_year - fc.cohort_year AS age, COUNT(*) AS total_tx,
+         COUNT(DISTINCT c.user_id) AS active_users, cs.cohort_users,
+         SUM(CASE WHEN c.amount > 0 THEN c.cents ELSE 0 END) AS rev
+  FROM clean_c c JOIN fc ON c.user_id = fc.user_id JOIN cs ON fc.cohort_year = cs.cohort_year
+  WHERE c.tx_year >= fc.cohort_year
+  GROUP BY fc.cohort_year, c.tx_year - fc.cohort_year, cs.cohort_users
+),
+ur AS (
+  SELECT c.user_id, SUM(c.cents) AS rev, COUNT(*) AS total_tx
+  FROM ltv c JOIN fc ON c.user_id = fc.user_id GROUP BY c.user_id
+),
+al AS (
+  SELECT fc.user_id, CAST(fc.cohort_year AS BIGINT) AS cohort_year, CAST(fc.last_year AS BIGINT) AS last_year,
+         CAST({span('fc.cohort_year', 'fc.last_year')} AS BIGINT) AS active_years,
+         {money('ur.rev')} AS total_revenue, ur.total_tx,
+         {rr_int('ur.rev', span('fc.cohort_year', 'fc.last_year') + ' * 100')} AS annual_ltv,
+         {rr_int('ur.total_tx', span('fc.cohort_year', 'fc.last_year'))} AS annual_tx
+  FROM fc JOIN ur ON fc.user_id = ur.user_id
+),
+rfm AS (
+  SELECT c.user_id, CAST({p.as_of_year} - MAX(c.tx_year) AS BIGINT) AS recency_years,
+         {rr_int('COUNT(*)', sp)} AS frequency,
+         {rr_int('SUM(CASE WHEN c.amount > 0 THEN c.cents ELSE 0 END)', sp + ' * 100')} AS monetary
+  FROM clean_c c JOIN fc ON c.user_id = fc.user_id GROUP BY c.user_id
+),
+rfm_r AS (
+  SELECT *, CAST(CASE WHEN recency_years = 0 THEN 5 WHEN recency_years <= 2 THEN 4
+                      WHEN recency_years <= 5 THEN 3 WHEN recency_years <= 9 THEN 2 ELSE 1 END AS INTEGER) AS r_score
+  FROM rfm
+),
+sc_n AS (
+  SELECT user_id, recency_years, frequency, monetary, r_score,
+         CAST(NTILE({p.n_bins}) OVER (ORDER BY frequency, user_id) AS INTEGER) AS f_score,
+         CAST(NTILE({p.n_bins}) OVER (ORDER BY monetary, user_id) AS INTEGER) AS m_score
+  FROM rfm_r
+),
+sc_q AS (
+  SELECT user_id, recency_years, frequency, monetary, r_score,
+         {qcut_sql('frequency', p.n_bins)} AS f_score,
+         {qcut_sql('monetary', p.n_bins)} AS m_score
+  FROM rfm_r
+),
+seg_n AS (
+  SELECT *, CAST(r_score + f_score + m_score AS INTEGER) AS rfm_score,
+         CASE WHEN r_score + f_score + m_score >= 13 THEN 'VIP'
+              WHEN r_score + f_score + m_score >= 10 THEN 'Loyal'
+              WHEN r_score + f_score + m_score >= 7 THEN 'Potential'
+              WHEN r_score <= 2 AND (f_score >= 3 OR m_score >= 3) THEN 'At Risk'
+              ELSE 'Dormant' END AS segment
+  FROM sc_n
+),
+seg_q AS (
+  SELECT *, CAST(r_score + f_score + m_score AS INTEGER) AS rfm_score,
+         CASE WHEN r_score + f_score + m_score >= 13 THEN 'VIP'
+              WHEN r_score + f_score + m_score >= 10 THEN 'Loyal'
+              WHEN r_score + f_score + m_score >= 7 THEN 'Potential'
+              WHEN r_score <= 2 AND (f_score >= 3 OR m_score >= 3) THEN 'At Risk'
+              ELSE 'Dormant' END AS segment
+  FROM sc_q
+)"""
+
+
+def experiment_ctes(p: Params = P) -> str:
+    from lifetrail.operators.experiment import SCENARIOS
+    probs = ", ".join(f"('{n}', '{seg}', CAST({pr!r} AS DOUBLE))"
+                      for n, (d, _) in SCENARIOS.items() for seg, pr in d.items())
+    defaults = ", ".join(f"('{n}', CAST({dp!r} AS DOUBLE))" for n, (_, dp) in SCENARIOS.items())
+    names = ", ".join(f"('{n}')" for n in SCENARIOS)
+    u = ("CAST(('0x' || substr(md5(CAST(r.user_id AS VARCHAR) || ':" + str(p.seed)
+         + ":' || r.scenario), 1, 8))::BIGINT AS DOUBLE) / CAST(4294967296 AS DOUBLE)")
+    return f"""
+units AS (
+  SELECT f.user_id, f.activated, COALESCE(s.segment, '{p.default_segment}') AS segment
+  FROM flags f LEFT JOIN seg_q s ON f.user_id = s.user_id
+),
+drawn AS (
+  SELECT *, md5(CAST(user_id AS VARCHAR) || ':{p.seed}') AS k FROM units
+  ORDER BY k, user_id LIMIT {2 * p.n_per_group}
+),
+asg AS (
+  SELECT user_id, activated, segment, CAST(ROW_NUMBER() OVER (ORDER BY k, user_id) AS BIGINT) AS draw_order
+  FROM drawn
+),
+asg2 AS (
+  SELECT *, CASE WHEN draw_order <= {p.n_per_group} THEN 'control' ELSE 'treatment' END AS arm FROM asg
+),
+sprob AS (SELECT * FROM (VALUES {probs}) t(scenario, segment, prob)),
+sdef AS (SELECT * FROM (VALUES {defaults}) t(scenario, dprob)),
+rows_ AS (SELECT a.*, s.scenario FROM asg2 a CROSS JOIN (VALUES {names}) s(scenario)),
+outc AS (
+  SELECT r.scenario, r.user_id, r.arm, r.segment, CAST(r.activated AS BIGINT) AS activated,
+         CAST(CASE WHEN r.arm = 'treatment' AND r.activated = 0 AND {u} < COALESCE(sp.prob, d.dprob)
+                   THEN 1 ELSE r.activated END AS BIGINT) AS converted
+  FROM rows_ r
+  LEFT JOIN sprob sp ON r.scenario = sp.scenario AND r.segment = sp.segment
+  JOIN sdef d ON r.scenario = d.scenario
+),
+arms AS (
+  SELECT scenario,
+         COUNT(*) FILTER (WHERE arm = 'treatment') AS n_treated,
+         CAST(SUM(CASE WHEN arm = 'treatment' THEN converted ELSE 0 END) AS BIGINT) AS x_treated,
+         COUNT(*) FILTER (WHERE arm = 'control') AS n_control,
+         CAST(SUM(CASE WHEN arm = 'control' THEN converted ELSE 0 END) AS BIGINT) AS x_control
+  FROM outc GROUP BY scenario
+),
+zt AS (
+  SELECT *, CASE WHEN se > 0 THEN (p1 - p2) / se END AS z
+  FROM (
+    SELECT *, sqrt(pp * (1 - pp) * (CAST(1.0 AS DOUBLE) / n1 + CAST(1.0 AS DOUBLE) / n2)) AS se
+    FROM (
+      SELECT *, CAST(x_treated AS DOUBLE) AS x1, CAST(n_treated AS DOUBLE) AS n1,
+             CAST(x_control AS DOUBLE) AS x2, CAST(n_control AS DOUBLE) AS n2,
+             CAST(x_treated AS DOUBLE) / CAST(n_treated AS DOUBLE) AS p1,
+             CAST(x_control AS DOUBLE) / CAST(n_control AS DOUBLE) AS p2,
+             (CAST(x_treated AS DOUBLE) + CAST(x_control AS DOUBLE))
+               / (CAST(n_treated AS DOUBLE) + CAST(n_control AS DOUBLE)) AS pp
+      FROM arms
+    )
+  )
+)"""
+
+
+def _sql_jkl(q: dict) -> None:
+    from lifetrail.operators.experiment import z_quantile
+    p = P
+    b = base()
+    ff = funnel_ctes()
+    cj = with_(b, ff, cohort_ctes())
+    ex = with_(b, ff, cohort_ctes(), experiment_ctes())
+    ages = list(range(0, p.last_kept_year - p.min_cohort + 1))
+    ages1 = [a for a in ages if a >= p.age_min]
+
+    q["user_subset"] = with_(b) + f"""
+, s AS (SELECT c_custkey AS user_id FROM customer
+        ORDER BY md5(CAST(c_custkey AS VARCHAR) || ':{p.seed}'), c_custkey LIMIT 200)
+SELECT user_id, tx_year, tx_month, tx_day, amount_raw, mcc, errors, is_fraud
+FROM raw WHERE user_id IN (SELECT user_id FROM s) AND is_fraud = 'No' AND tx_year < {p.last_year_excl}"""
+
+    # J
+    q["cohort_sizes"] = cj + "SELECT CAST(cohort_year AS BIGINT) AS cohort_year, COUNT(*) AS users FROM cb GROUP BY cohort_year"
+    q["cohort_truncation_check"] = cj + f"""
+, tr AS (SELECT user_id, MIN(tx_year) AS cohort_year FROM clean WHERE tx_year >= {p.min_cohort} GROUP BY user_id)
+, a AS (SELECT cohort_year, COUNT(*) AS n FROM cb WHERE cohort_year >= {p.min_cohort} GROUP BY cohort_year)
+, t AS (SELECT cohort_year, COUNT(*) AS n FROM tr GROUP BY cohort_year)
+SELECT CAST(COALESCE(a.cohort_year, t.cohort_year) AS BIGINT) AS cohort_year,
+       CAST(COALESCE(a.n, 0) AS BIGINT) AS users_full_history, CAST(COALESCE(t.n, 0) AS BIGINT) AS users_truncated_history
+FROM a FULL OUTER JOIN t ON a.cohort_year = t.cohort_year"""
+    ret_sel = f"""SELECT CAST(cohort_year AS BIGINT) AS cohort_year, CAST(age AS BIGINT) AS years_since_first,
+       retained_users, cohort_users, {pct('retained_users', 'cohort_users', 1)} AS retention_rate FROM ret"""
+    q["cohort_retention"] = cj + ret_sel
+    q["cohort_retention_matrix"] = cj + ", r AS (" + ret_sel + ")\nSELECT cohort_year, " + ", ".join(
+        f"MAX(CASE WHEN years_since_first = {a} THEN retention_rate END) AS age_{a}" for a in ages) + \
+        " FROM r GROUP BY cohort_year"
+    q["cohort_retention_by_age"] = cj + f"""
+SELECT CAST(age AS BIGINT) AS years_since_first, COUNT(*) AS cohorts,
+       CAST(SUM({rr_int('1000 * retained_users', 'cohort_users')}) AS DOUBLE) / CAST(COUNT(*) * 10 AS DOUBLE) AS avg_retention_rate
+FROM ret GROUP BY age"""
+    beh_sel = f"""SELECT CAST(cohort_year AS BIGINT) AS cohort_year, CAST(age AS BIGINT) AS years_since_first,
+       total_tx, active_users, cohort_users, {rr('total_tx', 'active_users', 1)} AS avg_tx_per_user,
+       {rr_int('rev', 'active_users * 100')} AS avg_revenue_per_user FROM beh"""
+    q["cohort_behavior"] = cj + beh_sel
+    cy_sel = f"""SELECT cohort_year, years_since_first, active_users, avg_tx_per_user, avg_revenue_per_user
+FROM ({beh_sel}) WHERE years_since_first BETWEEN {p.age_min} AND {p.age_max}"""
+    q["cohort_behavior_complete_years"] = cj + cy_sel
+    q["cohort_frequency_matrix"] = cj + ", r AS (" + cy_sel + ")\nSELECT cohort_year, " + ", ".join(
+        f"MAX(CASE WHEN years_since_first = {a} THEN avg_tx_per_user END) AS age_{a}" for a in ages1) + \
+        " FROM r GROUP BY cohort_year"
+    q["cohort_revenue_matrix"] = cj + ", r AS (" + cy_sel + ")\nSELECT cohort_year, " + ", ".join(
+        f"MAX(CASE WHEN years_since_first = {a} THEN avg_revenue_per_user END) AS age_{a}" for a in ages1) + \
+        " FROM r GROUP BY cohort_year"
+    q["cohort_behavior_by_age"] = cj + f"""
+SELECT CAST(age AS BIGINT) AS years_since_first, COUNT(*) AS cohorts,
+       CAST(SUM({rr_int('10 * total_tx', 'active_users')}) AS DOUBLE) / CAST(COUNT(*) * 10 AS DOUBLE) AS avg_tx_per_user,
+       CAST(SUM({rr_int('rev', 'active_users * 100')}) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS avg_revenue_per_user
+FROM beh WHERE age BETWEEN {p.age_min} AND {p.age_max} GROUP BY age"""
+    q["cohort_demographics"] = cj + f"""
+SELECT CAST(cb.cohort_year AS BIGINT) AS cohort_year, COUNT(*) AS user_count,
+       {rr_int('SUM(u.c_nationkey)', 'COUNT(u.c_nationkey)')} AS avg_score,
+       {rr_int('SUM(CAST(CAST(u.c_acctbal AS DECIMAL(12,2)) * 100 AS BIGINT))', 'COUNT(u.c_acctbal) * 100')} AS avg_income
+FROM cb JOIN customer u ON cb.user_id = u.c_custkey
+WHERE cb.cohort_year BETWEEN {p.profile_cohort_lo} AND {p.profile_cohort_hi}
+GROUP BY cb.cohort_year"""
+    q["observed_lifespan"] = cj + f"""
+SELECT CAST(cohort_year AS BIGINT) AS cohort_year, COUNT(*) AS user_count,
+       {rr('SUM(last_year - cohort_year)', 'COUNT(*)', 1)} AS avg_observed_years,
+       CAST(MIN(last_year - cohort_year) AS BIGINT) AS min_years, CAST(MAX(last_year - cohort_year) AS BIGINT) AS max_years
+FROM cb WHERE cohort_year BETWEEN {p.min_cohort} AND {p.lifespan_cohort_hi} GROUP BY cohort_year"""
+    q["annual_ltv"] = cj + "SELECT * FROM al"
+    q["ltv_summary"] = cj + f"""
+SELECT COUNT(*) AS total_users, {rr_int('SUM(annual_ltv)', 'COUNT(*)')} AS avg_annual_ltv,
+       MIN(annual_ltv) AS min_annual_ltv, MAX(annual_ltv) AS max_annual_ltv,
+       CAST(floor(quantile_cont(annual_ltv, 0.5) + 0.5) AS BIGINT) AS median_annual_ltv,
+       CAST(floor(quantile_cont(annual_ltv, 0.75) + 0.5) AS BIGINT) AS p75_annual_ltv
+FROM al"""
+    parts = []
+    for m in ("annual_ltv", "annual_tx"):
+        parts.append(f"""
+SELECT '{m}' AS metric, bin, mn + CAST(bin - 1 AS DOUBLE) * (mx - mn) / {p.hist_bins} AS bin_low,
+       mn + CAST(bin AS DOUBLE) * (mx - mn) / {p.hist_bins} AS bin_high, COUNT(*) AS users
+FROM (SELECT CAST(CASE WHEN mx = mn THEN 1 ELSE LEAST({p.hist_bins}, ({m} - mn) * {p.hist_bins} // (mx - mn) + 1) END AS BIGINT) AS bin, mn, mx
+      FROM al, (SELECT MIN({m}) AS mn, MAX({m}) AS mx FROM al) st)
+GROUP BY bin, mn, mx""")
+    q["ltv_distribution"] = cj + " UNION ALL ".join(parts)
+    parts = []
+    for m in ("annual_ltv", "annual_tx"):
+        x = f"CAST({m} AS HUGEINT)"
+        parts.append(f"""
+SELECT '{m}' AS metric, COUNT({m}) AS count, CAST(SUM({x}) AS DOUBLE) / CAST(COUNT({m}) AS DOUBLE) AS mean,
+       CASE WHEN COUNT({m}) > 1 THEN sqrt(CAST(COUNT({m}) * SUM({x} * {x}) - SUM({x}) * SUM({x}) AS DOUBLE)
+                                          / CAST(COUNT({m}) * (COUNT({m}) - 1) AS DOUBLE)) END AS std,
+       CAST(MIN({m}) AS DOUBLE) AS min, quantile_cont({m}, 0.25) AS q25, quantile_cont({m}, 0.5) AS q50,
+       quantile_cont({m}, 0.75) AS q75, CAST(MAX({m}) AS DOUBLE) AS max
+FROM al""")
+    q["ltv_describe"] = cj + " UNION ALL ".join(parts)
+
+    # K
+    q["rfm_raw"] = cj + "SELECT user_id, recency_years, frequency, monetary FROM rfm"
+    rcols = "user_id, recency_years, frequency, monetary, r_score, f_score, m_score"
+    q["rfm_scored_ntile"] = cj + f"SELECT {rcols} FROM sc_n"
+    q["rfm_scored_qcut"] = cj + f"SELECT {rcols} FROM sc_q"
+    probs = ", ".join(repr(i / p.n_bins) for i in range(p.n_bins + 1))
+    q["rfm_quantile_recency"] = cj + f"""
+, e AS (SELECT list_sort(list_distinct(quantile_cont(recency_years, [{probs}]))) AS ue FROM rfm)
+SELECT user_id, recency_years,
+       CAST(GREATEST(1, (len(ue) - 1) - len(list_filter(ue[2:], lambda v: v < recency_years))) AS INTEGER) AS r_score
+FROM rfm, e"""
+    q["rfm_segments"] = cj + f"SELECT {rcols}, rfm_score, segment FROM seg_n"
+    q["rfm_segments_qcut"] = cj + f"SELECT {rcols}, rfm_score, segment FROM seg_q"
+    q["rfm_segment_summary"] = cj + f"""
+SELECT segment, COUNT(*) AS user_count, {pct('COUNT(*)', 'SUM(COUNT(*)) OVER ()', 2)} AS ratio,
+       {rr('SUM(recency_years)', 'COUNT(*)', 1)} AS avg_recency,
+       {rr_int('SUM(frequency)', 'COUNT(*)')} AS avg_frequency,
+       {rr_int('SUM(monetary)', 'COUNT(*)')} AS avg_monetary,
+       {rr('SUM(rfm_score)', 'COUNT(*)', 1)} AS avg_rfm_score
+FROM seg_n GROUP BY segment"""
+    q["segment_transactions"] = cj + """
+SELECT s.segment, COUNT(*) AS tx_count FROM clean c JOIN seg_q s ON c.user_id = s.user_id
+WHERE c.amount > 0 GROUP BY s.segment"""
+    mix_cte = f"""
+, mix AS (
+  SELECT segment, category, tx_count, {money('cs_')} AS total_amount,
+         {pct('tx_count', 'SUM(tx_count) OVER (PARTITION BY segment)', 1)} AS ratio
+  FROM (SELECT s.segment, {brand_group('c.mcc')} AS category, COUNT(*) AS tx_count, SUM(c.cents) AS cs_
+        FROM clean_c c JOIN seg_q s ON c.user_id = s.user_id
+        WHERE c.amount > 0 GROUP BY 1, 2)
+)"""
+    q["segment_category_mix"] = cj + mix_cte + "SELECT * FROM mix"
+    q["segment_category_matrix"] = cj + mix_cte + """
+SELECT category, COALESCE(MAX(CASE WHEN segment = 'VIP' THEN ratio END), 0.0) AS vip,
+       COALESCE(MAX(CASE WHEN segment = 'Potential' THEN ratio END), 0.0) AS potential,
+       COALESCE(MAX(CASE WHEN segment = 'Loyal' THEN ratio END), 0.0) AS loyal
+FROM mix WHERE segment IN ('VIP', 'Potential', 'Loyal') GROUP BY category"""
+    q["segment_top_categories"] = cj + mix_cte + f"""
+SELECT segment, rank, category, tx_count, ratio FROM (
+  SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY segment ORDER BY ratio DESC, tx_count DESC, category) AS BIGINT) AS rank
+  FROM mix) WHERE rank <= {p.top_per_segment}"""
+    q["segment_seasonality"] = cj + f"""
+SELECT segment, tx_month, tx_count, {pct('tx_count', 'SUM(tx_count) OVER (PARTITION BY segment)', 1)} AS ratio
+FROM (SELECT s.segment, CAST(c.tx_month AS BIGINT) AS tx_month, COUNT(*) AS tx_count
+      FROM clean c JOIN seg_q s ON c.user_id = s.user_id WHERE c.amount > 0 GROUP BY 1, 2)"""
+
+    # L
+    q["activation_by_segment"] = ex + f"""
+SELECT segment, COUNT(*) AS user_count, CAST(SUM(activated) AS BIGINT) AS activated,
+       {rr('SUM(activated)', 'COUNT(*)', 3)} AS activation_rate
+FROM units GROUP BY segment"""
+    q["experiment_assignment"] = ex + "SELECT user_id, CAST(activated AS BIGINT) AS activated, segment, draw_order, arm FROM asg2"
+    q["uplift_scenario"] = ex + "SELECT * FROM outc"
+    q["experiment_groups"] = ex + f"""
+, g AS (SELECT scenario, arm, COUNT(*) AS n, CAST(SUM(converted) AS BIGINT) AS conversions FROM outc GROUP BY 1, 2)
+SELECT g.scenario, g.arm, g.n, g.conversions, {rr('g.conversions', 'g.n', 4)} AS conversion_rate,
+       CASE WHEN g.arm = 'treatment'
+            THEN {rr('100 * (g.conversions * c.n - c.conversions * g.n)', 'g.n * c.n', 1)} END AS lift_pp
+FROM g JOIN g c ON c.scenario = g.scenario AND c.arm = 'control'"""
+    q["experiment_by_segment"] = ex + f"""
+, g AS (
+  SELECT scenario, segment,
+         COUNT(*) FILTER (WHERE arm = 'control') AS n_control,
+         SUM(CASE WHEN arm = 'control' THEN converted ELSE 0 END) AS x_control,
+         COUNT(*) FILTER (WHERE arm = 'treatment') AS n_treated,
+         SUM(CASE WHEN arm = 'treatment' THEN converted ELSE 0 END) AS x_treated
+  FROM outc GROUP BY 1, 2
+)
+SELECT scenario, segment, n_control, n_treated,
+       CASE WHEN n_control > 0 THEN {rr('x_control', 'n_control', 3)} END AS control_rate,
+       CASE WHEN n_treated > 0 THEN {rr('x_treated', 'n_treated', 3)} END AS treated_rate,
+       CASE WHEN n_control > 0 AND n_treated > 0
+            THEN {rr('100 * (x_treated * n_control - x_control * n_treated)', 'n_treated * n_control', 1)} END AS diff_pp
+FROM g"""
+    pv = "1 - " + sql_normal_cdf("z")
+    q["two_proportion_ztest"] = ex + f"""
+SELECT scenario, x_treated, n_treated, x_control, n_control, {fround('z', 4)} AS z_stat,
+       {fround(pv, 6)} AS p_value, CAST(CASE WHEN {pv} < {p.alpha} THEN 1 ELSE 0 END AS BIGINT) AS reject
+FROM zt"""
+    zq = z_quantile(1 - p.alpha / 2)
+    rate = "CAST(conversions AS DOUBLE) / CAST(n AS DOUBLE)"
+    half = f"CAST({zq!r} AS DOUBLE) * sqrt(({rate}) * (1 - ({rate})) / CAST(n AS DOUBLE))"
+    q["proportion_ci"] = ex + f"""
+SELECT scenario, arm, n, conversions,
+       {fround(f'GREATEST(0.0, ({rate}) - {half})', 4)} AS ci_low,
+       {fround(f'LEAST(1.0, ({rate}) + {half})', 4)} AS ci_high
+FROM (SELECT scenario, arm, COUNT(*) AS n, CAST(SUM(converted) AS BIGINT) AS conversions FROM outc GROUP BY 1, 2)"""
+    za, zb = z_quantile(1 - p.alpha), z_quantile(p.power)
+    grid = ", ".join(f"CAST({m!r} AS DOUBLE)" for m in p.mde_grid)
+    p0 = "CAST(activated AS DOUBLE) / CAST(users AS DOUBLE)"
+    h = f"(2 * asin(sqrt({p0} + mde)) - 2 * asin(sqrt({p0})))"
+    nn = f"CAST(ceil(2.0 * pow(CAST({za + zb!r} AS DOUBLE) / {h}, 2)) AS BIGINT)"
+    ok = f"({p0} + mde <= 1 AND {h} > 0)"
+    q["sample_size_plan"] = ex + f"""
+, base_ AS (
+  SELECT 'all' AS baseline, COUNT(*) AS users, CAST(SUM(activated) AS BIGINT) AS activated FROM units
+  UNION ALL
+  SELECT segment, COUNT(*), CAST(SUM(activated) AS BIGINT) FROM units GROUP BY segment
+)
+SELECT baseline, users, {fround(p0, 4)} AS baseline_rate, mde,
+       CASE WHEN {ok} THEN {fround(h, 4)} END AS cohens_h,
+       CASE WHEN {ok} THEN {nn} END AS n_per_group,
+       CASE WHEN {ok} THEN CAST(users >= 2 * {nn} AS BIGINT) END AS enough
+FROM base_, (SELECT unnest([{grid}]) AS mde) g"""
+    h0 = f"(2 * asin(sqrt(p0 + CAST({p.planned_mde!r} AS DOUBLE))) - 2 * asin(sqrt(p0)))"
+    q["power_curve"] = ex + f"""
+, b AS (SELECT CAST(SUM(activated) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS p0 FROM units)
+SELECT CAST(n AS BIGINT) AS n_per_group,
+       {fround(sql_normal_cdf(f'{h0} * sqrt(CAST(n AS DOUBLE) / 2) - CAST({za!r} AS DOUBLE)'), 6)} AS power
+FROM b, generate_series({p.power_n_lo}, {p.power_n_hi}, {p.power_n_step}) t(n)"""
+    q["scenario_comparison"] = ex + f"""
+SELECT 'control' AS group_name, {rr('100 * MAX(x_control)', 'MAX(n_control)', 1)} AS conversion_rate,
+       CAST(NULL AS DOUBLE) AS lift_pp, MAX(n_control) AS n, CAST(NULL AS DOUBLE) AS p_value,
+       CAST(NULL AS VARCHAR) AS decision
+FROM arms
+UNION ALL
+SELECT 'treatment:' || scenario, {rr('100 * x_treated', 'n_treated', 1)},
+       {rr('100 * (x_treated * n_control - x_control * n_treated)', 'n_treated * n_control', 1)},
+       n_treated, {fround(pv, 4)}, CASE WHEN {pv} < {p.alpha} THEN 'reject' ELSE 'keep' END
+FROM zt"""
+    lift = "(CAST(x_treated AS DOUBLE) / CAST(n_treated AS DOUBLE) - CAST(x_control AS DOUBLE) / CAST(n_control AS DOUBLE))"
+    q["impact_estimate"] = ex + f"""
+, u AS (SELECT COUNT(*) AS eligible_users FROM fc)
+, l AS (SELECT {rr_int('SUM(annual_ltv)', 'COUNT(*)')} AS avg_annual_ltv FROM al)
+SELECT scenario, eligible_users, {fround(lift, 6)} AS lift,
+       CAST(trunc(CAST(eligible_users AS DOUBLE) * {lift}) AS BIGINT) AS additional_activated,
+       avg_annual_ltv,
+       CAST(trunc(CAST(eligible_users AS DOUBLE) * {lift}) AS BIGINT) * avg_annual_ltv AS additional_revenue
+FROM arms, u, l"""
+
+
 ORACLE_SQL: dict[str, str] = _sql()

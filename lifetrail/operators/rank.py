@@ -2,15 +2,15 @@
 
 A window ``ORDER BY x`` without ``PARTITION BY`` moves every row into a
 single task.  Here the total order (x, tie key) is range partitioned
-instead: each range partition is numbered locally, a per-partition count
-(one row per partition, a proven size bound) gives the offsets, and
-``offset + local number`` is the exact global rank.
-
-Both branches read the same range exchange (Spark reuses it), so the
-partition boundaries seen by the counts and by the local numbering are
-the same, also when lost shuffle files are recomputed (the partitioner is
-fixed once per exchange).  Ties are broken by the tie key, so a value
-shared by a third of all rows is still split across partitions.
+instead: each range partition is sorted and numbered locally, a
+per-partition count (one row per partition, a proven size bound) gives
+the offsets, and ``offset + local number`` is the exact global rank.
+
+The rank is computed on the narrow (order, tie) projection so that the
+counting branch and the numbering branch read one identical exchange,
+which Spark reuses: one range partitioner, fixed once, serves both (also
+when lost shuffle files are recomputed).  Ties are broken by the tie key,
+so a value shared by a third of all rows is still split across partitions.
 """
 
 from __future__ import annotations
@@ -27,15 +27,24 @@ def _partitions(df: DataFrame, partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def exact_rank(df: DataFrame, order_col: str, tie_col: str = "user_id", *,
-               rank_col: str = "rank", n_col: str = "n", descending: bool = False,
-               partitions: int | None = None) -> DataFrame:
-    """Add ``rank_col`` (1..n over the total order) and ``n_col`` (row count)."""
-    key = F.col(order_col).desc_nulls_last() if descending else F.col(order_col).asc_nulls_first()
-    order = [key, F.col(tie_col).asc()]
-    ranged = df.repartitionByRange(_partitions(df, partitions), *order) \
-               .withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
+def rank_keys(df: DataFrame, order_cols, tie_cols=("user_id",), *, rank_col: str = "rank",
+              n_col: str = "n", partitions: int | None = None) -> DataFrame:
+    """Exact 1-based rank of every row of the narrow projection
+    (order_cols..., tie_cols...) under that total order; returns those
+    columns plus ``rank_col`` and ``n_col``.
+
+    Both branches (local numbering, per-partition counts) read the same
+    narrow exchange, so Spark plans it once (ReusedExchange) and a single
+    range partitioner serves both, also when lost shuffle output is
+    recomputed."""
+    order_cols, tie_cols = list(order_cols), list(tie_cols)
+    order = [F.col(c).asc_nulls_first() for c in order_cols] + [F.col(c).asc() for c in tie_cols]
+    narrow = df.select(*order_cols, *tie_cols)
+    ranged = (narrow.repartitionByRange(_partitions(df, partitions), *order)
+                    .sortWithinPartitions(*order)
+                    .withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_pid", F.shiftright("_mid", 33)) \
+                   .withColumn("_lrn", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -43,9 +52,38 @@ def exact_rank(df: DataFrame, order_col: str, tie_col: str = "user_id", *,
         F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
         F.sum("_cnt").over(Window.partitionBy()).alias(n_col),
     )
-    return (local.join(F.broadcast(offsets), "_pid")
-                 .withColumn(rank_col, (F.col("_off") + F.col("_lrn")).cast("long"))
-                 .drop("_pid", "_lrn", "_off"))
+    return (ranged.join(F.broadcast(offsets), "_pid")
+                  .select(*order_cols, *tie_cols, (F.col("_off") + F.col("_lrn")).cast("long").alias(rank_col),
+                          F.col(n_col).cast("long").alias(n_col)))
+
+
+def exact_rank(df: DataFrame, order_col: str, tie_col: str = "user_id", *,
+               rank_col: str = "rank", n_col: str = "n", partitions: int | None = None) -> DataFrame:
+    """Add ``rank_col`` (1..n over (order_col, tie_col)) and ``n_col``.
+
+    ``tie_col`` must be unique per row (it makes the order total); the
+    rank computed on the narrow projection is joined back on it."""
+    keys = rank_keys(df, [order_col], [tie_col], rank_col=rank_col, n_col=n_col, partitions=partitions)
+    return df.join(keys.drop(order_col), tie_col, "inner")
+
+
+def multi_rank(df: DataFrame, metrics, tie_cols=("user_id",), *, partitions: int | None = None) -> DataFrame:
+    """Exact ranks of several metrics with one range exchange.
+
+    The metrics are stacked as rows (metric index, value, tie...), ranked
+    once under (metric index, value, tie), and pivoted back: one row per
+    tie key with ``rank_<metric>`` columns and ``n``.  Every row carries
+    each metric once, so the rank within metric ``i`` is the stacked rank
+    minus ``i * n``.  The metrics must share one type."""
+    metrics, tie_cols = list(metrics), list(tie_cols)
+    stacked = df.select(*tie_cols, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_m"), F.col(m).alias("_v")) for i, m in enumerate(metrics)])))
+    r = rank_keys(stacked, ["_m", "_v"], tie_cols, rank_col="_r", n_col="_nn", partitions=partitions)
+    n = (F.col("_nn") / len(metrics)).cast("long")
+    within = F.col("_r") - F.col("_m") * n
+    return r.groupBy(*tie_cols).agg(
+        *[F.max(F.when(F.col("_m") == i, within)).alias(f"rank_{m}") for i, m in enumerate(metrics)],
+        F.max(n).alias("n"))
 
 
 def ntile(df: DataFrame, order_col: str, k: int, out_col: str, tie_col: str = "user_id",
@@ -69,8 +107,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: dict, tie_col: str = "
     ``probs`` maps output column -> probability.  Only the rows at the
     needed ranks survive the filter, so the final aggregate is tiny.
     """
-    r = exact_rank(df.select(value_col, tie_col), value_col, tie_col, rank_col="_r", n_col="_n",
-                   partitions=partitions)
+    r = rank_keys(df, [value_col], [tie_col], rank_col="_r", n_col="_n", partitions=partitions)
     aggs = []
     for name, p in probs.items():
         pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))

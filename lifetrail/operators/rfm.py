@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lifetrail.config import Params
 from lifetrail.functions import pct, recency_score, rfm_segment, round_ratio, round_ratio_int, span_years
-from lifetrail.operators.rank import exact_rank
+from lifetrail.operators.rank import multi_rank
 from lifetrail.functions import ntile_from_rank, qcut_from_rank
 
 
@@ -29,19 +29,20 @@ def rfm_raw(facts: DataFrame, p: Params = Params()) -> DataFrame:
                     "n_pos", "activated")
 
 
-def _bin(df: DataFrame, col: str, out: str, k: int, method: str) -> DataFrame:
-    r = exact_rank(df, col, "user_id", rank_col="_r", n_col="_n")
-    fn = ntile_from_rank if method == "ntile" else qcut_from_rank
-    return r.withColumn(out, fn("_r", "_n", k)).drop("_r", "_n")
-
-
 def rfm_scored(raw: DataFrame, p: Params = Params(), method: str = "ntile") -> DataFrame:
-    """Add r_score (bands), f_score and m_score (equal-count bins)."""
+    """Add r_score (bands), f_score and m_score (equal-count bins).
+
+    Both bins come from one stacked exact rank (one range exchange); the
+    per-user ranks join back on ``user_id``."""
     if method not in ("ntile", "qcut"):
         raise ValueError(method)
-    s = raw.withColumn("r_score", recency_score("recency_years", p.recency_bands))
-    s = _bin(s, "frequency", "f_score", p.n_bins, method)
-    return _bin(s, "monetary", "m_score", p.n_bins, method)
+    fn = ntile_from_rank if method == "ntile" else qcut_from_rank
+    ranks = multi_rank(raw, ["frequency", "monetary"], ["user_id"])
+    s = raw.join(ranks, "user_id", "inner")
+    return (s.withColumn("r_score", recency_score("recency_years", p.recency_bands))
+             .withColumn("f_score", fn("rank_frequency", "n", p.n_bins))
+             .withColumn("m_score", fn("rank_monetary", "n", p.n_bins))
+             .drop("rank_frequency", "rank_monetary", "n"))
 
 
 def rfm_quantile_recency(raw: DataFrame, p: Params = Params()) -> DataFrame:

@@ -39,11 +39,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan that has fewer input splits than task slots.
+
+    A file written as one parquet row group is read by one task, and every
+    narrow operator after it (joins against broadcast sides, projections,
+    partial aggregation) would run in that task.  The check reads only
+    planning metadata; with many input splits (any large table) it is a
+    no-op and adds no shuffle."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw card-style transactions (text amount, text fraud flag)."""
-    li = read_table(spark, sf_dir, "lineitem").select(
+    li = balance(read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
+        "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus"))
     od = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     pt = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand")

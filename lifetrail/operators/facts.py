@@ -25,19 +25,21 @@ from pyspark.sql import functions as F
 
 from lifetrail.config import Params
 from lifetrail.functions import cents, date_from_int, year_of_int
-from lifetrail.operators.prepare import is_monetary
 
 
 def daily(clean_df: DataFrame, p: Params = Params()) -> DataFrame:
-    pos = F.col("amount") > 0
-    ltv = is_monetary(p)
-    return (clean_df.select("user_id", "date_int", "amount", "errors")
+    """(user_id, date_int) -> rows, purchases, purchase cents, monetary-view
+    rows and cents.  Conditions run on long cents, not decimals."""
+    c = F.col("c")
+    pos = c > 0
+    ltv = pos & F.col("errors").isNull() & (c <= p.outlier_cap * 100)
+    return (clean_df.select("user_id", "date_int", cents("amount").alias("c"), "errors")
             .groupBy("user_id", "date_int")
             .agg(F.count(F.lit(1)).alias("n_tx"),
                  F.count_if(pos).alias("n_pos"),
-                 F.sum(F.when(pos, cents("amount")).otherwise(F.lit(0))).alias("pos_cents"),
+                 F.sum(F.when(pos, c).otherwise(F.lit(0))).alias("pos_cents"),
                  F.count_if(ltv).alias("ltv_n"),
-                 F.sum(F.when(ltv, cents("amount")).otherwise(F.lit(0))).alias("ltv_cents")))
+                 F.sum(F.when(ltv, c).otherwise(F.lit(0))).alias("ltv_cents")))
 
 
 def user_days(clean_df: DataFrame, p: Params = Params()) -> DataFrame:

@@ -123,7 +123,7 @@ def z_test_columns(x1, n1, x2, n2):
     p1, p2 = x1 / n1, x2 / n2
     pp = (x1 + x2) / (n1 + n2)
     se = F.sqrt(pp * (1 - pp) * (F.lit(1.0) / n1 + F.lit(1.0) / n2))
-    return F.when(se > 0, (p1 - p2) / se)
+    return F.when((n1 > 0) & (n2 > 0), F.when(se > 0, (p1 - p2) / se))
 
 
 def two_proportion_ztest(outcomes: DataFrame, p: Params = Params()) -> DataFrame:
@@ -194,15 +194,17 @@ def scenario_comparison(outcomes: DataFrame, p: Params = Params()) -> DataFrame:
     a = _arms(outcomes)
     z = z_test_columns("x_treated", "n_treated", "x_control", "n_control")
     a = a.withColumn("_p", 1 - normal_cdf(z))
-    rate_t = round_ratio(F.col("x_treated") * 100, "n_treated", 1)
-    lift = round_ratio((F.col("x_treated") * F.col("n_control") - F.col("x_control") * F.col("n_treated")) * 100,
-                       F.col("n_treated") * F.col("n_control"), 1)
+    rate_t = F.when(F.col("n_treated") > 0, round_ratio(F.col("x_treated") * 100, "n_treated", 1))
+    lift = F.when((F.col("n_treated") > 0) & (F.col("n_control") > 0),
+                  round_ratio((F.col("x_treated") * F.col("n_control") - F.col("x_control") * F.col("n_treated")) * 100,
+                              F.col("n_treated") * F.col("n_control"), 1))
     treated = a.select(F.concat(F.lit("treatment:"), "scenario").alias("group_name"),
                        rate_t.alias("conversion_rate"), lift.alias("lift_pp"),
                        F.col("n_treated").alias("n"), floor_round("_p", 4).alias("p_value"),
                        F.when(F.col("_p") < p.alpha, "reject").otherwise("keep").alias("decision"))
     control = a.groupBy().agg(F.max("x_control").alias("x"), F.max("n_control").alias("n")).select(
-        F.lit("control").alias("group_name"), round_ratio(F.col("x") * 100, "n", 1).alias("conversion_rate"),
+        F.lit("control").alias("group_name"),
+        F.when(F.col("n") > 0, round_ratio(F.col("x") * 100, "n", 1)).alias("conversion_rate"),
         F.lit(None).cast("double").alias("lift_pp"), "n", F.lit(None).cast("double").alias("p_value"),
         F.lit(None).cast("string").alias("decision"))
     return control.unionByName(treated).orderBy("group_name")
@@ -213,8 +215,9 @@ def impact_estimate(outcomes: DataFrame, eligible_users: DataFrame, ltv_summary:
     a = _arms(outcomes)
     users = eligible_users.agg(F.count(F.lit(1)).alias("u")).select("u").scalar()
     avg_ltv = ltv_summary.select("avg_annual_ltv").scalar()
-    lift = (F.col("x_treated").cast("double") / F.col("n_treated").cast("double")
-            - F.col("x_control").cast("double") / F.col("n_control").cast("double"))
+    lift = F.when((F.col("n_treated") > 0) & (F.col("n_control") > 0),
+                  F.col("x_treated").cast("double") / F.col("n_treated").cast("double")
+                  - F.col("x_control").cast("double") / F.col("n_control").cast("double"))
     extra = (users.cast("double") * lift).cast("long")
     return a.select("scenario", users.alias("eligible_users"), floor_round(lift, 6).alias("lift"),
                     extra.alias("additional_activated"), avg_ltv.alias("avg_annual_ltv"),

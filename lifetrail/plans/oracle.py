@@ -468,16 +468,17 @@ arms AS (
   FROM outc GROUP BY scenario
 ),
 zt AS (
-  SELECT *, CASE WHEN se > 0 THEN (p1 - p2) / se END AS z
+  SELECT *, CASE WHEN n_treated > 0 AND n_control > 0 AND se > 0 THEN (p1 - p2) / se END AS z
   FROM (
-    SELECT *, sqrt(pp * (1 - pp) * (CAST(1.0 AS DOUBLE) / n1 + CAST(1.0 AS DOUBLE) / n2)) AS se
+    SELECT *, CASE WHEN n_treated > 0 AND n_control > 0
+                   THEN sqrt(pp * (1 - pp) * (CAST(1.0 AS DOUBLE) / n1 + CAST(1.0 AS DOUBLE) / n2)) END AS se
     FROM (
       SELECT *, CAST(x_treated AS DOUBLE) AS x1, CAST(n_treated AS DOUBLE) AS n1,
              CAST(x_control AS DOUBLE) AS x2, CAST(n_control AS DOUBLE) AS n2,
-             CAST(x_treated AS DOUBLE) / CAST(n_treated AS DOUBLE) AS p1,
-             CAST(x_control AS DOUBLE) / CAST(n_control AS DOUBLE) AS p2,
-             (CAST(x_treated AS DOUBLE) + CAST(x_control AS DOUBLE))
-               / (CAST(n_treated AS DOUBLE) + CAST(n_control AS DOUBLE)) AS pp
+             CASE WHEN n_treated > 0 THEN CAST(x_treated AS DOUBLE) / CAST(n_treated AS DOUBLE) END AS p1,
+             CASE WHEN n_control > 0 THEN CAST(x_control AS DOUBLE) / CAST(n_control AS DOUBLE) END AS p2,
+             CASE WHEN n_treated > 0 AND n_control > 0 THEN (CAST(x_treated AS DOUBLE) + CAST(x_control AS DOUBLE))
+               / (CAST(n_treated AS DOUBLE) + CAST(n_control AS DOUBLE)) END AS pp
       FROM arms
     )
   )
@@ -688,16 +689,19 @@ SELECT CAST(n AS BIGINT) AS n_per_group,
        {fround(sql_normal_cdf(f'{h0} * sqrt(CAST(n AS DOUBLE) / 2) - CAST({za!r} AS DOUBLE)'), 6)} AS power
 FROM b, generate_series({p.power_n_lo}, {p.power_n_hi}, {p.power_n_step}) t(n)"""
     q["scenario_comparison"] = ex + f"""
-SELECT 'control' AS group_name, {rr('100 * MAX(x_control)', 'MAX(n_control)', 1)} AS conversion_rate,
+SELECT 'control' AS group_name,
+       CASE WHEN MAX(n_control) > 0 THEN {rr('100 * MAX(x_control)', 'MAX(n_control)', 1)} END AS conversion_rate,
        CAST(NULL AS DOUBLE) AS lift_pp, MAX(n_control) AS n, CAST(NULL AS DOUBLE) AS p_value,
        CAST(NULL AS VARCHAR) AS decision
 FROM arms
 UNION ALL
-SELECT 'treatment:' || scenario, {rr('100 * x_treated', 'n_treated', 1)},
-       {rr('100 * (x_treated * n_control - x_control * n_treated)', 'n_treated * n_control', 1)},
+SELECT 'treatment:' || scenario, CASE WHEN n_treated > 0 THEN {rr('100 * x_treated', 'n_treated', 1)} END,
+       CASE WHEN n_treated > 0 AND n_control > 0
+            THEN {rr('100 * (x_treated * n_control - x_control * n_treated)', 'n_treated * n_control', 1)} END,
        n_treated, {fround(pv, 4)}, CASE WHEN {pv} < {p.alpha} THEN 'reject' ELSE 'keep' END
 FROM zt"""
-    lift = "(CAST(x_treated AS DOUBLE) / CAST(n_treated AS DOUBLE) - CAST(x_control AS DOUBLE) / CAST(n_control AS DOUBLE))"
+    lift = ("(CASE WHEN n_treated > 0 AND n_control > 0 THEN CAST(x_treated AS DOUBLE) / CAST(n_treated AS DOUBLE)"
+            " - CAST(x_control AS DOUBLE) / CAST(n_control AS DOUBLE) END)")
     q["impact_estimate"] = ex + f"""
 , u AS (SELECT COUNT(*) AS eligible_users FROM fc)
 , l AS (SELECT {rr_int('SUM(annual_ltv)', 'COUNT(*)')} AS avg_annual_ltv FROM al)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
@@ -121,13 +121,20 @@ def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict | None
 
 
 def with_positional_key(df: DataFrame, key: str = "user_id", start: int = 0) -> DataFrame:
-    """Key = physical row position (A14), gap-free and stable for a given
-    input file order.  ``zipWithIndex`` runs one counting job over the
-    partitions, then numbers rows locally; no data reaches the driver."""
-    spark = df.sparkSession
-    schema = StructType([StructField(key, LongType(), False)] + list(df.schema.fields))
-    rdd = df.rdd.zipWithIndex().map(lambda ri: (ri[1] + start,) + tuple(ri[0]))
-    return spark.createDataFrame(rdd, schema)
+    """Key = physical row position (A14): gap-free, in input order.
+
+    ``monotonically_increasing_id`` encodes (input partition, position);
+    per-partition counts (one row per partition) give the offsets.  Both
+    branches read the same file splits in the same order, so the key is
+    stable; everything stays in the JVM."""
+    m = df.withColumn("_mid", F.monotonically_increasing_id())
+    m = m.withColumn("_pid", F.shiftright("_mid", 33)) \
+         .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = m.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    return (m.join(F.broadcast(offsets), "_pid")
+             .select((F.col("_off") + F.col("_pos") + start).cast("long").alias(key), *df.columns))
 
 
 def audit_row_counts(tables: dict[str, DataFrame]) -> DataFrame:

@@ -98,3 +98,21 @@ def test_marts_build_and_write(spark, tmpdir_path):
     f1 = sorted(tuple(r) for r in marts["aarrr_funnel"].collect())
     f2 = sorted(tuple(r) for r in QUERIES["funnel_stages"](spark, SF001).collect())
     assert f1 == f2
+
+
+def test_card_category_map_last_wins(spark):
+    from lifetrail.sources.mcc import MCC_EXPORT, card_category_map
+    m = {r["code"]: (r["detail"], r["large_group"]) for r in card_category_map(spark).collect()}
+    assert m["5813"] == ("주류", "주류")                 # repeated code: the later entry wins
+    assert m["5261"][1] is None and len(MCC_EXPORT) == 20
+    assert len(m) == len({str(c) for c, _ in __import__("lifetrail.sources.mcc", fromlist=["x"]).MCC_DETAIL}
+                         | {str(c) for c, _ in __import__("lifetrail.sources.mcc", fromlist=["x"]).MCC_GROUP})
+
+
+def test_views_and_sql(spark):
+    from lifetrail.operators.prepare import drop_views, register_views
+    register_views(spark, raw_transactions(spark, SF001), P, prefix="t_")
+    n = spark.sql("SELECT COUNT(*) AS n FROM t_ltv_transactions").first()["n"]
+    assert n == spark.table("t_clean_transactions").filter("amount > 0 AND errors IS NULL AND amount <= 100000").count()
+    drop_views(spark, prefix="t_")
+    assert not spark.catalog.tableExists("t_clean_transactions")

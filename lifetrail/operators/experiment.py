@@ -51,11 +51,11 @@ def experiment_assignment(units: DataFrame, p: Params = Params()) -> DataFrame:
     ``orderBy().limit(2n)`` keeps only 2n rows per task before the merge, so
     the draw costs one pass; the group split is a window over those 2n rows."""
     key = md5_key("user_id", F.lit(p.seed))
-    drawn = units.withColumn("_k", key).orderBy("_k", "user_id").limit(2 * p.n_per_group)
-    rn = F.row_number().over(Window.orderBy("_k", "user_id"))
-    return (drawn.withColumn("draw_order", rn.cast("long"))
-                 .withColumn("arm", F.when(F.col("draw_order") <= p.n_per_group, "control").otherwise("treatment"))
-                 .drop("_k"))
+    drawn = units.select("*", key.alias("_k")).orderBy("_k", "user_id").limit(2 * p.n_per_group)
+    rn = F.row_number().over(Window.orderBy("_k", "user_id")).cast("long")
+    cols = [c for c in units.columns]
+    return drawn.select(*cols, rn.alias("draw_order"),
+                        F.when(rn <= p.n_per_group, "control").otherwise("treatment").alias("arm"))
 
 
 def scenario_table(spark, scenarios=SCENARIOS) -> DataFrame:
@@ -71,11 +71,12 @@ def uplift_scenario(assigned: DataFrame, p: Params = Params(), scenarios=SCENARI
     names = list(scenarios)
     defaults = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(float(scenarios[n][1])))])
     probs = F.broadcast(scenario_table(spark, scenarios))
-    rows = assigned.withColumn("scenario", F.explode(F.array(*[F.lit(n) for n in names])))
-    j = rows.join(probs, ["scenario", "segment"], "left") \
-            .withColumn("prob", F.coalesce("prob", defaults[F.col("scenario")]))
+    rows = assigned.select("user_id", "arm", "segment", "activated",
+                           F.explode(F.array(*[F.lit(n) for n in names])).alias("scenario"))
+    j = rows.join(probs, ["scenario", "segment"], "left")
+    prob = F.coalesce("prob", defaults[F.col("scenario")])
     u = md5_uniform("user_id", F.lit(p.seed), "scenario")
-    lift = (F.col("arm") == "treatment") & (F.col("activated") == 0) & (u < F.col("prob"))
+    lift = (F.col("arm") == "treatment") & (F.col("activated") == 0) & (u < prob)
     return j.select("scenario", "user_id", "arm", "segment", "activated",
                     F.when(lift, 1).otherwise(F.col("activated")).cast("long").alias("converted"))
 
@@ -188,26 +189,31 @@ def power_curve(units: DataFrame, p: Params = Params()) -> DataFrame:
                     floor_round(pw, 6).alias("power")).orderBy("n_per_group")
 
 
-def scenario_comparison(outcomes: DataFrame, p: Params = Params()) -> DataFrame:
+def scenario_comparison(outcomes: DataFrame, p: Params = Params(), scenarios=SCENARIOS) -> DataFrame:
     """Result table: control row and one row per scenario with the treated
-    rate (%, 1 dp), lift, group size and one-sided p-value (4 dp)."""
+    rate (%, 1 dp), lift, group size and one-sided p-value (4 dp).
+
+    One aggregate row per scenario fans out into its result rows; the
+    control row (the same in every scenario) comes from the first one."""
     a = _arms(outcomes)
     z = z_test_columns("x_treated", "n_treated", "x_control", "n_control")
-    a = a.withColumn("_p", 1 - normal_cdf(z))
-    rate_t = F.when(F.col("n_treated") > 0, round_ratio(F.col("x_treated") * 100, "n_treated", 1))
-    lift = F.when((F.col("n_treated") > 0) & (F.col("n_control") > 0),
-                  round_ratio((F.col("x_treated") * F.col("n_control") - F.col("x_control") * F.col("n_treated")) * 100,
-                              F.col("n_treated") * F.col("n_control"), 1))
-    treated = a.select(F.concat(F.lit("treatment:"), "scenario").alias("group_name"),
-                       rate_t.alias("conversion_rate"), lift.alias("lift_pp"),
-                       F.col("n_treated").alias("n"), floor_round("_p", 4).alias("p_value"),
-                       F.when(F.col("_p") < p.alpha, "reject").otherwise("keep").alias("decision"))
-    control = a.groupBy().agg(F.max("x_control").alias("x"), F.max("n_control").alias("n")).select(
+    pv = 1 - normal_cdf(z)
+    nt, nc = F.col("n_treated"), F.col("n_control")
+    treated = F.struct(
+        F.concat(F.lit("treatment:"), F.col("scenario")).alias("group_name"),
+        F.when(nt > 0, round_ratio(F.col("x_treated") * 100, nt, 1)).alias("conversion_rate"),
+        F.when((nt > 0) & (nc > 0),
+               round_ratio((F.col("x_treated") * nc - F.col("x_control") * nt) * 100, nt * nc, 1)).alias("lift_pp"),
+        nt.alias("n"), floor_round(pv, 4).alias("p_value"),
+        F.when(pv < p.alpha, "reject").otherwise("keep").alias("decision"))
+    control = F.struct(
         F.lit("control").alias("group_name"),
-        F.when(F.col("n") > 0, round_ratio(F.col("x") * 100, "n", 1)).alias("conversion_rate"),
-        F.lit(None).cast("double").alias("lift_pp"), "n", F.lit(None).cast("double").alias("p_value"),
-        F.lit(None).cast("string").alias("decision"))
-    return control.unionByName(treated).orderBy("group_name")
+        F.when(nc > 0, round_ratio(F.col("x_control") * 100, nc, 1)).alias("conversion_rate"),
+        F.lit(None).cast("double").alias("lift_pp"), nc.alias("n"),
+        F.lit(None).cast("double").alias("p_value"), F.lit(None).cast("string").alias("decision"))
+    first = next(iter(scenarios))
+    rows = F.when(F.col("scenario") == first, F.array(control, treated)).otherwise(F.array(treated))
+    return a.select(F.inline(rows)).orderBy("group_name")
 
 
 def impact_estimate(outcomes: DataFrame, eligible_users: DataFrame, ltv_summary: DataFrame) -> DataFrame:

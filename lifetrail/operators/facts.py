@@ -44,9 +44,8 @@ def daily(clean_df: DataFrame, p: Params = Params()) -> DataFrame:
 
 def user_days(clean_df: DataFrame, p: Params = Params()) -> DataFrame:
     w = Window.partitionBy("user_id")
-    return (daily(clean_df, p)
-            .withColumn("first_date", F.min("date_int").over(w))
-            .withColumn("tx_year", year_of_int("date_int").cast("int")))
+    return daily(clean_df, p).select("*", F.min("date_int").over(w).alias("first_date"),
+                                     year_of_int("date_int").cast("int").alias("tx_year"))
 
 
 def activated_expr(first, second, p: Params = Params()):
@@ -76,8 +75,8 @@ def facts_from_days(ud: DataFrame, p: Params = Params()) -> DataFrame:
         F.count(F.lit(1)).alias("n_days"),
         F.min(F.when(F.col("tx_year") >= p.min_cohort, F.col("tx_year"))).alias("first_year_truncated"),
     )
-    return (f.withColumn("has_second", F.col("second_date").isNotNull().cast("int"))
-             .withColumn("activated", activated_expr("first_date", "second_date", p)))
+    return f.select("*", F.col("second_date").isNotNull().cast("int").alias("has_second"),
+                    activated_expr("first_date", "second_date", p).alias("activated"))
 
 
 def facts(clean_df: DataFrame, p: Params = Params()) -> DataFrame:

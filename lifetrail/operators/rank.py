@@ -42,9 +42,9 @@ def rank_keys(df: DataFrame, order_cols, tie_cols=("user_id",), *, rank_col: str
     narrow = df.select(*order_cols, *tie_cols)
     ranged = (narrow.repartitionByRange(_partitions(df, partitions), *order)
                     .sortWithinPartitions(*order)
-                    .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = ranged.withColumn("_pid", F.shiftright("_mid", 33)) \
-                   .withColumn("_lrn", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+                    .select("*", F.monotonically_increasing_id().alias("_mid")))
+    ranged = ranged.select("*", F.shiftright("_mid", 33).alias("_pid"),
+                           (F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("_lrn"))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(

@@ -39,10 +39,9 @@ def rfm_scored(raw: DataFrame, p: Params = Params(), method: str = "ntile") -> D
     fn = ntile_from_rank if method == "ntile" else qcut_from_rank
     ranks = multi_rank(raw, ["frequency", "monetary"], ["user_id"])
     s = raw.join(ranks, "user_id", "inner")
-    return (s.withColumn("r_score", recency_score("recency_years", p.recency_bands))
-             .withColumn("f_score", fn("rank_frequency", "n", p.n_bins))
-             .withColumn("m_score", fn("rank_monetary", "n", p.n_bins))
-             .drop("rank_frequency", "rank_monetary", "n"))
+    return s.select(*raw.columns, recency_score("recency_years", p.recency_bands).alias("r_score"),
+                    fn("rank_frequency", "n", p.n_bins).alias("f_score"),
+                    fn("rank_monetary", "n", p.n_bins).alias("m_score"))
 
 
 def rfm_quantile_recency(raw: DataFrame, p: Params = Params()) -> DataFrame:
@@ -59,8 +58,9 @@ def rfm_quantile_recency(raw: DataFrame, p: Params = Params()) -> DataFrame:
 
 def rfm_segments(scored: DataFrame, p: Params = Params()) -> DataFrame:
     """Total score and segment label (VIP / Loyal / Potential / At Risk / Dormant)."""
-    s = scored.withColumn("rfm_score", (F.col("r_score") + F.col("f_score") + F.col("m_score")).cast("int"))
-    return s.withColumn("segment", rfm_segment("rfm_score", "r_score", "f_score", "m_score", p.segment_cuts))
+    score = (F.col("r_score") + F.col("f_score") + F.col("m_score")).cast("int")
+    return scored.select("*", score.alias("rfm_score"),
+                         rfm_segment(score, "r_score", "f_score", "m_score", p.segment_cuts).alias("segment"))
 
 
 def rfm_segment_summary(segments: DataFrame) -> DataFrame:

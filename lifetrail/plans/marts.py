@@ -1,16 +1,17 @@
 """Result marts (A16/A13): the six dashboard tables built in one run.
 
 The per-user ``facts`` and per-(user, year) tables are materialised once
-(checkpointed to the shared folder named by ``spark.checkpoint.dir``) and
-every mart reads them; the transaction fact itself is scanned once for
-them plus once for the two fact-level marts.  Checkpointing cuts the
-lineage, so a lost executor recomputes from the materialised tables
-rather than from the raw scan.
+(written as tables in the shared folder named by ``spark.checkpoint.dir``)
+and every mart reads them; the transaction fact itself is scanned once for
+them plus once for the two fact-level marts.  The written tables cut the
+lineage, so a lost executor recomputes from them rather than from the raw
+scan.
 """
 
 from __future__ import annotations
 
 import logging
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -25,31 +26,43 @@ from lifetrail.sources.files import write_table
 log = logging.getLogger(__name__)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Checkpoint to the session's checkpoint folder; without one (and not
-    in local mode, where tests set a scratch folder) fall back to a
-    disk-backed persist, which still survives executor loss by lineage."""
-    spark = df.sparkSession
+def shared_folder(spark) -> str | None:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``
+    (local test sessions get a scratch folder; a cluster session without
+    the setting gets None)."""
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-        if conf_dir:
-            sc.setCheckpointDir(conf_dir)
-        elif sc.master.startswith("local"):
-            from lifetrail.config import ensure_checkpoint_dir
-            ensure_checkpoint_dir(spark)
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if conf_dir:
+        return conf_dir
     if sc.getCheckpointDir():
-        return df.checkpoint(eager=True)
-    log.warning("spark.checkpoint.dir is not set; persisting instead of checkpointing")
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+        return sc.getCheckpointDir()
+    if sc.master.startswith("local"):
+        from lifetrail.config import ensure_checkpoint_dir
+        return ensure_checkpoint_dir(spark)
+    return None
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage by writing ``df`` as a parquet table in the shared
+    checkpoint folder and reading it back: one write pass, columnar reads
+    with pruning downstream, and a lost executor recomputes nothing above
+    it.  Without a shared folder (cluster session lacking
+    ``spark.checkpoint.dir``) fall back to a disk-backed persist."""
+    base = shared_folder(df.sparkSession)
+    if base is None:
+        log.warning("spark.checkpoint.dir is not set; persisting %s instead of writing it", name)
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{base.rstrip('/')}/lifetrail-tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def build_marts(raw: DataFrame, mapping: DataFrame, p: Params = Params()) -> dict[str, DataFrame]:
     """Return the six marts as DataFrames (lazy except the materialised bases)."""
     c = clean(raw, p)
     ud = user_days(c, p)
-    f = materialise(facts_from_days(ud, p))
-    uy = materialise(user_years_from_days(ud))
+    f = materialise(facts_from_days(ud, p), "facts")
+    uy = materialise(user_years_from_days(ud), "user_years")
 
     segs = rfm.rfm_segments(rfm.rfm_scored(rfm.rfm_raw(f, p), p, "qcut"), p)
     units = experiment.with_segment(f, segs, p)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lifetrail.config import Params
-from lifetrail.functions import money, pct, round_ratio
+from lifetrail.functions import money, pct, round_ratio, round_ratio_int
 
 
 def acquisition_by_year(facts: DataFrame) -> DataFrame:
@@ -21,6 +21,14 @@ def acquisition_by_year(facts: DataFrame) -> DataFrame:
                  .orderBy("first_year"))
 
 
+def acquisition_summary(facts: DataFrame) -> DataFrame:
+    """All acquired users, number of first-activity years, mean new users
+    per year (0 dp)."""
+    g = facts.groupBy("first_year").agg(F.count(F.lit(1)).alias("n"))
+    return g.agg(F.sum("n").cast("long").alias("total_users"), F.count(F.lit(1)).alias("years"),
+                 round_ratio_int(F.sum("n"), F.count(F.lit(1))).alias("mean_new_users_per_year"))
+
+
 def activation(facts: DataFrame) -> DataFrame:
     """Acquired users, users with a second active day, activated users, rate."""
     g = facts.agg(F.count(F.lit(1)).alias("acquired_users"),

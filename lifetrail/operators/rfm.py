@@ -71,7 +71,8 @@ def rfm_segment_summary(segments: DataFrame) -> DataFrame:
         F.sum("recency_years").alias("_r"), F.sum("frequency").alias("_f"),
         F.sum("monetary").alias("_m"), F.sum("rfm_score").alias("_s"))
     total = F.sum("user_count").over(Window.partitionBy())
-    return g.select("segment", "user_count", pct("user_count", total, 2).alias("ratio"),
+    return g.select("segment", segment_order("segment").alias("segment_order"),
+                    "user_count", pct("user_count", total, 2).alias("ratio"),
                     round_ratio("_r", "user_count", 1).alias("avg_recency"),
                     round_ratio_int("_f", "user_count").alias("avg_frequency"),
                     round_ratio_int("_m", "user_count").alias("avg_monetary"),
@@ -80,3 +81,12 @@ def rfm_segment_summary(segments: DataFrame) -> DataFrame:
 
 
 SEGMENT_ORDER = ("VIP", "Loyal", "Potential", "At Risk", "Dormant")
+
+
+def segment_order(col, order=SEGMENT_ORDER):
+    """Position of a segment label in the declared order (unknown labels last)."""
+    c = F.col(col) if isinstance(col, str) else col
+    e = F.when(c == order[0], 1)
+    for i, label in enumerate(order[1:], start=2):
+        e = e.when(c == label, i)
+    return e.otherwise(len(order) + 1).cast("long")

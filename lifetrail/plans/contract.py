@@ -149,6 +149,11 @@ def q_acquisition_by_year(spark, sf_dir):
     return lifecycle.acquisition_by_year(_facts(spark, sf_dir))
 
 
+@register("acquisition_summary")
+def q_acquisition_summary(spark, sf_dir):
+    return lifecycle.acquisition_summary(_facts(spark, sf_dir))
+
+
 @register("activation")
 def q_activation(spark, sf_dir):
     return lifecycle.activation(_facts(spark, sf_dir))

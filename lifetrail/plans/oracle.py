@@ -233,6 +233,11 @@ UNION ALL SELECT 'dimension', COUNT(DISTINCT c_custkey), 4 FROM customer"""
     # I
     q["acquisition_by_year"] = fb + """
 SELECT CAST(first_year AS BIGINT) AS first_year, COUNT(*) AS new_users FROM first_tx GROUP BY first_year"""
+    q["acquisition_summary"] = fb + f"""
+, y AS (SELECT first_year, COUNT(*) AS n FROM first_tx GROUP BY first_year)
+SELECT CAST(SUM(n) AS BIGINT) AS total_users, COUNT(*) AS years,
+       {rr_int('SUM(n)', 'COUNT(*)')} AS mean_new_users_per_year
+FROM y"""
     act_sql = f"""
 SELECT COUNT(*) AS acquired_users, COUNT(second_date) AS had_second_tx,
        CAST(SUM(activated) AS BIGINT) AS activated_users,
@@ -592,7 +597,9 @@ FROM rfm, e"""
     q["rfm_segments"] = cj + f"SELECT {rcols}, rfm_score, segment FROM seg_n"
     q["rfm_segments_qcut"] = cj + f"SELECT {rcols}, rfm_score, segment FROM seg_q"
     q["rfm_segment_summary"] = cj + f"""
-SELECT segment, COUNT(*) AS user_count, {pct('COUNT(*)', 'SUM(COUNT(*)) OVER ()', 2)} AS ratio,
+SELECT segment, CAST(CASE segment WHEN 'VIP' THEN 1 WHEN 'Loyal' THEN 2 WHEN 'Potential' THEN 3
+                      WHEN 'At Risk' THEN 4 WHEN 'Dormant' THEN 5 ELSE 6 END AS BIGINT) AS segment_order,
+       COUNT(*) AS user_count, {pct('COUNT(*)', 'SUM(COUNT(*)) OVER ()', 2)} AS ratio,
        {rr('SUM(recency_years)', 'COUNT(*)', 1)} AS avg_recency,
        {rr_int('SUM(frequency)', 'COUNT(*)')} AS avg_frequency,
        {rr_int('SUM(monetary)', 'COUNT(*)')} AS avg_monetary,

@@ -93,14 +93,30 @@ def ingest_transactions(raw: DataFrame, path: str, mode: str = "replace") -> Non
     write_table(out, path, mode=mode, partition_by=("tx_year",))
 
 
-def save_table(df: DataFrame, name: str, mode: str = "replace", partition_by: tuple = ()) -> None:
-    """Managed table write (``saveAsTable``) with the same mode names (A13)."""
+def save_table(df: DataFrame, name: str, mode: str = "replace", partition_by: tuple = (),
+               path: str | None = None) -> None:
+    """Catalog table write (``saveAsTable``) with the same mode names (A13);
+    with ``path`` the table is external at that location."""
     w = df.write.mode(MODES.get(mode, mode))
+    if path:
+        w = w.option("path", path)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.saveAsTable(name)
 
 
+def bulk_load_csv(spark: SparkSession, uri: str, path: str, sanitise: bool = False, mode: str = "replace") -> None:
+    """Warehouse-style bulk load of raw transaction CSV from any Hadoop URI
+    (A12): explicit schema instead of autodetection, header row skipped,
+    truncate-and-load (``replace``); ``sanitise`` maps header characters
+    for targets that only accept ``[A-Za-z0-9_]``."""
+    df = read_csv(spark, uri, TRANSACTION_SCHEMA)
+    if sanitise:
+        write_table(sanitise_columns(df), path, mode=mode)
+    else:
+        ingest_transactions(df.withColumnsRenamed(TRANSACTION_RENAMES), path, mode=mode)
+
+
 def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """CSV export with header (A10).  ``single_file`` coalesces to one task
     and is meant for the small result marts only."""

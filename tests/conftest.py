@@ -13,7 +13,10 @@ SF01 = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from lifetrail import get_session
-    s = get_session("lifetrail-tests", cores="*", shuffle_partitions=8)
+    scratch = tempfile.mkdtemp(prefix="lifetrail-test-session-")
+    s = get_session("lifetrail-tests", cores="*", shuffle_partitions=8,
+                    extra={"spark.sql.warehouse.dir": f"{scratch}/warehouse",
+                           "spark.driver.extraJavaOptions": f"-Dderby.stream.error.file={scratch}/derby.log"})
     s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lifetrail-test-ckpt-"))
     yield s
 

@@ -116,3 +116,17 @@ def test_views_and_sql(spark):
     assert n == spark.table("t_clean_transactions").filter("amount > 0 AND errors IS NULL AND amount <= 100000").count()
     drop_views(spark, prefix="t_")
     assert not spark.catalog.tableExists("t_clean_transactions")
+
+
+def test_bulk_load_and_catalog_table(spark, tmpdir_path):
+    from lifetrail.sources.files import bulk_load_csv, save_table
+    raw = raw_transactions(spark, SF001)
+    as_original_csv(spark, f"{tmpdir_path}/csv", raw)
+    bulk_load_csv(spark, f"{tmpdir_path}/csv", f"{tmpdir_path}/typed")
+    assert spark.read.parquet(f"{tmpdir_path}/typed").count() == raw.count()
+    bulk_load_csv(spark, f"{tmpdir_path}/csv", f"{tmpdir_path}/sanitised", sanitise=True)
+    assert "Is_Fraud_" in spark.read.parquet(f"{tmpdir_path}/sanitised").columns
+    save_table(spark.range(3), "lifetrail_test_tbl", path=f"{tmpdir_path}/tbl")
+    save_table(spark.range(3), "lifetrail_test_tbl", mode="append", path=f"{tmpdir_path}/tbl")
+    assert spark.table("lifetrail_test_tbl").count() == 6
+    spark.sql("DROP TABLE lifetrail_test_tbl")

@@ -75,7 +75,7 @@ def main():
         return rfm.rfm_segments(rfm.rfm_scored(rfm.rfm_raw(f(), p), p, method), p)
 
     def outcomes():
-        units = experiment.with_segment(f(), segs("qcut"), p)
+        units = rfm.segments_all_users(f(), p, "qcut")
         return experiment.uplift_scenario(experiment.experiment_assignment(units, p), p)
 
     queries = {

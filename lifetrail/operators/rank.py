@@ -74,7 +74,11 @@ def multi_rank(df: DataFrame, metrics, tie_cols=("user_id",), *, partitions: int
     once under (metric index, value, tie), and pivoted back: one row per
     tie key with ``rank_<metric>`` columns and ``n``.  Every row carries
     each metric once, so the rank within metric ``i`` is the stacked rank
-    minus ``i * n``.  The metrics must share one type."""
+    minus ``i * n``.  The metric values are returned too, so callers can
+    join the ranks back on the full key they were computed for (which also
+    keeps both sides of that join reading the same upstream columns, so
+    Spark can reuse one exchange for them).  The metrics must share one
+    type."""
     metrics, tie_cols = list(metrics), list(tie_cols)
     stacked = df.select(*tie_cols, F.inline(F.array(*[
         F.struct(F.lit(i).alias("_m"), F.col(m).alias("_v")) for i, m in enumerate(metrics)])))
@@ -82,6 +86,7 @@ def multi_rank(df: DataFrame, metrics, tie_cols=("user_id",), *, partitions: int
     n = (F.col("_nn") / len(metrics)).cast("long")
     within = F.col("_r") - F.col("_m") * n
     return r.groupBy(*tie_cols).agg(
+        *[F.max(F.when(F.col("_m") == i, F.col("_v"))).alias(m) for i, m in enumerate(metrics)],
         *[F.max(F.when(F.col("_m") == i, within)).alias(f"rank_{m}") for i, m in enumerate(metrics)],
         F.max(n).alias("n"))
 

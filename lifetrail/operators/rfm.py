@@ -17,16 +17,37 @@ from lifetrail.operators.rank import multi_rank
 from lifetrail.functions import ntile_from_rank, qcut_from_rank
 
 
+def rfm_frame(facts: DataFrame, p: Params = Params()) -> DataFrame:
+    """Every user with the RFM inputs and a cohort-eligibility flag."""
+    yrs = span_years("first_year", "last_year").cast("long")
+    return facts.select("user_id",
+                        (F.lit(p.as_of_year) - F.col("last_year")).cast("long").alias("recency_years"),
+                        round_ratio_int("n_tx", yrs).alias("frequency"),
+                        round_ratio_int("pos_cents", yrs * 100).alias("monetary"),
+                        "n_pos", "activated", (F.col("first_year") >= p.min_cohort).alias("eligible"))
+
+
 def rfm_raw(facts: DataFrame, p: Params = Params()) -> DataFrame:
     """Per cohort-eligible user: recency (years before the as-of year),
     transactions per year (refunds included), purchase spend per year."""
-    f = facts.filter(F.col("first_year") >= p.min_cohort)
-    yrs = span_years("first_year", "last_year").cast("long")
-    return f.select("user_id",
-                    (F.lit(p.as_of_year) - F.col("last_year")).cast("long").alias("recency_years"),
-                    round_ratio_int("n_tx", yrs).alias("frequency"),
-                    round_ratio_int("pos_cents", yrs * 100).alias("monetary"),
-                    "n_pos", "activated")
+    return rfm_frame(facts, p).filter("eligible").drop("eligible")
+
+
+def segments_all_users(facts: DataFrame, p: Params = Params(), method: str = "qcut") -> DataFrame:
+    """Every user with activation flag and segment: eligible users are
+    scored (ranks over the eligible users only), the others get
+    ``default_segment``.  ``facts`` feeds a single frame, so the fact is
+    scanned and shuffled once even though the rank branches and the
+    join-back read it."""
+    fr = rfm_frame(facts, p)
+    fn = ntile_from_rank if method == "ntile" else qcut_from_rank
+    ranks = multi_rank(fr.filter("eligible"), ["frequency", "monetary"], ["user_id"])
+    j = fr.join(ranks, ["user_id", "frequency", "monetary"], "left")
+    r = recency_score("recency_years", p.recency_bands)
+    f_s, m_s = fn("rank_frequency", "n", p.n_bins), fn("rank_monetary", "n", p.n_bins)
+    seg = F.when(F.col("eligible"), rfm_segment(r + f_s + m_s, r, f_s, m_s, p.segment_cuts)) \
+           .otherwise(F.lit(p.default_segment))
+    return j.select("user_id", "activated", seg.alias("segment"))
 
 
 def rfm_scored(raw: DataFrame, p: Params = Params(), method: str = "ntile") -> DataFrame:
@@ -38,7 +59,7 @@ def rfm_scored(raw: DataFrame, p: Params = Params(), method: str = "ntile") -> D
         raise ValueError(method)
     fn = ntile_from_rank if method == "ntile" else qcut_from_rank
     ranks = multi_rank(raw, ["frequency", "monetary"], ["user_id"])
-    s = raw.join(ranks, "user_id", "inner")
+    s = raw.join(ranks, ["user_id", "frequency", "monetary"], "inner")
     return s.select(*raw.columns, recency_score("recency_years", p.recency_bands).alias("r_score"),
                     fn("rank_frequency", "n", p.n_bins).alias("f_score"),
                     fn("rank_monetary", "n", p.n_bins).alias("m_score"))

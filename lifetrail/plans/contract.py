@@ -386,8 +386,7 @@ def q_segment_seasonality(spark, sf_dir):
 
 # ---------------------------------------------------------------- L: experiment
 def _units(spark, sf_dir, p=PARAMS):
-    f = _facts(spark, sf_dir, p)
-    return experiment.with_segment(f, _segments(spark, sf_dir, "qcut", p), p)
+    return rfm.segments_all_users(_facts(spark, sf_dir, p), p, "qcut")
 
 
 def _outcomes(spark, sf_dir, p=PARAMS):

@@ -65,7 +65,7 @@ def build_marts(raw: DataFrame, mapping: DataFrame, p: Params = Params()) -> dic
     uy = materialise(user_years_from_days(ud), "user_years")
 
     segs = rfm.rfm_segments(rfm.rfm_scored(rfm.rfm_raw(f, p), p, "qcut"), p)
-    units = experiment.with_segment(f, segs, p)
+    units = rfm.segments_all_users(f, p, "qcut")
     outcomes = experiment.uplift_scenario(experiment.experiment_assignment(units, p), p)
     top = profile.category_top(c, p, purchases_only=True)
     m = F.broadcast(mapping.select(F.col("code").alias("mcc"), F.col("detail").alias("category")))

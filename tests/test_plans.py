@@ -49,3 +49,12 @@ def test_global_windows_only_over_aggregates(spark):
         if "Exchange SinglePartition" in line:
             below = "\n".join(lines[i + 1:i + 4])
             assert "HashAggregate" in below and "_pid" in below
+
+
+@pytest.mark.parametrize("name", ["rfm_segments", "scenario_comparison", "impact_estimate", "funnel_sequential"])
+def test_composite_queries_scan_the_fact_once(spark, name):
+    df = entry_mod.queries()[name](spark, SF001)
+    df.collect()
+    plan = plan_of(df)
+    scans = [l for l in plan.splitlines() if "FileScan parquet" in l and "lineitem" in l]
+    assert len(scans) == 1, scans

@@ -10,9 +10,11 @@ activity).  Here that work is done once:
 2. ``user_days``: ``daily`` clustered by user with the user's first date as
    a window value (the number of distinct days per user is bounded by the
    calendar, so the window partition is small).
-3. ``facts`` (one row per user) and ``user_years`` (one row per user and
-   year) aggregate ``user_days`` without another exchange: both need
-   clustering by ``user_id``, which the window already provides.
+3. ``user_years`` (one row per user and year) aggregates ``user_days`` and
+   ``facts`` (one row per user) aggregates ``user_years``, both without
+   another exchange: they need clustering by ``user_id``, which the window
+   already provides.  Materialising ``user_years`` therefore gives every
+   per-user and per-year analysis from one pass over the fact.
 
 Money is summed as long cents: exact, order independent, cheaper than
 decimal sums.
@@ -59,44 +61,52 @@ def activated_expr(first, second, p: Params = Params()):
     return F.when(second.isNotNull() & within, 1).otherwise(0)
 
 
-def facts_from_days(ud: DataFrame, p: Params = Params()) -> DataFrame:
-    first_year = year_of_int("first_date")
-    f = ud.groupBy("user_id").agg(
-        F.min("date_int").alias("first_date"),
-        F.min(F.when(F.col("date_int") > F.col("first_date"), F.col("date_int"))).alias("second_date"),
-        F.min("tx_year").alias("first_year"),
-        F.max("tx_year").alias("last_year"),
-        F.max(F.when(F.col("tx_year") == first_year + 1, 1).otherwise(0)).alias("active_next_year"),
+def user_years_from_days(ud: DataFrame) -> DataFrame:
+    """(user, year) rows carrying the user's first active day and cohort
+    year, the first active day after the user's first day within that year,
+    the number of active days, and the counts and cent sums."""
+    return ud.groupBy("user_id", "tx_year").agg(
+        F.min(year_of_int("first_date")).cast("int").alias("cohort_year"),
+        F.min("first_date").alias("first_date"),
+        F.min(F.when(F.col("date_int") > F.col("first_date"), F.col("date_int"))).alias("next_date"),
+        F.count(F.lit(1)).alias("n_days"),
         F.sum("n_tx").alias("n_tx"),
         F.sum("n_pos").alias("n_pos"),
         F.sum("pos_cents").alias("pos_cents"),
         F.sum("ltv_n").alias("ltv_n"),
         F.sum("ltv_cents").alias("ltv_cents"),
-        F.count(F.lit(1)).alias("n_days"),
-        F.min(F.when(F.col("tx_year") >= p.min_cohort, F.col("tx_year"))).alias("first_year_truncated"),
     )
-    return f.select("*", F.col("second_date").isNotNull().cast("int").alias("has_second"),
-                    activated_expr("first_date", "second_date", p).alias("activated"))
-
-
-def facts(clean_df: DataFrame, p: Params = Params()) -> DataFrame:
-    """One row per user: first/second active day, first/last year,
-    next-year activity, activation flag, counts and cent sums."""
-    return facts_from_days(user_days(clean_df, p), p)
 
 
-def user_years_from_days(ud: DataFrame) -> DataFrame:
-    return ud.groupBy("user_id", "tx_year").agg(
-        F.min(year_of_int("first_date")).cast("int").alias("cohort_year"),
+def facts_from_years(uy: DataFrame, p: Params = Params()) -> DataFrame:
+    """One row per user from ``user_years`` (clustered by user, so no
+    exchange): the second active day is the earliest day after the first
+    day over all years."""
+    f = uy.groupBy("user_id").agg(
+        F.min("first_date").alias("first_date"),
+        F.min("next_date").alias("second_date"),
+        F.min("tx_year").alias("first_year"),
+        F.max("tx_year").alias("last_year"),
+        F.max(F.when(F.col("tx_year") == F.col("cohort_year") + 1, 1).otherwise(0)).alias("active_next_year"),
         F.sum("n_tx").alias("n_tx"),
         F.sum("n_pos").alias("n_pos"),
         F.sum("pos_cents").alias("pos_cents"),
         F.sum("ltv_n").alias("ltv_n"),
         F.sum("ltv_cents").alias("ltv_cents"),
+        F.sum("n_days").alias("n_days"),
+        F.min(F.when(F.col("tx_year") >= p.min_cohort, F.col("tx_year"))).alias("first_year_truncated"),
     )
+    return f.select("*", F.col("second_date").isNotNull().cast("int").alias("has_second"),
+                    activated_expr("first_date", "second_date", p).alias("activated"))
 
 
 def user_years(clean_df: DataFrame, p: Params = Params()) -> DataFrame:
     """One row per (user, active year) carrying the user's cohort year
     (taken over all history, before any cohort filter)."""
     return user_years_from_days(user_days(clean_df, p))
+
+
+def facts(clean_df: DataFrame, p: Params = Params()) -> DataFrame:
+    """One row per user: first/second active day, first/last year,
+    next-year activity, activation flag, counts and cent sums."""
+    return facts_from_years(user_years(clean_df, p), p)

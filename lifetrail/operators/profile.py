@@ -167,6 +167,17 @@ def yearly_trend(tx: DataFrame) -> DataFrame:
                     money("_sum").alias("total_revenue")).orderBy("tx_year")
 
 
+def yearly_trend_from_years(user_years: DataFrame) -> DataFrame:
+    """``yearly_trend`` from the per-(user, year) table: purchase rows,
+    purchasing users and purchase cents per year are sums over it."""
+    g = user_years.filter(F.col("n_pos") > 0).groupBy("tx_year").agg(
+        F.sum("n_pos").cast("long").alias("tx_count"), F.count(F.lit(1)).alias("active_users"),
+        F.sum("pos_cents").alias("_sum"))
+    return g.select(F.col("tx_year").cast("long").alias("tx_year"), "tx_count", "active_users",
+                    round_ratio("_sum", F.col("tx_count") * 100, 2).alias("avg_amount"),
+                    money("_sum").alias("total_revenue")).orderBy("tx_year")
+
+
 def partial_period_check(raw: DataFrame, p: Params = Params()) -> DataFrame:
     """Months present in the excluded (partial) last year, non-fraud rows."""
     y = raw.filter((~fraud_flag(raw)) & (F.col("tx_year") == p.last_year_excl))

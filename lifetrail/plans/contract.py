@@ -133,6 +133,12 @@ def q_yearly_trend(spark, sf_dir):
     return profile.yearly_trend(_clean(spark, sf_dir))
 
 
+@register("yearly_trend_from_user_years")
+def q_yearly_trend_from_user_years(spark, sf_dir):
+    from lifetrail.operators.facts import user_years as _uy
+    return profile.yearly_trend_from_years(_uy(_clean(spark, sf_dir), PARAMS))
+
+
 @register("partial_period_check")
 def q_partial_period_check(spark, sf_dir):
     return profile.partial_period_check(_raw(spark, sf_dir), PARAMS)

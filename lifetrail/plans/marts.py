@@ -1,9 +1,10 @@
 """Result marts (A16/A13): the six dashboard tables built in one run.
 
-The per-user ``facts`` and per-(user, year) tables are materialised once
-(written as tables in the shared folder named by ``spark.checkpoint.dir``)
-and every mart reads them; the transaction fact itself is scanned once for
-them plus once for the two fact-level marts.  The written tables cut the
+The per-(user, year) table is materialised once (written as a table in
+the shared folder named by ``spark.checkpoint.dir``), the per-user
+``facts`` table is derived from it (and written too), and every mart reads
+them; the transaction fact itself is scanned once for them plus once for
+the category mart.  The written tables cut the
 lineage, so a lost executor recomputes from them rather than from the raw
 scan.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lifetrail.config import Params
 from lifetrail.operators import cohort, experiment, lifecycle, profile, rfm
-from lifetrail.operators.facts import facts_from_days, user_days, user_years_from_days
+from lifetrail.operators.facts import facts_from_years, user_days, user_years_from_days
 from lifetrail.operators.prepare import clean
 from lifetrail.sources.files import write_table
 
@@ -60,9 +61,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def build_marts(raw: DataFrame, mapping: DataFrame, p: Params = Params()) -> dict[str, DataFrame]:
     """Return the six marts as DataFrames (lazy except the materialised bases)."""
     c = clean(raw, p)
-    ud = user_days(c, p)
-    f = materialise(facts_from_days(ud, p), "facts")
-    uy = materialise(user_years_from_days(ud), "user_years")
+    uy = materialise(user_years_from_days(user_days(c, p)), "user_years")
+    f = materialise(facts_from_years(uy, p), "facts")
 
     segs = rfm.rfm_segments(rfm.rfm_scored(rfm.rfm_raw(f, p), p, "qcut"), p)
     units = rfm.segments_all_users(f, p, "qcut")
@@ -71,7 +71,7 @@ def build_marts(raw: DataFrame, mapping: DataFrame, p: Params = Params()) -> dic
     m = F.broadcast(mapping.select(F.col("code").alias("mcc"), F.col("detail").alias("category")))
     return {
         "aarrr_funnel": lifecycle.funnel_stages(f),
-        "yearly_trend": profile.yearly_trend(c),
+        "yearly_trend": profile.yearly_trend_from_years(uy),
         "cohort_behavior": cohort.cohort_behavior_complete_years(uy, p),
         "rfm_segments": segs.select("user_id", "recency_years", "frequency", "monetary",
                                     "r_score", "f_score", "m_score", "rfm_score", "segment"),

@@ -220,6 +220,7 @@ SELECT 'detail', detail, CAST(SUM(tx_count) AS BIGINT) FROM labelled GROUP BY de
 SELECT CAST(tx_year AS BIGINT) AS tx_year, COUNT(*) AS tx_count, COUNT(DISTINCT user_id) AS active_users,
        {rr('SUM(cents)', 'COUNT(*) * 100', 2)} AS avg_amount, {money('SUM(cents)')} AS total_revenue
 FROM clean_c WHERE amount > 0 GROUP BY tx_year"""
+    q["yearly_trend_from_user_years"] = q["yearly_trend"]
     q["partial_period_check"] = with_(b) + f"""
 SELECT CAST(tx_year * 100 + tx_month AS BIGINT) AS year_month, COUNT(*) AS tx_count
 FROM raw WHERE is_fraud = 'No' AND tx_year = {P.last_year_excl}

@@ -48,7 +48,7 @@ def timed(fn, runs):
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     scratch = tempfile.mkdtemp(prefix="lifetrail-bench-")
     spark = get_session("lifetrail-bench", cores=cpus, shuffle_partitions=int(cpus) * 2,
                         extra={"spark.checkpoint.dir": f"{scratch}/ckpt"})

@@ -131,7 +131,7 @@ def two_proportion_ztest(outcomes: DataFrame, p: Params = Params()) -> DataFrame
     """Per scenario: z, one-sided p-value (6 dp) and the decision at alpha."""
     a = _arms(outcomes)
     z = z_test_columns("x_treated", "n_treated", "x_control", "n_control")
-    a = a.withColumn("_z", z).withColumn("_p", 1 - normal_cdf("_z"))
+    a = a.select("*", z.alias("_z")).select("*", (1 - normal_cdf("_z")).alias("_p"))
     return a.select("scenario", "x_treated", "n_treated", "x_control", "n_control",
                     floor_round("_z", 4).alias("z_stat"), floor_round("_p", 6).alias("p_value"),
                     F.when(F.col("_p") < p.alpha, 1).otherwise(0).cast("long").alias("reject")).orderBy("scenario")
@@ -197,7 +197,10 @@ def scenario_comparison(outcomes: DataFrame, p: Params = Params(), scenarios=SCE
     control row (the same in every scenario) comes from the first one."""
     a = _arms(outcomes)
     z = z_test_columns("x_treated", "n_treated", "x_control", "n_control")
-    pv = 1 - normal_cdf(z)
+    # z and the p-value get their own projections: each is referenced more
+    # than once, so they are computed once instead of being inlined.
+    a = a.select("*", z.alias("_z")).select("*", (1 - normal_cdf("_z")).alias("_p"))
+    pv = F.col("_p")
     nt, nc = F.col("n_treated"), F.col("n_control")
     treated = F.struct(
         F.concat(F.lit("treatment:"), F.col("scenario")).alias("group_name"),

@@ -132,3 +132,36 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: dict, tie_col: str = "
         lo, hi, fr = F.col(f"_{name}_lo").cast("double"), F.col(f"_{name}_hi").cast("double"), F.col(f"_{name}_fr")
         outs.append((lo + fr * (hi - lo)).alias(name))
     return g.select(*outs)
+
+
+def stacked_summary(df: DataFrame, metrics, probs: dict, tie_col: str = "user_id",
+                    partitions: int | None = None) -> DataFrame:
+    """One row per metric: count, exact integer sum and sum of squares,
+    min, max and interpolated quantiles (``percentile_cont``), from a single
+    pass: the metrics are stacked as rows and ranked in one exchange.
+    Metric values must be integral (they are summed as DECIMAL(38,0))."""
+    metrics = list(metrics)
+    stacked = df.select(tie_col, F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("long").alias("_v")) for m in metrics])))
+    stacked = stacked.filter(F.col("_v").isNotNull())
+    r = rank_keys(stacked, ["metric", "_v"], [tie_col], rank_col="_r", n_col="_nn", partitions=partitions)
+    # start and size of each metric's block in the stacked order: a partial
+    # aggregate per metric (one row per metric, broadcast back), never a
+    # window over all rows of a metric
+    blocks = r.groupBy("metric").agg(F.min("_r").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    r = r.join(F.broadcast(blocks), "metric")
+    rr = F.col("_r") - F.col("_first") + 1
+    x = F.col("_v").cast("decimal(38,0)")
+    aggs = [F.count(F.lit(1)).alias("count"), F.sum(x).alias("sum"), F.sum(x * x).alias("sum_sq"),
+            F.min("_v").alias("min"), F.max("_v").alias("max")]
+    for name, p in probs.items():
+        pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
+        aggs += [F.max(F.when(rr == F.floor(pos) + 1, F.col("_v"))).alias(f"_{name}_lo"),
+                 F.max(F.when(rr == F.ceil(pos) + 1, F.col("_v"))).alias(f"_{name}_hi"),
+                 F.max(pos - F.floor(pos)).alias(f"_{name}_fr")]
+    g = r.groupBy("metric").agg(*aggs)
+    outs = []
+    for name in probs:
+        lo, hi = F.col(f"_{name}_lo").cast("double"), F.col(f"_{name}_hi").cast("double")
+        outs.append((lo + F.col(f"_{name}_fr") * (hi - lo)).alias(name))
+    return g.select("metric", "count", "sum", "sum_sq", "min", "max", *outs)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lifetrail.config import Params
 from lifetrail.functions import idiv, money, round_ratio_int, span_years
-from lifetrail.operators.rank import exact_quantiles
+from lifetrail.operators.rank import stacked_summary
 
 
 def annual_ltv(facts: DataFrame, p: Params = Params(), int_division: bool = False) -> DataFrame:
@@ -37,54 +37,54 @@ def _half_up(c):
 
 
 def ltv_summary(annual: DataFrame) -> DataFrame:
-    """Users, mean / min / max / median / 75th percentile of annual LTV (0 dp)."""
-    q = exact_quantiles(annual, "annual_ltv", {"median": 0.5, "p75": 0.75})
-    s = annual.agg(F.count(F.lit(1)).alias("total_users"), F.sum("annual_ltv").alias("_s"),
-                   F.min("annual_ltv").alias("min_annual_ltv"), F.max("annual_ltv").alias("max_annual_ltv"))
-    return s.select("total_users", round_ratio_int("_s", "total_users").alias("avg_annual_ltv"),
-                    "min_annual_ltv", "max_annual_ltv",
-                    _half_up(q.select("median").scalar()).alias("median_annual_ltv"),
-                    _half_up(q.select("p75").scalar()).alias("p75_annual_ltv"))
+    """Users, mean / min / max / median / 75th percentile of annual LTV (0 dp),
+    from one ranked pass over the users."""
+    st = stacked_summary(annual, ["annual_ltv"], {"median": 0.5, "p75": 0.75})
+    return st.select(F.col("count").alias("total_users"),
+                     round_ratio_int(F.col("sum").cast("long"), "count").alias("avg_annual_ltv"),
+                     F.col("min").alias("min_annual_ltv"), F.col("max").alias("max_annual_ltv"),
+                     _half_up(F.col("median")).alias("median_annual_ltv"),
+                     _half_up(F.col("p75")).alias("p75_annual_ltv"))
 
 
 def ltv_distribution(annual: DataFrame, metrics=("annual_ltv", "annual_tx"), bins: int = 50) -> DataFrame:
     """Equal-width histogram (``bins`` bins over [min, max]) of each metric.
 
     Bin index is computed in integers: ``(x - min) * bins div (max - min) + 1``,
-    the maximum falls in the last bin.  Only non-empty bins are returned."""
-    out = None
-    for m in metrics:
-        st = annual.agg(F.min(m).alias("mn"), F.max(m).alias("mx"))
-        mn, mx = st.select("mn").scalar(), st.select("mx").scalar()
-        width = mx - mn
-        b = F.when(width == 0, F.lit(1)).otherwise(
-            F.least(F.lit(bins), idiv((F.col(m) - mn) * bins, width) + 1)).cast("long")
-        g = annual.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("users"))
-        g = g.select(F.lit(m).alias("metric"), "bin",
-                     (mn + (F.col("bin") - 1).cast("double") * width / bins).cast("double").alias("bin_low"),
-                     (mn + F.col("bin").cast("double") * width / bins).cast("double").alias("bin_high"),
-                     "users")
-        out = g if out is None else out.unionByName(g)
-    return out.orderBy("metric", "bin")
+    the maximum falls in the last bin.  Only non-empty bins are returned.
+    All minima and maxima come from one scalar subquery (one pass), the
+    counts from a second pass over the stacked metrics."""
+    metrics = list(metrics)
+    ranges = annual.select(F.struct(*[x for m in metrics for x in (F.min(m).alias(f"{m}_mn"),
+                                                                      F.max(m).alias(f"{m}_mx"))])).scalar()
+    rows = annual.select(F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("long").alias("v"),
+                 ranges.getField(f"{m}_mn").cast("long").alias("mn"),
+                 ranges.getField(f"{m}_mx").cast("long").alias("mx")) for m in metrics])))
+    width = F.col("mx") - F.col("mn")
+    b = F.when(width == 0, F.lit(1)).otherwise(
+        F.least(F.lit(bins), idiv((F.col("v") - F.col("mn")) * bins, width) + 1)).cast("long")
+    g = rows.filter(F.col("v").isNotNull()).groupBy("metric", b.alias("bin"), "mn", "mx") \
+            .agg(F.count(F.lit(1)).alias("users"))
+    w = F.col("mx") - F.col("mn")
+    return g.select("metric", "bin",
+                    (F.col("mn") + (F.col("bin") - 1).cast("double") * w / bins).cast("double").alias("bin_low"),
+                    (F.col("mn") + F.col("bin").cast("double") * w / bins).cast("double").alias("bin_high"),
+                    "users").orderBy("metric", "bin")
 
 
 def ltv_describe(annual: DataFrame, metrics=("annual_ltv", "annual_tx")) -> DataFrame:
-    """count / mean / std / min / quartiles / max per metric (pandas describe).
+    """count / mean / std / min / quartiles / max per metric (pandas describe),
+    all metrics from one ranked pass.
 
     Mean and sample variance come from exact integer sums, so they do not
     depend on summation order."""
-    out = None
-    for m in metrics:
-        x = F.col(m).cast("decimal(38,0)")
-        s = annual.agg(F.count(m).alias("count"), F.sum(x).alias("_s"), F.sum(x * x).alias("_s2"),
-                       F.min(m).cast("double").alias("min"), F.max(m).cast("double").alias("max"))
-        q = exact_quantiles(annual.filter(F.col(m).isNotNull()), m, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-        num = (F.col("count").cast("decimal(38,0)") * F.col("_s2") - F.col("_s") * F.col("_s"))
-        den = F.col("count").cast("decimal(38,0)") * (F.col("count") - 1).cast("decimal(38,0)")
-        d = s.select(F.lit(m).alias("metric"), "count",
-                     (F.col("_s").cast("double") / F.col("count").cast("double")).alias("mean"),
+    st = stacked_summary(annual, list(metrics), {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    n = F.col("count").cast("decimal(38,0)")
+    num = n * F.col("sum_sq") - F.col("sum") * F.col("sum")
+    den = n * (F.col("count") - 1).cast("decimal(38,0)")
+    return st.select("metric", "count",
+                     (F.col("sum").cast("double") / F.col("count").cast("double")).alias("mean"),
                      F.when(F.col("count") > 1, F.sqrt(num.cast("double") / den.cast("double"))).alias("std"),
-                     "min", q.select("q25").scalar().alias("q25"), q.select("q50").scalar().alias("q50"),
-                     q.select("q75").scalar().alias("q75"), "max")
-        out = d if out is None else out.unionByName(d)
-    return out
+                     F.col("min").cast("double").alias("min"), "q25", "q50", "q75",
+                     F.col("max").cast("double").alias("max"))

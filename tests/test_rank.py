@@ -74,3 +74,15 @@ def test_rank_keys_plan_reuses_range_exchange(spark):
     r.collect()
     plan = r._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan and plan.count("rangepartitioning") >= 1
+
+
+def test_stacked_summary_matches_pandas(spark):
+    from lifetrail.operators.rank import stacked_summary
+    df, pdf = data(spark, 1500, 6)
+    st = {r["metric"]: r for r in stacked_summary(df, ["v", "w"], {"q1": 0.25, "med": 0.5}, partitions=5).collect()}
+    for m in ("v", "w"):
+        x = pdf[m]
+        assert st[m]["count"] == len(x) and int(st[m]["sum"]) == int(x.sum())
+        assert int(st[m]["sum_sq"]) == int((x.astype(object) ** 2).sum())
+        assert st[m]["min"] == x.min() and st[m]["max"] == x.max()
+        assert abs(st[m]["q1"] - np.quantile(x, 0.25)) < 1e-9 and abs(st[m]["med"] - np.quantile(x, 0.5)) < 1e-9

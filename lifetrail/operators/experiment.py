@@ -158,11 +158,12 @@ def sample_size_plan(units: DataFrame, p: Params = Params()) -> DataFrame:
     the grid: Cohen's h, users needed per group, and whether the baseline
     group has enough users for two groups."""
     za, zb = z_quantile(1 - p.alpha), z_quantile(p.power)
-    seg = units.groupBy("segment").agg(F.count(F.lit(1)).alias("users"),
-                                       F.sum("activated").cast("long").alias("activated"))
-    allu = units.agg(F.count(F.lit(1)).alias("users"), F.sum("activated").cast("long").alias("activated")) \
-                .select(F.lit("all").alias("baseline"), "users", "activated")
-    base = allu.unionByName(seg.select(F.col("segment").alias("baseline"), "users", "activated"))
+    # per-segment and overall baselines from one rollup (one pass over units)
+    base = units.rollup("segment").agg(F.count(F.lit(1)).alias("users"),
+                                       F.sum("activated").cast("long").alias("activated"),
+                                       F.grouping_id().alias("_g"))
+    base = base.select(F.when(F.col("_g") == 1, F.lit("all")).otherwise(F.col("segment")).alias("baseline"),
+                       "users", "activated")
     rows = base.withColumn("mde", F.explode(F.array(*[F.lit(float(m)) for m in p.mde_grid])))
     p0 = F.col("activated").cast("double") / F.col("users").cast("double")
     pt = p0 + F.col("mde")
@@ -219,11 +220,26 @@ def scenario_comparison(outcomes: DataFrame, p: Params = Params(), scenarios=SCE
     return a.select(F.inline(rows)).orderBy("group_name")
 
 
-def impact_estimate(outcomes: DataFrame, eligible_users: DataFrame, ltv_summary: DataFrame) -> DataFrame:
-    """Per scenario: int(eligible users x lift) x mean annual LTV."""
+def impact_population(facts: DataFrame, p: Params = Params()) -> DataFrame:
+    """One row: cohort-eligible users and their mean annual LTV (0 dp), from
+    one aggregate over ``facts``."""
+    from lifetrail.functions import round_ratio_int, span_years
+    f = facts.filter(F.col("first_year") >= p.min_cohort)
+    yrs = span_years("first_year", "last_year").cast("long")
+    ann = round_ratio_int("ltv_cents", yrs * 100)
+    g = f.agg(F.count(F.lit(1)).alias("eligible_users"),
+              F.sum(F.when(F.col("ltv_n") > 0, ann)).alias("_s"), F.count_if(F.col("ltv_n") > 0).alias("_k"))
+    return g.select("eligible_users", round_ratio_int("_s", "_k").alias("avg_annual_ltv"))
+
+
+def impact_estimate(outcomes: DataFrame, population: DataFrame) -> DataFrame:
+    """Per scenario: int(eligible users x lift) x mean annual LTV.
+
+    ``population`` is the one-row (eligible_users, avg_annual_ltv) frame of
+    ``impact_population``; it enters as one scalar subquery."""
     a = _arms(outcomes)
-    users = eligible_users.agg(F.count(F.lit(1)).alias("u")).select("u").scalar()
-    avg_ltv = ltv_summary.select("avg_annual_ltv").scalar()
+    pop = population.select(F.struct("eligible_users", "avg_annual_ltv")).scalar()
+    users, avg_ltv = pop.getField("eligible_users"), pop.getField("avg_annual_ltv")
     lift = F.when((F.col("n_treated") > 0) & (F.col("n_control") > 0),
                   F.col("x_treated").cast("double") / F.col("n_treated").cast("double")
                   - F.col("x_control").cast("double") / F.col("n_control").cast("double"))

@@ -59,17 +59,22 @@ def q_ltv_transactions(spark, sf_dir):
 
 @register("audit_row_counts")
 def q_audit_row_counts(spark, sf_dir):
+    """Row counts of the raw fact, the clean and monetary views (one pass
+    with conditional counts) and the users dimension."""
+    from lifetrail.functions import parse_amount
+    from lifetrail.operators.prepare import fraud_flag
     raw = _raw(spark, sf_dir)
-    c = clean(raw, PARAMS)
-    users = raw_users(spark, sf_dir)
-
-    def cnt(df, name):
-        return df.agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(name).alias("table_name"), "row_count")
-
-    return (cnt(raw, "transactions").unionByName(cnt(users, "users"))
-            .unionByName(cnt(c, "clean_transactions"))
-            .unionByName(cnt(monetary(c, PARAMS), "ltv_transactions")))
+    keep = (~fraud_flag(raw)) & (F.col("tx_year") < PARAMS.last_year_excl)
+    amt = parse_amount("amount_raw")
+    ltv = keep & (amt > 0) & F.col("errors").isNull() & (amt <= PARAMS.outlier_cap)
+    g = raw.agg(F.count(F.lit(1)).alias("transactions"), F.count_if(keep).alias("clean_transactions"),
+                F.count_if(ltv).alias("ltv_transactions"))
+    fact_rows = g.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("table_name"), F.col(n).alias("row_count"))
+        for n in ("transactions", "clean_transactions", "ltv_transactions")])))
+    users = raw_users(spark, sf_dir).agg(F.count(F.lit(1)).alias("row_count")) \
+                                    .select(F.lit("users").alias("table_name"), "row_count")
+    return fact_rows.unionByName(users)
 
 
 # ---------------------------------------------------------------- H: profiling
@@ -453,7 +458,5 @@ def q_scenario_comparison(spark, sf_dir):
 
 @register("impact_estimate")
 def q_impact_estimate(spark, sf_dir):
-    f = _facts(spark, sf_dir)
-    eligible = f.filter(F.col("first_year") >= PARAMS.min_cohort)
-    summary = value.ltv_summary(value.annual_ltv(f, PARAMS))
-    return experiment.impact_estimate(_outcomes(spark, sf_dir), eligible, summary)
+    population = experiment.impact_population(_facts(spark, sf_dir), PARAMS)
+    return experiment.impact_estimate(_outcomes(spark, sf_dir), population)

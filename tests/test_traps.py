@@ -161,9 +161,8 @@ def test_l12_impact_golden(spark):
     rows = ([("benchmark", "control", 1)] * 214 + [("benchmark", "control", 0)] * 102
             + [("benchmark", "treatment", 1)] * 239 + [("benchmark", "treatment", 0)] * 77)
     o = spark.createDataFrame(rows, "scenario string, arm string, converted long")
-    eligible = spark.range(1657).withColumnRenamed("id", "user_id")
-    summary = spark.createDataFrame([(50507,)], "avg_annual_ltv long")
-    r = experiment.impact_estimate(o, eligible, summary).first()
+    population = spark.createDataFrame([(1657, 50507)], "eligible_users long, avg_annual_ltv long")
+    r = experiment.impact_estimate(o, population).first()
     assert r["additional_activated"] == 131 and r["additional_revenue"] == 6616417
 
 

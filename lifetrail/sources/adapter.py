@@ -47,10 +47,12 @@ def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     partial aggregation) would run in that task.  The check reads only
     planning metadata; with many input splits (any large table) it is a
     no-op and adds no shuffle."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001  (no RDD view, e.g. a Spark Connect session)
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:

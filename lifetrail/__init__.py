@@ -5,6 +5,6 @@ transaction-shaped table; nothing is collected to the driver except
 tiny, bounded results (parameters, partition counts).
 """
 
-from lifetrail.config import Params, get_session, ensure_checkpoint_dir
+from lifetrail.config import Params, cluster_settings, ensure_checkpoint_dir, get_session
 
-__all__ = ["Params", "get_session", "ensure_checkpoint_dir"]
+__all__ = ["Params", "cluster_settings", "ensure_checkpoint_dir", "get_session"]

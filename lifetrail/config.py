@@ -109,3 +109,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="lifetrail-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
+
+
+def cluster_settings(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Session settings for a cluster run over ``input_bytes`` of input.
+
+    * initial shuffle partitions sized so a partition holds about
+      ``target_partition_bytes`` of the scanned input (at least two per
+      core); AQE then coalesces small ones and splits skewed ones;
+    * file splits of the same size, so scan tasks and shuffle tasks match;
+    * skew-join handling on, with the threshold at the partition target.
+
+    The analyses shrink data fast (per-(user, day) partial aggregation
+    before the first shuffle), so these sizes are conservative for the
+    later, user-sized stages."""
+    parts = max(2 * total_cores, -(-int(input_bytes) // target_partition_bytes))
+    size = f"{target_partition_bytes >> 20}m"
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": size,
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.session.timeZone": "UTC",
+    }

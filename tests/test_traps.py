@@ -185,3 +185,11 @@ def test_funnel_invariants(spark):
     r = cohort.cohort_retention(__import__("lifetrail.operators.facts", fromlist=["x"]).user_years(
         clean(raw_transactions(spark, "/root/testdata/sf0.01"), P), P), P).toPandas()
     assert (r[r.years_since_first == 0].retention_rate == 100.0).all()
+
+
+def test_cluster_settings_sizes_partitions():
+    from lifetrail import cluster_settings
+    s = cluster_settings(100 * 2**40, 8000)          # 100 TB on 8000 cores
+    assert int(s["spark.sql.shuffle.partitions"]) == 409600
+    assert cluster_settings(1 << 20, 8)["spark.sql.shuffle.partitions"] == "16"
+    assert s["spark.sql.adaptive.skewJoin.enabled"] == "true"

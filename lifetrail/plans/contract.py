@@ -191,6 +191,11 @@ def q_funnel_sequential(spark, sf_dir):
     return lifecycle.funnel_sequential(_facts(spark, sf_dir))
 
 
+@register("funnel_sequential_joins")
+def q_funnel_sequential_joins(spark, sf_dir):
+    return lifecycle.funnel_sequential_joins(_clean(spark, sf_dir), PARAMS)
+
+
 @register("funnel_stages")
 def q_funnel_stages(spark, sf_dir):
     return lifecycle.funnel_stages(_facts(spark, sf_dir))

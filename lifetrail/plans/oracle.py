@@ -272,6 +272,7 @@ FROM per_user"""
 )
 """
     q["funnel_sequential"] = seq + "SELECT acquisition, activation, retention FROM counts"
+    q["funnel_sequential_joins"] = q["funnel_sequential"]
     q["funnel_stages"] = seq + """
 SELECT 'Acquisition' AS stage, acquisition AS users, CAST(1 AS BIGINT) AS order_num FROM counts
 UNION ALL SELECT 'Activation', activation, 2 FROM counts

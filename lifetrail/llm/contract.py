@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifetrail.llm import bpe, language_id, token_files
+from lifetrail.llm import block_ann, bpe, language_id, licenses, mixing, near_dedup, resharding, secrets, token_files, voronoi_topk
 from lifetrail.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,3 +40,46 @@ def q_bpe(spark, sf_dir):
 def q_token_files(spark, sf_dir):
     index = token_files.write_token_files(table(spark, sf_dir, "documents"), TOKENIZER, token_files.token_folder(spark))
     return token_files.read_digests(index)
+
+
+@register("op4_license_join")
+def q_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@register("op5_markov_secrets")
+def q_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(secrets.labelled_tokens(docs)))
+
+
+@register("op10_apportioned_mix")
+def q_mix(spark, sf_dir):
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), columns=["doc_id"])
+    return mixed.select("doc_id", *(F.col(f"mix_{c}").alias(c) for c in ("size", "source_size", "target", "taken")))
+
+
+@register("op2_probminhash_dedup")
+def q_near(spark, sf_dir):
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+@register("op6_voronoi_topk")
+def q_topk(spark, sf_dir):
+    return voronoi_topk.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+@register("op8_flow_resharding")
+def q_shards(spark, sf_dir):
+    """The old layout: a hash of the source names one of 24 shards, so one shard is hot."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    old = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(resharding.SHARDS))
+    sharded = resharding.reshard(docs, old, resharding.SHARDS)
+    return sharded.select(
+        "doc_id", F.col("shard_size").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
+        F.col("shard_new").alias("shard"), F.col("shard_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op9_int8_block_join")
+def q_nearest(spark, sf_dir):
+    return block_ann.search(table(spark, sf_dir, "embeddings"), k=10, every=100)

@@ -1,15 +1,16 @@
 """BPE encoding and decoding over a distinct-word table.
 
 Texts are split into pre-token pieces block by block (a block is at most
-``block_bytes`` of text of one task).  Each block keeps its documents as
-piece numbers and hands on its distinct pieces as rows.  Spark takes the
-distinct pieces of all blocks, encodes each of them once, and joins the
-ids back to (block, number), the pieces' position in their block; the
-block's documents then pick their ids by number.  Decoding joins ids to
-the vocabulary's pieces and concatenates their bytes.
+``block_bytes`` of text of one task).  A block keeps its documents as
+piece numbers and hands on its distinct pieces, dealt into lanes by hash:
+one packed list per lane.  The lanes are the word table: a lane gathers
+the lists of all blocks, encodes each distinct word once, and returns
+each list's ids in the list's order.  The block's documents then find
+their ids by position.  Decoding joins ids to the vocabulary's pieces and
+concatenates their bytes.
 
-Only rows of distinct pieces are shuffled, once per block and piece at
-most, so a frequent piece is no hot key.
+A piece is in a block's lists once however frequent it is, so there is no
+hot key, and only packed lists and numbers are shuffled.
 
 Defined cases: a null text counts as empty and has no ids; a null
 ``doc_id`` is kept; repeated rows are encoded one by one; other columns
@@ -35,9 +36,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lifetrail.llm.common import materialise, whole_text
-from lifetrail.llm.textbytes import bpe_piece_starts, expand, factorise, text_buffers
+from lifetrail.llm.textbytes import bpe_piece_starts, expand, factorise, piece_keys, text_buffers
 
 BLOCK_BYTES = 16 << 20
+LEAST_LANES, MOST_LANES = 16, 1 << 16
 
 
 @functools.cache
@@ -114,75 +116,120 @@ def blocks_of(batches, block_bytes: int):
             yield batch.slice(start)
 
 
-BLOCK_SCHEMA = "block string, doc_ids array<long>, counts binary, codes binary, words array<binary>"
+BLOCK_SCHEMA = "block string, doc_ids array<long>, counts binary, codes binary, lanes binary, words array<binary>"
 
 
-def _blocks(path: str, block_bytes: int):
+def pack(values: np.ndarray) -> bytes:
+    """Compressed unsigned 32-bit integers, byte by byte: all lowest bytes first."""
+    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return planes.reshape(4, -1).T.copy().view("<u4").ravel()
+
+
+def pack_lists(flat: np.ndarray, lengths: np.ndarray) -> bytes:
+    """Lists of bytes or of numbers, one after the other, with their lengths."""
+    head = pack(lengths)
+    body = zstandard.ZstdCompressor(level=1).compress(flat.tobytes()) if flat.dtype == np.uint8 else pack(flat)
+    return len(head).to_bytes(4, "little") + head + body
+
+
+def unpack_lists(raw: bytes, text: bool) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(raw[:4], "little")
+    head, body = raw[4:4 + n], raw[4 + n:]
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8) if text else unpack(body)
+    return flat, unpack(head).astype(np.int64)
+
+
+def _blocks(path: str, block_bytes: int, lanes: int):
     def run(batches):
         specials = special_tokens(path)
-        pack = zstandard.ZstdCompressor(level=3)
         task = TaskContext.get().partitionId()
         for k, batch in enumerate(blocks_of(batches, block_bytes)):
             data, starts, ends, first_piece = split_pieces(batch.column("text"), specials)
             codes, first = factorise(data, starts, ends)
-            words = [data[starts[i]:ends[i]].tobytes() for i in first]
-            ids = batch.column("doc_id").to_pylist()
+            # frequent pieces get small numbers, which pack well
+            order = np.argsort(-np.bincount(codes, minlength=len(first)), kind="stable")
+            number = np.empty(len(first), np.int64)
+            number[order] = np.arange(len(first))
+            first = first[order]
+            starts, length = starts[first], ends[first] - starts[first]
+            lane = (piece_keys(data, starts, starts + length) % np.uint64(lanes)).astype(np.int64)
+            words = []
+            for p in range(lanes):
+                of = np.flatnonzero(lane == p)
+                words.append(pack_lists(data[expand(starts[of], length[of])], length[of]) if len(of) else None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([f"{task}-{k}"]), pa.array([ids], pa.list_(pa.int64())), pa.array([np.diff(first_piece).astype("<u4").tobytes()]),
-                 pa.array([pack.compress(codes.astype("<u4").tobytes())]), pa.array([words], pa.list_(pa.binary()))],
-                names=["block", "doc_ids", "counts", "codes", "words"])
+                [pa.array([f"{task}-{k}"]), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([pack(np.diff(first_piece))]),
+                 pa.array([pack(number[codes])]), pa.array([pack(lane)]), pa.array([words], pa.list_(pa.binary()))],
+                names=["block", "doc_ids", "counts", "codes", "lanes", "words"])
     return run
 
 
-def _encode_words(path: str):
-    def run(batches):
+def _encode_lane(path: str):
+    """Encode each distinct word of a lane once; every block's list gets its ids back by position."""
+    def run(lane: pa.Table) -> pa.Table:
         tok, specials = tokenizer(path), special_tokens(path)
-        for batch in batches:
-            words = batch.column("word").to_pylist()
-            plain = [w.decode("utf-8") for w in words]
-            found = tok.encode_batch(plain, add_special_tokens=False)
-            ids = [np.array([specials[w]] if w in specials else e.ids, "<u4").tobytes() for w, e in zip(words, found)]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], names=["word", "ids"])
+        lists = [unpack_lists(w, True) for w in lane.column("words").to_pylist()]
+        data, length = np.concatenate([d for d, _ in lists]), np.concatenate([n for _, n in lists])
+        ends = np.cumsum(length)
+        codes, first = factorise(data, ends - length, ends)
+        raw = data.tobytes()
+        words = [raw[e - n:e] for e, n in zip(ends[first].tolist(), length[first].tolist())]
+        found = tok.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)
+        ids = [[specials[w]] if w in specials else e.ids for w, e in zip(words, found)]
+        n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(n_ids.sum()))
+        start = np.cumsum(n_ids) - n_ids
+        cuts = np.cumsum([0, *(len(n) for _, n in lists)])
+        out = [pack_lists(flat[expand(start[c], n_ids[c])], n_ids[c]) for c in (codes[a:b] for a, b in zip(cuts[:-1], cuts[1:]))]
+        return pa.table({"of_block": lane.column("block"), "lane": lane.column("lane"), "ids": pa.array(out, pa.binary())})
     return run
 
 
-def word_table(words: DataFrame, path: str) -> DataFrame:
-    """Each distinct ``word`` (bytes of a piece) with its ids, little-endian unsigned 32-bit."""
-    return words.select("word").distinct().mapInArrow(_encode_words(path), "word binary, ids binary")
-
-
 def _join_ids(out):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """left: a block's documents; right: (number, ids) of its pieces."""
-        order = np.argsort(right.column("number").to_numpy())
-        packed = right.column("ids").combine_chunks().cast(pa.large_binary())
-        if isinstance(packed, pa.ChunkedArray):
-            packed = packed.combine_chunks()
-        raw, at = np.frombuffer(packed.buffers()[2] or b"", np.uint8), np.frombuffer(packed.buffers()[1], np.int64, len(packed) + 1, packed.offset * 8) if len(packed) else np.zeros(1, np.int64)
-        flat = raw[:len(raw) // 4 * 4].view("<u4")
-        start, length = (at[:-1] // 4)[order], (np.diff(at) // 4)[order]
+        """left: a block's documents; right: its lanes of ids."""
+        ids = {row["lane"]: unpack_lists(row["ids"], False) for row in right.select(["lane", "ids"]).to_pylist()}
+        names = sorted(ids)
+        flat = np.concatenate([ids[p][0] for p in names]) if names else np.zeros(0, np.uint32)
+        n_ids = np.concatenate([ids[p][1] for p in names]) if names else np.zeros(0, np.int64)
         tables = []
         for row in left.to_pylist():
-            codes = np.frombuffer(zstandard.decompress(row["codes"], max_output_size=1 << 40) if row["codes"] else b"", "<u4")
-            counts = np.frombuffer(row["counts"], "<u4").astype(np.int64)
+            # position in the lanes of each piece number
+            place = np.empty(len(n_ids), np.int64)
+            place[np.argsort(unpack(row["lanes"]), kind="stable")] = np.arange(len(n_ids))
+            start, length = (np.cumsum(n_ids) - n_ids)[place], n_ids[place]
+            codes, counts = unpack(row["codes"]), unpack(row["counts"]).astype(np.int64)
             ends = np.cumsum(counts)
-            tables.append(out(row["doc_ids"], [(flat, start[c], length[c]) for c in (codes[e - n:e] for e, n in zip(ends, counts))]))
+            tables.append(out(row["doc_ids"], ((flat, start[c], length[c]) for c in (codes[e - n:e] for e, n in zip(ends, counts)))))
         return pa.concat_tables(tables)
     return run
 
 
+def lanes_for(text_bytes: int, block_bytes: int) -> int:
+    """Number of lanes of the word table: in proportion to the blocks, within limits."""
+    return int(min(MOST_LANES, max(LEAST_LANES, 2 * text_bytes // block_bytes)))
+
+
 def _encoded(docs: DataFrame, path: str, block_bytes: int, out, schema: str) -> DataFrame:
-    blocks = materialise(whole_text(docs).mapInArrow(_blocks(path, block_bytes), BLOCK_SCHEMA), "bpe-blocks")
-    words = blocks.select("block", F.posexplode("words").alias("number", "word"))
-    ids = words.join(word_table(words, path), "word").select(F.col("block").alias("of_block"), "number", "ids")
-    return blocks.select("block", "doc_ids", "counts", "codes").groupBy("block").cogroup(ids.groupBy("of_block")).applyInArrow(_join_ids(out), schema)
+    docs = whole_text(docs)
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    lanes = lanes_for(text_bytes, block_bytes)
+    blocks = materialise(docs.mapInArrow(_blocks(path, block_bytes, lanes), BLOCK_SCHEMA), "bpe-blocks")
+    words = blocks.select("block", F.posexplode("words").alias("lane", "words")).where("words is not null")
+    ids = words.groupBy("lane").applyInArrow(_encode_lane(path), "of_block string, lane int, ids binary")
+    return blocks.drop("words").groupBy("block").cogroup(ids.groupBy("of_block")).applyInArrow(_join_ids(out), schema)
 
 
 def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id`` and ``ids`` (array of int) of every document."""
     def out(doc_ids, parts):
-        ids = [flat[expand(start, length)] for flat, start, length in parts]
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))})
+        ids = [flat[expand(start, length)].astype(np.int32) for flat, start, length in parts]
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32()))})
     return _encoded(docs, path, block_bytes, out, "doc_id long, ids array<int>")
 
 

@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lifetrail.llm import block_ann, bpe, language_id, licenses, mixing, near_dedup, resharding, secrets, token_files, voronoi_topk
-from lifetrail.llm.common import table
-
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+from lifetrail.llm.common import TOKENIZER, table
+from lifetrail.llm.oracle import ORACLE_SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 
 
 def register(name: str):
@@ -61,7 +59,7 @@ def q_mix(spark, sf_dir):
 
 @register("op2_probminhash_dedup")
 def q_near(spark, sf_dir):
-    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
 @register("op6_voronoi_topk")
@@ -83,3 +81,8 @@ def q_shards(spark, sf_dir):
 @register("op9_int8_block_join")
 def q_nearest(spark, sf_dir):
     return block_ann.search(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+@register("pipeline")
+def q_pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)

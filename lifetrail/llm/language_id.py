@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lifetrail.llm.common import whole_text
 from lifetrail.llm.textbytes import LETTER, char_classes
@@ -137,13 +138,13 @@ def infer(bucket: np.ndarray, n: np.ndarray, table: np.ndarray) -> tuple[np.ndar
     return out, float(1 / weight.sum())
 
 
-PREDICTED = "doc_id long, lang_pred string, score double, shares array<double>"
-
-
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """``doc_id``, ``lang_pred``, ``score`` (the language's proportion times its posterior) and ``shares`` of all languages in sorted order."""
+def annotate(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` (the language's proportion times
+    its posterior) and ``shares`` of all languages in sorted order; columns
+    of these names are replaced."""
     langs, table = model
-    table = table.astype(np.float64)
+    added = ("lang_pred", "score", "shares")
+    docs = docs.drop(*added)
 
     def run(batches):
         for batch in batches:
@@ -156,11 +157,16 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 share, sure = infer(bucket, n.astype(np.float64), table)
                 k = int(np.argmax(share))
                 out.append((langs[k], min(1.0, float(share[k]) * sure), share.tolist()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.list_(pa.float64()))],
-                names=["doc_id", "lang_pred", "score", "shares"])
+            new = [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added])
 
-    return whole_text(docs).mapInArrow(run, PREDICTED)
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL("lang_pred string, score double, shares array<double>").fields])
+    return docs.mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    """``doc_id, lang_pred, score, shares`` of every document."""
+    return annotate(whole_text(docs), model).drop("text")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -228,9 +228,13 @@ def candidate_groups(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return c.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("hub", F.least("c", "o").alias("ca"), F.greatest("c", "o").alias("cb"), "node")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id, text_key, class_id`` of every document."""
-    keyed = whole_text(docs).withColumn("node", F.unhex(F.md5(F.col("text").cast("binary"))))
+def _keyed(docs: DataFrame) -> DataFrame:
+    return whole_text(docs).withColumn("node", F.unhex(F.md5(F.col("text").cast("binary"))))
+
+
+def text_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``text_key, first_id, root`` of every distinct text: texts of one class share ``root``."""
+    keyed = _keyed(docs)
     found = keyed.where("node is not null").mapInArrow(_bands(shingle, bands, rows, block_bytes), "doc_id long, node binary, bands array<long>")
     nodes = found.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
     nodes = materialise(nodes.select(F.col("node").alias("text_key"), F.monotonically_increasing_id().alias("node"), "first_id", "bands"), "near-nodes")
@@ -242,9 +246,29 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGL
     weighted = texts.select("node", "text").mapInArrow(_elements(shingle, block_bytes), "node long, h binary, w binary")
     links = groups.join(weighted, "node").groupBy("hub", "ca", "cb").applyInArrow(_verify(threshold), "a long, b long")
     root = components(materialise(links.distinct(), "near-links"))
-
-    named = nodes.select("text_key", "node", "first_id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    name = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    named = named.join(name, "root").select("text_key", "class_id")
-    out = keyed.select("doc_id", F.col("node").alias("text_key")).join(named, "text_key", "left")
-    return out.select("doc_id", "text_key", F.when(F.col("text_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    return nodes.select("text_key", "node", "first_id").join(root, "node", "left").select("text_key", "first_id", F.coalesce("root", "node").alias("root"))
+
+
+def classes(docs: DataFrame, **settings) -> DataFrame:
+    """``doc_id, class_id`` of every document."""
+    found = materialise(text_classes(docs, **settings), "near-classes")
+    name = found.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    named = found.join(name, "root").select("text_key", "class_id")
+    out = _keyed(docs).select("doc_id", F.col("node").alias("text_key")).join(named, "text_key", "left")
+    return out.select("doc_id", F.when(F.col("text_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+
+
+def representatives(docs: DataFrame, **settings) -> DataFrame:
+    """One row of ``docs`` for each class (its smallest ``doc_id``), and all rows without text.
+
+    Equal texts meet first, in an aggregation that keeps one row per task
+    and text, so a hot text is never gathered."""
+    columns = docs.columns
+    found = materialise(text_classes(docs, **settings), "near-classes")
+    first = F.min(F.struct(F.col("first_id").isNull().alias("unnamed"), "first_id", "text_key"))
+    chosen = found.groupBy("root").agg(first.alias("m")).select(F.col("m.text_key").alias("near_key"))
+    rows = docs.withColumn("near_key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    order = [c for c in columns if c != "doc_id"]
+    one = rows.where("near_key is not null").groupBy("near_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("near_unnamed"), "doc_id", *order)).alias("near_row"))
+    kept = one.join(chosen, "near_key").select(*(F.col(f"near_row.`{c}`") for c in columns))
+    return kept.union(rows.where("near_key is null").select(*columns))

@@ -143,6 +143,7 @@ def assign(docs: DataFrame, old_shard: Column, old_shards: int, shards: int = SH
 
     ``capacity`` defaults to equal shares of all bytes."""
     spark = docs.sparkSession
+    docs = docs.select(*(c for c in docs.columns if not c.startswith("shard_")))
     base = docs.withColumn("shard_size", text_size()).withColumn("shard_hash", F.xxhash64(F.lit(seed), "doc_id", "text"))
     base = base.withColumn("shard_old", old_shard.cast("int")).withColumn("shard_block", F.pmod("shard_hash", F.lit(blocks)).cast("int"))
     sums = base.groupBy("shard_old", "shard_block").agg(F.sum("shard_size").alias("size"), F.count("*").alias("n")).collect()  # old_shards x blocks rows at most

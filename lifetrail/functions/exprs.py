@@ -57,24 +57,39 @@ def round_ratio(a, b, k: int) -> Column:
 
     ``a`` and ``b`` are integral (counts, cents); ``b > 0``.  Doing the
     rounding with integer arithmetic makes the result independent of the
-    engine's decimal/binary rounding and of summation order.
+    engine's decimal/binary rounding and of summation order.  It runs in
+    DECIMAL(38,0): scaled sums of a large fact pass the range of a long.
     """
-    a, b = _c(a).cast("long"), _c(b).cast("long")
     scale = 10 ** k
-    mag = idiv(F.abs(a) * (2 * scale) + b, b * 2)
-    return (F.when(a < 0, -mag).otherwise(mag) / F.lit(float(scale))).cast("double")
+    return (_rounded(a, b, scale) / F.lit(float(scale))).cast("double")
+
+
+def _rounded(a, b, scale: int) -> Column:
+    """``round(a * scale / b)`` half away from zero, as a long."""
+    a, b = whole(a), whole(b)
+    mag = idiv(F.abs(a) * F.lit(2 * scale).cast("decimal(10,0)") + b, b * F.lit(2).cast("decimal(10,0)"))
+    return F.when(a < 0, -mag).otherwise(mag)
+
+
+def whole(x) -> Column:
+    """An integral column as DECIMAL(38,0), for products beyond a long."""
+    return _c(x).cast("decimal(38,0)")
+
+
+def round_half_even(x, k: int) -> Column:
+    """``round(x, k)`` with ties to the even neighbour (Python, NumPy and
+    pandas), of a double or decimal."""
+    return F.bround(_c(x), k)
 
 
 def round_ratio_int(a, b) -> Column:
     """``round(a / b, 0)`` as a long (half away from zero)."""
-    a, b = _c(a).cast("long"), _c(b).cast("long")
-    mag = idiv(F.abs(a) * 2 + b, b * 2)
-    return F.when(a < 0, -mag).otherwise(mag).cast("long")
+    return _rounded(a, b, 1).cast("long")
 
 
 def pct(a, b, k: int) -> Column:
     """Percentage ``a * 100 / b`` rounded to ``k`` decimals."""
-    return round_ratio(_c(a).cast("long") * 100, b, k)
+    return round_ratio(whole(a) * F.lit(100).cast("decimal(10,0)"), b, k)
 
 
 def cents(amount) -> Column:
@@ -181,15 +196,5 @@ def normal_cdf(x) -> Column:
     return F.when(x > 0, 1 - tail).otherwise(tail)
 
 
-def md5_uniform(*parts) -> Column:
-    """Deterministic uniform draw in [0, 1) from ``md5(p1:p2:...)``.
-
-    Depends only on the values, never on partitioning or task order, so a
-    recomputed task draws the same numbers.
-    """
-    key = F.concat_ws(":", *[_c(p).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-
-
 def md5_key(*parts) -> Column:
     return F.md5(F.concat_ws(":", *[_c(p).cast("string") for p in parts]))

@@ -10,11 +10,15 @@ activity).  Here that work is done once:
 2. ``user_days``: ``daily`` clustered by user with the user's first date as
    a window value (the number of distinct days per user is bounded by the
    calendar, so the window partition is small).
-3. ``user_years`` (one row per user and year) aggregates ``user_days`` and
-   ``facts`` (one row per user) aggregates ``user_years``, both without
-   another exchange: they need clustering by ``user_id``, which the window
-   already provides.  Materialising ``user_years`` therefore gives every
-   per-user and per-year analysis from one pass over the fact.
+3. ``user_years_from_days`` (one row per user and year) aggregates
+   ``user_days`` and ``facts`` (one row per user) aggregates that, both
+   without another exchange: they need clustering by ``user_id``, which the
+   window already provides.  Materialising the yearly table therefore gives
+   every per-user and per-year analysis from one pass over the fact.
+
+The day grain serves questions about the second active day.  Others start
+from ``user_totals`` (user grain) or ``user_years`` (year grain), which
+shuffle one row per user, or per user and year, and task.
 
 Money is summed as long cents: exact, order independent, cheaper than
 decimal sums.
@@ -100,13 +104,42 @@ def facts_from_years(uy: DataFrame, p: Params = Params()) -> DataFrame:
                     activated_expr("first_date", "second_date", p).alias("activated"))
 
 
+def _sums(clean_df: DataFrame, p: Params, keys: tuple, *more) -> DataFrame:
+    c = F.col("c")
+    pos = c > 0
+    ltv = pos & F.col("errors").isNull() & (c <= p.outlier_cap * 100)
+    rows = clean_df.select("user_id", "tx_year", cents("amount").alias("c"), "errors")
+    return rows.groupBy(*keys).agg(
+        *more, F.count(F.lit(1)).alias("n_tx"), F.count_if(pos).alias("n_pos"),
+        F.sum(F.when(pos, c).otherwise(F.lit(0))).alias("pos_cents"), F.count_if(ltv).alias("ltv_n"),
+        F.sum(F.when(ltv, c).otherwise(F.lit(0))).alias("ltv_cents"))
+
+
+def user_totals(clean_df: DataFrame, p: Params = Params()) -> DataFrame:
+    """One row per user with first and last active year, counts and cent
+    sums: one exchange, with partial aggregation before it, so a hot user
+    ships one row per task.  Enough for every question without a second
+    active day or a next year."""
+    year = F.col("tx_year")
+    return _sums(clean_df, p, ("user_id",), F.min(year).alias("first_year"), F.max(year).alias("last_year"),
+                 F.min(F.when(year >= p.min_cohort, year)).alias("first_year_truncated"))
+
+
 def user_years(clean_df: DataFrame, p: Params = Params()) -> DataFrame:
     """One row per (user, active year) carrying the user's cohort year
-    (taken over all history, before any cohort filter)."""
-    return user_years_from_days(user_days(clean_df, p))
+    (taken over all history, before any cohort filter).  The fact is
+    reduced to (user, year) before the exchange by user."""
+    years = _sums(clean_df, p, ("user_id", "tx_year"))
+    return years.withColumn("cohort_year", F.min("tx_year").over(Window.partitionBy("user_id")))
+
+
+def user_returns(user_years: DataFrame) -> DataFrame:
+    """One row per user from ``user_years``: first year, and whether the user was active in the year after it."""
+    back = F.max(F.when(F.col("tx_year") == F.col("cohort_year") + 1, 1).otherwise(0))
+    return user_years.groupBy("user_id").agg(F.min("tx_year").alias("first_year"), F.max("tx_year").alias("last_year"), back.alias("active_next_year"))
 
 
 def facts(clean_df: DataFrame, p: Params = Params()) -> DataFrame:
     """One row per user: first/second active day, first/last year,
     next-year activity, activation flag, counts and cent sums."""
-    return facts_from_years(user_years(clean_df, p), p)
+    return facts_from_years(user_years_from_days(user_days(clean_df, p)), p)

@@ -15,23 +15,28 @@ CLEAN_COLUMNS = ("user_id", "card", "tx_year", "tx_month", "tx_day", "tx_time",
 
 
 def fraud_flag(df: DataFrame):
-    """Normalise the fraud flag: text 'Yes'/'No' or a boolean column."""
+    """The fraud flag as a boolean: of text only 'Yes' and 'No' count, any
+    other text is unknown (null)."""
     dt = df.schema["is_fraud"].dataType
     if isinstance(dt, BooleanType):
         return F.col("is_fraud")
     if isinstance(dt, StringType):
-        return F.col("is_fraud") == "Yes"
+        return F.when(F.col("is_fraud") == "Yes", True).when(F.col("is_fraud") == "No", False)
     return F.col("is_fraud").cast("boolean")
 
 
+def not_fraud(df: DataFrame):
+    """Rows known to be no fraud; unknown flags do not pass."""
+    return F.coalesce(~fraud_flag(df), F.lit(False))
+
+
 def clean(raw: DataFrame, p: Params = Params()) -> DataFrame:
     """Drop fraud rows and the incomplete last year, parse the amount,
     derive integer date keys.  One narrow stage (filter + project); the
     year predicate prunes partitions when the source is partitioned by
     ``tx_year``."""
     amount_src = "amount_raw" if "amount_raw" in raw.columns else "amount"
-    flagged = fraud_flag(raw)
-    return (raw.filter((~flagged) & (F.col("tx_year") < p.last_year_excl))
+    return (raw.filter(not_fraud(raw) & (F.col("tx_year") < p.last_year_excl))
                .select("user_id", "card", "tx_year", "tx_month", "tx_day", "tx_time",
                        parse_amount(amount_src).alias("amount"),
                        "use_chip", "merchant_name", "merchant_city", "merchant_state", "zip",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lifetrail.config import Params
 from lifetrail.functions import cents, money, pct, round_ratio
-from lifetrail.operators.prepare import fraud_flag
+from lifetrail.operators.prepare import not_fraud
 
 
 def _distinct(col: str, approx: bool):
@@ -135,16 +135,15 @@ def mapping_frame(spark, pairs, key="code", value="label") -> DataFrame:
 
 
 def category_rollup(tx: DataFrame, mapping: DataFrame, p: Params = Params(),
-                    top_k: int | None = 20, default: str = "other") -> DataFrame:
+                    top_k: int | None = None, default: str = "other") -> DataFrame:
     """Category counts rolled up to the mapping's detail label and large group.
 
-    ``mapping`` has columns (code, detail, large_group) and is bounded by the
-    number of category codes, so it is broadcast.  ``top_k=None`` rolls up
-    every category instead of the top-k rows only."""
+    ``mapping`` has columns (code, detail, large_group).  ``top_k=None`` rolls
+    up every category instead of the top-k rows only."""
     stats = category_stats(tx).select("mcc", "tx_count")
     if top_k is not None:
         stats = stats.orderBy(F.desc("tx_count"), F.col("mcc").asc_nulls_first()).limit(top_k)
-    m = F.broadcast(mapping.select(F.col("code").alias("mcc"), "detail", "large_group"))
+    m = mapping.select(F.col("code").alias("mcc"), "detail", "large_group")
     j = stats.join(m, "mcc", "left")
     large = j.groupBy(F.coalesce("large_group", F.lit(default)).alias("label")) \
              .agg(F.sum("tx_count").cast("long").alias("tx_count")) \
@@ -180,7 +179,7 @@ def yearly_trend_from_years(user_years: DataFrame) -> DataFrame:
 
 def partial_period_check(raw: DataFrame, p: Params = Params()) -> DataFrame:
     """Months present in the excluded (partial) last year, non-fraud rows."""
-    y = raw.filter((~fraud_flag(raw)) & (F.col("tx_year") == p.last_year_excl))
+    y = raw.filter(not_fraud(raw) & (F.col("tx_year") == p.last_year_excl))
     return (y.groupBy((F.col("tx_year") * 100 + F.col("tx_month")).cast("long").alias("year_month"))
              .agg(F.count(F.lit(1)).alias("tx_count")).orderBy("year_month"))
 
@@ -190,7 +189,7 @@ def population_reconciliation(raw: DataFrame, users: DataFrame, p: Params = Para
 
     One pass over the fact: per-user flags (partial aggregation before the
     shuffle), then conditional counts over users."""
-    nf = ~fraud_flag(raw)
+    nf = not_fraud(raw)
     per_user = raw.groupBy("user_id").agg(
         F.max(nf.cast("int")).alias("nf"),
         F.max((nf & (F.col("tx_year") < p.last_year_excl)).cast("int")).alias("cl"))

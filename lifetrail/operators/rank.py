@@ -1,16 +1,15 @@
 """Distributed exact ranking, NTILE / qcut bins and exact quantiles.
 
 A window ``ORDER BY x`` without ``PARTITION BY`` moves every row into a
-single task.  Here the total order (x, tie key) is range partitioned
-instead: each range partition is sorted and numbered locally, a
-per-partition count (one row per partition, a proven size bound) gives
-the offsets, and ``offset + local number`` is the exact global rank.
-
-The rank is computed on the narrow (order, tie) projection so that the
-counting branch and the numbering branch read one identical exchange,
-which Spark reuses: one range partitioner, fixed once, serves both (also
-when lost shuffle files are recomputed).  Ties are broken by the tie key,
-so a value shared by a third of all rows is still split across partitions.
+single task.  Here the rows are dealt into buckets of the total order
+(x, tie key): the bucket edges are values, taken once from a sample of
+the rows with the smallest key hashes, and a row's bucket is a plain
+column computed by binary search in them.  Rows are numbered within their
+bucket, and a count per bucket (one row per bucket) gives the offsets;
+``offset + local number`` is the exact global rank whatever the edges
+are.  Nothing depends on two branches sharing an exchange, or on how rows
+were partitioned.  Ties are broken by the tie key, so a value shared by a
+third of all rows is still split across buckets.
 """
 
 from __future__ import annotations
@@ -18,43 +17,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lifetrail.functions import ntile_from_rank, qcut_from_rank
 
+#: Sampled rows per bucket, and the most buckets (both bound the sample).
+SAMPLE_PER_BUCKET, MOST_BUCKETS = 32, 2048
 
-def _partitions(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return int(partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+def _buckets(df: DataFrame, partitions: int | None) -> int:
+    wanted = int(partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(MOST_BUCKETS, wanted))
+
+
+def _dealt(narrow: DataFrame, key, tie_cols, buckets: int) -> DataFrame:
+    """``narrow`` with ``_b``, the number of sampled edges below a row's key:
+    binary search in an array of at most ``buckets - 1`` values, which comes
+    from a scalar subquery."""
+    steps = max(1, (buckets - 1).bit_length())
+    size = buckets * SAMPLE_PER_BUCKET
+    picked = narrow.orderBy(F.xxhash64(*tie_cols), *tie_cols).limit(size).select(key.alias("k"))
+    held = F.sort_array(F.collect_list("k"))
+    every = F.greatest(F.floor(F.size(held) / buckets).cast("int"), F.lit(1))
+    edges = picked.agg(F.filter(held, lambda k, i: (i % every == 0) & (i > 0) & (i < every * buckets)).alias("e")).scalar()
+
+    def step(at, p):
+        edge = F.get(F.col("_e"), at + p - 1)
+        return at + F.when(edge < key, p).otherwise(0)
+
+    halves = F.array(*(F.lit(1 << s) for s in reversed(range(steps + 1))))
+    return narrow.withColumn("_e", edges).withColumn("_b", F.aggregate(halves, F.lit(0), step)).drop("_e")
 
 
 def rank_keys(df: DataFrame, order_cols, tie_cols=("user_id",), *, rank_col: str = "rank",
               n_col: str = "n", partitions: int | None = None) -> DataFrame:
     """Exact 1-based rank of every row of the narrow projection
-    (order_cols..., tie_cols...) under that total order; returns those
-    columns plus ``rank_col`` and ``n_col``.
-
-    Both branches (local numbering, per-partition counts) read the same
-    narrow exchange, so Spark plans it once (ReusedExchange) and a single
-    range partitioner serves both, also when lost shuffle output is
-    recomputed."""
+    (order_cols..., tie_cols...) under that total order (nulls first);
+    returns those columns plus ``rank_col`` and ``n_col``."""
     order_cols, tie_cols = list(order_cols), list(tie_cols)
-    order = [F.col(c).asc_nulls_first() for c in order_cols] + [F.col(c).asc() for c in tie_cols]
-    narrow = df.select(*order_cols, *tie_cols)
-    ranged = (narrow.repartitionByRange(_partitions(df, partitions), *order)
-                    .sortWithinPartitions(*order)
-                    .select("*", F.monotonically_increasing_id().alias("_mid")))
-    ranged = ranged.select("*", F.shiftright("_mid", 33).alias("_pid"),
-                           (F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("_lrn"))
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    names = order_cols + tie_cols
+    narrow = df.select(*names)
+    key = F.struct(*(F.col(c) for c in names))
+    buckets = _buckets(df, partitions)
+    dealt = _dealt(narrow, key, tie_cols, buckets) if buckets > 1 else narrow.withColumn("_b", F.lit(0))
+    inside = Window.partitionBy("_b").orderBy(*(F.col(c).asc_nulls_first() for c in names))
+    numbered = dealt.withColumn("_lrn", F.row_number().over(inside))
+    counts = dealt.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        "_pid",
+        "_b",
         F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
         F.sum("_cnt").over(Window.partitionBy()).alias(n_col),
     )
-    return (ranged.join(F.broadcast(offsets), "_pid")
-                  .select(*order_cols, *tie_cols, (F.col("_off") + F.col("_lrn")).cast("long").alias(rank_col),
-                          F.col(n_col).cast("long").alias(n_col)))
+    # one row per bucket, MOST_BUCKETS at most
+    return (numbered.join(F.broadcast(offsets), "_b")
+                    .select(*names, (F.col("_off") + F.col("_lrn")).cast("long").alias(rank_col),
+                            F.col(n_col).cast("long").alias(n_col)))
 
 
 def exact_rank(df: DataFrame, order_col: str, tie_col: str = "user_id", *,
@@ -91,20 +106,6 @@ def multi_rank(df: DataFrame, metrics, tie_cols=("user_id",), *, partitions: int
         F.max(n).alias("n"))
 
 
-def ntile(df: DataFrame, order_col: str, k: int, out_col: str, tie_col: str = "user_id",
-          partitions: int | None = None) -> DataFrame:
-    """``NTILE(k) OVER (ORDER BY order_col, tie_col)`` without a single partition."""
-    r = exact_rank(df, order_col, tie_col, rank_col="_r", n_col="_n", partitions=partitions)
-    return r.withColumn(out_col, ntile_from_rank("_r", "_n", k)).drop("_r", "_n")
-
-
-def qcut_rank(df: DataFrame, order_col: str, k: int, out_col: str, tie_col: str = "user_id",
-              partitions: int | None = None) -> DataFrame:
-    """``qcut(rank(method='first'), k)`` labels 1..k without a single partition."""
-    r = exact_rank(df, order_col, tie_col, rank_col="_r", n_col="_n", partitions=partitions)
-    return r.withColumn(out_col, qcut_from_rank("_r", "_n", k)).drop("_r", "_n")
-
-
 def exact_quantiles(df: DataFrame, value_col: str, probs: dict, tie_col: str = "user_id",
                     partitions: int | None = None) -> DataFrame:
     """Interpolated quantiles (``percentile_cont``) as one row.

@@ -40,7 +40,7 @@ class Params:
     recency_bands: tuple = (0, 2, 5, 9)     # R = 5,4,3,2 at <= each band, else 1
     segment_cuts: tuple = (13, 10, 7)       # VIP, Loyal, Potential score floors
     # ---- experiment ----------------------------------------------------
-    n_per_group: int = 316
+    n_per_group: int | None = None      # users per arm; None: half of all users
     alpha: float = 0.05
     power: float = 0.80
     seed: int = 42
@@ -68,7 +68,7 @@ class Params:
         """Values used by the original study (card data 1991-2020)."""
         return cls(last_year_excl=2020, as_of_year=2019, min_cohort=2002,
                    outlier_cap=5000, outlier_band_low=5000, outlier_band_high=10000,
-                   high_value=10000, profile_cohort_lo=2009, profile_cohort_hi=2014)
+                   high_value=10000, n_per_group=316, profile_cohort_lo=2009, profile_cohort_hi=2014)
 
 
 def get_session(app: str = "lifetrail", cores: int | str = "*", shuffle_partitions: int = 8,
@@ -111,19 +111,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
-def cluster_settings(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
-    """Session settings for a cluster run over ``input_bytes`` of input.
+#: Most shuffle partitions: map tasks times reduce tasks is what the driver tracks.
+MOST_SHUFFLE_PARTITIONS = 20_000
+
 
-    * initial shuffle partitions sized so a partition holds about
-      ``target_partition_bytes`` of the scanned input (at least two per
-      core); AQE then coalesces small ones and splits skewed ones;
-    * file splits of the same size, so scan tasks and shuffle tasks match;
-    * skew-join handling on, with the threshold at the partition target.
+def cluster_settings(input_bytes: int, total_cores: int, reduction: float = 0.05, target_partition_bytes: int = 512 << 20) -> dict:
+    """Session settings for a cluster run over ``input_bytes`` of input.
 
-    The analyses shrink data fast (per-(user, day) partial aggregation
-    before the first shuffle), so these sizes are conservative for the
-    later, user-sized stages."""
-    parts = max(2 * total_cores, -(-int(input_bytes) // target_partition_bytes))
+    * file splits large enough that scans have at most some tens of
+      thousands of tasks;
+    * shuffle partitions sized by what is shuffled: the analyses reduce the
+      fact before the exchange, so ``reduction`` times the input, at least
+      two per core and within ``MOST_SHUFFLE_PARTITIONS``; AQE coalesces
+      small ones and splits skewed ones;
+    * skew-join handling on, with the threshold at the partition target."""
+    shuffled = int(input_bytes * reduction)
+    parts = min(MOST_SHUFFLE_PARTITIONS, max(2 * total_cores, -(-shuffled // target_partition_bytes)))
+    split = max(target_partition_bytes, min(4 << 30, int(input_bytes) // 100_000))
     size = f"{target_partition_bytes >> 20}m"
     return {
         "spark.sql.adaptive.enabled": "true",
@@ -132,6 +136,6 @@ def cluster_settings(input_bytes: int, total_cores: int, target_partition_bytes:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": size,
         "spark.sql.shuffle.partitions": str(parts),
-        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.files.maxPartitionBytes": f"{split >> 20}m",
         "spark.sql.session.timeZone": "UTC",
     }

@@ -38,6 +38,13 @@ def cohort_truncation_check(facts: DataFrame, p: Params = Params()) -> DataFrame
                 .orderBy("cohort_year"))
 
 
+def truncated_years(user_years: DataFrame, p: Params = Params()) -> DataFrame:
+    """``user_years`` as if history began at ``min_cohort``: the cohort year
+    is the first kept year, so earlier users are folded into it."""
+    kept = user_years.filter(F.col("tx_year") >= p.min_cohort).drop("cohort_year")
+    return kept.withColumn("cohort_year", F.min("tx_year").over(Window.partitionBy("user_id")))
+
+
 def _eligible_years(user_years: DataFrame, p: Params) -> DataFrame:
     return (user_years.filter(F.col("cohort_year") >= p.min_cohort)
                       .withColumn("years_since_first", (F.col("tx_year") - F.col("cohort_year")).cast("long")))
@@ -62,9 +69,12 @@ def ages(p: Params = Params(), lo: int = 0) -> list[int]:
 
 
 def pivot_by_age(long: DataFrame, value: str, p: Params = Params(), lo: int = 0) -> DataFrame:
-    """Long (cohort, age, value) -> wide cohort x age_k; missing cells NULL."""
+    """Long (cohort, age, value) -> wide cohort x age_k; missing cells NULL.
+    An age without a column stops the job instead of vanishing."""
     vals = ages(p, lo)
-    w = long.groupBy("cohort_year").pivot("years_since_first", vals).agg(F.first(value))
+    age = F.col("years_since_first")
+    known = F.when(age.isin(vals), age).otherwise(F.raise_error(F.concat(F.lit("no column for age "), age.cast("string"))))
+    w = long.withColumn("years_since_first", known).groupBy("cohort_year").pivot("years_since_first", vals).agg(F.first(value))
     return w.select("cohort_year", *[F.col(str(a)).alias(f"age_{a}") for a in vals]).orderBy("cohort_year")
 
 
@@ -106,17 +116,23 @@ def cohort_behavior_complete_years(user_years: DataFrame, p: Params = Params())
         "cohort_year", "years_since_first", "active_users", "avg_tx_per_user", "avg_revenue_per_user")
 
 
+def cohort_behavior_from_first_age(user_years: DataFrame, p: Params = Params()) -> DataFrame:
+    """Cohort behaviour of every age from ``age_min`` on (the first, partial year left out)."""
+    b = cohort_behavior(user_years, p)
+    return b.filter(F.col("years_since_first") >= p.age_min)
+
+
 def cohort_frequency_matrix(user_years: DataFrame, p: Params = Params()) -> DataFrame:
-    return pivot_by_age(cohort_behavior_complete_years(user_years, p), "avg_tx_per_user", p, lo=p.age_min)
+    return pivot_by_age(cohort_behavior_from_first_age(user_years, p), "avg_tx_per_user", p, lo=p.age_min)
 
 
 def cohort_revenue_matrix(user_years: DataFrame, p: Params = Params()) -> DataFrame:
-    return pivot_by_age(cohort_behavior_complete_years(user_years, p), "avg_revenue_per_user", p, lo=p.age_min)
+    return pivot_by_age(cohort_behavior_from_first_age(user_years, p), "avg_revenue_per_user", p, lo=p.age_min)
 
 
 def cohort_behavior_by_age(user_years: DataFrame, p: Params = Params()) -> DataFrame:
     """Unweighted mean over cohorts of transactions and revenue per user, per age."""
-    b = cohort_behavior_complete_years(user_years, p).withColumn(
+    b = cohort_behavior_from_first_age(user_years, p).withColumn(
         "_t", F.round(F.col("avg_tx_per_user") * 10).cast("long"))
     return (b.groupBy("years_since_first")
              .agg(F.count(F.lit(1)).alias("cohorts"), F.sum("_t").alias("_ts"),
@@ -129,17 +145,19 @@ def cohort_behavior_by_age(user_years: DataFrame, p: Params = Params()) -> DataF
 
 def cohort_demographics(facts: DataFrame, users: DataFrame, p: Params = Params()) -> DataFrame:
     """Cohorts in ``[profile_cohort_lo, profile_cohort_hi]`` joined to the users
-    dimension: users, mean score (0 dp), mean income (0 dp)."""
+    dimension: users, mean score, mean income and mean age (0 dp each)."""
     f = facts.filter(F.col("first_year").between(p.profile_cohort_lo, p.profile_cohort_hi)) \
              .select("user_id", F.col("first_year").cast("long").alias("cohort_year"))
-    u = users.select("user_id", "score", cents(parse_amount("income_raw")).alias("_inc"))
+    u = users.select("user_id", "score", "age", cents(parse_amount("income_raw")).alias("_inc"))
     j = f.join(u, "user_id", "inner")
     g = j.groupBy("cohort_year").agg(F.count(F.lit(1)).alias("user_count"),
                                      F.sum("score").alias("_ss"), F.count("score").alias("_sn"),
-                                     F.sum("_inc").alias("_is"), F.count("_inc").alias("_in"))
+                                     F.sum("_inc").alias("_is"), F.count("_inc").alias("_in"),
+                                     F.sum("age").alias("_as"), F.count("age").alias("_an"))
     return g.select("cohort_year", "user_count",
                     round_ratio_int("_ss", "_sn").alias("avg_score"),
-                    round_ratio_int("_is", F.col("_in") * 100).alias("avg_income")).orderBy("cohort_year")
+                    round_ratio_int("_is", F.col("_in") * 100).alias("avg_income"),
+                    round_ratio_int("_as", "_an").alias("avg_age")).orderBy("cohort_year")
 
 
 def observed_lifespan(facts: DataFrame, p: Params = Params()) -> DataFrame:

@@ -1,10 +1,11 @@
-"""Experiment evaluation: assignment, uplift scenarios, tests, planning.
-
-Randomness is replaced by md5 draws of (user, seed[, scenario]): the
-assignment and every simulated conversion depend only on values, never on
-partitioning or task retries, and are reproducible in any SQL engine.
-The normal CDF is a pure Column expression; quantiles of the normal
-depend on parameters only and are computed once on the driver.
+"""Experiment evaluation: assignment, observed outcomes, tests, planning.
+
+Users are drawn into two arms by an md5 order of (user, seed), which
+depends on values only and can be reproduced in any SQL engine.  The
+outcomes are what the tables show (activation, return in the next year),
+so without a treatment the two arms differ by chance alone.  The normal
+CDF is a pure Column expression; quantiles of the normal depend on
+parameters only and are computed once on the driver.
 """
 
 from __future__ import annotations
@@ -15,28 +16,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lifetrail.config import Params
-from lifetrail.functions import floor_round, md5_key, md5_uniform, normal_cdf, round_ratio
+from lifetrail.functions import floor_round, md5_key, normal_cdf, pct, round_ratio, whole
+from lifetrail.operators.rank import rank_keys
 
-# Per-segment conversion probabilities of the two uplift
-# scenarios of the original study and their default for unknown segments.
-SCENARIOS = {
-    "arbitrary": ({"VIP": 0.10, "Loyal": 0.20, "Potential": 0.40, "At Risk": 0.05, "Dormant": 0.05}, 0.10),
-    "benchmark": ({"VIP": 0.08, "Loyal": 0.18, "Potential": 0.25, "At Risk": 0.10, "Dormant": 0.05}, 0.08),
-}
+#: Observed outcomes: name -> per-user 0/1 column.
+OUTCOMES = {"activation": "activated", "next_year_return": "active_next_year"}
 
 
 def z_quantile(q: float) -> float:
     return NormalDist().inv_cdf(q)
 
 
-def with_segment(facts: DataFrame, segments: DataFrame, p: Params = Params()) -> DataFrame:
-    """All users with their activation flag and segment; users without a
-    segment (outside the cohort filter) get ``default_segment``."""
-    return (facts.select("user_id", "activated")
-                 .join(segments.select("user_id", "segment"), "user_id", "left")
-                 .withColumn("segment", F.coalesce("segment", F.lit(p.default_segment))))
-
-
 def activation_by_segment(units: DataFrame) -> DataFrame:
     """Segment -> users, activated users, activation rate (3 dp)."""
     g = units.groupBy("segment").agg(F.count(F.lit(1)).alias("user_count"),
@@ -45,75 +35,61 @@ def activation_by_segment(units: DataFrame) -> DataFrame:
 
 
 def experiment_assignment(units: DataFrame, p: Params = Params()) -> DataFrame:
-    """Draw 2n users without replacement (md5 order) and split them:
-    the first n are control, the next n treatment.
-
-    ``orderBy().limit(2n)`` keeps only 2n rows per task before the merge, so
-    the draw costs one pass; the group split is a window over those 2n rows."""
-    key = md5_key("user_id", F.lit(p.seed))
-    drawn = units.select("*", key.alias("_k")).orderBy("_k", "user_id").limit(2 * p.n_per_group)
-    rn = F.row_number().over(Window.orderBy("_k", "user_id")).cast("long")
-    cols = [c for c in units.columns]
-    return drawn.select(*cols, rn.alias("draw_order"),
-                        F.when(rn <= p.n_per_group, "control").otherwise("treatment").alias("arm"))
-
-
-def scenario_table(spark, scenarios=SCENARIOS) -> DataFrame:
-    rows = [(name, seg, float(prob)) for name, (probs, _) in scenarios.items() for seg, prob in probs.items()]
-    return spark.createDataFrame(rows, "scenario string, segment string, prob double")
-
-
-def uplift_scenario(assigned: DataFrame, p: Params = Params(), scenarios=SCENARIOS) -> DataFrame:
-    """Simulated outcome per (scenario, user): treated users who did not
-    convert convert with their segment's probability (default for unknown
-    segments); control users keep their observed outcome."""
-    spark = assigned.sparkSession
-    names = list(scenarios)
-    defaults = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(float(scenarios[n][1])))])
-    probs = F.broadcast(scenario_table(spark, scenarios))
-    rows = assigned.select("user_id", "arm", "segment", "activated",
-                           F.explode(F.array(*[F.lit(n) for n in names])).alias("scenario"))
-    j = rows.join(probs, ["scenario", "segment"], "left")
-    prob = F.coalesce("prob", defaults[F.col("scenario")])
-    u = md5_uniform("user_id", F.lit(p.seed), "scenario")
-    lift = (F.col("arm") == "treatment") & (F.col("activated") == 0) & (u < prob)
-    return j.select("scenario", "user_id", "arm", "segment", "activated",
-                    F.when(lift, 1).otherwise(F.col("activated")).cast("long").alias("converted"))
+    """Draw users without replacement (md5 order) into two arms: the first n
+    are control, the next n treatment.  ``n_per_group`` None takes half of
+    all users each.
+
+    The order is a distributed rank, so any n works without sorting the
+    drawn users in one task; the other columns ride along as tie keys, so
+    nothing is joined back."""
+    keyed = units.withColumn("_k", md5_key("user_id", F.lit(p.seed)))
+    ties = ["user_id", *(c for c in units.columns if c != "user_id")]
+    ranked = rank_keys(keyed, ["_k"], ties, rank_col="draw_order", n_col="_n")
+    n = F.lit(p.n_per_group).cast("long") if p.n_per_group else F.floor(F.col("_n") / 2).cast("long")
+    arm = F.when(F.col("draw_order") <= n, "control").otherwise("treatment")
+    return ranked.filter(F.col("draw_order") <= 2 * n).select(*units.columns, "draw_order", arm.alias("arm"))
+
+
+def observed_outcomes(assigned: DataFrame, outcomes=OUTCOMES) -> DataFrame:
+    """(outcome, user): arm, segment and whether the user shows the outcome."""
+    rows = F.inline(F.array(*[F.struct(F.lit(name).alias("outcome"), F.col(c).cast("long").alias("converted")) for name, c in outcomes.items()]))
+    return assigned.select("user_id", "arm", "segment", rows).select("outcome", "user_id", "arm", "segment", "converted")
 
 
 def experiment_groups(outcomes: DataFrame) -> DataFrame:
-    """(scenario, group) -> n, conversions, rate (4 dp); treatment rows carry
+    """(outcome, group) -> n, conversions, rate (4 dp); treatment rows carry
     the lift over control in percentage points (1 dp)."""
-    g = outcomes.groupBy("scenario", "arm").agg(F.count(F.lit(1)).alias("n"),
+    g = outcomes.groupBy("outcome", "arm").agg(F.count(F.lit(1)).alias("n"),
                                                   F.sum("converted").cast("long").alias("conversions"))
-    w = Window.partitionBy("scenario")
+    w = Window.partitionBy("outcome")
     cx = F.max(F.when(F.col("arm") == "control", F.col("conversions"))).over(w)
     cn = F.max(F.when(F.col("arm") == "control", F.col("n"))).over(w)
-    lift = round_ratio((F.col("conversions") * cn - cx * F.col("n")) * 100, F.col("n") * cn, 1)
+    n, x = whole("n"), whole("conversions")
+    lift = round_ratio((x * whole(cn) - whole(cx) * n) * F.lit(100).cast("decimal(10,0)"), n * whole(cn), 1)
     return (g.withColumn("conversion_rate", round_ratio("conversions", "n", 4))
              .withColumn("lift_pp", F.when(F.col("arm") == "treatment", lift))
-             .orderBy("scenario", "arm"))
+             .orderBy("outcome", "arm"))
 
 
 def experiment_by_segment(outcomes: DataFrame) -> DataFrame:
-    """(scenario, segment) -> control rate, treated rate (3 dp), difference
+    """(outcome, segment) -> control rate, treated rate (3 dp), difference
     in points (1 dp), treated users."""
     c, t = F.col("arm") == "control", F.col("arm") == "treatment"
-    g = outcomes.groupBy("scenario", "segment").agg(
+    g = outcomes.groupBy("outcome", "segment").agg(
         F.count_if(c).alias("n_control"), F.sum(F.when(c, F.col("converted")).otherwise(0)).alias("x_control"),
         F.count_if(t).alias("n_treated"), F.sum(F.when(t, F.col("converted")).otherwise(0)).alias("x_treated"))
-    diff = round_ratio((F.col("x_treated") * F.col("n_control") - F.col("x_control") * F.col("n_treated")) * 100,
-                       F.col("n_treated") * F.col("n_control"), 1)
+    diff = round_ratio((whole("x_treated") * whole("n_control") - whole("x_control") * whole("n_treated")) * F.lit(100).cast("decimal(10,0)"),
+                       whole("n_treated") * whole("n_control"), 1)
     both = (F.col("n_control") > 0) & (F.col("n_treated") > 0)
-    return g.select("scenario", "segment", "n_control", "n_treated",
+    return g.select("outcome", "segment", "n_control", "n_treated",
                     F.when(F.col("n_control") > 0, round_ratio("x_control", "n_control", 3)).alias("control_rate"),
                     F.when(F.col("n_treated") > 0, round_ratio("x_treated", "n_treated", 3)).alias("treated_rate"),
-                    F.when(both, diff).alias("diff_pp")).orderBy("scenario", "segment")
+                    F.when(both, diff).alias("diff_pp")).orderBy("outcome", "segment")
 
 
 def _arms(outcomes: DataFrame) -> DataFrame:
     c, t = F.col("arm") == "control", F.col("arm") == "treatment"
-    return outcomes.groupBy("scenario").agg(
+    return outcomes.groupBy("outcome").agg(
         F.count_if(t).alias("n_treated"), F.sum(F.when(t, F.col("converted")).otherwise(0)).cast("long").alias("x_treated"),
         F.count_if(c).alias("n_control"), F.sum(F.when(c, F.col("converted")).otherwise(0)).cast("long").alias("x_control"))
 
@@ -128,25 +104,25 @@ def z_test_columns(x1, n1, x2, n2):
 
 
 def two_proportion_ztest(outcomes: DataFrame, p: Params = Params()) -> DataFrame:
-    """Per scenario: z, one-sided p-value (6 dp) and the decision at alpha."""
+    """Per outcome: z, one-sided p-value (6 dp) and the decision at alpha."""
     a = _arms(outcomes)
     z = z_test_columns("x_treated", "n_treated", "x_control", "n_control")
     a = a.select("*", z.alias("_z")).select("*", (1 - normal_cdf("_z")).alias("_p"))
-    return a.select("scenario", "x_treated", "n_treated", "x_control", "n_control",
+    return a.select("outcome", "x_treated", "n_treated", "x_control", "n_control",
                     floor_round("_z", 4).alias("z_stat"), floor_round("_p", 6).alias("p_value"),
-                    F.when(F.col("_p") < p.alpha, 1).otherwise(0).cast("long").alias("reject")).orderBy("scenario")
+                    F.when(F.col("_p") < p.alpha, 1).otherwise(0).cast("long").alias("reject")).orderBy("outcome")
 
 
 def proportion_ci(outcomes: DataFrame, p: Params = Params()) -> DataFrame:
     """Wald interval of each arm's rate, clipped to [0, 1] (4 dp)."""
     zq = z_quantile(1 - p.alpha / 2)
-    g = outcomes.groupBy("scenario", "arm").agg(F.count(F.lit(1)).alias("n"),
+    g = outcomes.groupBy("outcome", "arm").agg(F.count(F.lit(1)).alias("n"),
                                                   F.sum("converted").cast("long").alias("conversions"))
     rate = F.col("conversions").cast("double") / F.col("n").cast("double")
     half = F.lit(zq) * F.sqrt(rate * (1 - rate) / F.col("n").cast("double"))
-    return g.select("scenario", "arm", "n", "conversions",
+    return g.select("outcome", "arm", "n", "conversions",
                     floor_round(F.greatest(F.lit(0.0), rate - half), 4).alias("ci_low"),
-                    floor_round(F.least(F.lit(1.0), rate + half), 4).alias("ci_high")).orderBy("scenario", "arm")
+                    floor_round(F.least(F.lit(1.0), rate + half), 4).alias("ci_high")).orderBy("outcome", "arm")
 
 
 def cohens_h(p_treat, p_base):
@@ -190,34 +166,26 @@ def power_curve(units: DataFrame, p: Params = Params()) -> DataFrame:
                     floor_round(pw, 6).alias("power")).orderBy("n_per_group")
 
 
-def scenario_comparison(outcomes: DataFrame, p: Params = Params(), scenarios=SCENARIOS) -> DataFrame:
-    """Result table: control row and one row per scenario with the treated
-    rate (%, 1 dp), lift, group size and one-sided p-value (4 dp).
-
-    One aggregate row per scenario fans out into its result rows; the
-    control row (the same in every scenario) comes from the first one."""
+def outcome_comparison(outcomes: DataFrame, p: Params = Params()) -> DataFrame:
+    """Result table: for each outcome a control and a treatment row with the
+    rate (%, 1 dp); the treatment row has the lift, group size, one-sided
+    p-value (4 dp) and the decision."""
     a = _arms(outcomes)
     z = z_test_columns("x_treated", "n_treated", "x_control", "n_control")
     # z and the p-value get their own projections: each is referenced more
     # than once, so they are computed once instead of being inlined.
     a = a.select("*", z.alias("_z")).select("*", (1 - normal_cdf("_z")).alias("_p"))
     pv = F.col("_p")
-    nt, nc = F.col("n_treated"), F.col("n_control")
+    nt, nc, xt, xc = (F.col(c) for c in ("n_treated", "n_control", "x_treated", "x_control"))
+    lift = round_ratio((whole(xt) * whole(nc) - whole(xc) * whole(nt)) * F.lit(100).cast("decimal(10,0)"), whole(nt) * whole(nc), 1)
     treated = F.struct(
-        F.concat(F.lit("treatment:"), F.col("scenario")).alias("group_name"),
-        F.when(nt > 0, round_ratio(F.col("x_treated") * 100, nt, 1)).alias("conversion_rate"),
-        F.when((nt > 0) & (nc > 0),
-               round_ratio((F.col("x_treated") * nc - F.col("x_control") * nt) * 100, nt * nc, 1)).alias("lift_pp"),
-        nt.alias("n"), floor_round(pv, 4).alias("p_value"),
+        F.lit("treatment").alias("arm"), F.when(nt > 0, pct(xt, nt, 1)).alias("conversion_rate"),
+        F.when((nt > 0) & (nc > 0), lift).alias("lift_pp"), nt.alias("n"), floor_round(pv, 4).alias("p_value"),
         F.when(pv < p.alpha, "reject").otherwise("keep").alias("decision"))
     control = F.struct(
-        F.lit("control").alias("group_name"),
-        F.when(nc > 0, round_ratio(F.col("x_control") * 100, nc, 1)).alias("conversion_rate"),
-        F.lit(None).cast("double").alias("lift_pp"), nc.alias("n"),
-        F.lit(None).cast("double").alias("p_value"), F.lit(None).cast("string").alias("decision"))
-    first = next(iter(scenarios))
-    rows = F.when(F.col("scenario") == first, F.array(control, treated)).otherwise(F.array(treated))
-    return a.select(F.inline(rows)).orderBy("group_name")
+        F.lit("control").alias("arm"), F.when(nc > 0, pct(xc, nc, 1)).alias("conversion_rate"),
+        F.lit(None).cast("double").alias("lift_pp"), nc.alias("n"), F.lit(None).cast("double").alias("p_value"), F.lit(None).cast("string").alias("decision"))
+    return a.select("outcome", F.inline(F.array(control, treated))).orderBy("outcome", "arm")
 
 
 def impact_population(facts: DataFrame, p: Params = Params()) -> DataFrame:
@@ -233,7 +201,7 @@ def impact_population(facts: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def impact_estimate(outcomes: DataFrame, population: DataFrame) -> DataFrame:
-    """Per scenario: int(eligible users x lift) x mean annual LTV.
+    """Per outcome: int(eligible users x lift) x mean annual LTV.
 
     ``population`` is the one-row (eligible_users, avg_annual_ltv) frame of
     ``impact_population``; it enters as one scalar subquery."""
@@ -244,6 +212,6 @@ def impact_estimate(outcomes: DataFrame, population: DataFrame) -> DataFrame:
                   F.col("x_treated").cast("double") / F.col("n_treated").cast("double")
                   - F.col("x_control").cast("double") / F.col("n_control").cast("double"))
     extra = (users.cast("double") * lift).cast("long")
-    return a.select("scenario", users.alias("eligible_users"), floor_round(lift, 6).alias("lift"),
+    return a.select("outcome", users.alias("eligible_users"), floor_round(lift, 6).alias("lift"),
                     extra.alias("additional_activated"), avg_ltv.alias("avg_annual_ltv"),
-                    (extra * avg_ltv).cast("long").alias("additional_revenue")).orderBy("scenario")
+                    (extra * avg_ltv).cast("long").alias("additional_revenue")).orderBy("outcome")

@@ -37,9 +37,15 @@ def activation(facts: DataFrame) -> DataFrame:
     return g.withColumn("activation_rate", pct("activated_users", "acquired_users", 2))
 
 
-def retention_next_year(facts: DataFrame) -> DataFrame:
-    """Users active again in the year after their first year."""
-    g = facts.agg(F.count(F.lit(1)).alias("acquired_users"),
+def retention_next_year(returns: DataFrame, p: Params = Params(), exclude_censored: bool = False) -> DataFrame:
+    """Users active again in the year after their first year, from a table
+    with one row per user (``user_returns`` or ``facts``).
+
+    ``exclude_censored`` leaves out users first seen in the last kept year,
+    whose next year is not observed."""
+    if exclude_censored:
+        returns = returns.filter(F.col("first_year") < p.last_kept_year)
+    g = returns.agg(F.count(F.lit(1)).alias("acquired_users"),
                   F.sum("active_next_year").cast("long").alias("retained_users"))
     return g.withColumn("retention_rate", pct("retained_users", "acquired_users", 2))
 
@@ -139,9 +145,9 @@ def funnel_sequential_joins(clean_df: DataFrame, p: Params = Params()) -> DataFr
     formulation): the fact joined to its per-user first day with a range
     residual (C1, C2), distinct users as semi-joins (C4), left joins and
     null tests for the stages (C3, C5).  ``funnel_sequential`` computes the
-    same counts from ``facts`` in one pass; this form scans the fact three
-    times and is kept for parity checks and for callers who want it."""
-    c = clean_df.select("user_id", "date_int", "tx_year")
+    same counts from ``facts`` in one pass.  Here the fact is reduced to
+    distinct user days before the joins, so a hot user has one row per day."""
+    c = clean_df.select("user_id", "date_int", "tx_year").distinct()
     first = c.groupBy("user_id").agg(F.min("date_int").alias("first_date"), F.min("tx_year").alias("first_year"))
     cf = c.join(first, "user_id")
     act = cf.filter((F.col("date_int") > F.col("first_date"))

@@ -20,11 +20,12 @@ from lifetrail.functions import ntile_from_rank, qcut_from_rank
 def rfm_frame(facts: DataFrame, p: Params = Params()) -> DataFrame:
     """Every user with the RFM inputs and a cohort-eligibility flag."""
     yrs = span_years("first_year", "last_year").cast("long")
+    more = [c for c in ("activated", "active_next_year") if c in facts.columns]
     return facts.select("user_id",
                         (F.lit(p.as_of_year) - F.col("last_year")).cast("long").alias("recency_years"),
                         round_ratio_int("n_tx", yrs).alias("frequency"),
                         round_ratio_int("pos_cents", yrs * 100).alias("monetary"),
-                        "n_pos", "activated", (F.col("first_year") >= p.min_cohort).alias("eligible"))
+                        "n_pos", *more, (F.col("first_year") >= p.min_cohort).alias("eligible"))
 
 
 def rfm_raw(facts: DataFrame, p: Params = Params()) -> DataFrame:
@@ -47,7 +48,7 @@ def segments_all_users(facts: DataFrame, p: Params = Params(), method: str = "qc
     f_s, m_s = fn("rank_frequency", "n", p.n_bins), fn("rank_monetary", "n", p.n_bins)
     seg = F.when(F.col("eligible"), rfm_segment(r + f_s + m_s, r, f_s, m_s, p.segment_cuts)) \
            .otherwise(F.lit(p.default_segment))
-    return j.select("user_id", "activated", seg.alias("segment"))
+    return j.select("user_id", "activated", "active_next_year", seg.alias("segment"))
 
 
 def rfm_scored(raw: DataFrame, p: Params = Params(), method: str = "ntile") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lifetrail.config import Params
 from lifetrail.operators import lifecycle, profile
-from lifetrail.operators.facts import facts
+from lifetrail.operators.facts import facts, user_returns, user_totals
 from lifetrail.operators.prepare import clean, monetary
 from lifetrail.sources.adapter import category_map, raw_transactions, raw_users
 
@@ -43,6 +43,10 @@ def _facts(spark, sf_dir, p=PARAMS):
     return facts(_clean(spark, sf_dir, p), p)
 
 
+def _totals(spark, sf_dir, p=PARAMS):
+    return user_totals(_clean(spark, sf_dir, p), p)
+
+
 # ---------------------------------------------------------------- A: preparation
 @register("clean_transactions")
 def q_clean_transactions(spark, sf_dir):
@@ -62,9 +66,9 @@ def q_audit_row_counts(spark, sf_dir):
     """Row counts of the raw fact, the clean and monetary views (one pass
     with conditional counts) and the users dimension."""
     from lifetrail.functions import parse_amount
-    from lifetrail.operators.prepare import fraud_flag
+    from lifetrail.operators.prepare import not_fraud
     raw = _raw(spark, sf_dir)
-    keep = (~fraud_flag(raw)) & (F.col("tx_year") < PARAMS.last_year_excl)
+    keep = not_fraud(raw) & (F.col("tx_year") < PARAMS.last_year_excl)
     amt = parse_amount("amount_raw")
     ltv = keep & (amt > 0) & F.col("errors").isNull() & (amt <= PARAMS.outlier_cap)
     g = raw.agg(F.count(F.lit(1)).alias("transactions"), F.count_if(keep).alias("clean_transactions"),
@@ -130,6 +134,11 @@ def q_category_top20_purchases(spark, sf_dir):
 
 @register("category_rollup")
 def q_category_rollup(spark, sf_dir):
+    return profile.category_rollup(_clean(spark, sf_dir), category_map(spark), PARAMS)
+
+
+@register("category_rollup_of_top20")
+def q_category_rollup_of_top20(spark, sf_dir):
     return profile.category_rollup(_clean(spark, sf_dir), category_map(spark), PARAMS, top_k=PARAMS.top_k)
 
 
@@ -140,8 +149,7 @@ def q_yearly_trend(spark, sf_dir):
 
 @register("yearly_trend_from_user_years")
 def q_yearly_trend_from_user_years(spark, sf_dir):
-    from lifetrail.operators.facts import user_years as _uy
-    return profile.yearly_trend_from_years(_uy(_clean(spark, sf_dir), PARAMS))
+    return profile.yearly_trend_from_years(_user_years(spark, sf_dir))
 
 
 @register("partial_period_check")
@@ -157,12 +165,12 @@ def q_population_reconciliation(spark, sf_dir):
 # ---------------------------------------------------------------- I: funnel
 @register("acquisition_by_year")
 def q_acquisition_by_year(spark, sf_dir):
-    return lifecycle.acquisition_by_year(_facts(spark, sf_dir))
+    return lifecycle.acquisition_by_year(_totals(spark, sf_dir))
 
 
 @register("acquisition_summary")
 def q_acquisition_summary(spark, sf_dir):
-    return lifecycle.acquisition_summary(_facts(spark, sf_dir))
+    return lifecycle.acquisition_summary(_totals(spark, sf_dir))
 
 
 @register("activation")
@@ -178,12 +186,17 @@ def q_activation_calendar(spark, sf_dir):
 
 @register("retention_next_year")
 def q_retention_next_year(spark, sf_dir):
-    return lifecycle.retention_next_year(_facts(spark, sf_dir))
+    return lifecycle.retention_next_year(user_returns(_user_years(spark, sf_dir)), PARAMS)
+
+
+@register("retention_next_year_uncensored")
+def q_retention_next_year_uncensored(spark, sf_dir):
+    return lifecycle.retention_next_year(user_returns(_user_years(spark, sf_dir)), PARAMS, exclude_censored=True)
 
 
 @register("revenue_summary")
 def q_revenue_summary(spark, sf_dir):
-    return lifecycle.revenue_summary(_facts(spark, sf_dir), PARAMS)
+    return lifecycle.revenue_summary(_totals(spark, sf_dir), PARAMS)
 
 
 @register("funnel_sequential")
@@ -231,6 +244,30 @@ def q_user_subset(spark, sf_dir):
     return sub.select("user_id", "tx_year", "tx_month", "tx_day", "amount_raw", "mcc", "errors", "is_fraud")
 
 
+@register("user_subset_tables")
+def q_user_subset_tables(spark, sf_dir):
+    """Rows of each table that stay when all are cut to the same users."""
+    from lifetrail.sources.adapter import raw_cards
+    from lifetrail.sources.files import consistent_subset
+    tables = {"transactions": _raw(spark, sf_dir), "users": raw_users(spark, sf_dir), "cards": raw_cards(spark, sf_dir)}
+    cut = consistent_subset(tables, n_users=200, seed=PARAMS.seed, p=PARAMS)
+    out = None
+    for name, df in cut.items():
+        row = df.agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("user_id").alias("users")).select(F.lit(name).alias("table_name"), "row_count", "users")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("cohort_demographics_by_position")
+def q_cohort_demographics_by_position(spark, sf_dir):
+    """Cohort demographics with users joined on their row position (the
+    users file has no key of its own): the position among the users in key
+    order, shifted to the keys' start."""
+    from lifetrail.sources.files import positional_key
+    users = positional_key(raw_users(spark, sf_dir).withColumn("customer", F.col("user_id")).drop("user_id"), ["customer"], "user_id", start=1)
+    return cohort.cohort_demographics(_totals(spark, sf_dir), users, PARAMS)
+
+
 # ---------------------------------------------------------------- J: cohorts and value
 from lifetrail.operators import cohort, value, rfm, mix, experiment  # noqa: E402
 from lifetrail.operators.facts import user_years  # noqa: E402
@@ -241,17 +278,17 @@ def _user_years(spark, sf_dir, p=PARAMS):
 
 
 def _annual(spark, sf_dir, p=PARAMS):
-    return value.annual_ltv(_facts(spark, sf_dir, p), p)
+    return value.annual_ltv(_totals(spark, sf_dir, p), p)
 
 
 @register("cohort_sizes")
 def q_cohort_sizes(spark, sf_dir):
-    return cohort.cohort_sizes(_facts(spark, sf_dir))
+    return cohort.cohort_sizes(_totals(spark, sf_dir))
 
 
 @register("cohort_truncation_check")
 def q_cohort_truncation_check(spark, sf_dir):
-    return cohort.cohort_truncation_check(_facts(spark, sf_dir), PARAMS)
+    return cohort.cohort_truncation_check(_totals(spark, sf_dir), PARAMS)
 
 
 @register("cohort_retention")
@@ -259,6 +296,12 @@ def q_cohort_retention(spark, sf_dir):
     return cohort.cohort_retention(_user_years(spark, sf_dir), PARAMS)
 
 
+@register("cohort_retention_matrix_truncated")
+def q_cohort_retention_matrix_truncated(spark, sf_dir):
+    """The biased matrix: cohorts of a history that begins at the first kept year."""
+    return cohort.cohort_retention_matrix(cohort.truncated_years(_user_years(spark, sf_dir), PARAMS), PARAMS)
+
+
 @register("cohort_retention_matrix")
 def q_cohort_retention_matrix(spark, sf_dir):
     return cohort.cohort_retention_matrix(_user_years(spark, sf_dir), PARAMS)
@@ -296,12 +339,12 @@ def q_cohort_behavior_by_age(spark, sf_dir):
 
 @register("cohort_demographics")
 def q_cohort_demographics(spark, sf_dir):
-    return cohort.cohort_demographics(_facts(spark, sf_dir), raw_users(spark, sf_dir), PARAMS)
+    return cohort.cohort_demographics(_totals(spark, sf_dir), raw_users(spark, sf_dir), PARAMS)
 
 
 @register("observed_lifespan")
 def q_observed_lifespan(spark, sf_dir):
-    return cohort.observed_lifespan(_facts(spark, sf_dir), PARAMS)
+    return cohort.observed_lifespan(_totals(spark, sf_dir), PARAMS)
 
 
 @register("annual_ltv")
@@ -326,7 +369,7 @@ def q_ltv_describe(spark, sf_dir):
 
 # ---------------------------------------------------------------- K: RFM and segment mix
 def _rfm_raw(spark, sf_dir, p=PARAMS):
-    return rfm.rfm_raw(_facts(spark, sf_dir, p), p)
+    return rfm.rfm_raw(_totals(spark, sf_dir, p), p)
 
 
 def _segments(spark, sf_dir, method, p=PARAMS):
@@ -376,8 +419,15 @@ def q_segment_transactions(spark, sf_dir):
     return mix.segment_transactions(_segments(spark, sf_dir, "qcut"))
 
 
+def _activity(spark, sf_dir, p=PARAMS):
+    """One aggregate of the fact and the segments from the same aggregate."""
+    activity = mix.user_activity(_clean(spark, sf_dir, p), p)
+    raw = rfm.rfm_raw(mix.totals_from_activity(activity, p), p)
+    return activity, rfm.rfm_segments(rfm.rfm_scored(raw, p, "qcut"), p)
+
+
 def _mix(spark, sf_dir):
-    return mix.segment_category_mix(_clean(spark, sf_dir), _segments(spark, sf_dir, "qcut"), category_map(spark))
+    return mix.segment_category_mix(*_activity(spark, sf_dir), category_map(spark))
 
 
 @register("segment_category_mix")
@@ -397,7 +447,7 @@ def q_segment_top_categories(spark, sf_dir):
 
 @register("segment_seasonality")
 def q_segment_seasonality(spark, sf_dir):
-    return mix.segment_seasonality(_clean(spark, sf_dir), _segments(spark, sf_dir, "qcut"))
+    return mix.segment_seasonality(*_activity(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- L: experiment
@@ -406,7 +456,7 @@ def _units(spark, sf_dir, p=PARAMS):
 
 
 def _outcomes(spark, sf_dir, p=PARAMS):
-    return experiment.uplift_scenario(experiment.experiment_assignment(_units(spark, sf_dir, p), p), p)
+    return experiment.observed_outcomes(experiment.experiment_assignment(_units(spark, sf_dir, p), p))
 
 
 @register("activation_by_segment")
@@ -420,10 +470,9 @@ def q_experiment_assignment(spark, sf_dir):
     return a.select("user_id", F.col("activated").cast("long").alias("activated"), "segment", "draw_order", "arm")
 
 
-@register("uplift_scenario")
-def q_uplift_scenario(spark, sf_dir):
-    o = _outcomes(spark, sf_dir)
-    return o.withColumn("activated", F.col("activated").cast("long"))
+@register("observed_outcomes")
+def q_observed_outcomes(spark, sf_dir):
+    return _outcomes(spark, sf_dir)
 
 
 @register("experiment_groups")
@@ -456,12 +505,12 @@ def q_power_curve(spark, sf_dir):
     return experiment.power_curve(_units(spark, sf_dir), PARAMS)
 
 
-@register("scenario_comparison")
-def q_scenario_comparison(spark, sf_dir):
-    return experiment.scenario_comparison(_outcomes(spark, sf_dir), PARAMS)
+@register("outcome_comparison")
+def q_outcome_comparison(spark, sf_dir):
+    return experiment.outcome_comparison(_outcomes(spark, sf_dir), PARAMS)
 
 
 @register("impact_estimate")
 def q_impact_estimate(spark, sf_dir):
-    population = experiment.impact_population(_facts(spark, sf_dir), PARAMS)
+    population = experiment.impact_population(_totals(spark, sf_dir), PARAMS)
     return experiment.impact_estimate(_outcomes(spark, sf_dir), population)

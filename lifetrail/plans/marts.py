@@ -1,20 +1,17 @@
 """Result marts (A16/A13): the six dashboard tables built in one run.
 
-The per-(user, year) table is materialised once (written as a table in
-the shared folder named by ``spark.checkpoint.dir``), the per-user
-``facts`` table is derived from it (and written too), and every mart reads
-them; the transaction fact itself is scanned once for them plus once for
-the category mart.  The written tables cut the
+The yearly per-user table is written once to the shared folder that the
+caller names, the per-user ``facts`` table is derived from it (and written
+too), and every mart reads them; the transaction fact itself is scanned
+once for them plus once for the category mart.  The written tables cut the
 lineage, so a lost executor recomputes from them rather than from the raw
-scan.
+scan; they go when the marts are written.
 """
 
 from __future__ import annotations
 
-import logging
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,72 +19,82 @@ from lifetrail.config import Params
 from lifetrail.operators import cohort, experiment, lifecycle, profile, rfm
 from lifetrail.operators.facts import facts_from_years, user_days, user_years_from_days
 from lifetrail.operators.prepare import clean
-from lifetrail.sources.files import write_table
-
-log = logging.getLogger(__name__)
-
-
-def shared_folder(spark) -> str | None:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``
-    (local test sessions get a scratch folder; a cluster session without
-    the setting gets None)."""
-    sc = spark.sparkContext
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if conf_dir:
-        return conf_dir
-    if sc.getCheckpointDir():
-        return sc.getCheckpointDir()
-    if sc.master.startswith("local"):
-        from lifetrail.config import ensure_checkpoint_dir
-        return ensure_checkpoint_dir(spark)
-    return None
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage by writing ``df`` as a parquet table in the shared
-    checkpoint folder and reading it back: one write pass, columnar reads
-    with pruning downstream, and a lost executor recomputes nothing above
-    it.  Without a shared folder (cluster session lacking
-    ``spark.checkpoint.dir``) fall back to a disk-backed persist."""
-    base = shared_folder(df.sparkSession)
-    if base is None:
-        log.warning("spark.checkpoint.dir is not set; persisting %s instead of writing it", name)
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    path = f"{base.rstrip('/')}/lifetrail-tables/{name}-{uuid.uuid4().hex}"
+from lifetrail.sources.files import save_table, write_table
+
+#: Marts whose number of rows is bounded by years, stages or categories.
+SMALL_MARTS = ("aarrr_funnel", "yearly_trend", "cohort_behavior", "ab_test_result", "mcc_category")
+
+
+def materialise(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """Cut the lineage with a Parquet table below ``folder``."""
+    path = f"{folder.rstrip('/')}/{name}"
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-def build_marts(raw: DataFrame, mapping: DataFrame, p: Params = Params()) -> dict[str, DataFrame]:
-    """Return the six marts as DataFrames (lazy except the materialised bases)."""
+def run_folder(shared_folder: str) -> str:
+    """A name for one run's intermediate tables below the shared folder."""
+    if not shared_folder:
+        raise ValueError("a folder that all executors share is needed for intermediate tables")
+    return f"{shared_folder.rstrip('/')}/lifetrail-marts-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def build_marts(raw: DataFrame, mapping: DataFrame, folder: str, p: Params = Params()) -> dict[str, DataFrame]:
+    """Return the six marts as DataFrames (lazy except the bases, which are
+    written below ``folder``; see ``run_folder`` and ``remove_folder``)."""
     c = clean(raw, p)
-    uy = materialise(user_years_from_days(user_days(c, p)), "user_years")
-    f = materialise(facts_from_years(uy, p), "facts")
+    uy = materialise(user_years_from_days(user_days(c, p)), folder, "user_years")
+    f = materialise(facts_from_years(uy, p), folder, "facts")
 
     segs = rfm.rfm_segments(rfm.rfm_scored(rfm.rfm_raw(f, p), p, "qcut"), p)
     units = rfm.segments_all_users(f, p, "qcut")
-    outcomes = experiment.uplift_scenario(experiment.experiment_assignment(units, p), p)
+    outcomes = experiment.observed_outcomes(experiment.experiment_assignment(units, p))
     top = profile.category_top(c, p, purchases_only=True)
-    m = F.broadcast(mapping.select(F.col("code").alias("mcc"), F.col("detail").alias("category")))
+    m = mapping.select(F.col("code").alias("mcc"), F.col("detail").alias("category"))
     return {
         "aarrr_funnel": lifecycle.funnel_stages(f),
         "yearly_trend": profile.yearly_trend_from_years(uy),
         "cohort_behavior": cohort.cohort_behavior_complete_years(uy, p),
         "rfm_segments": segs.select("user_id", "recency_years", "frequency", "monetary",
                                     "r_score", "f_score", "m_score", "rfm_score", "segment"),
-        "ab_test_result": experiment.scenario_comparison(outcomes, p),
+        "ab_test_result": experiment.outcome_comparison(outcomes, p),
         "mcc_category": top.join(m, "mcc", "left").withColumn("category", F.coalesce("category", F.lit("other")))
                            .select("mcc", "tx_count", "avg_amount", "ratio", "category"),
     }
 
 
 def write_marts(marts: dict[str, DataFrame], out_dir: str, fmt: str = "parquet") -> list[str]:
-    """Write every mart (replace mode); marts are small (bounded by users,
-    years or categories), so each is written as a single file for
-    dashboard tools.  Returns the written paths."""
+    """Write every mart (replace mode).  Marts bounded by years, stages or
+    categories become a single file for dashboard tools; the per-user mart
+    is written by all tasks.  Returns the written paths."""
     paths = []
     for name, df in marts.items():
         path = f"{out_dir.rstrip('/')}/{name}"
-        write_table(df.coalesce(1), path, mode="replace", fmt=fmt, **({"header": True} if fmt == "csv" else {}))
+        out = df.coalesce(1) if name in SMALL_MARTS else df
+        write_table(out, path, mode="replace", fmt=fmt, **({"header": True} if fmt == "csv" else {}))
         paths.append(path)
     return paths
+
+
+def load_marts(marts: dict[str, DataFrame], database: str = "default", prefix: str = "") -> list[str]:
+    """Load every mart into a catalog table, truncating it first (A13)."""
+    names = []
+    for name, df in marts.items():
+        full = f"{database}.{prefix}{name}"
+        save_table(df.coalesce(1) if name in SMALL_MARTS else df, full, mode="replace")
+        names.append(full)
+    return names
+
+
+def run_marts(raw: DataFrame, mapping: DataFrame, out_dir: str, shared_folder: str, p: Params = Params(), fmt: str = "parquet") -> list[str]:
+    """Build and write the six marts, then drop the run's intermediate tables."""
+    folder = run_folder(shared_folder)
+    try:
+        return write_marts(build_marts(raw, mapping, folder, p), out_dir, fmt)
+    finally:
+        remove_folder(raw.sparkSession, folder)

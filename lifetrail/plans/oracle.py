@@ -201,6 +201,21 @@ SELECT mcc, COUNT(*) AS tx_count, COUNT(DISTINCT user_id) AS user_count,
 FROM clean_c WHERE amount > 0 GROUP BY mcc
 ORDER BY tx_count DESC, mcc ASC NULLS FIRST LIMIT {P.top_k}"""
     q["category_rollup"] = with_(b) + f"""
+, top AS (
+  SELECT mcc, COUNT(*) AS tx_count FROM clean GROUP BY mcc
+  ), labelled AS (
+  SELECT tx_count,
+         CASE WHEN mcc LIKE 'Brand#%' AND CAST(substr(mcc, 7) AS INTEGER) BETWEEN 1 AND 20
+              THEN 'brand-' || substr(mcc, 7) ELSE 'other' END AS detail,
+         CASE WHEN mcc LIKE 'Brand#%' AND CAST(substr(mcc, 7) AS INTEGER) BETWEEN 1 AND 20
+              THEN 'group-' || CAST((CAST(substr(mcc, 7) AS INTEGER) - 1) // 5 + 1 AS VARCHAR)
+              ELSE 'other' END AS large_group
+  FROM top
+)
+SELECT 'large' AS level, large_group AS label, CAST(SUM(tx_count) AS BIGINT) AS tx_count FROM labelled GROUP BY large_group
+UNION ALL
+SELECT 'detail', detail, CAST(SUM(tx_count) AS BIGINT) FROM labelled GROUP BY detail"""
+    q["category_rollup_of_top20"] = with_(b) + f"""
 , top AS (
   SELECT mcc, COUNT(*) AS tx_count FROM clean GROUP BY mcc
   ORDER BY tx_count DESC, mcc ASC NULLS FIRST LIMIT {P.top_k}
@@ -250,6 +265,10 @@ FROM flags"""
 SELECT COUNT(*) AS acquired_users, CAST(SUM(retained) AS BIGINT) AS retained_users,
        {pct('SUM(retained)', 'COUNT(*)', 2)} AS retention_rate
 FROM flags"""
+    q["retention_next_year_uncensored"] = fb + f"""
+SELECT COUNT(*) AS acquired_users, CAST(SUM(retained) AS BIGINT) AS retained_users,
+       {pct('SUM(retained)', 'COUNT(*)', 2)} AS retention_rate
+FROM flags WHERE first_year < 2000"""
     q["revenue_summary"] = with_(b) + f"""
 , per_user AS (SELECT user_id, SUM(cents) AS tot FROM ltv GROUP BY user_id)
 SELECT COUNT(*) AS total_users, {rr('SUM(tot)', 'COUNT(*) * 100', 2)} AS avg_ltv,
@@ -309,8 +328,10 @@ FROM flags"""
 
 # ---------------------------------------------------------------- J / K / L
 def sql_normal_cdf(x: str) -> str:
-    """The same rational normal CDF as ``functions.normal_cdf``, in SQL."""
-    from lifetrail.functions.exprs import _HART_P, _HART_Q, _HART_SPLIT, _SQRT_2PI
+    """The normal CDF of the same publication (Hart 1968, West 2005), in SQL."""
+    # fixed values of that publication
+    p = (0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+    q = (0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
 
     def lit(v):
         return f"CAST({v!r} AS DOUBLE)"
@@ -324,12 +345,12 @@ def sql_normal_cdf(x: str) -> str:
         return acc
 
     ex = f"exp(-({ax}) * {ax} / 2)"
-    near = f"({ex} * {horner(_HART_P)} / {horner(_HART_Q)})"
+    near = f"({ex} * {horner(p)} / {horner(q)})"
     frac = f"({ax} + {lit(0.65)})"
     for k in (4, 3, 2, 1):
         frac = f"({ax} + {lit(float(k))} / {frac})"
-    far = f"({ex} / {frac} / {lit(_SQRT_2PI)})"
-    tail = f"(CASE WHEN {ax} > 37 THEN 0.0 WHEN {ax} < {lit(_HART_SPLIT)} THEN {near} ELSE {far} END)"
+    far = f"({ex} / {frac} / {lit(2.506628274631)})"
+    tail = f"(CASE WHEN {ax} > 37 THEN 0.0 WHEN {ax} < {lit(7.07106781186547)} THEN {near} ELSE {far} END)"
     return f"(CASE WHEN ({x}) > 0 THEN 1 - {tail} ELSE {tail} END)"
 
 
@@ -432,47 +453,32 @@ seg_q AS (
 
 
 def experiment_ctes(p: Params = P) -> str:
-    from lifetrail.operators.experiment import SCENARIOS
-    probs = ", ".join(f"('{n}', '{seg}', CAST({pr!r} AS DOUBLE))"
-                      for n, (d, _) in SCENARIOS.items() for seg, pr in d.items())
-    defaults = ", ".join(f"('{n}', CAST({dp!r} AS DOUBLE))" for n, (_, dp) in SCENARIOS.items())
-    names = ", ".join(f"('{n}')" for n in SCENARIOS)
-    u = ("CAST(('0x' || substr(md5(CAST(r.user_id AS VARCHAR) || ':" + str(p.seed)
-         + ":' || r.scenario), 1, 8))::BIGINT AS DOUBLE) / CAST(4294967296 AS DOUBLE)")
     return f"""
 units AS (
-  SELECT f.user_id, f.activated, COALESCE(s.segment, '{p.default_segment}') AS segment
+  SELECT f.user_id, f.activated, f.retained, COALESCE(s.segment, '{p.default_segment}') AS segment
   FROM flags f LEFT JOIN seg_q s ON f.user_id = s.user_id
 ),
-drawn AS (
-  SELECT *, md5(CAST(user_id AS VARCHAR) || ':{p.seed}') AS k FROM units
-  ORDER BY k, user_id LIMIT {2 * p.n_per_group}
-),
 asg AS (
-  SELECT user_id, activated, segment, CAST(ROW_NUMBER() OVER (ORDER BY k, user_id) AS BIGINT) AS draw_order
-  FROM drawn
+  SELECT *, ROW_NUMBER() OVER (ORDER BY md5(CAST(user_id AS VARCHAR) || ':42'), user_id) AS draw_order,
+         COUNT(*) OVER () // 2 AS half
+  FROM units
 ),
 asg2 AS (
-  SELECT *, CASE WHEN draw_order <= {p.n_per_group} THEN 'control' ELSE 'treatment' END AS arm FROM asg
+  SELECT user_id, activated, retained, segment, draw_order, CASE WHEN draw_order <= half THEN 'control' ELSE 'treatment' END AS arm
+  FROM asg WHERE draw_order <= 2 * half
 ),
-sprob AS (SELECT * FROM (VALUES {probs}) t(scenario, segment, prob)),
-sdef AS (SELECT * FROM (VALUES {defaults}) t(scenario, dprob)),
-rows_ AS (SELECT a.*, s.scenario FROM asg2 a CROSS JOIN (VALUES {names}) s(scenario)),
 outc AS (
-  SELECT r.scenario, r.user_id, r.arm, r.segment, CAST(r.activated AS BIGINT) AS activated,
-         CAST(CASE WHEN r.arm = 'treatment' AND r.activated = 0 AND {u} < COALESCE(sp.prob, d.dprob)
-                   THEN 1 ELSE r.activated END AS BIGINT) AS converted
-  FROM rows_ r
-  LEFT JOIN sprob sp ON r.scenario = sp.scenario AND r.segment = sp.segment
-  JOIN sdef d ON r.scenario = d.scenario
+  SELECT 'activation' AS outcome, user_id, arm, segment, CAST(activated AS BIGINT) AS converted FROM asg2
+  UNION ALL
+  SELECT 'next_year_return', user_id, arm, segment, CAST(retained AS BIGINT) FROM asg2
 ),
 arms AS (
-  SELECT scenario,
+  SELECT outcome,
          COUNT(*) FILTER (WHERE arm = 'treatment') AS n_treated,
          CAST(SUM(CASE WHEN arm = 'treatment' THEN converted ELSE 0 END) AS BIGINT) AS x_treated,
          COUNT(*) FILTER (WHERE arm = 'control') AS n_control,
          CAST(SUM(CASE WHEN arm = 'control' THEN converted ELSE 0 END) AS BIGINT) AS x_control
-  FROM outc GROUP BY scenario
+  FROM outc GROUP BY outcome
 ),
 zt AS (
   SELECT *, CASE WHEN n_treated > 0 AND n_control > 0 AND se > 0 THEN (p1 - p2) / se END AS z
@@ -493,7 +499,8 @@ zt AS (
 
 
 def _sql_jkl(q: dict) -> None:
-    from lifetrail.operators.experiment import z_quantile
+    from statistics import NormalDist
+    z_quantile = NormalDist().inv_cdf
     p = P
     b = base()
     ff = funnel_ctes()
@@ -508,6 +515,14 @@ def _sql_jkl(q: dict) -> None:
 SELECT user_id, tx_year, tx_month, tx_day, amount_raw, mcc, errors, is_fraud
 FROM raw WHERE user_id IN (SELECT user_id FROM s) AND is_fraud = 'No' AND tx_year < {p.last_year_excl}"""
 
+    q["user_subset_tables"] = with_(b) + f"""
+, s AS (SELECT c_custkey AS user_id FROM customer
+        ORDER BY md5(CAST(c_custkey AS VARCHAR) || ':42'), c_custkey LIMIT 200)
+SELECT 'transactions' AS table_name, COUNT(*) AS row_count, COUNT(DISTINCT user_id) AS users
+FROM raw WHERE user_id IN (SELECT user_id FROM s) AND is_fraud = 'No' AND tx_year < {p.last_year_excl}
+UNION ALL SELECT 'users', COUNT(*), COUNT(DISTINCT user_id) FROM s
+UNION ALL SELECT 'cards', CAST(SUM(user_id % 7 + 1) AS BIGINT), COUNT(DISTINCT user_id) FROM s"""
+
     # J
     q["cohort_sizes"] = cj + "SELECT CAST(cohort_year AS BIGINT) AS cohort_year, COUNT(*) AS users FROM cb GROUP BY cohort_year"
     q["cohort_truncation_check"] = cj + f"""
@@ -523,6 +538,12 @@ FROM a FULL OUTER JOIN t ON a.cohort_year = t.cohort_year"""
     q["cohort_retention_matrix"] = cj + ", r AS (" + ret_sel + ")\nSELECT cohort_year, " + ", ".join(
         f"MAX(CASE WHEN years_since_first = {a} THEN retention_rate END) AS age_{a}" for a in ages) + \
         " FROM r GROUP BY cohort_year"
+    q["cohort_retention_matrix_truncated"] = cj + f"""
+, tb AS (SELECT user_id, MIN(tx_year) AS cohort_year FROM clean WHERE tx_year >= {p.min_cohort} GROUP BY user_id)
+, ta AS (SELECT DISTINCT c.user_id, tb.cohort_year, c.tx_year - tb.cohort_year AS age FROM clean c JOIN tb ON c.user_id = tb.user_id WHERE c.tx_year >= {p.min_cohort})
+, tn AS (SELECT cohort_year, age, COUNT(*) AS n FROM ta GROUP BY 1, 2)
+, tr AS (SELECT a.cohort_year, a.age, {pct('a.n', 'z.n', 1)} AS rate FROM tn a JOIN tn z ON a.cohort_year = z.cohort_year AND z.age = 0)
+SELECT CAST(cohort_year AS BIGINT) AS cohort_year, """ + ", ".join(f"MAX(CASE WHEN age = {a} THEN rate END) AS age_{a}" for a in ages) + " FROM tr GROUP BY cohort_year"
     q["cohort_retention_by_age"] = cj + f"""
 SELECT CAST(age AS BIGINT) AS years_since_first, COUNT(*) AS cohorts,
        CAST(SUM({rr_int('1000 * retained_users', 'cohort_users')}) AS DOUBLE) / CAST(COUNT(*) * 10 AS DOUBLE) AS avg_retention_rate
@@ -534,23 +555,34 @@ FROM ret GROUP BY age"""
     cy_sel = f"""SELECT cohort_year, years_since_first, active_users, avg_tx_per_user, avg_revenue_per_user
 FROM ({beh_sel}) WHERE years_since_first BETWEEN {p.age_min} AND {p.age_max}"""
     q["cohort_behavior_complete_years"] = cj + cy_sel
-    q["cohort_frequency_matrix"] = cj + ", r AS (" + cy_sel + ")\nSELECT cohort_year, " + ", ".join(
+    fa_sel = f"SELECT * FROM ({beh_sel}) WHERE years_since_first >= 1"
+    q["cohort_frequency_matrix"] = cj + ", r AS (" + fa_sel + ")\nSELECT cohort_year, " + ", ".join(
         f"MAX(CASE WHEN years_since_first = {a} THEN avg_tx_per_user END) AS age_{a}" for a in ages1) + \
         " FROM r GROUP BY cohort_year"
-    q["cohort_revenue_matrix"] = cj + ", r AS (" + cy_sel + ")\nSELECT cohort_year, " + ", ".join(
+    q["cohort_revenue_matrix"] = cj + ", r AS (" + fa_sel + ")\nSELECT cohort_year, " + ", ".join(
         f"MAX(CASE WHEN years_since_first = {a} THEN avg_revenue_per_user END) AS age_{a}" for a in ages1) + \
         " FROM r GROUP BY cohort_year"
     q["cohort_behavior_by_age"] = cj + f"""
 SELECT CAST(age AS BIGINT) AS years_since_first, COUNT(*) AS cohorts,
        CAST(SUM({rr_int('10 * total_tx', 'active_users')}) AS DOUBLE) / CAST(COUNT(*) * 10 AS DOUBLE) AS avg_tx_per_user,
        CAST(SUM({rr_int('rev', 'active_users * 100')}) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS avg_revenue_per_user
-FROM beh WHERE age BETWEEN {p.age_min} AND {p.age_max} GROUP BY age"""
+FROM beh WHERE age >= 1 GROUP BY age"""
     q["cohort_demographics"] = cj + f"""
 SELECT CAST(cb.cohort_year AS BIGINT) AS cohort_year, COUNT(*) AS user_count,
        {rr_int('SUM(u.c_nationkey)', 'COUNT(u.c_nationkey)')} AS avg_score,
-       {rr_int('SUM(CAST(CAST(u.c_acctbal AS DECIMAL(12,2)) * 100 AS BIGINT))', 'COUNT(u.c_acctbal) * 100')} AS avg_income
+       {rr_int('SUM(CAST(CAST(u.c_acctbal AS DECIMAL(12,2)) * 100 AS BIGINT))', 'COUNT(u.c_acctbal) * 100')} AS avg_income,
+       {rr_int('SUM(18 + u.c_custkey % 70)', 'COUNT(u.c_custkey)')} AS avg_age
 FROM cb JOIN customer u ON cb.user_id = u.c_custkey
 WHERE cb.cohort_year BETWEEN {p.profile_cohort_lo} AND {p.profile_cohort_hi}
+GROUP BY cb.cohort_year"""
+    q["cohort_demographics_by_position"] = cj + f"""
+, u AS (SELECT *, ROW_NUMBER() OVER (ORDER BY c_custkey) AS position FROM customer)
+SELECT CAST(cb.cohort_year AS BIGINT) AS cohort_year, COUNT(*) AS user_count,
+       {rr_int('SUM(u.c_nationkey)', 'COUNT(u.c_nationkey)')} AS avg_score,
+       {rr_int('SUM(CAST(CAST(u.c_acctbal AS DECIMAL(12,2)) * 100 AS BIGINT))', 'COUNT(u.c_acctbal) * 100')} AS avg_income,
+       {rr_int('SUM(18 + u.c_custkey % 70)', 'COUNT(u.c_custkey)')} AS avg_age
+FROM cb JOIN u ON cb.user_id = u.position
+WHERE cb.cohort_year BETWEEN 1995 AND 1998
 GROUP BY cb.cohort_year"""
     q["observed_lifespan"] = cj + f"""
 SELECT CAST(cohort_year AS BIGINT) AS cohort_year, COUNT(*) AS user_count,
@@ -639,23 +671,23 @@ SELECT segment, COUNT(*) AS user_count, CAST(SUM(activated) AS BIGINT) AS activa
        {rr('SUM(activated)', 'COUNT(*)', 3)} AS activation_rate
 FROM units GROUP BY segment"""
     q["experiment_assignment"] = ex + "SELECT user_id, CAST(activated AS BIGINT) AS activated, segment, draw_order, arm FROM asg2"
-    q["uplift_scenario"] = ex + "SELECT * FROM outc"
+    q["observed_outcomes"] = ex + "SELECT * FROM outc"
     q["experiment_groups"] = ex + f"""
-, g AS (SELECT scenario, arm, COUNT(*) AS n, CAST(SUM(converted) AS BIGINT) AS conversions FROM outc GROUP BY 1, 2)
-SELECT g.scenario, g.arm, g.n, g.conversions, {rr('g.conversions', 'g.n', 4)} AS conversion_rate,
+, g AS (SELECT outcome, arm, COUNT(*) AS n, CAST(SUM(converted) AS BIGINT) AS conversions FROM outc GROUP BY 1, 2)
+SELECT g.outcome, g.arm, g.n, g.conversions, {rr('g.conversions', 'g.n', 4)} AS conversion_rate,
        CASE WHEN g.arm = 'treatment'
             THEN {rr('100 * (g.conversions * c.n - c.conversions * g.n)', 'g.n * c.n', 1)} END AS lift_pp
-FROM g JOIN g c ON c.scenario = g.scenario AND c.arm = 'control'"""
+FROM g JOIN g c ON c.outcome = g.outcome AND c.arm = 'control'"""
     q["experiment_by_segment"] = ex + f"""
 , g AS (
-  SELECT scenario, segment,
+  SELECT outcome, segment,
          COUNT(*) FILTER (WHERE arm = 'control') AS n_control,
          SUM(CASE WHEN arm = 'control' THEN converted ELSE 0 END) AS x_control,
          COUNT(*) FILTER (WHERE arm = 'treatment') AS n_treated,
          SUM(CASE WHEN arm = 'treatment' THEN converted ELSE 0 END) AS x_treated
   FROM outc GROUP BY 1, 2
 )
-SELECT scenario, segment, n_control, n_treated,
+SELECT outcome, segment, n_control, n_treated,
        CASE WHEN n_control > 0 THEN {rr('x_control', 'n_control', 3)} END AS control_rate,
        CASE WHEN n_treated > 0 THEN {rr('x_treated', 'n_treated', 3)} END AS treated_rate,
        CASE WHEN n_control > 0 AND n_treated > 0
@@ -663,17 +695,17 @@ SELECT scenario, segment, n_control, n_treated,
 FROM g"""
     pv = "1 - " + sql_normal_cdf("z")
     q["two_proportion_ztest"] = ex + f"""
-SELECT scenario, x_treated, n_treated, x_control, n_control, {fround('z', 4)} AS z_stat,
+SELECT outcome, x_treated, n_treated, x_control, n_control, {fround('z', 4)} AS z_stat,
        {fround(pv, 6)} AS p_value, CAST(CASE WHEN {pv} < {p.alpha} THEN 1 ELSE 0 END AS BIGINT) AS reject
 FROM zt"""
     zq = z_quantile(1 - p.alpha / 2)
     rate = "CAST(conversions AS DOUBLE) / CAST(n AS DOUBLE)"
     half = f"CAST({zq!r} AS DOUBLE) * sqrt(({rate}) * (1 - ({rate})) / CAST(n AS DOUBLE))"
     q["proportion_ci"] = ex + f"""
-SELECT scenario, arm, n, conversions,
+SELECT outcome, arm, n, conversions,
        {fround(f'GREATEST(0.0, ({rate}) - {half})', 4)} AS ci_low,
        {fround(f'LEAST(1.0, ({rate}) + {half})', 4)} AS ci_high
-FROM (SELECT scenario, arm, COUNT(*) AS n, CAST(SUM(converted) AS BIGINT) AS conversions FROM outc GROUP BY 1, 2)"""
+FROM (SELECT outcome, arm, COUNT(*) AS n, CAST(SUM(converted) AS BIGINT) AS conversions FROM outc GROUP BY 1, 2)"""
     za, zb = z_quantile(1 - p.alpha), z_quantile(p.power)
     grid = ", ".join(f"CAST({m!r} AS DOUBLE)" for m in p.mde_grid)
     p0 = "CAST(activated AS DOUBLE) / CAST(users AS DOUBLE)"
@@ -697,24 +729,22 @@ FROM base_, (SELECT unnest([{grid}]) AS mde) g"""
 SELECT CAST(n AS BIGINT) AS n_per_group,
        {fround(sql_normal_cdf(f'{h0} * sqrt(CAST(n AS DOUBLE) / 2) - CAST({za!r} AS DOUBLE)'), 6)} AS power
 FROM b, generate_series({p.power_n_lo}, {p.power_n_hi}, {p.power_n_step}) t(n)"""
-    q["scenario_comparison"] = ex + f"""
-SELECT 'control' AS group_name,
-       CASE WHEN MAX(n_control) > 0 THEN {rr('100 * MAX(x_control)', 'MAX(n_control)', 1)} END AS conversion_rate,
-       CAST(NULL AS DOUBLE) AS lift_pp, MAX(n_control) AS n, CAST(NULL AS DOUBLE) AS p_value,
-       CAST(NULL AS VARCHAR) AS decision
+    q["outcome_comparison"] = ex + f"""
+SELECT outcome, 'control' AS arm, CASE WHEN n_control > 0 THEN {rr('100 * x_control', 'n_control', 1)} END AS conversion_rate,
+       CAST(NULL AS DOUBLE) AS lift_pp, n_control AS n, CAST(NULL AS DOUBLE) AS p_value, CAST(NULL AS VARCHAR) AS decision
 FROM arms
 UNION ALL
-SELECT 'treatment:' || scenario, CASE WHEN n_treated > 0 THEN {rr('100 * x_treated', 'n_treated', 1)} END,
+SELECT outcome, 'treatment', CASE WHEN n_treated > 0 THEN {rr('100 * x_treated', 'n_treated', 1)} END,
        CASE WHEN n_treated > 0 AND n_control > 0
             THEN {rr('100 * (x_treated * n_control - x_control * n_treated)', 'n_treated * n_control', 1)} END,
-       n_treated, {fround(pv, 4)}, CASE WHEN {pv} < {p.alpha} THEN 'reject' ELSE 'keep' END
+       n_treated, {fround(pv, 4)}, CASE WHEN {pv} < 0.05 THEN 'reject' ELSE 'keep' END
 FROM zt"""
     lift = ("(CASE WHEN n_treated > 0 AND n_control > 0 THEN CAST(x_treated AS DOUBLE) / CAST(n_treated AS DOUBLE)"
             " - CAST(x_control AS DOUBLE) / CAST(n_control AS DOUBLE) END)")
     q["impact_estimate"] = ex + f"""
 , u AS (SELECT COUNT(*) AS eligible_users FROM fc)
 , l AS (SELECT {rr_int('SUM(annual_ltv)', 'COUNT(*)')} AS avg_annual_ltv FROM al)
-SELECT scenario, eligible_users, {fround(lift, 6)} AS lift,
+SELECT outcome, eligible_users, {fround(lift, 6)} AS lift,
        CAST(trunc(CAST(eligible_users AS DOUBLE) * {lift}) AS BIGINT) AS additional_activated,
        avg_annual_ltv,
        CAST(trunc(CAST(eligible_users AS DOUBLE) * {lift}) AS BIGINT) * avg_annual_ltv AS additional_revenue

@@ -39,27 +39,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan that has fewer input splits than task slots.
-
-    A file written as one parquet row group is read by one task, and every
-    narrow operator after it (joins against broadcast sides, projections,
-    partial aggregation) would run in that task.  The check reads only
-    planning metadata; with many input splits (any large table) it is a
-    no-op and adds no shuffle."""
-    try:
-        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001  (no RDD view, e.g. a Spark Connect session)
-        return df
-    return df.repartition(want) if have < want else df
-
-
 def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw card-style transactions (text amount, text fraud flag)."""
-    li = balance(read_table(spark, sf_dir, "lineitem").select(
+    li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus"))
+        "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
     od = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     pt = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand")
@@ -94,17 +78,25 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users dimension: key, name, income text (``$``), a score column."""
+    """Users dimension: key, name, income text (``$``), a score and an age column."""
     c = read_table(spark, sf_dir, "customer")
     return c.select(
         F.col("c_custkey").alias("user_id"),
         F.col("c_name").alias("person"),
         F.concat(F.lit("$"), F.col("c_acctbal").cast(MONEY).cast("string")).alias("income_raw"),
         F.col("c_nationkey").cast("int").alias("score"),
+        (18 + F.col("c_custkey") % 70).cast("int").alias("age"),
         F.col("c_mktsegment").alias("user_segment"),
     )
 
 
+def raw_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards dimension: one row per (user, card) that the users' orders can name."""
+    users = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
+    cards = F.explode(F.sequence(F.lit(0), (F.col("user_id") % 7).cast("int"))).alias("card")
+    return users.select("user_id", cards, F.col("c_mktsegment").alias("card_type"))
+
+
 def category_map(spark: SparkSession) -> DataFrame:
     """Code -> (detail label, large group) for the adapter's brand codes.
 

@@ -12,11 +12,12 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from lifetrail.config import Params
 from lifetrail.functions import md5_key, parse_amount
-from lifetrail.operators.prepare import fraud_flag
+from lifetrail.operators.prepare import fraud_flag, not_fraud
+from lifetrail.operators.rank import rank_keys
 
 # Header of the raw card-transaction file and the canonical column names.
 TRANSACTION_HEADER = (
@@ -30,6 +31,23 @@ TRANSACTION_HEADER = (
     ("Is Fraud?", "is_fraud", StringType()),
 )
 
+# Headers of the raw users and cards files.
+USER_HEADER = (
+    ("Person", "person", StringType()), ("Current Age", "age", IntegerType()), ("Retirement Age", "retirement_age", IntegerType()),
+    ("Birth Year", "birth_year", IntegerType()), ("Birth Month", "birth_month", IntegerType()), ("Gender", "gender", StringType()),
+    ("Address", "address", StringType()), ("Apartment", "apartment", StringType()), ("City", "city", StringType()), ("State", "state", StringType()),
+    ("Zipcode", "zipcode", StringType()), ("Latitude", "latitude", DoubleType()), ("Longitude", "longitude", DoubleType()),
+    ("Per Capita Income - Zipcode", "income_per_capita_raw", StringType()), ("Yearly Income - Person", "income_raw", StringType()),
+    ("Total Debt", "debt_raw", StringType()), ("FICO Score", "score", IntegerType()), ("Num Credit Cards", "n_cards", IntegerType()),
+)
+CARD_HEADER = (
+    ("User", "user_id", LongType()), ("CARD INDEX", "card", IntegerType()), ("Card Brand", "card_brand", StringType()),
+    ("Card Type", "card_type", StringType()), ("Card Number", "card_number", StringType()), ("Expires", "expires", StringType()),
+    ("CVV", "cvv", StringType()), ("Has Chip", "has_chip", StringType()), ("Cards Issued", "cards_issued", IntegerType()),
+    ("Credit Limit", "credit_limit_raw", StringType()), ("Acct Open Date", "opened", StringType()),
+    ("Year PIN last Changed", "pin_year", IntegerType()), ("Card on Dark Web", "on_dark_web", StringType()),
+)
+
 TRANSACTION_SCHEMA = StructType([StructField(h, t, True) for h, _, t in TRANSACTION_HEADER])
 TRANSACTION_RENAMES = {h: c for h, c, _ in TRANSACTION_HEADER}
 
@@ -48,6 +66,21 @@ def read_transactions_csv(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, TRANSACTION_SCHEMA).withColumnsRenamed(TRANSACTION_RENAMES)
 
 
+def read_with_header(spark: SparkSession, path: str, header) -> DataFrame:
+    """A CSV file of a declared header (users, cards), renamed to canonical names."""
+    schema = StructType([StructField(h, t, True) for h, _, t in header])
+    return read_csv(spark, path, schema).withColumnsRenamed({h: c for h, c, _ in header})
+
+
+def read_users_csv(spark: SparkSession, path: str, key: str = "user_id") -> DataFrame:
+    """Users file(s); the file has no key, a user is known by row position."""
+    return with_positional_key(read_with_header(spark, path, USER_HEADER), key)
+
+
+def read_cards_csv(spark: SparkSession, path: str) -> DataFrame:
+    return read_with_header(spark, path, CARD_HEADER)
+
+
 def sanitise_name(name: str) -> str:
     """Header-character mapping for warehouses that only accept
     ``[A-Za-z0-9_]`` (spaces and ``?`` become ``_``)."""
@@ -86,10 +119,11 @@ def ingest_transactions(raw: DataFrame, path: str, mode: str = "replace") -> Non
     """Write the raw fact as the columnar analysis table: typed columns,
     partitioned by ``tx_year`` (the clean view's year filter prunes
     partitions) and sorted by user within each file (per-user aggregations
-    read clustered runs, and the key columns compress well).  No
-    repartition by user: a user holding a third of all rows would
-    otherwise land in one task."""
-    out = typed_transactions(raw).sortWithinPartitions("tx_year", "user_id")
+    read clustered runs, and the key columns compress well).  A rebalance
+    by year before the write merges what many tasks hold of a small year
+    and splits a large one, so files follow the data's size and not the
+    number of tasks times years."""
+    out = typed_transactions(raw).hint("rebalance", "tx_year").sortWithinPartitions("tx_year", "user_id")
     write_table(out, path, mode=mode, partition_by=("tx_year",))
 
 
@@ -132,25 +166,38 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "replace", batch
     df.write.jdbc(url, table, mode=MODES.get(mode, mode), properties=props)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict | None = None) -> DataFrame:
+def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict | None = None, partition_column: str | None = None,
+              bounds: tuple[int, int] | None = None, partitions: int | None = None) -> DataFrame:
+    """JDBC source.  With a numeric ``partition_column``, its ``bounds`` and
+    a number of ``partitions`` the table is read by that many tasks;
+    without them Spark reads it in one."""
+    if partition_column:
+        return spark.read.jdbc(url, table, column=partition_column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions, properties=dict(properties or {}))
     return spark.read.jdbc(url, table, properties=dict(properties or {}))
 
 
 def with_positional_key(df: DataFrame, key: str = "user_id", start: int = 0) -> DataFrame:
-    """Key = physical row position (A14): gap-free, in input order.
-
-    ``monotonically_increasing_id`` encodes (input partition, position);
-    per-partition counts (one row per partition) give the offsets.  Both
-    branches read the same file splits in the same order, so the key is
-    stable; everything stays in the JVM."""
-    m = df.withColumn("_mid", F.monotonically_increasing_id())
-    m = m.withColumn("_pid", F.shiftright("_mid", 33)) \
-         .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = m.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
-    return (m.join(F.broadcast(offsets), "_pid")
-             .select((F.col("_off") + F.col("_pos") + start).cast("long").alias(key), *df.columns))
+    """Key = physical row position (A14): gap-free, in input order, that is
+    by file path, place of the split in the file, and row in the split.
+
+    Spark deals file splits to tasks by size, so the order of tasks is not
+    the order of rows.  A count per split (one row per split) gives each
+    split's start.  A frame that does not come from files keeps the order of
+    its partitions."""
+    m = df.withColumn("_mid", F.monotonically_increasing_id()) \
+          .withColumn("_file", F.input_file_name()).withColumn("_at", F.input_file_block_start())
+    m = m.withColumn("_pid", F.when(F.col("_file") == "", F.shiftright("_mid", 33)).otherwise(F.lit(0)))
+    splits = m.groupBy("_file", "_at", "_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
+    before = Window.orderBy("_file", "_at", "_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("_file", "_at", "_pid", "_first", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    return (m.join(offsets, ["_file", "_at", "_pid"])
+             .select((F.col("_off") + F.col("_mid") - F.col("_first") + start).cast("long").alias(key), *df.columns))
+
+
+def positional_key(df: DataFrame, order_cols, key: str = "user_id", start: int = 0) -> DataFrame:
+    """Key = position in the order of (unique) columns: a distributed rank."""
+    ranks = rank_keys(df, order_cols[:-1], order_cols[-1:], rank_col="_r", n_col="_n").drop("_n")
+    return df.join(ranks, list(order_cols)).withColumn(key, F.col("_r") - 1 + start).drop("_r")
 
 
 def audit_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -177,11 +224,17 @@ def sample_users(users: DataFrame, n_users: int, seed: int) -> DataFrame:
 
 def entity_subset(raw: DataFrame, users: DataFrame, n_users: int, seed: int, p: Params = Params(),
                   keep_fraud: bool = False) -> DataFrame:
-    """Transactions of a user sample, with the clean filters (A15).  The
-    sample (n_users rows, a parameter) is semi-joined, so the fact is never
-    shuffled."""
-    s = F.broadcast(sample_users(users, n_users, seed))
-    t = raw.join(s, "user_id", "left_semi")
+    """Transactions of a user sample, with the clean filters (A15), by a
+    semi-join; the planner broadcasts the sample if it is small."""
+    t = raw.join(sample_users(users, n_users, seed), "user_id", "left_semi")
     if not keep_fraud:
-        t = t.filter(~fraud_flag(t))
+        t = t.filter(not_fraud(t))
     return t.filter(F.col("tx_year") < p.last_year_excl)
+
+
+def consistent_subset(tables: dict[str, DataFrame], n_users: int, seed: int, p: Params = Params(), keep_fraud: bool = False) -> dict[str, DataFrame]:
+    """Every table (``transactions``, ``users`` and any other with a
+    ``user_id``) cut to the same user sample (A15)."""
+    picked = sample_users(tables["users"], n_users, seed)
+    out = {name: df.join(picked, "user_id", "left_semi") for name, df in tables.items() if name != "transactions"}
+    return {"transactions": entity_subset(tables["transactions"], tables["users"], n_users, seed, p, keep_fraud), **out}

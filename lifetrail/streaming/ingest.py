@@ -16,6 +16,23 @@ from pyspark.sql import SparkSession
 from lifetrail.sources.files import TRANSACTION_RENAMES, TRANSACTION_SCHEMA, typed_transactions
 
 
+def _committed_rows(spark: SparkSession, out_path: str) -> int:
+    """Rows of the files that the sink has committed (Parquet footers only)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out_path)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_spark_metadata")):
+        return 0
+    return spark.read.parquet(out_path).count()
+
+
+def _run(spark: SparkSession, writer, out_path: str) -> int:
+    """Run to the end; the rows appended are counted from what the sink
+    committed, since progress reports keep the latest batches only."""
+    before = _committed_rows(spark, out_path)
+    writer.start(out_path).awaitTermination()
+    return _committed_rows(spark, out_path) - before
+
+
 def ingest_csv_stream(spark: SparkSession, src_dir: str, out_path: str, checkpoint_path: str,
                       max_files_per_trigger: int | None = None, partition_by=("tx_year",)) -> int:
     """Append the rows of new CSV files under ``src_dir`` to the parquet
@@ -33,9 +50,7 @@ def ingest_csv_stream(spark: SparkSession, src_dir: str, out_path: str, checkpoi
               .trigger(availableNow=True))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    q = writer.start(out_path)
-    q.awaitTermination()
-    return int(sum(p.get("numInputRows", 0) for p in q.recentProgress))
+    return _run(spark, writer, out_path)
 
 
 def ingest_parquet_stream(spark: SparkSession, src_dir: str, schema, out_path: str, checkpoint_path: str,
@@ -50,6 +65,4 @@ def ingest_parquet_stream(spark: SparkSession, src_dir: str, schema, out_path: s
               .trigger(availableNow=True))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    q = writer.start(out_path)
-    q.awaitTermination()
-    return int(sum(p.get("numInputRows", 0) for p in q.recentProgress))
+    return _run(spark, writer, out_path)

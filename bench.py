@@ -23,10 +23,10 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from lifetrail import Params, get_session  # noqa: E402
 from lifetrail.operators import cohort, experiment, lifecycle, mix, profile, rfm, value  # noqa: E402
-from lifetrail.operators.facts import daily, facts, user_years  # noqa: E402
+from lifetrail.operators.facts import daily, facts, user_totals, user_years  # noqa: E402
 from lifetrail.operators.prepare import clean  # noqa: E402
 from lifetrail.operators.rank import rank_keys  # noqa: E402
-from lifetrail.plans.marts import build_marts, write_marts  # noqa: E402
+from lifetrail.plans.marts import run_marts  # noqa: E402
 from lifetrail.sources.adapter import category_map, raw_transactions  # noqa: E402
 from lifetrail.sources.files import ingest_transactions  # noqa: E402
 
@@ -71,12 +71,20 @@ def main():
     def f():
         return facts(c, p)
 
+    def totals():
+        return user_totals(c, p)
+
     def segs(method):
-        return rfm.rfm_segments(rfm.rfm_scored(rfm.rfm_raw(f(), p), p, method), p)
+        return rfm.rfm_segments(rfm.rfm_scored(rfm.rfm_raw(totals(), p), p, method), p)
+
+    def segment_mix():
+        activity = mix.user_activity(c, p)
+        raw_scores = rfm.rfm_raw(mix.totals_from_activity(activity, p), p)
+        return mix.segment_category_mix(activity, rfm.rfm_segments(rfm.rfm_scored(raw_scores, p, "qcut"), p), mapping)
 
     def outcomes():
         units = rfm.segments_all_users(f(), p, "qcut")
-        return experiment.uplift_scenario(experiment.experiment_assignment(units, p), p)
+        return experiment.observed_outcomes(experiment.experiment_assignment(units, p))
 
     queries = {
         "facts": lambda: run(f()),
@@ -87,15 +95,15 @@ def main():
         "yearly_trend": lambda: run(profile.yearly_trend(c)),
         "cohort_retention": lambda: run(cohort.cohort_retention(user_years(c, p), p)),
         "cohort_behavior": lambda: run(cohort.cohort_behavior(user_years(c, p), p)),
-        "ltv_summary": lambda: run(value.ltv_summary(value.annual_ltv(f(), p))),
+        "ltv_summary": lambda: run(value.ltv_summary(value.annual_ltv(totals(), p))),
         "rfm_segments": lambda: run(segs("ntile")),
         "rfm_segment_summary": lambda: run(rfm.rfm_segment_summary(segs("ntile"))),
-        "segment_category_mix": lambda: run(mix.segment_category_mix(c, segs("qcut"), mapping)),
-        "scenario_comparison": lambda: run(experiment.scenario_comparison(outcomes(), p)),
+        "segment_category_mix": lambda: run(segment_mix()),
+        "outcome_comparison": lambda: run(experiment.outcome_comparison(outcomes(), p)),
         "rank_distributed": lambda: run(rank_keys(daily(c, p), ["pos_cents"], ["user_id", "date_int"])),
         "rank_global_window": lambda: run(daily(c, p).select("pos_cents", "user_id", "date_int").withColumn(
             "rank", F.row_number().over(Window.orderBy("pos_cents", "user_id", "date_int")))),
-        "marts": lambda: write_marts(build_marts(raw, mapping, p), f"{scratch}/marts"),
+        "marts": lambda: run_marts(raw, mapping, f"{scratch}/marts", f"{scratch}/ckpt", p),
     }
     times = {"ingest": t_ingest}
     run(lifecycle.funnel_sequential(f()))  # JIT warm-up

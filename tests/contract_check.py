@@ -73,7 +73,7 @@ def main(argv):
     names = argv[2:]
     from lifetrail import get_session
     import __spark_entry__ as e
-    spark = get_session(cores=8)
+    spark = get_session(cores=4)
     con = duck(sf_dir)
     qs, sqls = e.queries(), e.oracle_sql()
     bad = 0

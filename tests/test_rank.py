@@ -68,12 +68,28 @@ def test_exact_quantiles_match_numpy(spark):
         assert abs(q[k] - np.quantile(pdf["v"], p)) < 1e-9
 
 
-def test_rank_keys_plan_reuses_range_exchange(spark):
-    df, _ = data(spark, 500, 4)
-    r = rank_keys(df, ["v"], ["user_id"], partitions=6)
-    r.collect()
-    plan = r._jdf.queryExecution().executedPlan().toString()
-    assert "ReusedExchange" in plan and plan.count("rangepartitioning") >= 1
+def test_rank_needs_no_exchange_reuse(spark):
+    """600,000 rows in 16 buckets: ranks are 1..n with and without reused exchanges."""
+    n = 600_000
+    df = spark.range(n).select(F.col("id").alias("user_id"), F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.xxhash64("id") % 1000).cast("long").alias("v"))
+    old = spark.conf.get("spark.sql.exchange.reuse")
+    try:
+        for reuse in ("true", "false"):
+            spark.conf.set("spark.sql.exchange.reuse", reuse)
+            r = rank_keys(df, ["v"], ["user_id"], partitions=16)
+            w = r.agg(F.count_distinct("rank").alias("d"), F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.max("n").alias("n")).first()
+            assert (w.d, w.lo, w.hi, w.n) == (n, 1, n, n)
+            below = df.where("v < 7").count()
+            assert r.where("v = 7").agg(F.min("rank")).first()[0] == below + 1
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", old)
+
+
+def test_rank_of_nulls_few_rows_and_none(spark):
+    df = spark.createDataFrame([(1, None), (2, 5), (3, None), (4, 1)], "user_id long, v long")
+    got = {r.user_id: r["rank"] for r in rank_keys(df, ["v"], ["user_id"], partitions=8).collect()}
+    assert got == {1: 1, 3: 2, 4: 3, 2: 4}
+    assert rank_keys(df.limit(0), ["v"], ["user_id"], partitions=8).count() == 0
 
 
 def test_stacked_summary_matches_pandas(spark):

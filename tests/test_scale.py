@@ -16,7 +16,7 @@ from lifetrail.operators.facts import facts
 from lifetrail.operators.prepare import clean
 
 KEYS = ["funnel_sequential", "cohort_behavior", "rfm_segments", "segment_category_mix",
-        "scenario_comparison", "ltv_summary"]
+        "outcome_comparison", "ltv_summary"]
 
 
 @pytest.fixture(scope="module")

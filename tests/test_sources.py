@@ -89,15 +89,41 @@ def test_sanitise_sample_and_export(spark, tmpdir_path):
     assert len(files) == 1
 
 
-def test_marts_build_and_write(spark, tmpdir_path):
+MART_KEYS = {"aarrr_funnel": "funnel_stages", "yearly_trend": "yearly_trend", "cohort_behavior": "cohort_behavior_complete_years",
+             "rfm_segments": "rfm_segments_qcut", "ab_test_result": "outcome_comparison"}
+
+
+def test_marts_equal_their_queries_and_load(spark, tmpdir_path):
     from lifetrail.plans.contract import QUERIES
-    from lifetrail.plans.marts import build_marts, write_marts
-    marts = build_marts(raw_transactions(spark, SF001), category_map(spark), P)
+    from lifetrail.plans.marts import build_marts, load_marts, run_folder, run_marts, write_marts
+    raw = raw_transactions(spark, SF001)
+    marts = build_marts(raw, category_map(spark), run_folder(tmpdir_path), P)
     paths = write_marts(marts, f"{tmpdir_path}/marts", fmt="csv")
     assert len(paths) == 6 and all(os.path.isdir(p) for p in paths)
-    f1 = sorted(tuple(r) for r in marts["aarrr_funnel"].collect())
-    f2 = sorted(tuple(r) for r in QUERIES["funnel_stages"](spark, SF001).collect())
-    assert f1 == f2
+    for mart, key in MART_KEYS.items():
+        a, b = marts[mart], QUERIES[key](spark, SF001)
+        assert sorted(map(repr, (tuple(r) for r in a.select(*sorted(a.columns)).collect()))) == \
+            sorted(map(repr, (tuple(r) for r in b.select(*sorted(b.columns)).collect()))), mart
+    top = {r.mcc: r.tx_count for r in marts["mcc_category"].collect()}
+    assert top == {r.mcc: r.tx_count for r in QUERIES["category_top20_purchases"](spark, SF001).collect()}
+    names = load_marts(marts, prefix="t_")
+    assert load_marts(marts, prefix="t_") == names            # replaced, not appended
+    for name, mart in zip(names, marts):
+        assert spark.table(name).count() == marts[mart].count()
+        spark.sql(f"DROP TABLE {name}")
+    os.makedirs(f"{tmpdir_path}/shared")
+    run_marts(raw, category_map(spark), f"{tmpdir_path}/again", f"{tmpdir_path}/shared", P)
+    assert os.listdir(f"{tmpdir_path}/shared") == []           # intermediates are gone
+    with pytest.raises(ValueError):
+        run_folder("")
+
+
+def test_per_user_mart_is_written_by_all_tasks(spark, tmpdir_path):
+    from lifetrail.plans.marts import write_marts
+    many = spark.range(1000, numPartitions=6).withColumnRenamed("id", "user_id")
+    write_marts({"rfm_segments": many, "yearly_trend": many}, tmpdir_path)
+    files = {m: len([f for f in os.listdir(f"{tmpdir_path}/{m}") if f.endswith(".parquet")]) for m in ("rfm_segments", "yearly_trend")}
+    assert files == {"rfm_segments": 6, "yearly_trend": 1}
 
 
 def test_card_category_map_last_wins(spark):
@@ -130,3 +156,49 @@ def test_bulk_load_and_catalog_table(spark, tmpdir_path):
     save_table(spark.range(3), "lifetrail_test_tbl", mode="append", path=f"{tmpdir_path}/tbl")
     assert spark.table("lifetrail_test_tbl").count() == 6
     spark.sql("DROP TABLE lifetrail_test_tbl")
+
+
+def test_positional_key_follows_files_of_unequal_size(spark, tmpdir_path):
+    os.makedirs(f"{tmpdir_path}/users")
+    for name, lo, hi in (("part-0.csv", 0, 3), ("part-1.csv", 3, 303), ("part-2.csv", 303, 310)):
+        with open(f"{tmpdir_path}/users/{name}", "w") as f:
+            f.write("Person\n" + "".join(f"p{i}\n" for i in range(lo, hi)))
+    df = spark.read.option("header", True).csv(f"{tmpdir_path}/users")
+    assert {r.Person: r.user_id for r in with_positional_key(df).collect()} == {f"p{i}": i for i in range(310)}
+
+
+def test_declared_users_and_cards(spark, tmpdir_path):
+    from lifetrail.sources.files import CARD_HEADER, USER_HEADER, read_cards_csv, read_users_csv
+    for name, header in (("users", USER_HEADER), ("cards", CARD_HEADER)):
+        with open(f"{tmpdir_path}/{name}.csv", "w") as f:
+            f.write(",".join(f'"{h}"' for h, _, _ in header) + "\n")
+            for k in range(3):
+                f.write(",".join(str(k) for _ in header) + "\n")
+    users = read_users_csv(spark, f"{tmpdir_path}/users.csv").orderBy("user_id").collect()
+    assert [(u.user_id, u.person, u.age, u.latitude) for u in users] == [(k, str(k), k, float(k)) for k in range(3)]
+    cards = read_cards_csv(spark, f"{tmpdir_path}/cards.csv")
+    assert dict(cards.dtypes)["user_id"] == "bigint" and cards.count() == 3
+
+
+def test_ingest_files_follow_size_not_tasks(spark, tmpdir_path):
+    raw = raw_transactions(spark, SF001).repartition(32)
+    ingest_transactions(raw, f"{tmpdir_path}/tx")
+    files = [f for d, _, names in os.walk(f"{tmpdir_path}/tx") for f in names if f.endswith(".parquet")]
+    years = len([d for d in os.listdir(f"{tmpdir_path}/tx") if d.startswith("tx_year=")])
+    assert len(files) <= 2 * years
+
+
+def test_jdbc_read_in_parts(spark):
+    url, props = "jdbc:derby:memory:lifetrail_parts;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    write_jdbc(spark.range(100), url, "PARTS", properties=props)
+    df = read_jdbc(spark, url, "PARTS", props, partition_column="id", bounds=(0, 100), partitions=4)
+    assert df.count() == 100 and df.rdd.getNumPartitions() == 4
+
+
+def test_labelled_purchases_of_a_hot_user(spark):
+    from lifetrail.operators.mix import labelled_purchases
+    rows = [(0 if i % 3 == 0 else i, float(i % 5 - 1)) for i in range(3000)]
+    tx = spark.createDataFrame(rows, "user_id long, amount double")
+    segments = spark.createDataFrame([(u, "VIP" if u == 0 else "Loyal") for u in sorted({u for u, _ in rows})], "user_id long, segment string")
+    got = {r.segment: r["count"] for r in labelled_purchases(tx, segments).groupBy("segment").count().collect()}
+    assert got == {"VIP": sum(u == 0 and a > 0 for u, a in rows), "Loyal": sum(u != 0 and a > 0 for u, a in rows)}

@@ -30,3 +30,17 @@ def test_incremental_ingest_exactly_once(spark, tmpdir_path):
     n3 = ingest_csv_stream(spark, f"{src}/*", out, ck)
     assert n3 == raw.filter(F.col("tx_year") == y[2]).count()
     assert spark.read.parquet(out).count() == expect1 + n3
+
+
+def test_row_count_over_more_batches_than_progress_keeps(spark, tmpdir_path):
+    raw = raw_transactions(spark, SF001).limit(60).repartition(6)
+    drop = f"{tmpdir_path}/landing"
+    back = {v: k for k, v in TRANSACTION_RENAMES.items()}
+    raw.select(*[F.col(c).alias(back[c]) for c in back]).write.option("header", True).csv(drop)
+    old = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates", "100")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        n = ingest_csv_stream(spark, drop, f"{tmpdir_path}/out", f"{tmpdir_path}/ck", max_files_per_trigger=1)
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", old)
+    assert n == 60 == spark.read.parquet(f"{tmpdir_path}/out").count()

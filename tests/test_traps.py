@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fixtures import raw_frame, tx
 from lifetrail import Params
-from lifetrail.functions import md5_uniform, normal_cdf, pct, round_ratio, round_ratio_int
+from lifetrail.functions import normal_cdf, pct, round_ratio, round_ratio_int
 from lifetrail.operators import cohort, experiment, lifecycle, profile, rfm, value
 from lifetrail.operators.facts import facts
 from lifetrail.operators.prepare import clean, monetary
@@ -120,13 +120,6 @@ def test_normal_cdf_accuracy(spark):
         assert abs(r["p"] - nd.cdf(r["x"])) < 1e-14
 
 
-def test_md5_uniform_matches_python(spark):
-    df = spark.createDataFrame([(7, "arbitrary"), (1234, "benchmark")], "u long, s string")
-    for r in df.select("u", "s", md5_uniform("u", F.lit(42), "s").alias("v")).collect():
-        h = hashlib.md5(f"{r['u']}:42:{r['s']}".encode()).hexdigest()
-        assert r["v"] == int(h[:8], 16) / 2**32
-
-
 @pytest.mark.parametrize("xt,z,pv", [(250, 3.2415, 0.0006), (239, 2.2071, 0.0137)])
 def test_l7_ztest_goldens(spark, xt, z, pv):
     df = spark.createDataFrame([(xt, 316, 214, 316)], "x_treated long, n_treated long, x_control long, n_control long")
@@ -137,7 +130,7 @@ def test_l7_ztest_goldens(spark, xt, z, pv):
 
 def test_l8_wald_interval_zero_variance(spark):
     rows = [("s", "control", 0), ("s", "control", 0), ("s", "treatment", 1), ("s", "treatment", 1)]
-    o = spark.createDataFrame(rows, "scenario string, arm string, converted long")
+    o = spark.createDataFrame(rows, "outcome string, arm string, converted long")
     ci = {r["arm"]: (r["ci_low"], r["ci_high"]) for r in experiment.proportion_ci(o, P).collect()}
     assert ci == {"control": (0.0, 0.0), "treatment": (1.0, 1.0)}
 
@@ -160,21 +153,61 @@ def test_l9_sample_size_goldens(spark):
 def test_l12_impact_golden(spark):
     rows = ([("benchmark", "control", 1)] * 214 + [("benchmark", "control", 0)] * 102
             + [("benchmark", "treatment", 1)] * 239 + [("benchmark", "treatment", 0)] * 77)
-    o = spark.createDataFrame(rows, "scenario string, arm string, converted long")
+    o = spark.createDataFrame(rows, "outcome string, arm string, converted long")
     population = spark.createDataFrame([(1657, 50507)], "eligible_users long, avg_annual_ltv long")
     r = experiment.impact_estimate(o, population).first()
     assert r["additional_activated"] == 131 and r["additional_revenue"] == 6616417
 
 
-def test_l2_default_segment(spark):
-    f = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "user_id long, activated int")
-    segs = spark.createDataFrame([(1, "VIP")], "user_id long, segment string")
-    u = experiment.with_segment(f, segs, P)
-    assert by_user(u, "segment") == {1: "VIP", 2: "Potential", 3: "Potential"}
+def test_l2_activation_by_segment(spark):
+    u = spark.createDataFrame([(1, 1, "VIP"), (2, 0, "Potential"), (3, 1, "Potential")], "user_id long, activated int, segment string")
     s = {r["segment"]: (r["user_count"], r["activated"]) for r in experiment.activation_by_segment(u).collect()}
     assert s == {"VIP": (1, 1), "Potential": (2, 1)}
 
 
+def test_l3_draw_of_n_per_group(spark):
+    u = spark.range(101).select(F.col("id").alias("user_id"), F.lit(1).alias("activated"), F.lit("VIP").alias("segment"))
+    half = experiment.experiment_assignment(u, P).groupBy("arm").count().collect()
+    assert {r.arm: r["count"] for r in half} == {"control": 50, "treatment": 50}
+    some = experiment.experiment_assignment(u, P.with_(n_per_group=7)).collect()
+    want = sorted(range(101), key=lambda i: (hashlib.md5(f"{i}:42".encode()).hexdigest(), i))[:14]
+    assert [r.user_id for r in sorted(some, key=lambda r: r.draw_order)] == want
+    assert [r.arm for r in sorted(some, key=lambda r: r.draw_order)] == ["control"] * 7 + ["treatment"] * 7
+
+
+def test_rounding_beyond_long(spark):
+    row = spark.range(1).select(round_ratio(F.lit(10**17 + 1), F.lit(10**12), 2).alias("a"), pct(F.lit(10**17), F.lit(3 * 10**17), 4).alias("b"),
+                                round_ratio_int(F.lit(-(10**18) - 1), F.lit(2)).alias("c"), round_ratio(F.lit(46_200_000_000_000_000), F.lit(1_300_000_000_000), 2).alias("d")).first()
+    assert (row.a, row.b, row.c, row.d) == (100000.0, 33.3333, -(5 * 10**17) - 1, 35538.46)
+
+
+def test_half_even_rounding(spark):
+    from lifetrail.functions import round_half_even
+    xs = [0.5, 1.5, 2.5, -0.5, 2.25, 2.35]
+    got = [r.v for r in spark.createDataFrame([(x,) for x in xs], "x double").select(round_half_even("x", 0).alias("v")).collect()]
+    assert got == [round(x) for x in xs]
+
+
+def test_clean_view_keeps_only_known_no(spark):
+    rows = [tx(k, 1999, 1, 1, fraud=f) for k, f in enumerate(["No", "", "unknown", "YES", None, "Yes"])]
+    assert [r.user_id for r in clean(raw_frame(spark, rows), P).collect()] == [0]
+    flags = spark.createDataFrame([(0, False), (1, True), (2, None)], "user_id long, is_fraud boolean")
+    from lifetrail.operators.prepare import not_fraud
+    assert [r.user_id for r in flags.where(not_fraud(flags)).collect()] == [0]
+
+
+def test_retention_without_censored_users(spark):
+    r = spark.createDataFrame([(1, 1998, 1), (2, 1999, 0), (3, 2000, 0)], "user_id long, first_year int, active_next_year int")
+    assert tuple(lifecycle.retention_next_year(r, P).first())[:2] == (3, 1)
+    assert tuple(lifecycle.retention_next_year(r, P, exclude_censored=True).first())[:2] == (2, 1)
+
+
+def test_pivot_stops_at_an_age_without_a_column(spark):
+    long = spark.createDataFrame([(1996, 0, 1.0), (1996, 99, 2.0)], "cohort_year long, years_since_first long, v double")
+    with pytest.raises(Exception, match="no column for age 99"):
+        cohort.pivot_by_age(long, "v", P).collect()
+
+
 def test_funnel_invariants(spark):
     from lifetrail.sources.adapter import raw_transactions
     f = facts(clean(raw_transactions(spark, "/root/testdata/sf0.01"), P), P)
@@ -190,6 +223,8 @@ def test_funnel_invariants(spark):
 def test_cluster_settings_sizes_partitions():
     from lifetrail import cluster_settings
     s = cluster_settings(100 * 2**40, 8000)          # 100 TB on 8000 cores
-    assert int(s["spark.sql.shuffle.partitions"]) == 409600
+    assert 16_000 <= int(s["spark.sql.shuffle.partitions"]) <= 20_000
+    splits = 100 * 2**40 / (int(s["spark.sql.files.maxPartitionBytes"][:-1]) << 20)
+    assert splits <= 110_000
     assert cluster_settings(1 << 20, 8)["spark.sql.shuffle.partitions"] == "16"
     assert s["spark.sql.adaptive.skewJoin.enabled"] == "true"

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lifetrail.llm import bpe, language_id, mixing, near_dedup, secrets
-from lifetrail.llm.common import TOKENIZER, materialise, table
+from lifetrail.llm.common import TOKENIZER, materialise, ship, table
 
 #: A document whose main language scores less is rejected.
 LEAST_SCORE = 0.5
@@ -67,6 +67,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")

@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import lifetrail
 from lifetrail.config import ensure_checkpoint_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application; the driver's
+    import path need not exist there."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_lifetrail_shipped", False):
+        package = Path(lifetrail.__file__).parent
+        archive = Path(tempfile.mkdtemp()) / "lifetrail.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f"lifetrail/{f.relative_to(package)}")
+        sc.addPyFile(str(archive))
+        sc._lifetrail_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,6 +54,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like ``materialise``, bucketed by ``key``: a later grouping or join on
+    ``key`` reads the table without shuffling it.  The catalog knows the
+    table only while it is opened."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark, name)}/table"
+    table_name = f"llm_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(table_name)
+    opened = spark.table(table_name)
+    spark.sql(f"DROP TABLE {table_name}")  # an external table: its files stay
+    return opened
+
+
 def whole_text(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` of every document, whatever other columns there are."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lifetrail.llm import block_ann, bpe, language_id, licenses, mixing, near_dedup, resharding, secrets, token_files, voronoi_topk
-from lifetrail.llm.common import TOKENIZER, table
+from lifetrail.llm.common import TOKENIZER, ship, table
 from lifetrail.llm.oracle import ORACLE_SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,8 +17,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 def register(name: str):
     def deco(fn):
-        QUERIES[name] = fn
-        return fn
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = query
+        return query
     return deco
 
 

@@ -1,10 +1,7 @@
-import os
-import sys
+"""Fixtures of the llm tests (imported by name)."""
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
 #: Documents for the defined cases: nulls, empty and very long texts, ties, repeated rows, clashing columns.
 DOCS = [
     (1, "The quick brown fox jumps over the lazy dog and runs away.", "en", "a", 58),

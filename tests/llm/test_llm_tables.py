@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from conftest import SF001, SF01
 from contract_check import compare, duck
+from llm_fixtures import no_docs, odd_docs  # noqa: F401
 from pyspark.sql import functions as F
 from test_llm_text import brute_classes, brute_secrets, digest_rows, pairs  # noqa: F401
 from tokenizers import Tokenizer

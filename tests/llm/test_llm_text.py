@@ -15,10 +15,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from llm_fixtures import no_docs, odd_docs  # noqa: F401
+
 from lifetrail.llm import bpe, language_id, licenses, near_dedup, secrets, token_files
 from lifetrail.llm.common import TOKENIZER
 from lifetrail.llm.contract import QUERIES
-from lifetrail.llm.textbytes import factorise
+from lifetrail.llm.textbytes import factorise, mix
 
 
 @pytest.fixture(scope="module")
@@ -227,7 +229,7 @@ def test_probability_jaccard_and_its_bound(a, b, shared):
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(3)
     texts = [(np.sort(rng.choice(60, 40, replace=False)).astype(np.uint64), rng.integers(1, 4, 40)) for _ in range(2)]
-    h = np.concatenate([t[0] for t in texts]) * np.uint64(0x9E3779B97F4A7C15)
+    h = mix(np.concatenate([t[0] for t in texts]))
     sign = near_dedup.signatures(np.repeat([0, 1], 40), h, np.concatenate([t[1] for t in texts]), 2, registers=4096)
     assert abs((sign[0] == sign[1]).mean() - near_dedup.probability_jaccard(*texts[0], *texts[1])) < 0.04
 

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,8 +106,7 @@ def train(labelled: DataFrame) -> list[float]:
 
 def is_random(token, ratios: list[float], margin: float = MARGIN, per_char: float = PER_CHAR) -> Column:
     """Whether a token's log-likelihood ratio speaks for a random string."""
-    # one text literal, which the optimiser folds into a constant array
-    table = F.transform(F.split(F.lit(",".join(map(str, ratios))), ","), lambda x: x.cast("double"))
+    table = F.lit(np.array(ratios))  # one array literal
     total = F.aggregate(_pairs(token), F.lit(0.0), lambda s, p: s + F.get(table, p))
     return (total >= margin) & (total >= per_char * (F.length(token) - 1))
 

@@ -71,7 +71,7 @@ def odd_vectors(spark):
     rng = np.random.default_rng(1)
     rows = [(int(i), rng.normal(size=6).astype(np.float32).tolist(), 0) for i in range(300)]
     rows += [(1000 + i, [0.5, -0.25, 0.125, 0.0, 1.0, -1.0], 1) for i in range(200)]  # one very common vector
-    rows += [(2000, [0.0] * 6, 0), (2010, [1.0, None, 0, 0, 0, 0], 0), (2020, [float("nan")] * 6, 0), (2030, [float("inf"), 0, 0, 0, 0, 0], 0), (2040, None, 0),
+    rows += [(2000, [0.0] * 6, 0), (2010, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (2020, [float("nan")] * 6, 0), (2030, [float("inf"), 0.0, 0.0, 0.0, 0.0, 0.0], 0), (2040, None, 0),
              (2050, [], 0), (2060, [1.0, 2.0], 0), (None, [1.0] * 6, 0), (20, rows[20][1], 0), (40, [9.0] * 6, 0)]
     return rows, spark.createDataFrame(rows, VECTORS).withColumn("score", F.lit("clash")).repartition(4)
 

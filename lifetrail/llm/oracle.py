@@ -56,7 +56,7 @@ WITH x AS (
     SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
 s AS (
-    SELECT q.vec_id AS query_id, x.vec_id, list_distance(q.v, x.v) AS score
+    SELECT q.vec_id AS query_id, x.vec_id, sqrt(list_reduce(list_transform(list_zip(q.v, x.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score
     FROM x q JOIN x ON q.vec_id <> x.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10

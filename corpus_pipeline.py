@@ -4,9 +4,9 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one
 before it kept; its result is written as Parquet and read again as the
 next one's ``docs``.  All but the last return the columns of ``docs``.
 
-1. language_id: documents of no known language (no letters, or no
-   language that holds half of the text) go; ``lang`` becomes the
-   prediction.
+1. language_id: documents without a language (``und``: null texts, texts
+   without letters) go; ``lang`` becomes the prediction.  Short or mixed
+   texts stay, whatever their score.
 2. near_dedup: one document of each class of near copies stays.
 3. secrets: secrets in the texts are replaced by a placeholder.
 4. mix: sources are brought to their target weights; a document comes
@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from lifetrail.llm import bpe, language_id, mixing, near_dedup, secrets
 from lifetrail.llm.common import TOKENIZER, materialise, ship, table
 
-#: A document whose main language scores less is rejected.
-LEAST_SCORE = 0.5
 #: Words of a block of the mix; longer than the operator's default, to keep passages whole.
 MIX_BLOCK_WORDS = 512
 
@@ -37,7 +35,7 @@ def _recount(docs: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = docs.columns
     model = language_id.train(language_id.training_rows(docs))
-    found = language_id.annotate(docs, model).where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SCORE))
+    found = language_id.annotate(docs, model).where(F.col("lang_pred") != language_id.UND)
     return found.withColumn("lang", F.col("lang_pred")).select(*columns)
 
 

@@ -17,9 +17,17 @@ from lifetrail.config import ensure_checkpoint_dir
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Rows of an Arrow batch, on the way to a Python worker and back.  Spark's
+#: default of 10,000 whole texts takes hundreds of MB in each task.
+ARROW_ROWS = 1_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application; the driver's
-    import path need not exist there."""
+    """Prepare a session for these operators: give the executors this
+    package, once per application (the driver's import path need not exist
+    there), and lower Arrow's batch size where it is Spark's default."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     sc = spark.sparkContext
     if not getattr(sc, "_lifetrail_shipped", False):
         package = Path(lifetrail.__file__).parent

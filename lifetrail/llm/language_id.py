@@ -40,6 +40,8 @@ BUCKETS = 1 << 16
 SAMPLE_ROWS = 20_000
 #: Texts are counted in pieces of so many characters.
 PIECE = 1 << 20
+#: Rows that are taken out of an Arrow batch at a time.
+PART_ROWS = 256
 
 
 @functools.cache
@@ -75,7 +77,7 @@ def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 def _count(batches):
     """Trigram counts of a task, by language."""
     sums: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in (b.slice(k, PART_ROWS) for b in batches for k in range(0, b.num_rows, PART_ROWS)):
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
             bucket, n = trigrams(text)
             if bucket.size:
@@ -147,7 +149,7 @@ def annotate(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     docs = docs.drop(*added)
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(k, PART_ROWS) for b in batches for k in range(0, b.num_rows, PART_ROWS)):
             out = []
             for text in batch.column("text").to_pylist():
                 bucket, n = trigrams(text)

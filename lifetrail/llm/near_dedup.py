@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lifetrail.llm.bpe import BLOCK_BYTES, blocks_of
+from lifetrail.llm.bpe import blocks_of
 from lifetrail.llm.common import materialise, whole_text
 from lifetrail.llm.textbytes import expand, mix, piece_keys, text_buffers, word_spans
 
@@ -53,6 +53,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 CHUNK = 128
+#: Text that a task works on at a time; the temporary arrays take some thirty times as much.
+BLOCK_BYTES = 2 << 20
 #: So many nodes of candidates are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)

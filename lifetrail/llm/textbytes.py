@@ -23,6 +23,8 @@ WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 #: Endings that follow an apostrophe as a piece of their own (fixed values).
 CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 LONG_PIECE = 1024
+#: Bytes and pieces that are worked on at a time (they bound the temporary arrays).
+PART_BYTES, PART_PIECES = 2 << 20, 1 << 18
 
 
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +72,16 @@ def byte_classes(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def by_parts(offsets: np.ndarray):
+    """Ranges of texts (first, behind the last) of at most ``PART_BYTES`` or one longer text."""
+    first = 0
+    while first < len(offsets) - 1:
+        last = int(np.searchsorted(offsets, offsets[first] + PART_BYTES, side="right")) - 1
+        last = min(max(last, first + 1), len(offsets) - 1)
+        yield first, last
+        first = last
+
+
 def bpe_piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where the pieces of byte-level BPE pre-tokenisation start.
 
@@ -77,6 +89,14 @@ def bpe_piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     of other characters with one blank before it, or white space (whose
     last character stands alone or goes to the next piece).
     """
+    found = [np.zeros(0, np.int64)]
+    for i, j in by_parts(offsets):
+        a, b = offsets[i], offsets[j]
+        found.append(_piece_starts(data[a:b], offsets[i:j + 1] - a) + a)
+    return np.concatenate(found)
+
+
+def _piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
@@ -146,6 +166,14 @@ def _windows(data: np.ndarray) -> np.ndarray:
 def piece_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each piece of text."""
     window = _windows(data)
+    out = np.empty(len(starts), np.uint64)
+    for k in range(0, len(starts), PART_PIECES):
+        part = slice(k, k + PART_PIECES)
+        out[part] = _keys(data, window, starts[part], ends[part])
+    return out
+
+
+def _keys(data: np.ndarray, window: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     mask = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 9))], np.uint64)
     length = ends - starts
     out = mix((window[starts] & mask[np.minimum(length, 8)]) ^ (length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
@@ -160,6 +188,23 @@ def piece_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
+def _same(data, starts, ends, first, codes) -> bool:
+    """Whether all pieces of a number have the same length, first and last eight bytes."""
+    window = _windows(data)
+    mask = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 9))], np.uint64)
+
+    def look(at):
+        a, b = starts[at], ends[at]
+        bits = mask[np.minimum(b - a, 8)]
+        return b - a, window[a] & bits, window[np.maximum(b - 8, a)] & bits
+
+    for k in range(0, len(codes), PART_PIECES):
+        part = slice(k, k + PART_PIECES)
+        if not all((x == y).all() for x, y in zip(look(part), look(first[codes[part]]))):
+            return False
+    return True
+
+
 def factorise(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number equal pieces alike.
 
@@ -170,12 +215,7 @@ def factorise(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     codes, distinct = pd.factorize(piece_keys(data, starts, ends))
     first = np.empty(len(distinct), np.int64)
     first[codes[::-1]] = np.arange(len(codes))[::-1]
-    window, rep = _windows(data), first[codes]
-    mask = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 9))], np.uint64)
-    length = ends - starts
-    head = window[starts] & mask[np.minimum(length, 8)]
-    tail = window[np.maximum(ends - 8, starts)] & mask[np.minimum(length, 8)]
-    if not ((length == length[rep]) & (head == head[rep]) & (tail == tail[rep])).all():
+    if not _same(data, starts, ends, first, codes):
         codes, distinct = pd.factorize(np.array([data[a:b].tobytes() for a, b in zip(starts, ends)], object))
         first = np.empty(len(distinct), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]

@@ -40,14 +40,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lifetrail.llm.bpe import BLOCK_BYTES, blocks_of, special_tokens, split_pieces, tokenizer, vocabulary_pieces
+from lifetrail.llm.bpe import blocks_of, special_tokens, split_pieces, tokenizer, vocabulary_pieces
 from lifetrail.llm.common import materialise, scratch_dir, whole_text
 from lifetrail.llm.textbytes import expand, factorise
 
 SKIPPABLE_IDS, SKIPPABLE_SEEK, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1  # fixed values of the format
 DOCS_PER_FILE = 4096
+BLOCK_BYTES = 4 << 20
+MOST_READ_TASKS = 20_000
 #: Words whose ids a worker remembers between its blocks.
-REMEMBERED_WORDS = 1 << 18
+REMEMBERED_WORDS = 1 << 17
 
 
 # ---------------------------------------------------------------- the format
@@ -186,7 +188,10 @@ def _write_files(folder: str):
             draft = f"{at}/.{name}.{np.random.default_rng().integers(1 << 62):x}"
             with fs.open_output_stream(draft) as out:
                 count, size = write_file(out, of_file())
-            fs.move(draft, f"{at}/{name}")
+            if fs.get_file_info(f"{at}/{name}").type == pafs.FileType.NotFound:
+                fs.move(draft, f"{at}/{name}")
+            else:  # another attempt of this task has written the same bytes
+                fs.delete_file(draft)
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (file_no, f"{folder}/{name}", count, size // 4)], names=["file_no", "file", "documents", "tokens"])
     return run
 
@@ -224,7 +229,8 @@ def read_digests(index: DataFrame) -> DataFrame:
     running sum over the index, which has one row per file."""
     start = F.sum("tokens").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1))
     at = index.select("file_no", "file", F.coalesce(start, F.lit(0)).cast("long").alias("start"))
-    return at.repartition("file_no").select("file", "start").mapInArrow(_read_files, READ_SCHEMA)
+    tasks = min(MOST_READ_TASKS, max(1, index.count()))
+    return at.repartition(tasks, "file_no").select("file", "start").mapInArrow(_read_files, READ_SCHEMA)
 
 
 def token_folder(spark: SparkSession) -> str:

@@ -225,8 +225,12 @@ def candidate_groups(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     hubs = members.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = materialise(members.join(hubs, ["band", "key"]).select("hub", "node").distinct(), "near-groups")
-    size = groups.groupBy("hub").count().withColumn("chunks", F.ceil(F.col("count") / chunk).cast("int")).drop("count")
-    c = groups.join(size, "hub").withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    # only groups of more than a chunk are looked up, so the large side need not meet on a hot hub
+    large = groups.groupBy("hub").count().where(F.col("count") > chunk)
+    large = materialise(large.select("hub", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")), "near-large")
+    side = F.broadcast(large) if large.count() <= BROADCAST_NODES else large
+    c = groups.join(side, "hub", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    c = c.withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     return c.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("hub", F.least("c", "o").alias("ca"), F.greatest("c", "o").alias("cb"), "node")
 
 

@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lifetrail.llm.common import materialise, whole_text
+from lifetrail.llm.common import materialise_bucketed, whole_text
 from lifetrail.llm.textbytes import bpe_piece_starts, expand, factorise, piece_keys, text_buffers
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 LEAST_LANES, MOST_LANES = 16, 1 << 16
 
 
@@ -103,17 +103,21 @@ def split_pieces(column, specials: dict[bytes, int]) -> tuple[np.ndarray, np.nda
 
 
 def blocks_of(batches, block_bytes: int):
-    """Cut Arrow batches into slices of at most ``block_bytes`` of text (or one longer text)."""
+    """Gather and cut Arrow batches into blocks of at most ``block_bytes`` of text (or one longer text)."""
+    parts, held = [], 0
     for batch in batches:
         size = np.diff(text_buffers(batch.column("text"))[1])
-        start, held = 0, 0
+        start = 0
         for i, s in enumerate(size):
             if held and held + s > block_bytes:
-                yield batch.slice(start, i - start)
-                start, held = i, 0
+                parts.append(batch.slice(start, i - start))
+                yield pa.concat_batches(parts)
+                parts, held, start = [], 0, i
             held += int(s)
         if start < batch.num_rows:
-            yield batch.slice(start)
+            parts.append(batch.slice(start))
+    if parts:
+        yield pa.concat_batches(parts)
 
 
 BLOCK_SCHEMA = "block string, doc_ids array<long>, counts binary, codes binary, lanes binary, words array<binary>"
@@ -219,7 +223,8 @@ def _encoded(docs: DataFrame, path: str, block_bytes: int, out, schema: str) ->
     docs = whole_text(docs)
     text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     lanes = lanes_for(text_bytes, block_bytes)
-    blocks = materialise(docs.mapInArrow(_blocks(path, block_bytes, lanes), BLOCK_SCHEMA), "bpe-blocks")
+    # bucketed by block: the documents' side of the last step is not shuffled
+    blocks = materialise_bucketed(docs.mapInArrow(_blocks(path, block_bytes, lanes), BLOCK_SCHEMA), "bpe-blocks", "block", lanes)
     words = blocks.select("block", F.posexplode("words").alias("lane", "words")).where("words is not null")
     ids = words.groupBy("lane").applyInArrow(_encode_lane(path), "of_block string, lane int, ids binary")
     return blocks.drop("words").groupBy("block").cogroup(ids.groupBy("of_block")).applyInArrow(_join_ids(out), schema)

@@ -1,15 +1,19 @@
-"""License scans: fixed phrases, and an exact set-similarity join of text blocks with license templates.
+"""License scans: fixed phrases, and an exact set-similarity join of word windows with license templates.
 
-A text block (a line, by default) meets a template when it holds at least
-``threshold`` of the template's distinct words.  The join is exact:
+A window is a run of consecutive words of a text, over line breaks and
+punctuation, ``1 / threshold`` times as long as the template is (so a
+notice may be wrapped, or interrupted by some words, and words scattered
+over a long line do not count).  A text meets a template when one of its
+windows holds at least ``threshold`` of the template's distinct words.
+The join covers all windows and is exact:
 
-* words are ordered by how many blocks of the corpus hold them, rarest
-  first (words in no template cannot overlap and are left out of blocks);
+* words are ordered by how often the corpus has them, rarest first
+  (words in no template cannot overlap and are not looked at);
 * prefix filter: an overlap of ``need`` words must show among a
-  template's first ``size - need + 1`` words, and likewise in the block;
-* length filter: the block has at least ``need`` words;
-* positional filter: what stands after the shared word on either side
-  can still reach ``need``.
+  template's first ``size - need + 1`` words, so only windows around
+  places of these words are formed;
+* positional filter: around the place of a window's rarest word, the
+  template's words from that one on must still reach ``need``.
 
 Pairs that pass are verified by their intersection.  The templates are a
 parameter of the call, at most ``MOST_TEMPLATE_WORDS`` words in all
@@ -31,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words (of lower-case text); far cheaper to split at than ``WORD`` is to match.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Phrases and their labels (fixed values).
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -47,20 +53,29 @@ TEMPLATES = (
     ("cc", "Licensed under the Creative Commons Attribution 4.0 International License"),
 )
 THRESHOLD = 0.8
-LINE = r"\n"
 MOST_TEMPLATE_WORDS = 10_000
 
 
+def template_sequence(text: str) -> list[str]:
+    return re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER)))
+
+
 def template_words(text: str) -> list[str]:
-    return sorted(set(re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER)))))
+    return sorted(set(template_sequence(text)))
+
+
+def window_width(text: str, threshold: float = THRESHOLD) -> int:
+    """Words of a window for a template of this text."""
+    return math.ceil(len(template_sequence(text)) / threshold - 1e-9)
 
 
 def lower_text():
     return F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER)
 
 
-def _list(values: Sequence[str]):
-    return F.array(*(F.lit(v) for v in values)) if values else F.array().cast("array<string>")
+def text_words():
+    """The words of the lower-case text ``t``, in order."""
+    return F.array_remove(F.split("t", GAP, -1), "")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -87,56 +102,51 @@ def phrase_places(docs: DataFrame, phrases: Mapping[str, str] = PHRASES) -> Data
         for w in parts:
             here = here & F.col("t").contains(w)
         may = may | here
-    d = keyed(docs).withColumn("n_words", F.regexp_count("t", F.lit(WORD)).cast("long"))
-    d = d.withColumn("w", F.when(may, F.regexp_extract_all("t", F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    d = keyed(docs).withColumn("n_words", F.size(text_words()).cast("long"))
+    d = d.withColumn("w", F.when(may, text_words()).otherwise(F.array().cast("array<string>")))
     found = [F.filter(F.transform("w", _place_of(split[p], label)), lambda x: x.isNotNull()) for p, label in phrases.items()]
     return d.withColumn("places", F.concat(*found)).select("doc_id", "h", "n_words", "places")
 
 
-def blocks(docs: DataFrame, block: str) -> DataFrame:
-    """``doc_id, h, block, line``: the text blocks of every document."""
-    return keyed(docs).select("doc_id", "h", F.posexplode(F.split("t", block)).alias("block", "line"))
-
-
-def matching_blocks(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, block: str = LINE) -> DataFrame:
-    """``doc_id, h, block, template, label, containment`` of every block that meets a template."""
+def matching_windows(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, h, place, template, label, containment``: the best window
+    that holds the template's word at ``place``, wherever one meets the template."""
     spark = docs.sparkSession
-    sets = [(k, label, words) for k, (label, text) in enumerate(templates) if (words := template_words(text))]
-    vocabulary = sorted({w for _, _, words in sets for w in words})
+    sets = [(k, label, words, window_width(text, threshold)) for k, (label, text) in enumerate(templates) if (words := template_words(text))]
+    vocabulary = sorted({w for _, _, words, _ in sets for w in words})
     if len(vocabulary) > MOST_TEMPLATE_WORDS:
         raise ValueError(f"templates of more than {MOST_TEMPLATE_WORDS} distinct words")
-    schema = "doc_id long, h long, block int, template int, label string, containment double"
+    schema = "doc_id long, h long, place int, template int, label string, containment double"
     if not vocabulary:
         return spark.createDataFrame([], schema)
-    held = F.array_intersect(_list(vocabulary), F.regexp_extract_all("line", F.lit(WORD), F.lit(0)))
-    counts = blocks(docs, block).select(F.explode(held).alias("word")).groupBy("word").count()
-    frequency = {r["word"]: r["count"] for r in counts.collect()}  # at most one row per template word
-    order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
-    rank = {w: k for k, w in enumerate(order)}
+    held = keyed(docs).select(F.explode(F.filter(text_words(), lambda x: x.isin(*vocabulary))).alias("word"))
+    frequency = {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}  # at most one row per template word
+    rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
     index = []
-    for k, label, words in sets:
-        words = sorted(words, key=rank.__getitem__)
-        need = max(1, math.ceil(threshold * len(words) - 1e-9))
-        index += [(w, at, k, label, words, need) for at, w in enumerate(words[:len(words) - need + 1])]
-    prefix = spark.createDataFrame(index, "word string, t_at int, template int, label string, t_words array<string>, need int")
-    rare = "|".join(sorted({re.escape(w) for w, *_ in index}, key=len, reverse=True))
-    b = blocks(docs, block).where(F.col("line").rlike(f"(?<!{WORD[:-1]})(?:{rare})(?!{WORD[:-1]})"))
-    b = b.withColumn("words", F.array_intersect(_list(order), F.regexp_extract_all("line", F.lit(WORD), F.lit(0)))).drop("line")
-    b = b.select("doc_id", "h", "block", "words", F.size("words").alias("size"), F.posexplode("words").alias("b_at", "word"))
-    size_t = F.size("t_words")
-    pairs = b.join(F.broadcast(prefix), "word").where(
-        (F.col("size") >= F.col("need"))
-        & (F.col("b_at") <= F.col("size") - F.col("need"))
-        & (1 + F.least(size_t - 1 - F.col("t_at"), F.col("size") - 1 - F.col("b_at")) >= F.col("need")))
-    overlap = F.size(F.array_intersect("words", "t_words"))
-    met = pairs.where(overlap >= F.col("need")).withColumn("containment", overlap / size_t)
-    return met.select("doc_id", "h", "block", "template", "label", "containment").distinct()
-
-
-def scan(docs: DataFrame, templates=TEMPLATES, threshold=THRESHOLD, block=LINE, phrases=PHRASES) -> DataFrame:
+    for k, label, own, width in sets:
+        own = sorted(own, key=rank.__getitem__)
+        need = max(1, math.ceil(threshold * len(own) - 1e-9))
+        index += [(w, k, label, own, own[at:], need, width) for at, w in enumerate(own[:len(own) - need + 1])]
+    prefix = spark.createDataFrame(index, "word string, template int, label string, t_words array<string>, t_rest array<string>, need int, width int")
+    rare, widest = sorted({w for w, *_ in index}), max(width for *_, width in sets)
+    first = lambda i, width: F.greatest(i - width + 1, F.lit(0))
+    d = keyed(docs).select("doc_id", "h", text_words().alias("w"))
+    at = F.filter(F.transform("w", lambda x, i: F.when(x.isin(*rare), i)), lambda i: i.isNotNull())
+    near = F.transform(at, lambda i: F.struct(i.alias("place"), F.get("w", i).alias("word"), F.slice("w", first(i, widest) + 1, i - first(i, widest) + widest).alias("near")))
+    d = d.select("doc_id", "h", F.explode(near).alias("p")).select("doc_id", "h", "p.*")
+    pairs = d.join(F.broadcast(prefix), "word").withColumn("first", first(F.col("place"), F.col("width")))
+    # the words that windows around the place can hold, and those windows
+    around = F.slice("near", F.col("first") - first(F.col("place"), widest) + 1, F.col("place") - F.col("first") + F.col("width"))
+    pairs = pairs.withColumn("around", around).drop("near").where(F.size(F.array_intersect("t_rest", "around")) >= F.col("need"))
+    overlaps = F.transform(F.sequence(F.lit(0), F.col("place") - F.col("first")), lambda s: F.size(F.array_intersect("t_words", F.slice("around", s + 1, F.col("width")))))
+    met = pairs.withColumn("overlap", F.array_max(overlaps)).where(F.col("overlap") >= F.col("need"))
+    return met.select("doc_id", "h", "place", "template", "label", (F.col("overlap") / F.size("t_words")).alias("containment")).distinct()
+
+
+def scan(docs: DataFrame, templates=TEMPLATES, threshold=THRESHOLD, phrases=PHRASES) -> DataFrame:
     """Per document: words, phrase places, their labels, all labels and the best score."""
     labels = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
-    met = matching_blocks(docs, templates, threshold, block).groupBy(F.col("doc_id").alias("m_id"), F.col("h").alias("m_h")).agg(
+    met = matching_windows(docs, templates, threshold).groupBy(F.col("doc_id").alias("m_id"), F.col("h").alias("m_h")).agg(
         F.collect_set("label").alias("met"), F.max("containment").alias("best"))
     d = phrase_places(docs, phrases).join(met, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("h") == F.col("m_h")), "left")
     base = F.transform("places", lambda p: p["label"])

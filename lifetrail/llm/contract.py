@@ -58,7 +58,7 @@ def q_secrets(spark, sf_dir):
 @register("op10_apportioned_mix")
 def q_mix(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"), columns=["doc_id"])
-    return mixed.select("doc_id", *(F.col(f"mix_{c}").alias(c) for c in ("size", "source_size", "target", "taken")))
+    return mixed.select("doc_id", *(F.col(f"mix_{c}").alias(c) for c in ("size", "source_size", "target", "taken", "shards")))
 
 
 @register("op2_probminhash_dedup")

@@ -7,7 +7,9 @@ this method never takes a seat back when the house grows, so the first
 seats make the first shard, the next ones the second, and every shard
 gets integer quotas.  A source with a quota of q among its n blocks takes
 all of them ``q div n`` times and the remaining ones by a seeded
-permutation of the block numbers.
+permutation of the block numbers.  The blocks a source gives are numbered
+by round and permuted number; number k goes to the shard whose running
+quota of the source covers k, so each shard holds its quotas.
 
 All of it is DataFrame code: one aggregation by (source, hash range)
 gives the sources' sizes and where each hash range starts; a second pass
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from lifetrail.llm.common import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A word with the white space before it, the last one also with what follows.
+WORD_PART = r"[\x20\x09-\x0D]*" + WORD + r"(?:[\x20\x09-\x0D]+\z)?"
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_COPIES = 2
@@ -95,11 +99,16 @@ def quotas(plan: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS
 
 
 def mix_plan(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_COPIES, block_words=BLOCK_WORDS, shards=SHARDS, seed=SEED) -> DataFrame:
-    """One row per source: target, blocks, quota over all shards, and how its blocks are picked."""
+    """One row per source: target, blocks, quota over all shards, ``running`` (the quotas
+    of the shards up to each one), and how its blocks are picked."""
     plan = targets(sizes, weights, share, most)
-    total = quotas(plan, block_words, shards).groupBy("rank").agg(F.sum("quota").alias("quota"))
-    p = plan.join(total, "rank", "left").withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
-    p = p.withColumn("quota", F.least(F.coalesce("quota", F.lit(0)), F.lit(most) * F.col("blocks")))
+    so_far = Window.partitionBy("rank").orderBy("shard")
+    running = quotas(plan, block_words, shards).withColumn("up_to", F.sum("quota").over(so_far)).groupBy("rank").agg(
+        F.sort_array(F.collect_list(F.struct("shard", "up_to")))["up_to"].alias("running"))
+    p = plan.join(running, "rank", "left").withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
+    none = F.array_repeat(F.lit(0).cast("long"), shards)
+    p = p.withColumn("running", F.transform(F.coalesce("running", none), lambda x: F.least(x, F.lit(most) * F.col("blocks"))))
+    p = p.withColumn("quota", F.element_at("running", -1))
     p = p.withColumn("rounds", F.coalesce(F.floor(F.col("quota") / F.when(F.col("blocks") > 0, F.col("blocks"))).cast("long"), F.lit(0)))
     p = p.withColumn("more", F.col("quota") - F.col("rounds") * F.col("blocks"))
     factor = F.lit(1)
@@ -109,14 +118,38 @@ def mix_plan(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_COPIES, b
     return p.withColumn("shift", F.when(F.col("blocks") > 0, F.pmod(F.xxhash64(F.lit(seed), "source"), F.col("blocks"))).otherwise(0).cast("long"))
 
 
+def permuted(block):
+    """A block's number within each round."""
+    return F.pmod(F.col("mix_factor") * block + F.col("mix_shift"), F.col("mix_blocks"))
+
+
 def picked_more(block):
     """Whether a block is among those that the last round takes."""
-    return F.pmod(F.col("mix_factor") * block + F.col("mix_shift"), F.col("mix_blocks")) < F.col("mix_more")
+    return permuted(block) < F.col("mix_more")
+
+
+def shard_of(round_, block):
+    """The shard of what a round takes of a block; null if it takes nothing."""
+    k = round_ * F.col("mix_blocks") + permuted(block)
+    return F.when(k < F.element_at("mix_running", -1), F.size(F.filter("mix_running", lambda up_to: up_to <= k)))
+
+
+def shard_words(first, last, end, block_words: int):
+    """``shard, words`` of every shard that takes words of a document."""
+    each = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("mix_rounds")), lambda r: F.transform(F.sequence(first, last), lambda b: F.struct(
+        shard_of(r, b).alias("shard"), (F.least((b + 1) * block_words, end) - F.greatest(b * block_words, F.col("mix_start"))).alias("words")))))
+    number = F.sequence(F.lit(0), F.size("mix_running") - 1)
+    sums = lambda parts: F.transform(number, lambda s: F.struct(
+        s.alias("shard"), F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n + F.when(p["shard"] == s, p["words"]).otherwise(F.lit(0).cast("long"))).alias("words")))
+    by_shard = F.element_at(F.transform(F.array(each), sums), 1)  # the parts are made once
+    none = F.array().cast("array<struct<shard:int,words:long>>")
+    return F.when(F.col("mix_size") > 0, F.filter(by_shard, lambda x: x["words"] > 0)).otherwise(none)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_COPIES, block_words=BLOCK_WORDS, shards=SHARDS, seed=SEED, columns: Sequence[str] | None = None) -> DataFrame:
     """``docs`` (or its ``columns``) with ``mix_size``, ``mix_source_size``,
-    ``mix_target``, ``mix_taken`` and what ``picked_text`` needs."""
+    ``mix_target``, ``mix_taken``, ``mix_shards`` (words that each shard
+    takes) and what ``mixed_documents`` and ``mixed_shards`` need."""
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
     columns = list(columns or [c for c in docs.columns if not c.startswith("mix_")])
     ranges = min(MOST_RANGES, max(1, docs.count() // ROWS_PER_RANGE))
@@ -132,7 +165,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_COPIES, block_w
     small = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
     earlier = Window.partitionBy("mix_key").orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("mix_key", "mix_range", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("mix_range_start"))
-    kept = ("source_size", "target", "blocks", "rounds", "more", "factor", "shift")
+    kept = ("source_size", "target", "blocks", "rounds", "more", "factor", "shift", "running")
     starts = starts.join(small.select("mix_key", *(F.col(c).alias(f"mix_{c}") for c in kept)), "mix_key")
     in_range = Window.partitionBy("mix_key", "mix_range").orderBy("mix_place", "mix_hash", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
     out = rows.join(starts, ["mix_key", "mix_range"])
@@ -142,7 +175,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_COPIES, block_w
     more = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda taken, b: taken + F.when(
         picked_more(b), F.least((b + 1) * block_words, end) - F.greatest(b * block_words, F.col("mix_start"))).otherwise(F.lit(0).cast("long")))
     taken = F.col("mix_rounds") * F.col("mix_size") + F.when(F.col("mix_size") > 0, more).otherwise(F.lit(0).cast("long"))
-    return out.withColumn("mix_taken", taken).drop("mix_key", "mix_range", "mix_place", "mix_hash", "mix_range_start")
+    out = out.withColumn("mix_taken", taken).withColumn("mix_shards", shard_words(first, last, end, block_words))
+    return out.drop("mix_key", "mix_range", "mix_place", "mix_hash", "mix_range_start")
 
 
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, **settings) -> DataFrame:
@@ -150,7 +184,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, **settings)
     it, with those words (and the white space after them) as its text."""
     columns = docs.columns
     mixed = mix(docs, block_words=block_words, **settings).where("mix_taken > 0")
-    parts = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD + r"(?:[\x20\x09-\x0D]+\z)?"), F.lit(0))
+    parts = F.regexp_extract_all("text", F.lit(WORD_PART), F.lit(0))
     block = lambda i: F.floor((F.col("mix_start") + i) / block_words).cast("long")
     last = F.array_join(F.filter(parts, lambda part, i: picked_more(block(i))), "")
     rounds = F.when(F.col("mix_rounds") > 0, F.array_repeat(F.col("text"), F.col("mix_rounds").cast("int"))).otherwise(F.array().cast("array<string>"))
@@ -158,3 +192,18 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, **settings)
         .when(F.col("mix_taken") > F.col("mix_rounds") * F.col("mix_size"), last)
     texts = F.filter(F.concat(rounds, F.array(rest)), lambda t: t.isNotNull())
     return mixed.withColumn("mix_text", F.explode(texts)).select(*(F.col("mix_text").alias("text") if c == "text" else F.col(c) for c in columns))
+
+
+def mixed_shards(docs: DataFrame, block_words: int = BLOCK_WORDS, **settings) -> DataFrame:
+    """The mix by shard: ``mix_shard`` and the columns of ``docs``, a
+    document once for each shard and round that take words of it, with
+    those words as its text."""
+    columns = [c for c in docs.columns if not c.startswith("mix_")]
+    mixed = mix(docs, block_words=block_words, **settings).where("mix_taken > 0").withColumn("mix_parts", F.regexp_extract_all("text", F.lit(WORD_PART), F.lit(0)))
+    block = lambda i: F.floor((F.col("mix_start") + i) / block_words).cast("long")
+    blocks = F.sequence(block(F.lit(0)), block(F.col("mix_size") - 1))
+    turns = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("mix_rounds")), lambda r: F.transform(blocks, lambda b: F.struct(r.alias("round"), shard_of(r, b).alias("shard")))))
+    turns = F.array_distinct(F.filter(turns, lambda x: x["shard"].isNotNull()))
+    mixed = mixed.withColumn("mix_turn", F.explode(turns))
+    text = F.array_join(F.filter("mix_parts", lambda part, i: shard_of(F.col("mix_turn")["round"], block(i)).eqNullSafe(F.col("mix_turn")["shard"])), "")
+    return mixed.select(F.col("mix_turn")["shard"].alias("mix_shard"), *(text.alias(c) if c == "text" else F.col(c) for c in columns))

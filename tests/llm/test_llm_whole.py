@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from conftest import SF001
 from llm_fixtures import no_docs, odd_docs  # noqa: F401
+from pyspark.sql import functions as F
 from test_llm_text import TINY, WORD, brute_licenses, pairs
 
-from lifetrail.llm import licenses
+import corpus_pipeline
+from lifetrail.llm import language_id, licenses, mixing, resharding, secrets
 
 # ---------------------------------------------------------------- licenses
 WRAPPED = {
@@ -42,3 +45,24 @@ def test_licenses_wrapped_and_scattered(spark, odd_docs):
     for table in (docs, odd_docs):
         want = sorted(((d, *brute_windows(t)) for d, t in table.select("doc_id", "text").collect()), key=repr)
         assert pairs(licenses.scan(table)) == want
+
+
+# ---------------------------------------------------------------- mixing
+def test_shards_hold_their_quotas(spark, odd_docs):
+    documents = spark.read.parquet(f"{SF001}/documents.parquet")
+    mixed = mixing.mix(documents, shards=5).cache()
+    sizes = documents.select("source", mixing.words().alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    plan = mixing.targets(sizes)
+    quota = {(r.shard, r.source): r.quota for r in mixing.quotas(plan, shards=5).join(plan, "rank").collect()}
+    held = {(r.shard, r.source): r.n for r in mixed.select("source", F.inline("mix_shards")).groupBy("shard", "source").agg(F.sum("words").alias("n")).collect()}
+    assert len({s for s, _ in held}) == 5
+    for key, blocks in quota.items():  # a source's last block may be short
+        assert 64 * blocks - 2 * 63 <= held.get(key, 0) <= 64 * blocks
+    for docs, options in ((documents, {"shards": 5}), (odd_docs, {"shards": 3, "block_words": 4})):
+        of = mixing.mix(docs, **options)
+        assert of.where("mix_taken <> aggregate(mix_shards, 0L, (n, s) -> n + s.words)").count() == 0
+        parts = mixing.mixed_shards(docs, **options)
+        assert parts.columns == ["mix_shard", *(c for c in docs.columns if not c.startswith("mix_"))]
+        got = parts.withColumn("n", mixing.words()).groupBy("mix_shard", "doc_id").agg(F.sum("n").alias("n"))
+        want = of.select("doc_id", F.inline("mix_shards")).groupBy("shard", "doc_id").agg(F.sum("words").alias("n"))
+        assert pairs(got) == pairs(want)

@@ -7,8 +7,9 @@ network leads from old shards (supply: their bytes) to new shards
 a byte costs one.  Its cheapest flow says how many bytes go from where to
 where, so the fewest bytes move.  Whole blocks then follow the flow,
 largest first, and a few blocks are exchanged to level what blocks cannot
-divide.  Documents follow their block; only shards whose content changes
-are rewritten.
+divide.  Documents follow their block.  ``reshard`` writes a first layout;
+``reshard_layout`` takes an existing one, rewrites only the shards whose
+content changes and reads the others where they lie.
 
 The driver sees block sizes only: at most ``blocks`` per old shard,
 whatever the table's size.  Slots are numbered in two steps (rows before
@@ -26,7 +27,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lifetrail.llm.common import materialise, scratch_dir
@@ -143,9 +144,9 @@ def assign(docs: DataFrame, old_shard: Column, old_shards: int, shards: int = SH
 
     ``capacity`` defaults to equal shares of all bytes."""
     spark = docs.sparkSession
-    docs = docs.select(*(c for c in docs.columns if not c.startswith("shard_")))
+    docs = docs.select(*(c for c in docs.columns if not c.startswith("shard_")), old_shard.cast("int").alias("shard_old"))
     base = docs.withColumn("shard_size", text_size()).withColumn("shard_hash", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    base = base.withColumn("shard_old", old_shard.cast("int")).withColumn("shard_block", F.pmod("shard_hash", F.lit(blocks)).cast("int"))
+    base = base.withColumn("shard_block", F.pmod("shard_hash", F.lit(blocks)).cast("int"))
     sums = base.groupBy("shard_old", "shard_block").agg(F.sum("shard_size").alias("size"), F.count("*").alias("n")).collect()  # old_shards x blocks rows at most
     sizes = {(r["shard_old"], r["shard_block"]): r["size"] for r in sums}
     if capacity is None:
@@ -189,3 +190,19 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, **settings) ->
     schema = assigned.schema
     rewrite(assigned, folder)
     return spark.read.schema(schema).parquet(folder)
+
+
+def reshard_layout(spark: SparkSession, old_folder: str, old_shards: int, folder: str | None = None, blocks: int = BLOCKS, seed: int = 0, **settings) -> DataFrame:
+    """Reshard the layout ``old_folder/shard_new=N`` that ``rewrite`` made.
+
+    Changed shards are written below ``folder`` (a new one by default), the
+    others stay in ``old_folder`` with the slots they have; returned are all
+    documents, read from where they lie now."""
+    folder = folder or f"{scratch_dir(spark, 'shards')}/documents"
+    old = spark.read.parquet(old_folder)
+    assigned = assign(old, F.col("shard_new"), old_shards, blocks=blocks, seed=seed, **settings)
+    changed = changed_shards(assigned)
+    rewrite(assigned, folder, only=changed)
+    stay = old.where(~F.col("shard_new").isin(changed)).withColumn("shard_old", F.col("shard_new"))
+    stay = stay.withColumn("shard_block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(blocks)).cast("int"))
+    return spark.read.schema(assigned.schema).parquet(folder).unionByName(stay.select(*assigned.columns))

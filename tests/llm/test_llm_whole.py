@@ -66,3 +66,19 @@ def test_shards_hold_their_quotas(spark, odd_docs):
         got = parts.withColumn("n", mixing.words()).groupBy("mix_shard", "doc_id").agg(F.sum("n").alias("n"))
         want = of.select("doc_id", F.inline("mix_shards")).groupBy("shard", "doc_id").agg(F.sum("words").alias("n"))
         assert pairs(got) == pairs(want)
+
+
+# ---------------------------------------------------------------- sharding
+def test_reshard_layout_writes_changed_shards_only(spark, tmp_path):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.expr("int(id % 50)")).alias("text"), F.lit("s").alias("source"))
+    old = f"{tmp_path}/old"
+    resharding.rewrite(resharding.assign(docs, F.pmod("doc_id", F.lit(4)), 4, shards=4), old)
+    was = {r.shard_new: r.s for r in spark.read.parquet(old).groupBy("shard_new").agg(F.sum("shard_size").alias("s")).collect()}
+    moved = was[2] // 2
+    out = resharding.reshard_layout(spark, old, 4, f"{tmp_path}/new", capacity=[was[0], was[1], was[2] - moved, was[3] + moved])
+    assert sorted(p.name for p in (tmp_path / "new").glob("shard_new=*")) == ["shard_new=2", "shard_new=3"]
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted((r.doc_id, r.text) for r in docs.collect())
+    slots = {r.shard_new: sorted(r.slots) for r in out.groupBy("shard_new").agg(F.collect_list("shard_slot").alias("slots")).collect()}
+    assert set(slots) == {0, 1, 2, 3} and all(s == list(range(len(s))) for s in slots.values())
+    same = resharding.reshard_layout(spark, old, 4, f"{tmp_path}/same", capacity=[was[j] for j in range(4)])
+    assert not list((tmp_path / "same").glob("shard_new=*")) and same.count() == 2000

@@ -10,8 +10,11 @@ likelihood most is added as long as twice the gain, divided by the number
 of trigrams that overlap (three), exceeds log(trigrams).
 
 Training counts trigrams in Spark, by language and bucket, over a sample
-of labelled rows whose expected size is ``sample_rows`` (a hash of
-``doc_id`` decides; tables up to that size are taken whole).  The model
+of labelled rows whose expected size is ``sample_rows`` (a hash of the row
+decides; tables up to that size are taken whole).  The sample is bounded
+per language: languages up to one common bound, ``LEAST_ROWS`` or more,
+are taken whole, larger ones by a hash share, so every language is learned
+at every size of the table.  The driver has one count per language.  The model
 has at most ``BUCKETS`` rows per language and is the only thing the
 driver gathers; prediction is one pass over the documents.
 
@@ -24,7 +27,9 @@ rows are predicted one by one; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import math
 import sys
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +43,8 @@ from lifetrail.llm.textbytes import LETTER, char_classes
 UND = "und"
 BUCKETS = 1 << 16
 SAMPLE_ROWS = 20_000
+#: Rows of a language that are always learned from, however many languages there are.
+LEAST_ROWS = 200
 #: Texts are counted in pieces of so many characters.
 PIECE = 1 << 20
 #: Rows that are taken out of an Arrow batch at a time.
@@ -87,12 +94,30 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
 
 
+def row_bound(counts: Sequence[int], sample_rows: int) -> float:
+    """Rows of each language at most, so that all languages together have ``sample_rows``."""
+    left = sample_rows
+    for k, n in enumerate(sorted(counts)):
+        if n * (len(counts) - k) > left:
+            return max(LEAST_ROWS, left / (len(counts) - k))
+        left -= n
+    return max(LEAST_ROWS, *counts) if counts else LEAST_ROWS
+
+
+def sample(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``text, lang`` of a sample of rows that has every language."""
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
+    bound = row_bound(list(counts.values()), sample_rows)
+    cuts = [(lang, math.ceil(min(1.0, bound / n) * (1 << 40))) for lang, n in counts.items()]
+    cuts = labelled.sparkSession.createDataFrame(cuts, "lang string, cut long")
+    picked = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < F.col("cut")
+    return rows.join(F.broadcast(cuts), "lang").where(picked).select("text", "lang")
+
+
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and their trigram probabilities (buckets x languages) from rows of ``doc_id, text, lang``."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = min(1.0, sample_rows / max(1, rows.count()))
-    picked = rows.where(F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)), F.lit(share >= 1)))
-    counts = picked.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(_count, "lang string, bucket int, n long")
+    counts = sample(labelled, sample_rows).mapInArrow(_count, "lang string, bucket int, n long")
     found = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(found.column("lang").to_pylist()))
     table = np.zeros((BUCKETS, len(langs)))

@@ -82,3 +82,16 @@ def test_reshard_layout_writes_changed_shards_only(spark, tmp_path):
     assert set(slots) == {0, 1, 2, 3} and all(s == list(range(len(s))) for s in slots.values())
     same = resharding.reshard_layout(spark, old, 4, f"{tmp_path}/same", capacity=[was[j] for j in range(4)])
     assert not list((tmp_path / "same").glob("shard_new=*")) and same.count() == 2000
+
+
+# ---------------------------------------------------------------- language
+def test_every_language_is_learned(spark):
+    rows = [(k, "the cat sat on the mat and ran", "en") for k in range(3000)] + [(k, "katten satt på mattan och sprang", "sv") for k in range(3000, 3003)] + [(None, "kissa istui matolla", "fi")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = {r["lang"]: r["count"] for r in language_id.sample(docs, sample_rows=300).groupBy("lang").count().collect()}
+    assert counts["sv"] == 3 and counts["fi"] == 1 and 200 < counts["en"] < 400
+    model = language_id.train(docs, sample_rows=300)
+    assert model[0] == ["en", "fi", "sv"]
+    assert language_id.predict(docs.where("doc_id = 3000"), model).first().lang_pred == "sv"
+    assert language_id.sample(docs, sample_rows=3004).count() == 3004
+    assert language_id.row_bound([5, 100, 1000], 700) == 595 and language_id.row_bound([], 700) == 200

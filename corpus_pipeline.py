@@ -36,8 +36,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ship(spark)
     columns = docs.columns
     model = language_id.train(language_id.training_rows(docs))
-    found = language_id.annotate(docs, model).where(F.col("lang_pred") != language_id.UND)
-    return found.withColumn("lang", F.col("lang_pred")).select(*columns)
+    prefix = "language_id_"
+    while any(c.lower().startswith(prefix) for c in columns):  # the documents' own columns pass through
+        prefix += "_"
+    pred = f"{prefix}lang_pred"
+    found = language_id.annotate(docs, model, prefix).where(F.col(pred) != language_id.UND)
+    return found.withColumn("lang", F.col(pred)).select(*columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

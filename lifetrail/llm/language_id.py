@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from lifetrail.llm.common import whole_text
 from lifetrail.llm.textbytes import LETTER, char_classes
@@ -165,12 +165,12 @@ def infer(bucket: np.ndarray, n: np.ndarray, table: np.ndarray) -> tuple[np.ndar
     return out, float(1 / weight.sum())
 
 
-def annotate(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+def annotate(docs: DataFrame, model: tuple[list[str], np.ndarray], prefix: str = "") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (the language's proportion times
     its posterior) and ``shares`` of all languages in sorted order; columns
-    of these names are replaced."""
+    of these names (with ``prefix`` before them) are replaced."""
     langs, table = model
-    added = ("lang_pred", "score", "shares")
+    added = [f"{prefix}{c}" for c in ("lang_pred", "score", "shares")]
     docs = docs.drop(*added)
 
     def run(batches):
@@ -187,7 +187,7 @@ def annotate(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
             new = [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added])
 
-    schema = StructType([*docs.schema.fields, *StructType.fromDDL("lang_pred string, score double, shares array<double>").fields])
+    schema = StructType([*docs.schema.fields, *(StructField(c, t) for c, t in zip(added, (StringType(), DoubleType(), ArrayType(DoubleType()))))])
     return docs.mapInArrow(run, schema)
 
 

@@ -95,3 +95,13 @@ def test_every_language_is_learned(spark):
     assert language_id.predict(docs.where("doc_id = 3000"), model).first().lang_pred == "sv"
     assert language_id.sample(docs, sample_rows=3004).count() == 3004
     assert language_id.row_bound([5, 100, 1000], 700) == 595 and language_id.row_bound([], 700) == 200
+
+
+# ---------------------------------------------------------------- pipeline
+
+def test_pipeline_keeps_the_documents_own_columns(spark):
+    rows = [(1, "the cat sat on the mat", "en", 7, "x", "en?", 1), (2, "!!", "en", 8, "y", "de?", 2), (6, "the dog ran to the cat", "en", 9, None, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int, shares string, lang_pred string, language_id_Score int")
+    out = corpus_pipeline.identify_language(spark, docs, SF001)
+    assert out.schema == docs.schema
+    assert sorted(map(tuple, out.collect())) == [rows[0], rows[2]]

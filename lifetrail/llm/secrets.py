@@ -111,11 +111,9 @@ def is_random(token, ratios: list[float], margin: float = MARGIN, per_char: floa
     return (total >= margin) & (total >= per_char * (F.length(token) - 1))
 
 
-def spans(docs: DataFrame, ratios: list[float]) -> DataFrame:
-    """``row, doc_id, kind`` (place in ``KINDS``) ``, start, end`` of all spans; a document without any has one row of nulls."""
-    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text().alias("t")).withColumn("row", F.monotonically_increasing_id())
+def _parts(ratios: list[float]) -> list[Column]:
+    """For each kind an array of the matches in ``t``: kind, length of the gap before, length, and whether the match counts."""
     def lengths(kind):
-        """For ``transform`` over matches: length, and whether the match counts."""
         keep = {0: lambda m: F.length(_value(m)) >= ASSIGN_VALUE, 3: lambda m: is_random(m, ratios)}.get(kind, lambda m: F.lit(True))
         return lambda m: F.struct(F.length(m).alias("n"), keep(m).alias("keep"))
 
@@ -128,17 +126,26 @@ def spans(docs: DataFrame, ratios: list[float]) -> DataFrame:
         gaps = F.when(F.col("t").rlike(may), F.transform(F.split("t", pattern, -1), lambda g: F.length(g)))
         gaps = F.slice(F.coalesce(gaps, F.array().cast("array<int>")), 1, F.size(found))
         parts.append(F.zip_with(F.transform(found, lengths(kind)), gaps, with_gaps(kind)))
-    m = t.select("row", "doc_id", F.posexplode_outer(F.concat(*parts)).alias("i", "m")).select("row", "doc_id", "i", "m.*").repartition("row")
+    return parts
+
+
+def spans(docs: DataFrame, ratios: list[float]) -> DataFrame:
+    """``row, doc_id, kind`` (place in ``KINDS``) ``, start, end`` of all spans; a document without any has one row of nulls."""
+    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text().alias("t")).withColumn("row", F.monotonically_increasing_id())
+    m = t.select("row", "doc_id", F.posexplode_outer(F.concat(*_parts(ratios))).alias("i", "m")).select("row", "doc_id", "i", "m.*").repartition("row")
     so_far = Window.partitionBy("row", "kind").orderBy("i")
     end = F.sum(F.col("gap") + F.col("n")).over(so_far)
     m = m.select("row", "doc_id", "kind", "keep", (end - F.col("n")).alias("start"), end.alias("end"))
-    # a span of the method counts only where no fixed pattern has one
+    # a span of the method goes only where fixed patterns cover all of it: they form islands of
+    # overlapping or touching spans, and the last one that begins at or before it must reach its end
     fixed = (F.col("kind") < 3) & F.col("keep")
-    before = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    m = m.withColumn("reach", F.max(F.when(fixed, F.col("end"))).over(before)).withColumn("next", F.min(F.when(fixed, F.col("start"))).over(after))
-    free = ~F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) & ~F.coalesce(F.col("next") < F.col("end"), F.lit(False))
-    kept = F.col("keep") & ((F.col("kind") < 3) | free)
+    by_start = Window.partitionBy("row").orderBy("start", "kind")
+    m = m.withColumn("reach", F.max(F.when(fixed, F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, -1)))
+    begins = F.when(fixed & (F.col("reach").isNull() | (F.col("start") > F.col("reach"))), 1).otherwise(0)
+    m = m.withColumn("island", F.sum(begins).over(by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    m = m.withColumn("island_end", F.max(F.when(fixed, F.col("end"))).over(Window.partitionBy("row", "island")))
+    covered = F.coalesce(F.col("island_end") >= F.col("end"), F.lit(False))
+    kept = F.col("keep") & ((F.col("kind") < 3) | ~covered)
     null = F.lit(None)
     return m.select("row", "doc_id", F.when(kept, F.col("kind")).otherwise(null).alias("kind"), F.when(kept, F.col("start")).otherwise(null).alias("start"), F.when(kept, F.col("end")).otherwise(null).alias("end"))
 
@@ -156,18 +163,36 @@ def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
 
 
 def redact(docs: DataFrame, ratios: list[float], placeholder: str = PLACEHOLDER) -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced; texts without secrets stay as they are.
-
-    Each kind in turn: the gaps and the kept or replaced matches are put
-    together again."""
-    def replaced(secret):
-        return lambda m: F.when(secret(m), F.lit(placeholder)).otherwise(m)
-
-    out = docs
-    for pattern, may, secret in ((ASSIGN, ASSIGN_KEY, lambda m: F.length(_value(m)) >= ASSIGN_VALUE), (ACCESS, "AKIA", lambda m: F.lit(True)),
-                                 (HEX, HEX, lambda m: F.lit(True)), (TOKEN, TOKEN, lambda m: is_random(m, ratios))):
-        found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-        new = F.transform(found, replaced(secret))
-        whole = F.zip_with(F.split("text", pattern, -1), new, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
-        out = out.withColumn("text", F.when(F.col("text").rlike(may), F.array_join(whole, "")).otherwise(F.col("text")))
-    return out
+    """``docs`` with the union of the spans that ``scan`` finds replaced in
+    ``text``, one placeholder for each stretch; texts without secrets stay as they are."""
+    span = "array<struct<start:long,end:long>>"
+    null = F.lit(None).cast("long")
+
+    def placed(part):
+        """Spans of the matches that count."""
+        def step(acc, m):
+            start = acc["at"] + m["gap"]
+            new = F.concat(acc["spans"], F.array(F.struct(start.alias("start"), (start + m["n"]).alias("end"))))
+            return F.struct((start + m["n"]).alias("at"), F.when(m["keep"], new).otherwise(acc["spans"]).alias("spans"))
+        return F.aggregate(part, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(span).alias("spans")), step)["spans"]
+
+    def joined(acc, s):
+        """Stretches that are done, and the one that still grows."""
+        grows = s["start"] <= acc["end"]
+        done = F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))
+        return F.when(acc["end"].isNull(), F.struct(acc["done"].alias("done"), s["start"].alias("start"), s["end"].alias("end"))) \
+            .when(grows, F.struct(acc["done"].alias("done"), acc["start"].alias("start"), F.greatest(acc["end"], s["end"]).alias("end"))) \
+            .otherwise(F.struct(done.alias("done"), s["start"].alias("start"), s["end"].alias("end")))
+
+    out = docs.select(F.struct(*docs.columns).alias("doc"), _text().alias("t"))
+    out = out.withColumn("found", F.array_sort(F.concat(*(placed(p) for p in _parts(ratios)))))
+    start = F.struct(F.array().cast(span).alias("done"), null.alias("start"), null.alias("end"))
+    union = F.aggregate("found", start, joined, lambda a: F.concat(a["done"], F.array(F.struct(a["start"].alias("start"), a["end"].alias("end")))))
+    out = out.withColumn("union", F.when(F.size("found") > 0, union))
+    # each stretch with the text before it, then the rest
+    from_ = lambda i: F.coalesce(F.get("union", i - 1)["end"], F.lit(0))
+    cut = lambda a, n: F.col("t").substr((a + 1).cast("int"), n.cast("int"))
+    before = F.transform("union", lambda s, i: F.concat(cut(from_(i), s["start"] - from_(i)), F.lit(placeholder)))
+    rest = cut(F.element_at("union", -1)["end"], F.length("t").cast("long"))
+    text = F.when(F.col("union").isNotNull(), F.concat(F.array_join(before, ""), rest)).otherwise(F.col("doc")["text"])
+    return out.select(*(text.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns))

@@ -105,3 +105,20 @@ def test_pipeline_keeps_the_documents_own_columns(spark):
     out = corpus_pipeline.identify_language(spark, docs, SF001)
     assert out.schema == docs.schema
     assert sorted(map(tuple, out.collect())) == [rows[0], rows[2]]
+
+
+# ---------------------------------------------------------------- secrets
+def test_secrets_partly_covered_by_fixed_spans(spark):
+    documents = spark.read.parquet(f"{SF001}/documents.parquet")
+    ratios = secrets.train(secrets.labelled_tokens(documents))
+    left, middle, right = "qX7fK2mZ9LwT", "0123456789abcdef", "Z9vBn8RcYTqW"
+    rows = [(1, f"é😀 {left}{middle}{right} end"), (2, f"see {middle}{middle} end"), (3, f"a {left}{middle}{right}{middle}{left} z AKIA{'B' * 14}{middle}"),
+            (4, "nothing here"), (5, None), (6, middle)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit(1).alias("t"), F.lit(2).alias("union"))
+    found = {r.doc_id: r.spans for r in secrets.scan(docs, ratios).collect()}
+    assert found[1] == "random:3:43,hex:15:31" and found[2] == "hex:4:36"
+    assert found[3].startswith("random:2:70,hex:14:30,hex:42:58,") and found[6] == "hex:0:16"
+    clean = secrets.redact(docs, ratios)
+    assert clean.columns == docs.columns
+    assert {r.doc_id: r.text for r in clean.collect()} == {
+        1: "é😀 [SECRET] end", 2: "see [SECRET] end", 3: "a [SECRET] z [SECRET]", 4: "nothing here", 5: None, 6: "[SECRET]"}

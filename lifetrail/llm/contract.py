@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lifetrail.llm import block_ann, bpe, language_id, licenses, mixing, near_dedup, resharding, secrets, token_files, voronoi_topk
+from lifetrail.llm import block_ann, bpe, language_id, licenses, mixing, near_dedup, resharding, secrets, source_audit, token_files, vector_codes, vector_dedup, voronoi_topk
 from lifetrail.llm.common import TOKENIZER, ship, table
 from lifetrail.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -87,6 +87,23 @@ def q_nearest(spark, sf_dir):
     return block_ann.search(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+@register("op11_equal_average_codes")
+def q_vector_codes(spark, sf_dir):
+    return vector_codes.code_table(table(spark, sf_dir, "embeddings"))
+
+
+@register("op12_perfect_hash_audit")
+def q_source_audit(spark, sf_dir):
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+@register("op13_flat_graph_dedup")
+def q_vector_dedup(spark, sf_dir):
+    """``recall`` is the audited share of links found, the same in all rows."""
+    found, recall = vector_dedup.link_table(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("recall", F.lit(recall))
+
+
 @register("pipeline")
 def q_pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)

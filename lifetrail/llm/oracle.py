@@ -61,3 +61,77 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+_CODES_ASSIGN = """
+a{r} AS MATERIALIZED (
+    SELECT pt.row, pt.part, min(list_sum(list_transform(list_zip(pt.p, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + b.entry) AS best
+    FROM pt JOIN b{r} b ON b.part = pt.part GROUP BY pt.row, pt.part),"""
+_CODES_UPDATE = """
+m{r} AS (
+    SELECT part, entry, pos, sum(c) AS s, count(*) AS n FROM (
+        SELECT a.part, a.best % 64 AS entry, unnest(pt.p) AS c, unnest(range(len(pt.p))) AS pos FROM a{r} a JOIN pt ON pt.row = a.row AND pt.part = a.part)
+    GROUP BY part, entry, pos),
+b{next} AS MATERIALIZED (
+    SELECT part, entry, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY pos) AS e FROM m{r} GROUP BY part, entry
+    UNION ALL SELECT part, entry, e FROM b{r} b WHERE NOT EXISTS (SELECT 1 FROM m{r} m WHERE m.part = b.part AND m.entry = b.entry)),"""
+
+ORACLE_SQL["op11_equal_average_codes"] = """
+WITH x AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+pt AS MATERIALIZED (
+    SELECT row, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS p FROM (SELECT row, v, unnest(range(16)) AS part FROM x)),
+b0 AS MATERIALIZED (SELECT part, row - 1 AS entry, p AS e FROM pt WHERE row <= 64),
+""" + "".join((_CODES_ASSIGN + (_CODES_UPDATE if r < 2 else "")).format(r=r, next=r + 1) for r in range(3)) + """
+f AS (SELECT row, string_agg(printf('%02x', best % 64), '' ORDER BY part) AS code, CAST(sum(best // 64) AS BIGINT) AS error FROM a2 GROUP BY row),
+h AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) AS digest FROM (SELECT part, entry, unnest(e) AS c, unnest(range(len(e))) AS pos FROM b2))
+SELECT x.vec_id, f.code, f.error, CAST(sum(f.error) OVER (PARTITION BY x.label) AS BIGINT) AS label_error, h.digest AS codebooks_sha256
+FROM x JOIN f USING (row), h
+"""
+
+ORACLE_SQL["op12_perfect_hash_audit"] = r"""
+WITH d AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS MATERIALIZED (SELECT row, lang, source, term, count(*) AS c FROM (SELECT row, lang, source, unnest(ws) AS term FROM d) GROUP BY ALL),
+k AS MATERIALIZED (SELECT lang, term FROM w GROUP BY lang, term HAVING count(*) >= 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (
+    SELECT g.lang, g.source, k.term, coalesce(n.c, 0) AS c FROM g JOIN k ON k.lang = g.lang
+    LEFT JOIN (SELECT lang, source, term, sum(c) AS c FROM w GROUP BY ALL) n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+p AS MATERIALIZED (
+    SELECT lang, source, term, c, 1 + (1000000000::HUGEINT * (c + 1)) // (sum(c) OVER (PARTITION BY lang, source) + v) AS p FROM c JOIN v USING (lang)),
+q AS MATERIALIZED (
+    SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 1)) // (sum(c) OVER (PARTITION BY lang) + v) AS q
+    FROM (SELECT lang, term, sum(c) AS c FROM c GROUP BY lang, term) JOIN v USING (lang)),
+pair AS (
+    SELECT a.lang, a.source, b.source AS item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // y.p), 0) AS value
+    FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+    LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+    GROUP BY a.lang, a.source, b.source),
+term AS (
+    SELECT p.lang, p.source, p.term AS item, ((p - q) * (p - q)) // q AS value FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE c > 0 AND p > q),
+r AS (
+    SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair
+    UNION ALL
+    SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM term)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLE_SQL["op13_flat_graph_dedup"] = """
+WITH RECURSIVE x AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, CAST(embedding AS DOUBLE[]) AS v,
+        label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0 AS good
+    FROM embeddings),
+l AS MATERIALIZED (
+    SELECT a.row AS a, b.row AS b, b.vec_id FROM x a JOIN x b ON a.label = b.label AND a.row <> b.row
+    WHERE a.good AND b.good AND list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) >= 0.98),
+reach AS (
+    SELECT row AS a, row AS b, vec_id FROM x
+    UNION
+    SELECT r.a, l.b, l.vec_id FROM reach r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(vec_id) AS component_id FROM reach GROUP BY a)
+SELECT x.vec_id, (SELECT count(*) FROM l WHERE l.a = x.row) AS n_links, c.component_id, x.vec_id = c.component_id AS kept, CAST(1.0 AS DOUBLE) AS recall
+FROM x JOIN c ON c.a = x.row
+"""

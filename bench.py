@@ -26,6 +26,7 @@ from lifetrail.operators import cohort, experiment, lifecycle, mix, profile, rfm
 from lifetrail.operators.facts import daily, facts, user_totals, user_years  # noqa: E402
 from lifetrail.operators.prepare import clean  # noqa: E402
 from lifetrail.operators.rank import rank_keys  # noqa: E402
+from lifetrail.operators.select import held  # noqa: E402
 from lifetrail.plans.contract import QUERIES  # noqa: E402
 from lifetrail.plans.marts import run_marts  # noqa: E402
 from lifetrail.sources.adapter import category_map, raw_transactions  # noqa: E402
@@ -79,13 +80,13 @@ def main():
         return rfm.rfm_segments(rfm.rfm_scored(rfm.rfm_raw(totals(), p), p, method), p)
 
     def segment_mix():
-        activity = mix.user_activity(c, p)
+        activity = held(mix.user_activity(c, p), "activity")
         raw_scores = rfm.rfm_raw(mix.totals_from_activity(activity, p), p)
         return mix.segment_category_mix(activity, rfm.rfm_segments(rfm.rfm_scored(raw_scores, p, "qcut"), p), mapping)
 
     def outcomes():
         units = rfm.segments_all_users(f(), p, "qcut")
-        return experiment.observed_outcomes(experiment.experiment_assignment(units, p))
+        return experiment.observed_outcomes(experiment.experiment_arms(units, p))
 
     queries = {
         "facts": lambda: run(f()),

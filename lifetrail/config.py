@@ -95,20 +95,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder named by the session.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; we read
-    it and never override it.  Only when it is unset (local tests) we
-    create a private scratch folder.
+    it and never override it.  Where it is unset, a local session (tests)
+    gets a private scratch folder; a cluster session raises, since its
+    executors could not see each other's files there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-        return conf_dir
-    local = tempfile.mkdtemp(prefix="lifetrail-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(local)
-    return local
+    if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        conf_dir = tempfile.mkdtemp(prefix="lifetrail-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    sc.setCheckpointDir(conf_dir)
+    return conf_dir
 
 
 #: Most shuffle partitions: map tasks times reduce tasks is what the driver tracks.

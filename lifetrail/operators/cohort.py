@@ -96,11 +96,20 @@ def cohort_retention_by_age(user_years: DataFrame, p: Params = Params()) -> Data
 def cohort_behavior(user_years: DataFrame, p: Params = Params()) -> DataFrame:
     """(cohort, age) -> transactions, active users, cohort size,
     transactions per user (1 dp), purchase revenue per user (0 dp)."""
-    g = (_eligible_years(user_years, p)
-         .groupBy(F.col("cohort_year").cast("long").alias("cohort_year"), "years_since_first")
-         .agg(F.sum("n_tx").cast("long").alias("total_tx"),
-              F.count(F.lit(1)).alias("active_users"),
-              F.sum("pos_cents").alias("_rev")))
+    return _behavior(_eligible_years(user_years, p)
+                     .groupBy(F.col("cohort_year").cast("long").alias("cohort_year"), "years_since_first")
+                     .agg(F.sum("n_tx").cast("long").alias("total_tx"),
+                          F.count(F.lit(1)).alias("active_users"),
+                          F.sum("pos_cents").alias("_rev")))
+
+
+def behavior_from_cube(cells: DataFrame, p: Params = Params()) -> DataFrame:
+    """``cohort_behavior`` from the (cohort year, year) cube."""
+    return _behavior(_eligible_years(cells, p).select(
+        F.col("cohort_year").cast("long").alias("cohort_year"), "years_since_first", F.col("n_tx").alias("total_tx"), F.col("users").alias("active_users"), F.col("pos_cents").alias("_rev")))
+
+
+def _behavior(g: DataFrame) -> DataFrame:
     size = F.max(F.when(F.col("years_since_first") == 0, F.col("active_users"))) \
             .over(Window.partitionBy("cohort_year"))
     return (g.withColumn("cohort_users", size)
@@ -109,11 +118,14 @@ def cohort_behavior(user_years: DataFrame, p: Params = Params()) -> DataFrame:
              .drop("_rev").orderBy("cohort_year", "years_since_first"))
 
 
+def complete_years(behavior: DataFrame, p: Params = Params()) -> DataFrame:
+    return behavior.filter(F.col("years_since_first").between(p.age_min, p.age_max)).select(
+        "cohort_year", "years_since_first", "active_users", "avg_tx_per_user", "avg_revenue_per_user")
+
+
 def cohort_behavior_complete_years(user_years: DataFrame, p: Params = Params()) -> DataFrame:
     """Cohort behaviour for complete follow-up years ``age_min..age_max``."""
-    b = cohort_behavior(user_years, p)
-    return b.filter(F.col("years_since_first").between(p.age_min, p.age_max)).select(
-        "cohort_year", "years_since_first", "active_users", "avg_tx_per_user", "avg_revenue_per_user")
+    return complete_years(cohort_behavior(user_years, p), p)
 
 
 def cohort_behavior_from_first_age(user_years: DataFrame, p: Params = Params()) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lifetrail.config import Params
 from lifetrail.functions import floor_round, md5_key, normal_cdf, pct, round_ratio, whole
 from lifetrail.operators.rank import rank_keys
+from lifetrail.operators.select import held, keys_at
 
 #: Observed outcomes: name -> per-user 0/1 column.
 OUTCOMES = {"activation": "activated", "next_year_return": "active_next_year"}
@@ -50,6 +51,27 @@ def experiment_assignment(units: DataFrame, p: Params = Params()) -> DataFrame:
     return ranked.filter(F.col("draw_order") <= 2 * n).select(*units.columns, "draw_order", arm.alias("arm"))
 
 
+def experiment_arms(units: DataFrame, p: Params = Params()) -> DataFrame:
+    """The arms of ``experiment_assignment`` without the draw order: the keys
+    of the n-th and the 2n-th drawn user are selected, and an arm is a
+    comparison with them.  The md5 text is compared by its first 60 bits as
+    a number, then as text."""
+    key = md5_key("user_id", F.lit(p.seed))
+    drawn = held(units.withColumn("_h", F.conv(F.substring(key, 1, 15), 16, 10).cast("long")).withColumn("_k", key), "units")
+    n_all = drawn.count()
+    n = p.n_per_group or n_all // 2
+    order = ("_h", "_k", "user_id")
+    first, last = keys_at(drawn, [(order, r, n_all) for r in (n, 2 * n)])
+    place = F.struct(*order)
+
+    def upto(key):
+        return place <= F.struct(*(F.lit(v).alias(c) for v, c in zip(key, order)))
+    if first is None:  # nobody to draw, or all in the control arm
+        return drawn.filter(F.lit(bool(n))).select(*units.columns, F.lit("control").alias("arm"))
+    kept = drawn if last is None else drawn.filter(upto(last))
+    return kept.select(*units.columns, F.when(upto(first), "control").otherwise("treatment").alias("arm"))
+
+
 def observed_outcomes(assigned: DataFrame, outcomes=OUTCOMES) -> DataFrame:
     """(outcome, user): arm, segment and whether the user shows the outcome."""
     rows = F.inline(F.array(*[F.struct(F.lit(name).alias("outcome"), F.col(c).cast("long").alias("converted")) for name, c in outcomes.items()]))

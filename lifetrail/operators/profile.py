@@ -125,6 +125,21 @@ def category_top(tx: DataFrame, p: Params = Params(), purchases_only: bool = Fal
             .orderBy(F.desc("tx_count"), F.col("mcc").asc_nulls_first()).limit(p.top_k))
 
 
+def category_top_from_sums(sums: DataFrame, p: Params = Params()) -> DataFrame:
+    """Top-k categories by purchases from category sums (``state.category_state``):
+    purchases, mean amount, share of all rows."""
+    total = F.sum("n_tx").over(Window.partitionBy())
+    stats = sums.select("mcc", F.col("n_pos").alias("tx_count"), F.when(F.col("n_pos") > 0, round_ratio("pos_cents", F.col("n_pos") * 100, 2)).alias("avg_amount"),
+                        pct("n_pos", total, 2).alias("ratio")).filter(F.col("tx_count") > 0)
+    return stats.orderBy(F.desc("tx_count"), F.col("mcc").asc_nulls_first()).limit(p.top_k)
+
+
+def with_category_label(stats: DataFrame, mapping: DataFrame, default: str = "other") -> DataFrame:
+    """Category rows with the mapping's detail label."""
+    m = mapping.select(F.col("code").alias("mcc"), F.col("detail").alias("category"))
+    return stats.join(m, "mcc", "left").select("mcc", "tx_count", "avg_amount", "ratio", F.coalesce("category", F.lit(default)).alias("category"))
+
+
 def mapping_frame(spark, pairs, key="code", value="label") -> DataFrame:
     """Code -> label table from (code, label) pairs; a repeated code keeps
     its last label, as a Python dict literal would."""
@@ -169,9 +184,17 @@ def yearly_trend(tx: DataFrame) -> DataFrame:
 def yearly_trend_from_years(user_years: DataFrame) -> DataFrame:
     """``yearly_trend`` from the per-(user, year) table: purchase rows,
     purchasing users and purchase cents per year are sums over it."""
-    g = user_years.filter(F.col("n_pos") > 0).groupBy("tx_year").agg(
-        F.sum("n_pos").cast("long").alias("tx_count"), F.count(F.lit(1)).alias("active_users"),
-        F.sum("pos_cents").alias("_sum"))
+    return _trend(user_years.filter(F.col("n_pos") > 0).groupBy("tx_year").agg(
+        F.sum("n_pos").cast("long").alias("tx_count"), F.count(F.lit(1)).alias("active_users"), F.sum("pos_cents").alias("_sum")))
+
+
+def yearly_trend_from_cube(cells: DataFrame) -> DataFrame:
+    """``yearly_trend`` from the (cohort year, year) cube."""
+    return _trend(cells.groupBy("tx_year").agg(
+        F.sum("n_pos").cast("long").alias("tx_count"), F.sum("buyers").cast("long").alias("active_users"), F.sum("pos_cents").alias("_sum")).filter(F.col("active_users") > 0))
+
+
+def _trend(g: DataFrame) -> DataFrame:
     return g.select(F.col("tx_year").cast("long").alias("tx_year"), "tx_count", "active_users",
                     round_ratio("_sum", F.col("tx_count") * 100, 2).alias("avg_amount"),
                     money("_sum").alias("total_revenue")).orderBy("tx_year")

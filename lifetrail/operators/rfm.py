@@ -2,8 +2,9 @@
 
 R comes from recency bands; F and M are equal-count bins over users,
 either SQL ``NTILE(5)`` or pandas ``qcut(rank(method='first'), 5)`` (they
-differ when n mod 5 is 2, 3 or 4).  Both are computed from the
-distributed exact rank with ``user_id`` as the tie-break.
+differ when n mod 5 is 2, 3 or 4).  No user is numbered: the cut keys
+(value, user_id) of the bins are selected, and a bin is a comparison with
+them.  The users' frame is written once and read by both steps.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 
 from lifetrail.config import Params
 from lifetrail.functions import pct, recency_score, rfm_segment, round_ratio, round_ratio_int, span_years
-from lifetrail.operators.rank import multi_rank
-from lifetrail.functions import ntile_from_rank, qcut_from_rank
+from lifetrail.operators.select import bin_cuts, bin_of, held
+
+#: The orders of the F and M scores.
+ORDERS = (("frequency", "user_id"), ("monetary", "user_id"))
 
 
 def rfm_frame(facts: DataFrame, p: Params = Params()) -> DataFrame:
@@ -34,36 +37,31 @@ def rfm_raw(facts: DataFrame, p: Params = Params()) -> DataFrame:
     return rfm_frame(facts, p).filter("eligible").drop("eligible")
 
 
+def _scores(frame: DataFrame, p: Params, method: str):
+    """R, F and M score columns for the rows of ``frame`` (a written table); the
+    cuts are those of its eligible rows."""
+    if method not in ("ntile", "qcut"):
+        raise ValueError(method)
+    counted = frame.filter("eligible") if "eligible" in frame.columns else frame
+    f, m = (bin_of(order, cuts) for order, cuts in zip(ORDERS, bin_cuts(counted, list(ORDERS), p.n_bins, method)))
+    return recency_score("recency_years", p.recency_bands), f, m
+
+
 def segments_all_users(facts: DataFrame, p: Params = Params(), method: str = "qcut") -> DataFrame:
     """Every user with activation flag and segment: eligible users are
-    scored (ranks over the eligible users only), the others get
-    ``default_segment``.  ``facts`` feeds a single frame, so the fact is
-    scanned and shuffled once even though the rank branches and the
-    join-back read it."""
-    fr = rfm_frame(facts, p)
-    fn = ntile_from_rank if method == "ntile" else qcut_from_rank
-    ranks = multi_rank(fr.filter("eligible"), ["frequency", "monetary"], ["user_id"])
-    j = fr.join(ranks, ["user_id", "frequency", "monetary"], "left")
-    r = recency_score("recency_years", p.recency_bands)
-    f_s, m_s = fn("rank_frequency", "n", p.n_bins), fn("rank_monetary", "n", p.n_bins)
-    seg = F.when(F.col("eligible"), rfm_segment(r + f_s + m_s, r, f_s, m_s, p.segment_cuts)) \
-           .otherwise(F.lit(p.default_segment))
-    return j.select("user_id", "activated", "active_next_year", seg.alias("segment"))
+    scored (bins over the eligible users only), the others get
+    ``default_segment``."""
+    frame = held(rfm_frame(facts, p), "rfm-users")
+    r, f, m = _scores(frame, p, method)
+    seg = F.when(F.col("eligible"), rfm_segment(r + f + m, r, f, m, p.segment_cuts)).otherwise(F.lit(p.default_segment))
+    return frame.select("user_id", "activated", "active_next_year", seg.alias("segment"))
 
 
 def rfm_scored(raw: DataFrame, p: Params = Params(), method: str = "ntile") -> DataFrame:
-    """Add r_score (bands), f_score and m_score (equal-count bins).
-
-    Both bins come from one stacked exact rank (one range exchange); the
-    per-user ranks join back on ``user_id``."""
-    if method not in ("ntile", "qcut"):
-        raise ValueError(method)
-    fn = ntile_from_rank if method == "ntile" else qcut_from_rank
-    ranks = multi_rank(raw, ["frequency", "monetary"], ["user_id"])
-    s = raw.join(ranks, ["user_id", "frequency", "monetary"], "inner")
-    return s.select(*raw.columns, recency_score("recency_years", p.recency_bands).alias("r_score"),
-                    fn("rank_frequency", "n", p.n_bins).alias("f_score"),
-                    fn("rank_monetary", "n", p.n_bins).alias("m_score"))
+    """Add r_score (bands), f_score and m_score (equal-count bins)."""
+    frame = held(raw, "rfm-users")
+    r, f, m = _scores(frame, p, method)
+    return frame.select(*raw.columns, r.alias("r_score"), f.alias("f_score"), m.alias("m_score"))
 
 
 def rfm_quantile_recency(raw: DataFrame, p: Params = Params()) -> DataFrame:

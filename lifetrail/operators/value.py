@@ -2,7 +2,7 @@
 
 ``annual_ltv`` = purchase total (monetary view) / active span in years,
 where the span is ``last - first`` with 0 replaced by 1.  Summary
-quantiles use the distributed exact rank, never a single-partition window.
+quantiles come from distributed selection: no user is ranked.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lifetrail.config import Params
 from lifetrail.functions import idiv, money, round_ratio_int, span_years
-from lifetrail.operators.rank import stacked_summary
+from lifetrail.operators.select import held, quantiles
 
 
 def annual_ltv(facts: DataFrame, p: Params = Params(), int_division: bool = False) -> DataFrame:
@@ -36,10 +36,23 @@ def _half_up(c):
     return F.floor(c + 0.5).cast("long")
 
 
+def metric_summary(df: DataFrame, metrics, probs: dict) -> DataFrame:
+    """One row per metric: count, exact integer sum and sum of squares, min,
+    max and interpolated quantiles.  The metrics (integral) are written
+    once; one aggregate gives the moments, selection the quantiles."""
+    metrics = list(metrics)
+    frame = held(df.select(*(F.col(m).cast("long").alias(m) for m in metrics)), "metrics")
+    x = {m: F.col(m).cast("decimal(38,0)") for m in metrics}
+    sums = frame.agg(*(F.struct(F.count(m).alias("count"), F.sum(x[m]).alias("sum"), F.sum(x[m] * x[m]).alias("sum_sq"), F.min(m).alias("min"), F.max(m).alias("max")).alias(m) for m in metrics)).first()
+    found = quantiles(frame, metrics, list(probs.values()), {m: sums[m]["count"] for m in metrics})
+    rows = [(m, *sums[m], *found[m]) for m in metrics if sums[m]["count"]]
+    schema = "metric string, count long, sum decimal(38,0), sum_sq decimal(38,0), min long, max long, " + ", ".join(f"{name} double" for name in probs)
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
 def ltv_summary(annual: DataFrame) -> DataFrame:
-    """Users, mean / min / max / median / 75th percentile of annual LTV (0 dp),
-    from one ranked pass over the users."""
-    st = stacked_summary(annual, ["annual_ltv"], {"median": 0.5, "p75": 0.75})
+    """Users, mean / min / max / median / 75th percentile of annual LTV (0 dp)."""
+    st = metric_summary(annual, ["annual_ltv"], {"median": 0.5, "p75": 0.75})
     return st.select(F.col("count").alias("total_users"),
                      round_ratio_int(F.col("sum").cast("long"), "count").alias("avg_annual_ltv"),
                      F.col("min").alias("min_annual_ltv"), F.col("max").alias("max_annual_ltv"),
@@ -74,12 +87,11 @@ def ltv_distribution(annual: DataFrame, metrics=("annual_ltv", "annual_tx"), bin
 
 
 def ltv_describe(annual: DataFrame, metrics=("annual_ltv", "annual_tx")) -> DataFrame:
-    """count / mean / std / min / quartiles / max per metric (pandas describe),
-    all metrics from one ranked pass.
+    """count / mean / std / min / quartiles / max per metric (pandas describe).
 
     Mean and sample variance come from exact integer sums, so they do not
     depend on summation order."""
-    st = stacked_summary(annual, list(metrics), {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    st = metric_summary(annual, metrics, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     n = F.col("count").cast("decimal(38,0)")
     num = n * F.col("sum_sq") - F.col("sum") * F.col("sum")
     den = n * (F.col("count") - 1).cast("decimal(38,0)")

@@ -271,6 +271,7 @@ def q_cohort_demographics_by_position(spark, sf_dir):
 # ---------------------------------------------------------------- J: cohorts and value
 from lifetrail.operators import cohort, value, rfm, mix, experiment  # noqa: E402
 from lifetrail.operators.facts import user_years  # noqa: E402
+from lifetrail.operators.select import held  # noqa: E402
 
 
 def _user_years(spark, sf_dir, p=PARAMS):
@@ -420,8 +421,8 @@ def q_segment_transactions(spark, sf_dir):
 
 
 def _activity(spark, sf_dir, p=PARAMS):
-    """One aggregate of the fact and the segments from the same aggregate."""
-    activity = mix.user_activity(_clean(spark, sf_dir, p), p)
+    """One aggregate of the fact, written once, and the segments from it."""
+    activity = held(mix.user_activity(_clean(spark, sf_dir, p), p), "activity")
     raw = rfm.rfm_raw(mix.totals_from_activity(activity, p), p)
     return activity, rfm.rfm_segments(rfm.rfm_scored(raw, p, "qcut"), p)
 
@@ -456,7 +457,7 @@ def _units(spark, sf_dir, p=PARAMS):
 
 
 def _outcomes(spark, sf_dir, p=PARAMS):
-    return experiment.observed_outcomes(experiment.experiment_assignment(_units(spark, sf_dir, p), p))
+    return experiment.observed_outcomes(experiment.experiment_arms(_units(spark, sf_dir, p), p))
 
 
 @register("activation_by_segment")
@@ -512,5 +513,47 @@ def q_outcome_comparison(spark, sf_dir):
 
 @register("impact_estimate")
 def q_impact_estimate(spark, sf_dir):
-    population = experiment.impact_population(_totals(spark, sf_dir), PARAMS)
-    return experiment.impact_estimate(_outcomes(spark, sf_dir), population)
+    f = held(_facts(spark, sf_dir), "facts")
+    arms = experiment.experiment_arms(rfm.segments_all_users(f, PARAMS, "qcut"), PARAMS)
+    return experiment.impact_estimate(experiment.observed_outcomes(arms), experiment.impact_population(f, PARAMS))
+
+
+# ---------------------------------------------------------------- A16: marts after appends
+#: Mart -> (two key columns, value columns) of the long form.
+MART_VALUES = {
+    "aarrr_funnel": (("stage", None), ("users", "order_num")),
+    "yearly_trend": (("tx_year", None), ("tx_count", "active_users", "avg_amount", "total_revenue")),
+    "cohort_behavior": (("cohort_year", "years_since_first"), ("active_users", "avg_tx_per_user", "avg_revenue_per_user")),
+    "rfm_segments": (("user_id", "segment"), ("recency_years", "frequency", "monetary", "r_score", "f_score", "m_score", "rfm_score")),
+    "ab_test_result": (("outcome", "arm"), ("conversion_rate", "lift_pp", "n", "p_value")),
+    "mcc_category": (("mcc", "category"), ("tx_count", "avg_amount", "ratio")),
+}
+
+
+def marts_long(marts: dict[str, DataFrame]) -> DataFrame:
+    """Every mart's values as rows (mart, key1, key2, metric, value)."""
+    out = None
+    for mart, (keys, values) in MART_VALUES.items():
+        each = F.inline(F.array(*(F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values)))
+        key1, key2 = (F.col(k).cast("string") if k else F.lit(None).cast("string") for k in keys)
+        rows = marts[mart].select(F.lit(mart).alias("mart"), key1.alias("key1"), key2.alias("key2"), each)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@register("marts_refreshed")
+def q_marts_refreshed(spark, sf_dir):
+    """The six marts after the fact arrived in three batches (and one of them twice), with a compaction in between."""
+    import uuid
+
+    from lifetrail.config import ensure_checkpoint_dir
+    from lifetrail.plans import refresh
+    root = f"{ensure_checkpoint_dir(spark)}/refresh-{uuid.uuid4().hex}"
+    raw = _raw(spark, sf_dir)
+    part = F.pmod(F.xxhash64("user_id", "tx_year", "tx_month", "card"), F.lit(3))
+    refresh.add_batch(raw.filter(part == 0), root, "first", PARAMS)
+    refresh.add_batch(raw.filter(part == 1), root, "second", PARAMS)
+    refresh.compact(spark, root, PARAMS)
+    refresh.add_batch(raw.filter(part == 2), root, "third", PARAMS)
+    refresh.add_batch(raw.filter(part == 1), root, "second", PARAMS)
+    return marts_long(refresh.marts(spark, root, category_map(spark), PARAMS))

@@ -13,7 +13,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lifetrail.config import Params
 from lifetrail.operators import cohort, experiment, lifecycle, profile, rfm
@@ -53,9 +52,8 @@ def build_marts(raw: DataFrame, mapping: DataFrame, folder: str, p: Params = Par
 
     segs = rfm.rfm_segments(rfm.rfm_scored(rfm.rfm_raw(f, p), p, "qcut"), p)
     units = rfm.segments_all_users(f, p, "qcut")
-    outcomes = experiment.observed_outcomes(experiment.experiment_assignment(units, p))
+    outcomes = experiment.observed_outcomes(experiment.experiment_arms(units, p))
     top = profile.category_top(c, p, purchases_only=True)
-    m = mapping.select(F.col("code").alias("mcc"), F.col("detail").alias("category"))
     return {
         "aarrr_funnel": lifecycle.funnel_stages(f),
         "yearly_trend": profile.yearly_trend_from_years(uy),
@@ -63,32 +61,86 @@ def build_marts(raw: DataFrame, mapping: DataFrame, folder: str, p: Params = Par
         "rfm_segments": segs.select("user_id", "recency_years", "frequency", "monetary",
                                     "r_score", "f_score", "m_score", "rfm_score", "segment"),
         "ab_test_result": experiment.outcome_comparison(outcomes, p),
-        "mcc_category": top.join(m, "mcc", "left").withColumn("category", F.coalesce("category", F.lit("other")))
-                           .select("mcc", "tx_count", "avg_amount", "ratio", "category"),
+        "mcc_category": profile.with_category_label(top, mapping),
     }
 
 
-def write_marts(marts: dict[str, DataFrame], out_dir: str, fmt: str = "parquet") -> list[str]:
-    """Write every mart (replace mode).  Marts bounded by years, stages or
-    categories become a single file for dashboard tools; the per-user mart
-    is written by all tasks.  Returns the written paths."""
-    paths = []
-    for name, df in marts.items():
-        path = f"{out_dir.rstrip('/')}/{name}"
-        out = df.coalesce(1) if name in SMALL_MARTS else df
-        write_table(out, path, mode="replace", fmt=fmt, **({"header": True} if fmt == "csv" else {}))
-        paths.append(path)
-    return paths
-
-
-def load_marts(marts: dict[str, DataFrame], database: str = "default", prefix: str = "") -> list[str]:
-    """Load every mart into a catalog table, truncating it first (A13)."""
-    names = []
-    for name, df in marts.items():
-        full = f"{database}.{prefix}{name}"
-        save_table(df.coalesce(1) if name in SMALL_MARTS else df, full, mode="replace")
-        names.append(full)
-    return names
+def write_marts(marts: dict[str, DataFrame], out_dir: str, fmt: str = "parquet", may_be_empty: tuple = ()) -> list[str]:
+    """Replace every mart's files, all or none.  Returns the written paths.
+
+    The marts are written to a staging folder first and read back: a mart
+    without rows fails the load (but for those that ``may_be_empty``).  Only
+    then do renames switch them; a load that fails before leaves the old
+    marts as they were, and a failing rename puts them back.  Marts bounded
+    by years, stages or categories become a single file for dashboard tools;
+    the per-user mart is written by all tasks."""
+    spark = next(iter(marts.values())).sparkSession
+    out = out_dir.rstrip("/")
+    run = uuid.uuid4().hex
+    new, old = f"{out}/.staging-{run}", f"{out}/.replaced-{run}"
+    options = {"header": True} if fmt == "csv" else {}
+    try:
+        for name, df in marts.items():
+            write_table(df.coalesce(1) if name in SMALL_MARTS else df, f"{new}/{name}", mode="fail", fmt=fmt, **options)
+            _audit(spark.read.format(fmt).options(**options).load(f"{new}/{name}").count(), name, may_be_empty)
+        _switch(spark, list(marts), new, out, old)
+    finally:
+        for folder in (new, old):
+            remove_folder(spark, folder)
+    return [f"{out}/{name}" for name in marts]
+
+
+def _audit(rows: int, name: str, may_be_empty: tuple) -> None:
+    if not rows and name not in may_be_empty:
+        raise ValueError(f"mart {name} has no rows; the old one stays")
+
+
+def _switch(spark, names: list[str], new: str, out: str, old: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(out).getFileSystem(conf)
+    fs.mkdirs(path(old))
+    moved: list[tuple[str, str]] = []
+    try:
+        for name in names:
+            for a, b in ((f"{out}/{name}", f"{old}/{name}"), (f"{new}/{name}", f"{out}/{name}")):
+                if a.startswith(new) or fs.exists(path(a)):
+                    if not fs.rename(path(a), path(b)):
+                        raise OSError(f"cannot move {a} to {b}")
+                    moved.append((a, b))
+    except Exception:
+        for a, b in reversed(moved):
+            fs.rename(path(b), path(a))
+        raise
+
+
+def load_marts(marts: dict[str, DataFrame], database: str = "default", prefix: str = "", may_be_empty: tuple = ()) -> list[str]:
+    """Replace the marts' catalog tables, all or none (A13): staging tables
+    are written and counted, then renamed in place of the old ones."""
+    spark = next(iter(marts.values())).sparkSession
+    full = {name: f"{database}.{prefix}{name}" for name in marts}
+    staging = {name: f"{t}__staging" for name, t in full.items()}
+    moved: list[tuple[str, str]] = []
+    try:
+        for name, df in marts.items():
+            save_table(df.coalesce(1) if name in SMALL_MARTS else df, staging[name], mode="replace")
+            _audit(spark.table(staging[name]).count(), name, may_be_empty)
+        for name, t in full.items():
+            spark.sql(f"DROP TABLE IF EXISTS {t}__replaced")
+            for a, b in ((t, f"{t}__replaced"), (staging[name], t)):
+                if spark.catalog.tableExists(a):
+                    spark.sql(f"ALTER TABLE {a} RENAME TO {b}")
+                    moved.append((a, b))
+    except Exception:
+        for a, b in reversed(moved):
+            spark.sql(f"ALTER TABLE {b} RENAME TO {a}")
+        raise
+    finally:
+        for t in staging.values():
+            spark.sql(f"DROP TABLE IF EXISTS {t}")
+    for t in full.values():
+        spark.sql(f"DROP TABLE IF EXISTS {t}__replaced")
+    return list(full.values())
 
 
 def run_marts(raw: DataFrame, mapping: DataFrame, out_dir: str, shared_folder: str, p: Params = Params(), fmt: str = "parquet") -> list[str]:

@@ -751,4 +751,24 @@ SELECT outcome, eligible_users, {fround(lift, 6)} AS lift,
 FROM arms, u, l"""
 
 
+def _marts_sql(q: dict) -> str:
+    """The six marts in full, as rows (mart, key1, key2, metric, value)."""
+    label = "CASE WHEN mcc LIKE 'Brand#%' AND TRY_CAST(substr(mcc, 7) AS INTEGER) BETWEEN 1 AND 20 THEN 'brand-' || substr(mcc, 7) ELSE 'other' END"
+    marts = {
+        "aarrr_funnel": ("funnel_stages", "stage", "NULL", ("users", "order_num")),
+        "yearly_trend": ("yearly_trend", "tx_year", "NULL", ("tx_count", "active_users", "avg_amount", "total_revenue")),
+        "cohort_behavior": ("cohort_behavior_complete_years", "cohort_year", "years_since_first", ("active_users", "avg_tx_per_user", "avg_revenue_per_user")),
+        "rfm_segments": ("rfm_segments_qcut", "user_id", "segment", ("recency_years", "frequency", "monetary", "r_score", "f_score", "m_score", "rfm_score")),
+        "ab_test_result": ("outcome_comparison", "outcome", "arm", ("conversion_rate", "lift_pp", "n", "p_value")),
+        "mcc_category": ("category_top20_purchases", "mcc", label, ("tx_count", "avg_amount", "ratio")),
+    }
+    parts = []
+    for mart, (query, key1, key2, values) in marts.items():
+        for v in values:
+            parts.append(f"SELECT '{mart}' AS mart, CAST({key1} AS VARCHAR) AS key1, CAST({key2} AS VARCHAR) AS key2, '{v}' AS metric, CAST({v} AS DOUBLE) AS value FROM m_{mart}")
+    ctes = ", ".join(f"m_{mart} AS MATERIALIZED ({q[query]})" for mart, (query, *_) in marts.items())
+    return f"WITH {ctes}\n" + "\nUNION ALL\n".join(parts)
+
+
 ORACLE_SQL: dict[str, str] = _sql()
+ORACLE_SQL["marts_refreshed"] = _marts_sql(ORACLE_SQL)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from lifetrail.sources.batches import add_load, merge_small
 from lifetrail.sources.files import TRANSACTION_RENAMES, TRANSACTION_SCHEMA, typed_transactions
 
 
@@ -66,3 +67,29 @@ def ingest_parquet_stream(spark: SparkSession, src_dir: str, schema, out_path: s
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     return _run(spark, writer, out_path)
+
+
+def ingest_csv_loads(spark: SparkSession, src_dir: str, root: str, checkpoint_path: str, max_bytes: str | None = "1g", max_files: int | None = None,
+                     small_bytes: int = 128 << 20, most_loads: int = 8) -> int:
+    """Add the rows of new CSV files under ``src_dir`` to the table of loads
+    below ``root`` (``sources.batches.read_loads`` reads it); returns the
+    rows added.
+
+    A micro-batch takes at most ``max_bytes`` of files (one larger file is
+    a batch of its own) and becomes one load, rebalanced by year.  A batch
+    that runs again, because its run stopped before the checkpoint knew of
+    it, finds its load in the log and adds nothing.  Small loads are merged
+    at the end, so files grow with the bytes."""
+    reader = spark.readStream.schema(TRANSACTION_SCHEMA).option("header", True)
+    for name, value in (("maxBytesPerTrigger", max_bytes if not max_files else None), ("maxFilesPerTrigger", max_files)):
+        if value:
+            reader = reader.option(name, value)
+    stream = typed_transactions(reader.csv(src_dir).withColumnsRenamed(TRANSACTION_RENAMES))
+    added = [0]
+
+    def load(batch, batch_id: int) -> None:
+        added[0] += add_load(batch, root, f"stream-{batch_id}", ("tx_year",), ("user_id",))
+
+    stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start().awaitTermination()
+    merge_small(spark, root, ("tx_year",), ("user_id",), small_bytes, most_loads)
+    return added[0]

@@ -14,8 +14,11 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from lifetrail import get_session
     scratch = tempfile.mkdtemp(prefix="lifetrail-test-session-")
+    os.mkdir(f"{scratch}/events")
     s = get_session("lifetrail-tests", cores="*", shuffle_partitions=8,
                     extra={"spark.sql.warehouse.dir": f"{scratch}/warehouse",
+                           "spark.eventLog.enabled": "true", "spark.eventLog.dir": f"file:{scratch}/events",
+                           "spark.eventLog.rolling.enabled": "false", "spark.eventLog.compress": "false",
                            "spark.driver.extraJavaOptions": f"-Dderby.stream.error.file={scratch}/derby.log"})
     s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lifetrail-test-ckpt-"))
     yield s

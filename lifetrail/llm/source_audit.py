@@ -20,8 +20,8 @@ and two distributions differ in a term by ``f = floor((p - q)^2 / q)``.
    documents again and counts terms into dense slots of the groups that a
    task meets; a lookup checks the stored key.  Slots beyond ``TASK_SLOTS``
    are handed on and start anew.
-4. Groups' counts of a shard are added in two steps, so no group of rows
-   grows with the number of tasks.  Shares and differences are computed
+4. Groups' counts are added in the order of their keys, a row at a time, so
+   no group of rows is gathered.  Shares and differences are computed
    shard by shard, sources in blocks of ``SOURCES``; what leaves a shard is
    one number for a pair of sources and the best ``TOP`` terms of a group.
 
@@ -49,15 +49,15 @@ from lifetrail.llm import perfect_hash
 from lifetrail.llm.common import materialise
 
 MIN_DOCS, TOP = 3, 200
-SHARD_TERMS = 4096
+SHARD_TERMS = 32_768
 #: Packed shards that are broadcast at a time.
-WAVE_BYTES = 64 << 20
+WAVE_BYTES = 32 << 20
 #: Distinct terms that a task counts, and slots that it holds, before it hands them on.
-TASK_TERMS, TASK_SLOTS = 200_000, 4 << 20
-#: Partial counts of a (group, shard) are first added in so many parts.
+TASK_TERMS, TASK_SLOTS = 300_000, 4 << 20
+#: A group's rows are first added in so many parts, and a language's terms met in so many, so a hot one is the work of several tasks.
 PARTS = 32
 #: Sources of a language that meet in one group of rows, with as many others.
-SOURCES = 64
+SOURCES = 16
 TERM = re.compile(rb"[a-z\x80-\xff]+")  # of lowered bytes: bytes.lower() lowers A-Z only
 COUNTS = "slots binary, counts binary, total long"
 
@@ -103,8 +103,9 @@ def _build(group: pa.Table) -> pa.Table:
 
 def hash_shards(kept: DataFrame, shard_terms: int = SHARD_TERMS) -> DataFrame:
     """``lang, shard, shards, n, packed``: the kept terms' perfect hashes, at least one shard of one term."""
-    numbers = kept.groupBy("lang").agg(F.ceil(F.count("*") / shard_terms).cast("int").alias("shards"))
-    dealt = kept.join(numbers, "lang").withColumn("shard", F.pmod(F.xxhash64("term"), F.col("shards")).cast("int"))
+    # a language may hold a third of all terms: its number meets them in ``PARTS`` places
+    numbers = kept.groupBy("lang").agg(F.ceil(F.count("*") / shard_terms).cast("int").alias("shards")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = kept.withColumn("salt", F.pmod(F.xxhash64(F.lit(1), "term"), F.lit(PARTS)).cast("int")).join(numbers, ["lang", "salt"]).drop("salt").withColumn("shard", F.pmod(F.xxhash64("term"), F.col("shards")).cast("int"))
     return dealt.groupBy("lang", "shard").applyInArrow(_build, "lang string, shard int, shards int, n int, packed binary")
 
 
@@ -135,12 +136,25 @@ def _dense(slots, counts, n: int) -> np.ndarray:
 
 
 def _recount(held, task_terms: int, task_slots: int):
-    """Dense counts of the broadcast shards' terms, by group and shard."""
+    """Counts of the broadcast shards' terms, by group: one row each time that a group is handed on.
+    A term's place is its shard's number and, in the lower half, its slot."""
     def run(batches):
         vocabulary = {lang: perfect_hash.Shards(total, packed) for lang, (total, packed) in held.value.items()}
         words, size, dense, slots = {}, 0, {}, 0
         part = TaskContext.get().partitionId() % PARTS
 
+        def rows():
+            nonlocal dense, slots
+            for (lang, source), counts in dense.items():
+                base = vocabulary[lang].base
+                at = np.flatnonzero(counts)
+                shard = np.searchsorted(base, at, side="right") - 1
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([source], pa.string()), pa.array([part], pa.int32()),
+                                                      pa.array([(shard << 32 | at - base[shard]).astype("<i8").tobytes()], pa.binary()), pa.array([counts[at].astype("<i8").tobytes()], pa.binary())],
+                                                     names=["lang", "source", "part", "places", "counts"])
+            dense, slots = {}, 0
+
         def count():
             nonlocal words, size, slots
             for (lang, source), counter in words.items():
@@ -150,22 +164,10 @@ def _recount(held, task_terms: int, task_slots: int):
                     dense[lang, source] = np.zeros(vocabulary[lang].slots, np.int64)
                     slots += vocabulary[lang].slots
                 dense[lang, source][found[at]] += np.fromiter(counter.values(), np.int64, len(counter))[at]
+                if slots > task_slots:
+                    yield from rows()
             words, size = {}, 0
 
-        def rows():
-            nonlocal dense, slots
-            for (lang, source), counts in dense.items():
-                v = vocabulary[lang]
-                out = [(s, *_sparse(counts[v.base[s]:v.base[s + 1]])) for s in np.flatnonzero(v.n).tolist()]
-                out = [r for r in out if r[3]]
-                if out:
-                    k = len(out)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * k, pa.string()), pa.array([source] * k, pa.string()), pa.array([r[0] for r in out], pa.int32()), pa.array([part] * k, pa.int32()),
-                         pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary()), pa.array([r[3] for r in out], pa.int64())],
-                        names=["lang", "source", "shard", "part", "slots", "counts", "total"])
-            dense, slots = {}, 0
-
         for batch in batches:
             for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text")):
                 if lang not in vocabulary:
@@ -175,30 +177,80 @@ def _recount(held, task_terms: int, task_slots: int):
                 counter.update(TERM.findall(text.as_py().lower()))
                 size += len(counter)
                 if size > task_terms:
-                    count()
-                    if slots > task_slots:
-                        yield from rows()
-        count()
+                    yield from count()
+        yield from count()
+        yield from rows()
+    return run
+
+
+def _summed(places: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    at, c = np.concatenate(places), np.concatenate(counts)
+    order = np.argsort(at, kind="stable")
+    at, c = at[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[first], np.add.reduceat(c, first)
+
+
+def _by_shard(most: int = 1 << 20):
+    """Add up a group's rows, which stand one after the other, and cut them into shards."""
+    def run(batches):
+        key, places, counts, size = None, [], [], 0
+
+        def rows():
+            if places:
+                at, c = _summed(places, counts)
+                shard = at >> 32
+                cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
+                parts = list(zip(cut[:-1], cut[1:]))
+                n = len(parts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.string()), pa.array(shard[cut[:-1]], pa.int32()), pa.array([(at[x:y] & 0xFFFFFFFF).astype("<u4").tobytes() for x, y in parts], pa.binary()),
+                     pa.array([c[x:y].tobytes() for x, y in parts], pa.binary())], names=["lang", "source", "shard", "slots", "counts"])
+
+        for batch in batches:
+            for *now, at, c in zip(*(batch.column(x).to_pylist() for x in ("lang", "source", "part", "places", "counts"))):
+                if now != key:
+                    yield from rows()
+                    key, places, counts, size = now, [], [], 0
+                places.append(np.frombuffer(at, "<i8"))
+                counts.append(np.frombuffer(c, "<i8"))
+                size += len(places[-1])
+                if size > most:
+                    at, c = _summed(places, counts)
+                    places, counts, size = [at], [c], len(at) // 2
         yield from rows()
     return run
 
 
 def _add(keys: list[str]):
-    def run(group: pa.Table) -> pa.Table:
-        at = [np.frombuffer(b, "<u4") for b in group.column("slots").to_pylist()]
-        dense = np.zeros(max(int(a.max()) for a in at) + 1, np.int64)
-        for a, c in zip(at, group.column("counts").to_pylist()):
-            dense[a] += np.frombuffer(c, "<i8")
-        slots, counts, total = _sparse(dense)
-        return pa.table({**{k: group.column(k).slice(0, 1) for k in keys}, "slots": pa.array([slots], pa.binary()), "counts": pa.array([counts], pa.binary()), "total": pa.array([total], pa.int64())})
+    """Add up rows that stand one after the other with the same keys."""
+    def run(batches):
+        held, dense = None, None
+
+        def row():
+            slots, counts, total = _sparse(dense)
+            return pa.RecordBatch.from_pylist([{**dict(zip(keys, held)), "slots": slots, "counts": counts, "total": total}], schema=out)
+
+        for batch in batches:
+            out = pa.schema([*(batch.schema.field(k) for k in keys), ("slots", pa.binary()), ("counts", pa.binary()), ("total", pa.int64())])
+            for *key, slots, counts in zip(*(batch.column(c).to_pylist() for c in (*keys, "slots", "counts"))):
+                if key != held:
+                    if held is not None:
+                        yield row()
+                    held, dense = key, np.zeros(0, np.int64)
+                at = np.frombuffer(slots, "<u4")  # ascending
+                if len(at) and at[-1] >= len(dense):
+                    dense = np.concatenate([dense, np.zeros(int(at[-1]) + 1 - len(dense), np.int64)])
+                dense[at] += np.frombuffer(counts, "<i8")
+        if held is not None:
+            yield row()
     return run
 
 
 def _added(rows: DataFrame, keys: dict[str, str]) -> DataFrame:
-    """Counts added by ``keys``, first by ``part`` too."""
-    for step in ({**keys, "part": "int"}, keys):
-        rows = rows.groupBy(*step).applyInArrow(_add(list(step)), ", ".join(f"{k} {t}" for k, t in step.items()) + f", {COUNTS}")
-    return rows
+    """Counts added by ``keys``: a task reads them in the keys' order, one row at a time."""
+    dealt = rows.select(*keys, "slots", "counts").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(_add(list(keys)), ", ".join(f"{k} {t}" for k, t in keys.items()) + f", {COUNTS}")
 
 
 def recount(docs: DataFrame, shards: DataFrame, wave_bytes: int = WAVE_BYTES, task_terms: int = TASK_TERMS, task_slots: int = TASK_SLOTS) -> DataFrame:
@@ -210,9 +262,12 @@ def recount(docs: DataFrame, shards: DataFrame, wave_bytes: int = WAVE_BYTES, ta
         for r in dealt.where(F.col("wave") == wave).select("lang", "shard", "shards", "packed").toLocalIterator():
             packed.setdefault(r["lang"], (r["shards"], {}))[1][r["shard"]] = bytes(r["packed"])
         held = docs.sparkSession.sparkContext.broadcast(packed)
-        part = docs.mapInArrow(_recount(held, task_terms, task_slots), f"lang string, source string, shard int, part int, {COUNTS}")
+        part = materialise(docs.mapInArrow(_recount(held, task_terms, task_slots), "lang string, source string, part int, places binary, counts binary"), "audit-counted")
+        held.unpersist()
         out = part if out is None else out.unionByName(part)
-    return _added(out, {"lang": "string", "source": "string", "shard": "int"})
+    group = ("lang", "source", "part")
+    shards_of = out.repartition(*group).sortWithinPartitions(*group).mapInArrow(_by_shard(), "lang string, source string, shard int, slots binary, counts binary")
+    return _added(shards_of, {"lang": "string", "source": "string", "shard": "int"})
 
 
 # ---------------------------------------------------------------- shares and differences
@@ -295,7 +350,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, shard_terms
     pairs = met.groupBy("lang", "shard", "b1", "b2").applyInArrow(_pairs, "lang string, source string, item string, value long")
     pairs = pairs.groupBy("lang", "source", "item").agg(F.sum(F.col("value").cast("decimal(38,0)")).cast("long").alias("value"))
 
-    whole = _added(counts.withColumn("part", F.pmod(F.xxhash64("source"), F.lit(PARTS)).cast("int")), {"lang": "string", "shard": "int"})
+    whole = _added(counts, {"lang": "string", "shard": "int"})
     blocks = info.groupBy("lang").agg(F.max("blocks").alias("blocks"))
     right = whole.drop("total").join(shards.select("lang", "shard", "packed"), ["lang", "shard"]).join(blocks, "lang")
     right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -57,14 +57,14 @@ def euclidean(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.cumsum(square, axis=1)[:, -1])
 
 
-def nearest_in_tiles(q_ids, q, x_ids, x, k: int) -> list[list[tuple[float, int]]]:
+def nearest_in_tiles(q_rows, q, x_rows, x_ids, x, k: int) -> list[list[tuple[float, int]]]:
     """Each query's k nearest rows of a data block as (distance, id)."""
     q_code, q_scale, q_res = quantise(q)
     x_code, x_scale, x_res = quantise(x)
     q_norm = (q_scale * np.sqrt((q_code.astype(np.float64) ** 2).sum(1))) ** 2
     x_norm = (x_scale * np.sqrt((x_code.astype(np.float64) ** 2).sum(1))) ** 2
-    heaps: list[list[tuple[float, int]]] = [[] for _ in q_ids]
-    for qa in range(0, len(q_ids), TILE_QUERIES):
+    heaps: list[list[tuple[float, int]]] = [[] for _ in q_rows]
+    for qa in range(0, len(q_rows), TILE_QUERIES):
         qs = slice(qa, qa + TILE_QUERIES)
         for xa in range(0, len(x_ids), TILE_ROWS):
             xs = slice(xa, xa + TILE_ROWS)
@@ -75,7 +75,7 @@ def nearest_in_tiles(q_ids, q, x_ids, x, k: int) -> list[list[tuple[float, int]]
             slack = q_res[qs, None] + x_res[None, xs] + np.sqrt(whole) * 1e-6
             decoded = np.sqrt(square)
             low, high = decoded - slack, decoded + slack
-            same = q_ids[qs, None] == x_ids[None, xs]
+            same = q_rows[qs, None] == x_rows[None, xs]
             low[same] = high[same] = np.inf
             at = min(k, low.shape[1]) - 1
             limit = np.partition(high, at, axis=1)[:, at]
@@ -94,13 +94,13 @@ def nearest_in_tiles(q_ids, q, x_ids, x, k: int) -> list[list[tuple[float, int]]
 def _tile(dim: int, k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for qb in left.select(["ids", "data"]).to_pylist():
-            q_ids, q = unpacked(qb, dim)
-            for xb in right.select(["ids", "data"]).to_pylist():
-                x_ids, x = unpacked(xb, dim)
-                for i, heap in zip(q_ids.tolist(), nearest_in_tiles(q_ids, q, x_ids, x, k)):
-                    out += [(i, v, d) for d, v in heap]
-        return pa.table({"query_id": pa.array([r[0] for r in out], pa.int64()), "vec_id": pa.array([r[1] for r in out], pa.int64()), "score": pa.array([r[2] for r in out], pa.float64())})
+        for qb in left.select(["rows", "ids", "data"]).to_pylist():
+            q_rows, q_ids, q = unpacked(qb, dim)
+            for xb in right.select(["rows", "ids", "data"]).to_pylist():
+                x_rows, x_ids, x = unpacked(xb, dim)
+                for row, i, heap in zip(q_rows.tolist(), q_ids.tolist(), nearest_in_tiles(q_rows, q, x_rows, x_ids, x, k)):
+                    out += [(row, i, v, d) for d, v in heap]
+        return pa.table({**{c: pa.array([r[j] for r in out], pa.int64()) for j, c in enumerate(("query_row", "query_id", "vec_id"))}, "score": pa.array([r[3] for r in out], pa.float64())})
     return run
 
 
@@ -114,7 +114,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, query_block: int =
     n_data, n_query = -(-n // data_block), -(-n_queries // query_block)
     data = materialise(packed_blocks(rows, dim, n_data), "ann-data")
     queries = materialise(packed_blocks(rows.where(F.col("vec_id") % every == 0), dim, n_query), "ann-queries")
-    pairs_q = queries.select("ids", "data", F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_data - 1))).alias("d"))
-    pairs_x = data.select("ids", "data", F.col("block").alias("d2"), F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("q2"))
-    found = pairs_q.groupBy("q", "d").cogroup(pairs_x.groupBy("q2", "d2")).applyInArrow(_tile(dim, k), "query_id long, vec_id long, score double")
+    pairs_q = queries.select("rows", "ids", "data", F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_data - 1))).alias("d"))
+    pairs_x = data.select("rows", "ids", "data", F.col("block").alias("d2"), F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("q2"))
+    found = pairs_q.groupBy("q", "d").cogroup(pairs_x.groupBy("q2", "d2")).applyInArrow(_tile(dim, k), "query_row long, query_id long, vec_id long, score double")
     return best_rows(found, k, descending=False)

@@ -2,8 +2,10 @@
 
 Rows that take part have an id and a vector without null or non-finite
 components, of the table's most frequent dimension (the larger of equally
-frequent ones); an id that stands in several rows counts once, with the
-smallest of its vectors.
+frequent ones).  Every row counts: an id that stands in several rows is
+several queries or candidates, and a query meets all rows but its own, also
+those with its id.  Rows are told apart by ``row``, a number that is theirs
+once the table is written; ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 
 def usable(vectors: DataFrame, allow_zero: bool = True) -> tuple[DataFrame, int]:
-    """``vec_id, v`` (array of double) of the rows that take part, and their dimension."""
+    """``row, vec_id, v`` (array of double) of the rows that take part, and their dimension.  To be written before use."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = v.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.coalesce(bad, F.lit(True)))
@@ -24,7 +26,7 @@ def usable(vectors: DataFrame, allow_zero: bool = True) -> tuple[DataFrame, int]
         v = v.where(F.exists("v", lambda x: x != 0))
     sizes = v.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), F.col("d").desc()).limit(1).collect()
     dim = sizes[0]["d"] if sizes else 0
-    return v.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v")), dim
+    return v.where(F.size("v") == dim).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"), dim
 
 
 def matrix(batch: pa.RecordBatch | pa.Table, dim: int, column: str = "v") -> np.ndarray:
@@ -40,23 +42,23 @@ def whole_partition(batches) -> pa.Table | None:
 
 
 def packed_blocks(rows: DataFrame, dim: int, number: int) -> DataFrame:
-    """Deal ``vec_id, v`` evenly into ``number`` blocks: ``block, ids, data`` (matrices of doubles as bytes)."""
+    """Deal ``row, vec_id, v`` evenly into ``number`` blocks: ``block, rows, ids, data`` (matrices of doubles as bytes)."""
     def pack(batches):
         t = whole_partition(batches)
         if t is not None:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([t.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([matrix(t, dim).tobytes()], pa.binary())],
-                names=["block", "ids", "data"])
-    return rows.repartition(number).mapInArrow(pack, "block int, ids binary, data binary")
+                [pa.array([TaskContext.get().partitionId()], pa.int32()), *(pa.array([t.column(c).to_numpy().astype("<i8").tobytes()], pa.binary()) for c in ("row", "vec_id")), pa.array([matrix(t, dim).tobytes()], pa.binary())],
+                names=["block", "rows", "ids", "data"])
+    return rows.repartition(number).mapInArrow(pack, "block int, rows binary, ids binary, data binary")
 
 
-def unpacked(row: dict, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row["ids"], "<i8")
-    return ids, np.frombuffer(row["data"], np.float64).reshape(len(ids), dim)
+def unpacked(block: dict, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids = np.frombuffer(block["ids"], "<i8")
+    return np.frombuffer(block["rows"], "<i8"), ids, np.frombuffer(block["data"], np.float64).reshape(len(ids), dim)
 
 
 def best_rows(found: DataFrame, k: int, descending: bool) -> DataFrame:
-    """The k best of each query's partial results, ranked from 1, ties to the smaller id."""
+    """The k best of each query row's partial results, ranked from 1, ties to the smaller id."""
     score = F.col("score").desc() if descending else F.col("score").asc()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(score, "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(score, "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -65,7 +65,8 @@ def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     raise ValueError("scores beyond 64-bit integers")
 
 
-CELL_SCHEMA = "vec_id long, v array<double>, cell int, dist double"
+CELL_SCHEMA = "row long, vec_id long, v array<double>, cell int, dist double"
+FOUND = "query_row long, query_id long, vec_id long, score long"
 
 
 def _cells(dim: int, pivots: np.ndarray, top: float, query: bool):
@@ -75,7 +76,7 @@ def _cells(dim: int, pivots: np.ndarray, top: float, query: bool):
             if batch.num_rows:
                 d = distances(lifted(integers(matrix(batch, dim)), top, query), pivots)
                 cell = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], names=["vec_id", "v", "cell", "dist"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "vec_id", "v")), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], names=["row", "vec_id", "v", "cell", "dist"])
     return run
 
 
@@ -115,25 +116,24 @@ def bounds(pivots: np.ndarray, near: dict[int, list[float]], reach: dict[int, fl
 
 def _solve(dim: int, k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        q_ids, x_ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-        out_q, out_x, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        q_rows, q_ids, x_rows, x_ids = (t.column(c).to_numpy() for t in (left, right) for c in ("row", "vec_id"))
+        out = [(np.zeros(0, np.int64),) * 4]
         if len(q_ids) and len(x_ids):
-            order = np.argsort(x_ids)
-            x_ids = x_ids[order]
+            order = np.argsort(x_ids, kind="stable")
+            x_ids, x_rows = x_ids[order], x_rows[order]
             s = scores(integers(matrix(left, dim)), integers(matrix(right, dim))[order])
-            for i, q in enumerate(q_ids):
+            place = np.argsort(x_rows)
+            own = place[np.minimum(np.searchsorted(x_rows[place], q_rows), len(x_rows) - 1)]
+            for i, q in enumerate(q_rows):
                 row, ids = s[i], x_ids
-                own = np.searchsorted(ids, q)
-                if own < len(ids) and ids[own] == q:
-                    row, ids = np.delete(row, own), np.delete(ids, own)
+                if x_rows[own[i]] == q:
+                    row, ids = np.delete(row, own[i]), np.delete(ids, own[i])
                 if len(row) > k:  # whatever ties with the k-th stays until the smaller ids are taken
                     on = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
                     row, ids = row[on], ids[on]
                 best = np.argsort(-row, kind="stable")[:k]
-                out_q.append(np.full(len(best), q))
-                out_x.append(ids[best])
-                out_s.append(row[best])
-        return pa.table({"query_id": pa.array(np.concatenate(out_q), pa.int64()), "vec_id": pa.array(np.concatenate(out_x), pa.int64()), "score": pa.array(np.concatenate(out_s), pa.int64())})
+                out.append((np.full(len(best), q), np.full(len(best), q_ids[i]), ids[best], row[best]))
+        return pa.table({c: pa.array(np.concatenate([o[i] for o in out]), pa.int64()) for i, c in enumerate(("query_row", "query_id", "vec_id", "score"))})
     return run
 
 
@@ -142,7 +142,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, pivots: int = PIVOT
     rows, dim = usable(vectors)
     rows = materialise(rows, "topk-vectors")
     spark = rows.sparkSession
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()  # ``pivots`` rows
+    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(pivots).collect()  # ``pivots`` rows
     if not chosen:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     top = rows.mapInArrow(_norms(dim), "top double").agg(F.max("top")).first()[0]
@@ -162,11 +162,11 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, pivots: int = PIVOT
     q_blocks = {c: -(-n // query_block) for c, (n, _) in q_size.items()}
     pairs = [(i, j, float(limits[i][0][j]), float(limits[i][1][j]), q_blocks[i], x_blocks[j]) for i in q_blocks for j in x_blocks]
     plan = F.broadcast(spark.createDataFrame(pairs, "q_cell int, x_cell int, low double, high double, q_blocks int, x_blocks int"))  # pivots^2 rows at most
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("row"), n).cast("int")
     others = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     x = data.join(plan, F.col("cell") == F.col("x_cell")).where((F.col("dist") >= F.col("low")) & (F.col("dist") <= F.col("high")))
-    x = x.select("vec_id", "v", "q_cell", "x_cell", block(F.col("x_blocks")).alias("x_block"), others(F.col("q_blocks")).alias("q_block"))
+    x = x.select("row", "vec_id", "v", "q_cell", "x_cell", block(F.col("x_blocks")).alias("x_block"), others(F.col("q_blocks")).alias("q_block"))
     q = queries.join(plan, F.col("cell") == F.col("q_cell"))
-    q = q.select("vec_id", "v", F.col("q_cell").alias("qc"), F.col("x_cell").alias("xc"), block(F.col("q_blocks")).alias("qb"), others(F.col("x_blocks")).alias("xb"))
-    found = q.groupBy("qc", "qb", "xc", "xb").cogroup(x.groupBy("q_cell", "q_block", "x_cell", "x_block")).applyInArrow(_solve(dim, k), "query_id long, vec_id long, score long")
+    q = q.select("row", "vec_id", "v", F.col("q_cell").alias("qc"), F.col("x_cell").alias("xc"), block(F.col("q_blocks")).alias("qb"), others(F.col("x_blocks")).alias("xb"))
+    found = q.groupBy("qc", "qb", "xc", "xb").cogroup(x.groupBy("q_cell", "q_block", "x_cell", "x_block")).applyInArrow(_solve(dim, k), FOUND)
     return best_rows(found, k, descending=True)

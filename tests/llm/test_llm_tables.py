@@ -39,19 +39,15 @@ def usable(rows, zero):
         return []
     sizes = collections.Counter(len(v) for _, v in rows)
     dim = max(sizes, key=lambda d: (sizes[d], d))
-    best = {}
-    for i, v in rows:
-        if len(v) == dim:
-            best[i] = min(best.get(i, tuple(v)), tuple(v))
-    return sorted(best.items())
+    return [(i, v) for i, v in rows if len(v) == dim]
 
 
 def brute_topk(rows, k, every):
     data = [(i, [int(np.floor(64.0 * np.float64(np.float32(x)))) for x in v]) for i, v in usable(rows, True)]
     out = []
-    for q, qv in data:
+    for at, (q, qv) in enumerate(data):
         if q % every == 0:
-            found = sorted((-sum(a * b for a, b in zip(qv, v)), i) for i, v in data if i != q)[:k]
+            found = sorted((-sum(a * b for a, b in zip(qv, v)), i) for other, (i, v) in enumerate(data) if other != at)[:k]
             out += [(q, r, i, -s) for r, (s, i) in enumerate(found, 1)]
     return sorted(out)
 
@@ -59,9 +55,9 @@ def brute_topk(rows, k, every):
 def brute_nearest(rows, k, every):
     data = [(i, np.array(v, np.float32).astype(np.float64)) for i, v in usable(rows, False)]
     out = []
-    for q, qv in data:
+    for at, (q, qv) in enumerate(data):
         if q % every == 0:
-            found = sorted((float(np.sqrt(np.cumsum((v - qv) ** 2)[-1])), i) for i, v in data if i != q)[:k]
+            found = sorted((float(np.sqrt(np.cumsum((v - qv) ** 2)[-1])), i) for other, (i, v) in enumerate(data) if other != at)[:k]
             out += [(q, r, i, s) for r, (s, i) in enumerate(found, 1)]
     return sorted(out)
 
@@ -72,7 +68,7 @@ def odd_vectors(spark):
     rows = [(int(i), rng.normal(size=6).astype(np.float32).tolist(), 0) for i in range(300)]
     rows += [(1000 + i, [0.5, -0.25, 0.125, 0.0, 1.0, -1.0], 1) for i in range(200)]  # one very common vector
     rows += [(2000, [0.0] * 6, 0), (2010, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (2020, [float("nan")] * 6, 0), (2030, [float("inf"), 0.0, 0.0, 0.0, 0.0, 0.0], 0), (2040, None, 0),
-             (2050, [], 0), (2060, [1.0, 2.0], 0), (None, [1.0] * 6, 0), (20, rows[20][1], 0), (40, [9.0] * 6, 0)]
+             (2050, [], 0), (2060, [1.0, 2.0], 0), (None, [1.0] * 6, 0), (20, rows[20][1], 0), (40, [9.0] * 6, 0), (41, [2.0] * 6, 0), (41, [8.0] * 6, 0), (41, [3.0] * 6, 0)]
     return rows, spark.createDataFrame(rows, VECTORS).withColumn("score", F.lit("clash")).repartition(4)
 
 

@@ -544,11 +544,8 @@ def marts_long(marts: dict[str, DataFrame]) -> DataFrame:
 @register("marts_refreshed")
 def q_marts_refreshed(spark, sf_dir):
     """The six marts after the fact arrived in three batches (and one of them twice), with a compaction in between."""
-    import uuid
-
-    from lifetrail.config import ensure_checkpoint_dir
     from lifetrail.plans import refresh
-    root = f"{ensure_checkpoint_dir(spark)}/refresh-{uuid.uuid4().hex}"
+    root = _scratch(spark, "refresh")
     raw = _raw(spark, sf_dir)
     part = F.pmod(F.xxhash64("user_id", "tx_year", "tx_month", "card"), F.lit(3))
     refresh.add_batch(raw.filter(part == 0), root, "first", PARAMS)
@@ -557,3 +554,89 @@ def q_marts_refreshed(spark, sf_dir):
     refresh.add_batch(raw.filter(part == 2), root, "third", PARAMS)
     refresh.add_batch(raw.filter(part == 1), root, "second", PARAMS)
     return marts_long(refresh.marts(spark, root, category_map(spark), PARAMS))
+
+
+# ---------------------------------------------------------------- sources and sinks, written and read back
+def _scratch(spark, name: str) -> str:
+    import uuid
+
+    from lifetrail.config import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _original_headers(raw: DataFrame) -> DataFrame:
+    from lifetrail.sources.files import TRANSACTION_HEADER
+    return raw.select(*(F.col(c).alias(h) for h, c, _ in TRANSACTION_HEADER))
+
+
+@register("bulk_load_with_rejects")
+def q_bulk_load_with_rejects(spark, sf_dir):
+    """The fact exported as CSV (A10), with unreadable amounts on the rows of
+    card 5 and impossible days on those of card 6 that are of month 2, and
+    loaded again (A1, A12): per year and reason, rows and the cents of what was kept."""
+    from lifetrail.sources.files import export_csv
+    from lifetrail.sources.load import load_transactions
+    raw = _raw(spark, sf_dir)
+    broken = raw.withColumn("amount_raw", F.when(F.col("card") == 5, F.lit("n/a")).otherwise(F.col("amount_raw"))) \
+                .withColumn("tx_day", F.when((F.col("card") == 6) & (F.col("tx_month") == 2), 30).otherwise(F.col("tx_day")))
+    path = _scratch(spark, "csv")
+    export_csv(_original_headers(broken), path)
+    loaded = load_transactions(spark, path)
+    kept = loaded.rows.groupBy(F.col("tx_year").cast("long").alias("tx_year")).agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum((F.col("amount") * 100).cast("long")).alias("cents"), F.count_if("is_fraud").alias("fraud_rows"), F.count("errors").alias("error_rows"))
+    reason = F.element_at("reasons", 1)
+    rejects = loaded.rejects.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("row_count"))
+    return kept.select(F.lit("kept").alias("reason"), "tx_year", "row_count", "cents", "fraud_rows", "error_rows").unionByName(
+        rejects.select("reason", F.lit(None).cast("long").alias("tx_year"), "row_count", F.lit(None).cast("long").alias("cents"),
+                       F.lit(None).cast("long").alias("fraud_rows"), F.lit(None).cast("long").alias("error_rows")))
+
+
+@register("stream_loads")
+def q_stream_loads(spark, sf_dir):
+    """The fact as CSV files taken in by a stream in bounded batches (A2), small
+    loads merged, and the whole stream run a second time: rows and cents per year."""
+    from lifetrail.sources.batches import read_loads
+    from lifetrail.streaming.ingest import ingest_csv_loads
+    src, root = _scratch(spark, "arrivals"), _scratch(spark, "loads")
+    _original_headers(_raw(spark, sf_dir)).repartition(6, "User").write.option("header", True).csv(src)
+    ingest_csv_loads(spark, src, root, f"{root}-checkpoint", max_files=2, most_loads=2)
+    ingest_csv_loads(spark, src, root, f"{root}-checkpoint-again", max_files=2, most_loads=2)
+    return read_loads(spark, root).groupBy(F.col("tx_year").cast("long").alias("tx_year")).agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum((F.col("amount") * 100).cast("long")).alias("cents"), F.count_distinct("user_id").alias("users"))
+
+
+@register("rfm_raw_from_buckets")
+def q_rfm_raw_from_buckets(spark, sf_dir):
+    """``rfm_raw`` from the fact bucketed and sorted by user (A7), without an exchange by user."""
+    import uuid
+
+    from lifetrail.sources.layout import bucket_transactions
+    name = f"bucketed_{uuid.uuid4().hex}"
+    bucket_transactions(_raw(spark, sf_dir), name, 8, path=_scratch(spark, "bucketed"))
+    fact = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # an external table: its files stay until the query has run
+    return rfm.rfm_raw(user_totals(clean(fact, PARAMS), PARAMS), PARAMS).select("user_id", "recency_years", "frequency", "monetary")
+
+
+@register("marts_written")
+def q_marts_written(spark, sf_dir):
+    """The six marts built from the whole fact, written over older ones (A13, A16) and read back."""
+    from lifetrail.plans import marts as m
+    out = _scratch(spark, "marts")
+    built = m.build_marts(_raw(spark, sf_dir), category_map(spark), m.run_folder(_scratch(spark, "marts-run")), PARAMS)
+    m.write_marts({name: df.limit(1) for name, df in built.items()}, out)
+    m.write_marts(built, out)
+    return marts_long({name: spark.read.parquet(f"{out}/{name}") for name in built})
+
+
+# ---------------------------------------------------------------- B18: the normal distribution as expressions
+@register("refund_normal_scores")
+def q_refund_normal_scores(spark, sf_dir):
+    """Per category the share of refunds (with one more row of each kind) as a
+    normal score: quantile, density there, and the CDF back again (6 dp)."""
+    from lifetrail.functions import floor_round, normal_cdf, normal_pdf, normal_quantile
+    c = _clean(spark, sf_dir).groupBy("mcc").agg(F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("amount") < 0).alias("refunds"))
+    p = (F.col("refunds") + 1).cast("double") / (F.col("row_count") + 2).cast("double")
+    q = c.withColumn("_q", normal_quantile(p)).withColumn("_m", normal_quantile(1 - p))
+    return q.select("mcc", "row_count", "refunds", floor_round("_q", 6).alias("score"), floor_round("_m", 6).alias("mirrored"),
+                    floor_round(normal_pdf("_q"), 6).alias("density"), floor_round(normal_cdf("_q"), 6).alias("share"))

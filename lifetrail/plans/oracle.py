@@ -770,5 +770,39 @@ def _marts_sql(q: dict) -> str:
     return f"WITH {ctes}\n" + "\nUNION ALL\n".join(parts)
 
 
+def _normal_scores_sql() -> str:
+    """The same published start (Abramowitz and Stegun 26.2.23) and two Halley steps, in SQL."""
+    pdf = lambda x: f"(exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()))"
+    step = lambda x: f"({x} - u / (1 + {x} * u / 2))"
+    steps = "".join(f"""
+, u{i} AS (SELECT *, ({sql_normal_cdf(f'x{i}')} - tail) / {pdf(f'x{i}')} AS u FROM x{i})
+, x{i + 1} AS (SELECT * EXCLUDE (u), {step(f'x{i}')} AS x{i + 1} FROM u{i})""" for i in range(2))
+    return with_(base()) + f"""
+, g AS (SELECT mcc, COUNT(*) AS row_count, COUNT(*) FILTER (WHERE amount < 0) AS refunds FROM clean GROUP BY mcc)
+, s AS (SELECT *, CAST(refunds + 1 AS DOUBLE) / CAST(row_count + 2 AS DOUBLE) AS p FROM g)
+, t AS (SELECT *, least(p, 1 - p) AS tail, sqrt(-2 * ln(least(p, 1 - p))) AS t FROM s)
+, x0 AS (SELECT *, (2.515517e0 + 0.802853e0 * t + 0.010328e0 * t * t) / (1e0 + 1.432788e0 * t + 0.189269e0 * t * t + 0.001308e0 * t * t * t) - t AS x0 FROM t){steps}
+, z AS (SELECT *, CASE WHEN p > 0.5 THEN -x2 ELSE x2 END AS z FROM x2)
+SELECT mcc, row_count, refunds, {fround('z', 6)} AS score, {fround('-z', 6)} AS mirrored, {fround(pdf('z'), 6)} AS density, {fround(sql_normal_cdf('z'), 6)} AS share FROM z"""
+
+
+def _sources_sql(q: dict) -> None:
+    q["bulk_load_with_rejects"] = with_(base()) + """
+, b AS (SELECT *, card = 5 AS no_amount, card = 6 AND tx_month = 2 AS no_day FROM raw)
+SELECT 'kept' AS reason, CAST(tx_year AS BIGINT) AS tx_year, COUNT(*) AS row_count,
+       CAST(SUM(CAST(CAST(replace(amount_raw, '$', '') AS DECIMAL(12,2)) * 100 AS BIGINT)) AS BIGINT) AS cents,
+       COUNT(*) FILTER (WHERE is_fraud = 'Yes') AS fraud_rows, COUNT(errors) AS error_rows
+FROM b WHERE NOT no_amount AND NOT no_day GROUP BY tx_year
+UNION ALL SELECT 'amount: n/a', NULL, COUNT(*), NULL, NULL, NULL FROM b WHERE no_amount HAVING COUNT(*) > 0
+UNION ALL SELECT 'no such day', NULL, COUNT(*), NULL, NULL, NULL FROM b WHERE no_day HAVING COUNT(*) > 0"""
+    q["stream_loads"] = with_(base()) + """
+SELECT CAST(tx_year AS BIGINT) AS tx_year, COUNT(*) AS row_count,
+       CAST(SUM(CAST(CAST(replace(amount_raw, '$', '') AS DECIMAL(12,2)) * 100 AS BIGINT)) AS BIGINT) AS cents, COUNT(DISTINCT user_id) AS users
+FROM raw GROUP BY tx_year"""
+    q["rfm_raw_from_buckets"] = q["rfm_raw"]
+    q["marts_refreshed"] = q["marts_written"] = _marts_sql(q)
+    q["refund_normal_scores"] = _normal_scores_sql()
+
+
 ORACLE_SQL: dict[str, str] = _sql()
-ORACLE_SQL["marts_refreshed"] = _marts_sql(ORACLE_SQL)
+_sources_sql(ORACLE_SQL)

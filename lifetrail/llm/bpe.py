@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lifetrail.llm.common import materialise_bucketed, whole_text
+from lifetrail.llm.common import lean, materialise_bucketed, release_if_large, whole_text
 from lifetrail.llm.textbytes import bpe_piece_starts, expand, factorise, piece_keys, text_buffers
 
 BLOCK_BYTES = 8 << 20
@@ -176,6 +176,7 @@ def _blocks(path: str, block_bytes: int, lanes: int):
 def _encode_lane(path: str):
     """Encode each distinct word of a lane once; every block's list gets its ids back by position."""
     def run(lane: pa.Table) -> pa.Table:
+        release_if_large()
         tok, specials = tokenizer(path), special_tokens(path)
         lists = [unpack_lists(w, True) for w in lane.column("words").to_pylist()]
         data, length = np.concatenate([d for d, _ in lists]), np.concatenate([n for _, n in lists])
@@ -197,6 +198,7 @@ def _encode_lane(path: str):
 def _join_ids(out):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         """left: a block's documents; right: its lanes of ids."""
+        release_if_large()
         ids = {row["lane"]: unpack_lists(row["ids"], False) for row in right.select(["lane", "ids"]).to_pylist()}
         names = sorted(ids)
         flat = np.concatenate([ids[p][0] for p in names]) if names else np.zeros(0, np.uint32)
@@ -224,7 +226,7 @@ def _encoded(docs: DataFrame, path: str, block_bytes: int, out, schema: str) ->
     text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     lanes = lanes_for(text_bytes, block_bytes)
     # bucketed by block: the documents' side of the last step is not shuffled
-    blocks = materialise_bucketed(docs.mapInArrow(_blocks(path, block_bytes, lanes), BLOCK_SCHEMA), "bpe-blocks", "block", lanes)
+    blocks = materialise_bucketed(docs.mapInArrow(lean(_blocks(path, block_bytes, lanes)), BLOCK_SCHEMA), "bpe-blocks", "block", lanes)
     words = blocks.select("block", F.posexplode("words").alias("lane", "words")).where("words is not null")
     ids = words.groupBy("lane").applyInArrow(_encode_lane(path), "of_block string, lane int, ids binary")
     return blocks.drop("words").groupBy("block").cogroup(ids.groupBy("of_block")).applyInArrow(_join_ids(out), schema)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,40 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 ARROW_ROWS = 1_000
 
 
+#: A worker that holds more than this hands free memory back between groups.
+LEAN_BYTES = 256 << 20
+
+
+def release() -> None:
+    """Give the system what Arrow and the allocator hold of freed arrays: an
+    idle Python worker keeps it otherwise, beside a full Java heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another allocator than glibc's
+        pass
+
+
+def release_if_large() -> None:
+    try:
+        with open("/proc/self/statm") as f:
+            held = int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+    except OSError:  # not Linux
+        return
+    if held > LEAN_BYTES:
+        release()
+
+
+def lean(run):
+    """``run`` (batches to batches), handing free memory back when a task ends."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return wrapped
+
+
 def ship(spark: SparkSession) -> None:
     """Prepare a session for these operators: give the executors this
     package, once per application (the driver's import path need not exist
@@ -43,6 +80,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of intermediate files that this application has made, oldest first.
+WRITTEN: list[str] = []
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate files below the shared folder that
     ``spark.checkpoint.dir`` names; it goes when the application ends."""
@@ -52,7 +93,17 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(hadoop_path)
     fs.deleteOnExit(hadoop_path)
-    return str(fs.makeQualified(hadoop_path).toString())
+    WRITTEN.append(str(fs.makeQualified(hadoop_path).toString()))
+    return WRITTEN[-1]
+
+
+def drop_written(spark: SparkSession, start: int, keep: str) -> None:
+    """Delete the folders made since ``start`` (a length of ``WRITTEN``) but ``keep``, the one whose table is still read."""
+    for path in WRITTEN[start:]:
+        if path != keep:
+            hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    WRITTEN[start:] = [keep]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from lifetrail.llm.common import whole_text
+from lifetrail.llm.common import lean, whole_text
 from lifetrail.llm.textbytes import LETTER, char_classes
 
 UND = "und"
@@ -117,7 +117,7 @@ def sample(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and their trigram probabilities (buckets x languages) from rows of ``doc_id, text, lang``."""
-    counts = sample(labelled, sample_rows).mapInArrow(_count, "lang string, bucket int, n long")
+    counts = sample(labelled, sample_rows).mapInArrow(lean(_count), "lang string, bucket int, n long")
     found = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(found.column("lang").to_pylist()))
     table = np.zeros((BUCKETS, len(langs)))
@@ -188,7 +188,7 @@ def annotate(docs: DataFrame, model: tuple[list[str], np.ndarray], prefix: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added])
 
     schema = StructType([*docs.schema.fields, *(StructField(c, t) for c, t in zip(added, (StringType(), DoubleType(), ArrayType(DoubleType()))))])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:

@@ -179,11 +179,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_COPIES, block_w
     return out.drop("mix_key", "mix_range", "mix_place", "mix_hash", "mix_range_start")
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """What the mix works on, and the whole row as one column, so no column's name can clash."""
+    return docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("mix_document"))
+
+
+def _as_document(docs: DataFrame, text) -> list:
+    return [text.alias(c) if c == "text" else F.col("mix_document").getField(c).alias(c) for c in docs.columns]
+
+
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, **settings) -> DataFrame:
     """The mix itself: a document once for each round that takes words of
-    it, with those words (and the white space after them) as its text."""
-    columns = docs.columns
-    mixed = mix(docs, block_words=block_words, **settings).where("mix_taken > 0")
+    it, with those words (and the white space after them) as its text; its
+    other columns pass through unchanged, whatever their names."""
+    mixed = mix(_carried(docs), block_words=block_words, columns=["text", "mix_document"], **settings).where("mix_taken > 0")
     parts = F.regexp_extract_all("text", F.lit(WORD_PART), F.lit(0))
     block = lambda i: F.floor((F.col("mix_start") + i) / block_words).cast("long")
     last = F.array_join(F.filter(parts, lambda part, i: picked_more(block(i))), "")
@@ -191,19 +200,18 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, **settings)
     rest = F.when(F.col("mix_taken") == (F.col("mix_rounds") + 1) * F.col("mix_size"), F.col("text")) \
         .when(F.col("mix_taken") > F.col("mix_rounds") * F.col("mix_size"), last)
     texts = F.filter(F.concat(rounds, F.array(rest)), lambda t: t.isNotNull())
-    return mixed.withColumn("mix_text", F.explode(texts)).select(*(F.col("mix_text").alias("text") if c == "text" else F.col(c) for c in columns))
+    return mixed.withColumn("mix_text", F.explode(texts)).select(*_as_document(docs, F.col("mix_text")))
 
 
 def mixed_shards(docs: DataFrame, block_words: int = BLOCK_WORDS, **settings) -> DataFrame:
     """The mix by shard: ``mix_shard`` and the columns of ``docs``, a
     document once for each shard and round that take words of it, with
-    those words as its text."""
-    columns = [c for c in docs.columns if not c.startswith("mix_")]
-    mixed = mix(docs, block_words=block_words, **settings).where("mix_taken > 0").withColumn("mix_parts", F.regexp_extract_all("text", F.lit(WORD_PART), F.lit(0)))
+    those words as its text (a column of their own called ``mix_shard`` goes)."""
+    mixed = mix(_carried(docs), block_words=block_words, columns=["text", "mix_document"], **settings).where("mix_taken > 0").withColumn("mix_parts", F.regexp_extract_all("text", F.lit(WORD_PART), F.lit(0)))
     block = lambda i: F.floor((F.col("mix_start") + i) / block_words).cast("long")
     blocks = F.sequence(block(F.lit(0)), block(F.col("mix_size") - 1))
     turns = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("mix_rounds")), lambda r: F.transform(blocks, lambda b: F.struct(r.alias("round"), shard_of(r, b).alias("shard")))))
     turns = F.array_distinct(F.filter(turns, lambda x: x["shard"].isNotNull()))
     mixed = mixed.withColumn("mix_turn", F.explode(turns))
     text = F.array_join(F.filter("mix_parts", lambda part, i: shard_of(F.col("mix_turn")["round"], block(i)).eqNullSafe(F.col("mix_turn")["shard"])), "")
-    return mixed.select(F.col("mix_turn")["shard"].alias("mix_shard"), *(text.alias(c) if c == "text" else F.col(c) for c in columns))
+    return mixed.select(F.col("mix_turn")["shard"].alias("mix_shard"), *_as_document(docs.drop("mix_shard"), text))

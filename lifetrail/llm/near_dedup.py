@@ -21,8 +21,9 @@ which for equal weights is the plain Jaccard of the sets.
 4. Verification: the candidates of a bucket go to the group of the
    bucket's smallest node (buckets with the same smallest node are one
    group, so a pair is not met again in every band).  Groups larger than
-   ``CHUNK`` are cut into chunks, and each pair of chunks is a group of
-   its own, so no group grows with the data.  Within a group products of
+   ``CHUNK`` texts or ``CHUNK_ELEMENTS`` elements are cut into chunks, and
+   each pair of chunks is a group of its own, so no group grows with the
+   data.  Within a group products of
    incidence matrices bound all similarities from above; pairs that pass
    and are not yet connected are computed exactly.  A group returns a
    spanning forest of its links, not its pairs.
@@ -38,7 +39,6 @@ other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -46,17 +46,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lifetrail.llm.bpe import blocks_of
-from lifetrail.llm.common import materialise, whole_text
+from lifetrail.llm.common import lean, materialise, release_if_large, whole_text
 from lifetrail.llm.textbytes import expand, mix, piece_keys, text_buffers, word_spans
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 CHUNK = 128
+#: Elements (12 bytes each) of a chunk; groups with long texts are cut into more chunks.
+CHUNK_ELEMENTS = 1 << 18
 #: Text that a task works on at a time; the temporary arrays take some thirty times as much.
 BLOCK_BYTES = 2 << 20
-#: So many nodes of candidates are broadcast to pick their texts; more are joined by a shuffle.
-BROADCAST_NODES = 1_000_000
+#: Tables of candidates up to this size (rows times the bytes of one) are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+ROW_BYTES = 80
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -126,9 +129,11 @@ def band_keys(sign: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _bands(shingle: int, bands: int, rows: int, block_bytes: int):
     def run(batches):
         for batch in blocks_of(batches, block_bytes):
-            keys = band_keys(signatures(*elements(batch.column("text"), shingle), batch.num_rows, bands * rows), bands, rows)
+            found = elements(batch.column("text"), shingle)
+            keys = band_keys(signatures(*found, batch.num_rows, bands * rows), bands, rows)
+            n = pa.array(np.bincount(found[0], minlength=batch.num_rows), pa.int64())
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), keys], names=["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), keys, n], names=["doc_id", "node", "bands", "n"])
     return run
 
 
@@ -151,7 +156,7 @@ def upper_bounds(texts: list[tuple[np.ndarray, np.ndarray]], width: int = 4096)
     texts' weights that lie on shared elements.  It is never below J_P, and
     equal to it where all weights of a text are equal."""
     row = np.repeat(np.arange(len(texts)), [len(h) for h, _ in texts])
-    code, distinct = pd.factorize(np.concatenate([h for h, _ in texts]))
+    distinct, code = np.unique(np.concatenate([h for h, _ in texts]), return_inverse=True)
     share = np.concatenate([w / w.sum() for _, w in texts])
     often = np.bincount(code, minlength=len(distinct)) > 1
     column = (np.cumsum(often) - 1)[code]
@@ -185,6 +190,7 @@ def forest(ids: np.ndarray, texts: list[tuple[np.ndarray, np.ndarray]], threshol
 
 def _verify(threshold: float):
     def run(group: pa.Table) -> pa.Table:
+        release_if_large()
         ids, at = np.unique(group.column("node").to_numpy(), return_index=True)
         h, w = group.column("h").to_pylist(), group.column("w").to_pylist()
         texts = [(np.frombuffer(h[i], "<u8"), np.frombuffer(w[i], "<u4").astype(np.int64)) for i in at]
@@ -222,13 +228,13 @@ def components(links: DataFrame) -> DataFrame:
 
 def candidate_groups(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``hub, ca, cb, node``: the groups in which candidates are verified."""
-    members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    hubs = members.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    groups = materialise(members.join(hubs, ["band", "key"]).select("hub", "node").distinct(), "near-groups")
+    members = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    hubs = members.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
+    groups = materialise(members.join(hubs, ["band", "key"]).select("hub", "node", "n").distinct(), "near-groups")
     # only groups of more than a chunk are looked up, so the large side need not meet on a hot hub
-    large = groups.groupBy("hub").count().where(F.col("count") > chunk)
-    large = materialise(large.select("hub", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")), "near-large")
-    side = F.broadcast(large) if large.count() <= BROADCAST_NODES else large
+    chunks = F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("n") / CHUNK_ELEMENTS)).cast("int")
+    large = materialise(groups.groupBy("hub").agg(chunks.alias("chunks")).where("chunks > 1"), "near-large")
+    side = F.broadcast(large) if large.count() * ROW_BYTES <= BROADCAST_BYTES else large
     c = groups.join(side, "hub", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     c = c.withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     return c.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("hub", F.least("c", "o").alias("ca"), F.greatest("c", "o").alias("cb"), "node")
@@ -241,15 +247,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def text_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``text_key, first_id, root`` of every distinct text: texts of one class share ``root``."""
     keyed = _keyed(docs)
-    found = keyed.where("node is not null").mapInArrow(_bands(shingle, bands, rows, block_bytes), "doc_id long, node binary, bands array<long>")
-    nodes = found.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
-    nodes = materialise(nodes.select(F.col("node").alias("text_key"), F.monotonically_increasing_id().alias("node"), "first_id", "bands"), "near-nodes")
+    found = keyed.where("node is not null").mapInArrow(lean(_bands(shingle, bands, rows, block_bytes)), "doc_id long, node binary, bands array<long>, n long")
+    nodes = found.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("n").alias("n"))
+    nodes = materialise(nodes.select(F.col("node").alias("text_key"), F.monotonically_increasing_id().alias("node"), "first_id", "bands", "n"), "near-nodes")
 
     groups = candidate_groups(nodes, chunk)
     wanted = materialise(groups.select("node").distinct().join(nodes.select("node", "text_key", "first_id"), "node"), "near-wanted")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
+    side = F.broadcast(wanted) if wanted.count() * ROW_BYTES <= BROADCAST_BYTES else wanted
     texts = keyed.select(F.col("doc_id").alias("d"), "text", F.col("node").alias("k")).join(side, (F.col("k") == F.col("text_key")) & F.col("d").eqNullSafe(F.col("first_id")))
-    weighted = texts.select("node", "text").mapInArrow(_elements(shingle, block_bytes), "node long, h binary, w binary")
+    weighted = texts.select("node", "text").mapInArrow(lean(_elements(shingle, block_bytes)), "node long, h binary, w binary")
     links = groups.join(weighted, "node").groupBy("hub", "ca", "cb").applyInArrow(_verify(threshold), "a long, b long")
     root = components(materialise(links.distinct(), "near-links"))
     return nodes.select("text_key", "node", "first_id").join(root, "node", "left").select("text_key", "first_id", F.coalesce("root", "node").alias("root"))
@@ -265,16 +271,18 @@ def classes(docs: DataFrame, **settings) -> DataFrame:
 
 
 def representatives(docs: DataFrame, **settings) -> DataFrame:
-    """One row of ``docs`` for each class (its smallest ``doc_id``), and all rows without text.
+    """One row of ``docs`` for each class (its smallest ``doc_id``; of rows
+    that share it the first), and all rows without text.  Columns pass
+    through unchanged, whatever their names and types.
 
     Equal texts meet first, in an aggregation that keeps one row per task
     and text, so a hot text is never gathered."""
-    columns = docs.columns
     found = materialise(text_classes(docs, **settings), "near-classes")
     first = F.min(F.struct(F.col("first_id").isNull().alias("unnamed"), "first_id", "text_key"))
-    chosen = found.groupBy("root").agg(first.alias("m")).select(F.col("m.text_key").alias("near_key"))
-    rows = docs.withColumn("near_key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    order = [c for c in columns if c != "doc_id"]
-    one = rows.where("near_key is not null").groupBy("near_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("near_unnamed"), "doc_id", *order)).alias("near_row"))
-    kept = one.join(chosen, "near_key").select(*(F.col(f"near_row.`{c}`") for c in columns))
-    return kept.union(rows.where("near_key is null").select(*columns))
+    chosen = found.groupBy("root").agg(first.alias("m")).select(F.col("m.text_key").alias("key"))
+    number = F.col("doc_id").cast("long")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document"), F.unhex(F.md5(F.col("text").cast("string").cast("binary"))).alias("key"),
+                       F.struct(number.isNull().alias("unnamed"), number.alias("doc_id"), F.monotonically_increasing_id().alias("row")).alias("place"))
+    one = rows.where("key is not null").groupBy("key").agg(F.min_by("document", "place").alias("document"))
+    kept = one.join(chosen, "key").select("document").union(rows.where("key is null").select("document"))
+    return kept.select(*(F.col("document").getField(c).alias(c) for c in docs.columns))

@@ -12,6 +12,9 @@ The join covers all windows and is exact:
 * prefix filter: an overlap of ``need`` words must show among a
   template's first ``size - need + 1`` words, so only windows around
   places of these words are formed;
+* length filter: the words around such a place, which all its windows are
+  cut from, must hold at least ``need`` different words (a window is at most
+  ``width`` words long, so there is no upper length to test);
 * positional filter: around the place of a window's rarest word, the
   template's words from that one on must still reach ``need``.
 
@@ -137,7 +140,9 @@ def matching_windows(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEM
     pairs = d.join(F.broadcast(prefix), "word").withColumn("first", first(F.col("place"), F.col("width")))
     # the words that windows around the place can hold, and those windows
     around = F.slice("near", F.col("first") - first(F.col("place"), widest) + 1, F.col("place") - F.col("first") + F.col("width"))
-    pairs = pairs.withColumn("around", around).drop("near").where(F.size(F.array_intersect("t_rest", "around")) >= F.col("need"))
+    pairs = pairs.withColumn("around", around).drop("near")
+    pairs = pairs.where((F.size("around") >= F.col("need")) & (F.size(F.array_distinct("around")) >= F.col("need")))
+    pairs = pairs.where(F.size(F.array_intersect("t_rest", "around")) >= F.col("need"))
     overlaps = F.transform(F.sequence(F.lit(0), F.col("place") - F.col("first")), lambda s: F.size(F.array_intersect("t_words", F.slice("around", s + 1, F.col("width")))))
     met = pairs.withColumn("overlap", F.array_max(overlaps)).where(F.col("overlap") >= F.col("need"))
     return met.select("doc_id", "h", "place", "template", "label", (F.col("overlap") / F.size("t_words")).alias("containment")).distinct()

@@ -5,60 +5,63 @@ from __future__ import annotations
 ORACLE_SQL: dict[str, str] = {}
 
 ORACLE_SQL["op4_license_join"] = r"""
-WITH templates(label, words) AS (VALUES
-    ('mit', ['released', 'under', 'the', 'mit', 'license']),
-    ('mit', ['permission', 'is', 'hereby', 'granted', 'free', 'of', 'charge', 'to', 'any', 'person', 'obtaining', 'a', 'copy', 'this', 'software', 'and', 'associated', 'documentation', 'files']),
-    ('apache', ['licensed', 'under', 'the', 'apache', 'license', 'version', '2', '0']),
-    ('gpl', ['this', 'work', 'is', 'licensed', 'under', 'the', 'gnu', 'general', 'public', 'license', 'version', '3']),
-    ('gpl', ['this', 'program', 'is', 'free', 'software', 'you', 'can', 'redistribute', 'it', 'and', 'or', 'modify', 'under', 'the', 'terms', 'of', 'gnu', 'general', 'public', 'license']),
-    ('bsd', ['redistribution', 'and', 'use', 'in', 'source', 'binary', 'forms', 'with', 'or', 'without', 'modification', 'are', 'permitted']),
-    ('mpl', ['this', 'source', 'code', 'form', 'is', 'subject', 'to', 'the', 'terms', 'of', 'mozilla', 'public', 'license', 'v', '2', '0']),
-    ('cc-by-nc', ['licensed', 'under', 'cc', 'by', 'nc', '4', '0']),
-    ('cc', ['licensed', 'under', 'the', 'creative', 'commons', 'attribution', '4', '0', 'international', 'license'])),
+WITH notices(k, label, notice) AS (VALUES
+    (1, 'mit', 'released under the mit license'),
+    (2, 'mit', 'permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files'),
+    (3, 'apache', 'licensed under the apache license version 2 0'),
+    (4, 'gpl', 'this work is licensed under the gnu general public license version 3'),
+    (5, 'gpl', 'this program is free software you can redistribute it and or modify it under the terms of the gnu general public license'),
+    (6, 'bsd', 'redistribution and use in source and binary forms with or without modification are permitted'),
+    (7, 'mpl', 'this source code form is subject to the terms of the mozilla public license v 2 0'),
+    (8, 'cc-by-nc', 'licensed under cc by nc 4 0'),
+    (9, 'cc', 'licensed under the creative commons attribution 4 0 international license')),
+templates AS (
+    SELECT k, label, list_distinct(ws) AS words, len(list_distinct(ws)) AS size, ceil(0.8 * len(list_distinct(ws)) - 1e-9) AS need, ceil(len(ws) / 0.8 - 1e-9) AS width
+    FROM (SELECT k, label, string_split(notice, ' ') AS ws FROM notices)),
 d AS (
     SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-w AS (
+w AS MATERIALIZED (
     SELECT r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM d),
-places AS (
-    SELECT r, i AS word, 'mit' AS label FROM (SELECT r, ws, unnest(range(len(ws))) AS i FROM w) WHERE ws[i + 1] = 'mit' AND ws[i + 2] = 'license'
+p AS MATERIALIZED (SELECT r, i, ws[i + 1] AS word, ws[i + 2] AS word2, ws[i + 3] AS word3 FROM (SELECT r, ws, unnest(range(len(ws))) AS i FROM w)),
+places AS MATERIALIZED (
+    SELECT r, i AS word, 'mit' AS label FROM p WHERE p.word = 'mit' AND word2 = 'license'
     UNION ALL
-    SELECT r, i, 'apache' FROM (SELECT r, ws, unnest(range(len(ws))) AS i FROM w) WHERE ws[i + 1] = 'apache' AND ws[i + 2] = 'license'
+    SELECT r, i, 'apache' FROM p WHERE p.word = 'apache' AND word2 = 'license'
     UNION ALL
-    SELECT r, i, 'gpl' FROM (SELECT r, ws, unnest(range(len(ws))) AS i FROM w) WHERE ws[i + 1] = 'general' AND ws[i + 2] = 'public' AND ws[i + 3] = 'license'),
-blocks AS (
-    SELECT r, regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
-met AS (
-    SELECT r, label, len(list_intersect(blocks.ws, words))::DOUBLE / len(words) AS containment
-    FROM blocks, templates WHERE len(list_intersect(blocks.ws, words)) >= ceil(0.8 * len(words) - 1e-9))
-SELECT w.doc_id, len(ws)::BIGINT AS n_words,
-    (SELECT count(*) FROM places p WHERE p.r = w.r) AS n_base,
-    (SELECT min(word) FROM places p WHERE p.r = w.r) AS first_word,
-    (SELECT max(word) FROM places p WHERE p.r = w.r) AS last_word,
-    coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM places p WHERE p.r = w.r), '') AS base_labels,
-    coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM (SELECT r, label FROM places UNION SELECT r, label FROM met) a WHERE a.r = w.r), '') AS labels,
-    greatest(coalesce((SELECT max(containment) FROM met m WHERE m.r = w.r), 0.0), CASE WHEN EXISTS (SELECT 1 FROM places p WHERE p.r = w.r) THEN 1.0 ELSE 0.0 END)::DOUBLE AS score
-FROM w
+    SELECT r, i, 'gpl' FROM p WHERE p.word = 'general' AND word2 = 'public' AND word3 = 'license'),
+-- every place of a template's word, and the template's words in the window that starts there
+held AS MATERIALIZED (SELECT p.r, p.i, p.word, k, label, size, need, width FROM (SELECT k, label, size, need, width, unnest(words) AS word FROM templates) t JOIN p ON p.word = t.word),
+windows AS (
+    SELECT a.r, a.k, a.i, any_value(a.label) AS label, any_value(a.size) AS size, any_value(a.need) AS need, count(DISTINCT b.word) AS overlap
+    FROM held a JOIN held b ON b.r = a.r AND b.k = a.k AND b.i >= a.i AND b.i < a.i + a.width GROUP BY a.r, a.k, a.i),
+met AS MATERIALIZED (SELECT r, label, max(overlap::DOUBLE / size) AS containment FROM windows WHERE overlap >= need GROUP BY r, label),
+n AS (SELECT r, count(*) AS n_base, min(word) AS first_word, max(word) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY r),
+l AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM places UNION SELECT r, label FROM met) GROUP BY r),
+s AS (SELECT r, max(containment) AS best FROM met GROUP BY r)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+    greatest(coalesce(best, 0.0), CASE WHEN n_base > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS score
+FROM w LEFT JOIN n USING (r) LEFT JOIN l USING (r) LEFT JOIN s USING (r)
 """
 
 ORACLE_SQL["op6_voronoi_topk"] = """
-WITH x AS (
-    SELECT vec_id, list_transform(embedding, lambda c: floor(64 * CAST(c AS DOUBLE))) AS v FROM embeddings
+WITH x AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda c: floor(64 * CAST(c AS DOUBLE))) AS v FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
 s AS (
-    SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(q.v, x.v) AS BIGINT) AS score
-    FROM x q JOIN x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT q.row AS query_row, q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(q.v, x.v) AS BIGINT) AS score
+    FROM x q JOIN x ON q.row <> x.row WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 ORACLE_SQL["op9_int8_block_join"] = """
-WITH x AS (
-    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+WITH x AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
 s AS (
-    SELECT q.vec_id AS query_id, x.vec_id, sqrt(list_reduce(list_transform(list_zip(q.v, x.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score
-    FROM x q JOIN x ON q.vec_id <> x.vec_id WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM s)
+    SELECT q.row AS query_row, q.vec_id AS query_id, x.vec_id, sqrt(list_reduce(list_transform(list_zip(q.v, x.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score
+    FROM x q JOIN x ON q.row <> x.row WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 

@@ -202,7 +202,8 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 0,
     n_files = max(1, -(-docs.count() // docs_per_file))
     bounds = sorted(set(docs.stat.approxQuantile("doc_id", [k / n_files for k in range(1, n_files)], 1 / (8 * n_files)))) if n_files > 1 else []
     frames = docs.mapInArrow(_frames(path, end_id, level, block_bytes, [int(b) for b in bounds]), "file_no long, doc_id long, frame binary, size long, check long")
-    ordered = frames.repartition(n_files, "file_no").sortWithinPartitions("file_no", F.col("doc_id").asc_nulls_first(), "size", "check")
+    # a file's number names its partition, so every task writes one file
+    ordered = frames.repartitionById(n_files, F.col("file_no").cast("int")).sortWithinPartitions("file_no", F.col("doc_id").asc_nulls_first(), "size", "check")
     return materialise(ordered.select("file_no", "doc_id", "frame", "size", "check").mapInArrow(_write_files(folder), INDEX_SCHEMA), "token-index")
 
 
@@ -230,7 +231,7 @@ def read_digests(index: DataFrame) -> DataFrame:
     start = F.sum("tokens").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1))
     at = index.select("file_no", "file", F.coalesce(start, F.lit(0)).cast("long").alias("start"))
     tasks = min(MOST_READ_TASKS, max(1, index.count()))
-    return at.repartition(tasks, "file_no").select("file", "start").mapInArrow(_read_files, READ_SCHEMA)
+    return at.repartitionById(tasks, F.pmod("file_no", F.lit(tasks)).cast("int")).select("file", "start").mapInArrow(_read_files, READ_SCHEMA)
 
 
 def token_folder(spark: SparkSession) -> str:

@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from lifetrail.llm.common import materialise
 from lifetrail.llm.vectors import matrix
@@ -180,7 +181,7 @@ def decode(codes: DataFrame, books: np.ndarray, scale: int = SCALE) -> DataFrame
     """``codes`` with ``approx``, the vector that a code stands for (the middle of its integers' cells)."""
     dim = books.shape[0] * books.shape[2]
     columns = [c for c in codes.columns if c != "approx"]
-    schema = codes.select(*columns).schema
+    schema = StructType([*codes.select(*columns).schema.fields, StructField("approx", ArrayType(DoubleType()))])
 
     def run(batches):
         for batch in batches:
@@ -188,7 +189,7 @@ def decode(codes: DataFrame, books: np.ndarray, scale: int = SCALE) -> DataFrame
             x = ((books[np.arange(books.shape[0])[None], index] + 0.5) / scale).reshape(batch.num_rows, dim)
             approx = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dim), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, approx], names=[*batch.schema.names, "approx"])
-    return codes.select(*columns).mapInArrow(run, schema.add("approx", "array<double>"))
+    return codes.select(*columns).mapInArrow(run, schema)
 
 
 def with_label_error(codes: DataFrame) -> DataFrame:

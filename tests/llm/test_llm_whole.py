@@ -122,3 +122,45 @@ def test_secrets_partly_covered_by_fixed_spans(spark):
     assert clean.columns == docs.columns
     assert {r.doc_id: r.text for r in clean.collect()} == {
         1: "é😀 [SECRET] end", 2: "see [SECRET] end", 3: "a [SECRET] z [SECRET]", 4: "nothing here", 5: None, 6: "[SECRET]"}
+
+
+def test_own_columns_pass_through_whatever_their_names(spark):
+    """Values, not only names: columns that the operators use themselves, with dots, and of a map type."""
+    from pyspark.sql import functions as F
+
+    from lifetrail.llm import mixing, near_dedup
+    names = ["near_key", "mix_size", "mix_note", "mix_document", "mix_key", "mix_text", "document", "key", "place", "n", "root", "first_id", "a.b"]
+    rows = [(i, f"text number {i % 7} of a small corpus with some words in it {'more ' * (i % 7)}", f"s{i % 3}") for i in range(20)] + [(20, None, None), (3, "other words for the same id here", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = docs.select("*", *(F.concat(F.lit(f"{n}:"), F.col("doc_id"), F.coalesce(F.substring("text", 1, 5), F.lit("-"))).alias(n) for n in names), F.create_map(F.lit("k"), F.col("doc_id")).alias("m"))
+    docs = docs.repartition(3)
+    want = {(r.doc_id, (r.text or "-")[:5]): r for r in docs.collect()}
+    for out in (near_dedup.representatives(docs), mixing.mixed_documents(docs, block_words=3), mixing.mixed_shards(docs, block_words=3, shards=2)):
+        got = out.collect()
+        assert got and set(docs.columns) <= set(out.columns)
+        for r in got:
+            own = [w for (d, _), w in want.items() if d == r.doc_id]
+            assert any(all(r[c] == w[c] for c in docs.columns if c != "text") for w in own), r
+    kept = near_dedup.representatives(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 3, 4, 5, 6, 20]
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    """The probe of an id in two rows: both are candidates, and as queries both are answered."""
+    from lifetrail.llm import block_ann, voronoi_topk
+    rows = [(0, [4.0, 2.0], 0), (1, [1.0, 2.0], 0), (1, [3.0, 2.0], 0), (2, [0.0, 1.0], 0)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    top = [(r.query_id, r["rank"], r.vec_id, r.score) for r in voronoi_topk.search(vectors).orderBy("rank").collect()]
+    assert top == [(0, 1, 1, 16 * 64 * 64), (0, 2, 1, 8 * 64 * 64), (0, 3, 2, 2 * 64 * 64)]
+    near = [(r.vec_id, r["rank"]) for r in block_ann.search(vectors).orderBy("rank").collect()]
+    assert near == [(1, 1), (1, 2), (2, 3)]
+    twice = spark.createDataFrame([(0, [1.0], 0), (0, [3.0], 0), (5, [2.0], 0)], "vec_id long, embedding array<float>, label int")
+    assert sorted((r["rank"], r.vec_id, r.score) for r in voronoi_topk.search(twice).collect()) == sorted([(1, 0, 3 * 4096), (2, 5, 2 * 4096), (1, 5, 6 * 4096), (2, 0, 3 * 4096)])
+
+
+def test_groups_of_long_texts_are_cut_by_their_elements(spark, monkeypatch):
+    from lifetrail.llm import near_dedup
+    monkeypatch.setattr(near_dedup, "CHUNK_ELEMENTS", 200)
+    rows = [(i, " ".join(f"w{j}" if j != i else f"x{i}" for j in range(100))) for i in range(12)] + [(50, " ".join(f"z{j}" for j in range(80)))]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{i: 0 for i in range(12)}, 50: 50}

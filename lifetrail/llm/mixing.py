@@ -180,8 +180,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_COPIES, block_w
 
 
 def _carried(docs: DataFrame) -> DataFrame:
-    """What the mix works on, and the whole row as one column, so no column's name can clash."""
-    return docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("mix_document"))
+    """What the mix works on, and the rest of the row as one column, so no column's name can clash."""
+    return docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("mix_document"))
 
 
 def _as_document(docs: DataFrame, text) -> list:

@@ -47,14 +47,23 @@ def _scores(frame: DataFrame, p: Params, method: str):
     return recency_score("recency_years", p.recency_bands), f, m
 
 
+def scored_users(facts: DataFrame, p: Params = Params(), method: str = "qcut") -> tuple[DataFrame, DataFrame]:
+    """The eligible users with their scores (``rfm_scored``), and every user
+    with activation flag and segment (``segments_all_users``), from one
+    written frame and one selection of cut keys."""
+    frame = held(rfm_frame(facts, p), "rfm-users")
+    r, f, m = _scores(frame, p, method)
+    own = [c for c in frame.columns if c != "eligible"]
+    scored = frame.filter("eligible").select(*own, r.alias("r_score"), f.alias("f_score"), m.alias("m_score"))
+    seg = F.when(F.col("eligible"), rfm_segment(r + f + m, r, f, m, p.segment_cuts)).otherwise(F.lit(p.default_segment))
+    return scored, frame.select("user_id", *(c for c in ("activated", "active_next_year") if c in own), seg.alias("segment"))
+
+
 def segments_all_users(facts: DataFrame, p: Params = Params(), method: str = "qcut") -> DataFrame:
     """Every user with activation flag and segment: eligible users are
     scored (bins over the eligible users only), the others get
     ``default_segment``."""
-    frame = held(rfm_frame(facts, p), "rfm-users")
-    r, f, m = _scores(frame, p, method)
-    seg = F.when(F.col("eligible"), rfm_segment(r + f + m, r, f, m, p.segment_cuts)).otherwise(F.lit(p.default_segment))
-    return frame.select("user_id", "activated", "active_next_year", seg.alias("segment"))
+    return scored_users(facts, p, method)[1]
 
 
 def rfm_scored(raw: DataFrame, p: Params = Params(), method: str = "ntile") -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql.types import NumericType
 from lifetrail.config import ensure_checkpoint_dir
 
 #: Rows in a bracket that are counted by value, and the sketch's accuracy (rank error 1 / ACCURACY).
-MOST, ACCURACY = 4096, 2000
+MOST, ACCURACY = 1 << 16, 2000
 
 
 def held(df: DataFrame, name: str) -> DataFrame:

@@ -50,8 +50,8 @@ def build_marts(raw: DataFrame, mapping: DataFrame, folder: str, p: Params = Par
     uy = materialise(user_years_from_days(user_days(c, p)), folder, "user_years")
     f = materialise(facts_from_years(uy, p), folder, "facts")
 
-    segs = rfm.rfm_segments(rfm.rfm_scored(rfm.rfm_raw(f, p), p, "qcut"), p)
-    units = rfm.segments_all_users(f, p, "qcut")
+    scored, units = rfm.scored_users(f, p, "qcut")
+    segs = rfm.rfm_segments(scored, p)
     outcomes = experiment.observed_outcomes(experiment.experiment_arms(units, p))
     top = profile.category_top(c, p, purchases_only=True)
     return {

@@ -138,8 +138,9 @@ def marts(spark: SparkSession, root: str, mapping: DataFrame, p: Params = Params
     facts = held(current_facts(spark, root, live), "facts")
     cells = merge_cube(_read(spark, root, "cube", live))
     categories = profile.category_top_from_sums(merge_categories(_read(spark, root, "categories", live)), p)
-    segments = rfm.rfm_segments(rfm.rfm_scored(rfm.rfm_raw(facts, p), p, "qcut"), p)
-    outcomes = experiment.observed_outcomes(experiment.experiment_arms(rfm.segments_all_users(facts, p, "qcut"), p))
+    scored, units = rfm.scored_users(facts, p, "qcut")
+    segments = rfm.rfm_segments(scored, p)
+    outcomes = experiment.observed_outcomes(experiment.experiment_arms(units, p))
     return {
         "aarrr_funnel": lifecycle.funnel_stages(facts),
         "yearly_trend": profile.yearly_trend_from_cube(cells),

@@ -610,9 +610,9 @@ def q_rfm_raw_from_buckets(spark, sf_dir):
     """``rfm_raw`` from the fact bucketed and sorted by user (A7), without an exchange by user."""
     import uuid
 
-    from lifetrail.sources.layout import bucket_transactions
-    name = f"bucketed_{uuid.uuid4().hex}"
-    bucket_transactions(_raw(spark, sf_dir), name, 8, path=_scratch(spark, "bucketed"))
+    from lifetrail.sources.layout import bucket_transactions, buckets_of
+    name, raw = f"bucketed_{uuid.uuid4().hex}", _raw(spark, sf_dir)
+    bucket_transactions(raw, name, buckets_of(raw), path=_scratch(spark, "bucketed"))
     fact = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # an external table: its files stay until the query has run
     return rfm.rfm_raw(user_totals(clean(fact, PARAMS), PARAMS), PARAMS).select("user_id", "recency_years", "frequency", "monetary")

@@ -151,6 +151,16 @@ def bulk_load_csv(spark: SparkSession, uri: str, path: str, sanitise: bool = Fal
         ingest_transactions(df.withColumnsRenamed(TRANSACTION_RENAMES), path, mode=mode)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a frame is read from (0: it is not read from files)."""
+    spark = df.sparkSession
+    total = 0
+    for name in df.inputFiles():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return total
+
+
 def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """CSV export with header (A10).  ``single_file`` coalesces to one task
     and is meant for the small result marts only."""

@@ -172,6 +172,23 @@ def test_bucketed_fact_needs_no_exchange_by_user(spark, tmpdir_path):
     assert [buckets_for(n) for n in (0, 1, 512 << 20, (512 << 20) + 1, 10 << 30)] == [1, 1, 1, 2, 32]
 
 
+def test_buckets_grow_with_the_input_files(spark, tmpdir_path, monkeypatch):
+    from lifetrail.plans import contract
+    from lifetrail.sources import layout
+    from lifetrail.sources.files import input_bytes
+    raw = raw_transactions(spark, SF001)
+    size = sum(os.path.getsize(f"{SF001}/{t}.parquet") for t in ("lineitem", "orders", "part"))
+    assert input_bytes(raw) == size and layout.buckets_of(raw) == 8
+    assert input_bytes(raw_frame(spark, [tx(1, 1999, 1, 1)])) == 0
+    monkeypatch.setattr(contract, "_scratch", lambda _, name: f"{tmpdir_path}/{name}")
+    monkeypatch.setattr(layout, "BUCKET_BYTES", size // 20)
+    got = contract.q_rfm_raw_from_buckets(spark, SF001)
+    assert len([f for f in os.listdir(f"{tmpdir_path}/bucketed") if f.endswith(".parquet")]) == 32
+    rows = sorted(got.collect())
+    assert rows == sorted(contract.q_rfm_raw(spark, SF001).collect()) and rows
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 # ---------------------------------------------------------------- normal quantile
 def test_normal_quantile_density_and_cdf_agree_with_the_library(spark):
     from statistics import NormalDist

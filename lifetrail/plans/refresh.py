@@ -81,7 +81,7 @@ def add_batch(raw: DataFrame, root: str, batch: str, p: Params = Params()) -> in
     if live:
         touched = delta.select("user_id").distinct()
         before = held(merge_state(_read(spark, root, "state", live).join(touched, "user_id", "left_semi")), "touched-states")
-        old, new = user_years_from_state(before), user_years_from_state(merge_state(before.unionByName(delta)))
+        old, new = user_years_from_state(before), user_years_from_state(merge_state(before.unionByName(delta).repartition("user_id")))
         change = merge_changes(cube(old, -1).unionByName(cube(new)))
     else:
         new = user_years_from_state(delta)

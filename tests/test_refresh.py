@@ -106,3 +106,11 @@ def test_a_refresh_does_not_read_the_old_fact(spark, tmpdir_path):
     assert [r.user_id for r in touched.collect()] == [7]
     whole = facts(clean(raw.unionByName(small), P), P)
     assert rows_of(refresh.current_facts(spark, root, refresh.counting(refresh.log(spark, root))).select(*whole.columns)) == rows_of(whole)
+
+
+def test_the_registered_refresh_reads_the_fact_once(spark):
+    """Three batches of one fact: its tables are read and joined once, not for every step of every batch."""
+    from lifetrail.plans.contract import q_marts_refreshed
+    raw = raw_transactions(spark, SF001)
+    once = fact_records(spark, lambda: raw.write.format("noop").mode("overwrite").save())
+    assert 0 < fact_records(spark, lambda: q_marts_refreshed(spark, SF001).collect()) <= once

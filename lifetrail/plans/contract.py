@@ -593,16 +593,26 @@ def q_bulk_load_with_rejects(spark, sf_dir):
                        F.lit(None).cast("long").alias("fraud_rows"), F.lit(None).cast("long").alias("error_rows")))
 
 
+#: Input files per arriving CSV file, the fewest files, and the fewest and most files of a micro-batch (eight make a load that is not a small one).
+ARRIVAL_BYTES, LEAST_ARRIVALS, BATCH_FILES = 32 << 20, 6, (2, 8)
+
+
 @register("stream_loads")
 def q_stream_loads(spark, sf_dir):
     """The fact as CSV files taken in by a stream in bounded batches (A2), small
-    loads merged, and the whole stream run a second time: rows and cents per year."""
+    loads merged, and the whole stream run a second time: rows and cents per
+    year.  One task writes a file, so their number grows with the fact, and
+    with it the number of batches, not what a task or a batch holds."""
     from lifetrail.sources.batches import read_loads
+    from lifetrail.sources.files import input_bytes
     from lifetrail.streaming.ingest import ingest_csv_loads
     src, root = _scratch(spark, "arrivals"), _scratch(spark, "loads")
-    _original_headers(_raw(spark, sf_dir)).repartition(6, "User").write.option("header", True).csv(src)
-    ingest_csv_loads(spark, src, root, f"{root}-checkpoint", max_files=2, most_loads=2)
-    ingest_csv_loads(spark, src, root, f"{root}-checkpoint-again", max_files=2, most_loads=2)
+    raw = _raw(spark, sf_dir)
+    files = max(LEAST_ARRIVALS, -(-input_bytes(raw) // ARRIVAL_BYTES))
+    per_batch = max(BATCH_FILES[0], min(BATCH_FILES[1], files // 3))
+    _original_headers(raw).repartition(files, "User").write.option("header", True).csv(src)
+    ingest_csv_loads(spark, src, root, f"{root}-checkpoint", max_files=per_batch, most_loads=2)
+    ingest_csv_loads(spark, src, root, f"{root}-checkpoint-again", max_files=per_batch, most_loads=2)
     return read_loads(spark, root).groupBy(F.col("tx_year").cast("long").alias("tx_year")).agg(
         F.count(F.lit(1)).alias("row_count"), F.sum((F.col("amount") * 100).cast("long")).alias("cents"), F.count_distinct("user_id").alias("users"))
 

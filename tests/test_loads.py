@@ -99,6 +99,17 @@ def test_stream_loads_files_by_bytes_and_twice_adds_nothing(spark, tmpdir_path):
     assert len(batches.vacuum(spark, root, ("data",))) == 12 and batches.read_loads(spark, root).count() == 360
 
 
+def test_arriving_files_grow_with_the_input_files(spark, tmpdir_path, monkeypatch):
+    from lifetrail.plans import contract
+    from lifetrail.sources.files import input_bytes
+    want = sorted(contract.q_stream_loads(spark, SF001).collect())
+    monkeypatch.setattr(contract, "_scratch", lambda _, name: f"{tmpdir_path}/{name}")
+    monkeypatch.setattr(contract, "ARRIVAL_BYTES", input_bytes(raw_transactions(spark, SF001)) // 9)
+    assert sorted(contract.q_stream_loads(spark, SF001).collect()) == want and want
+    assert len([f for f in os.listdir(f"{tmpdir_path}/arrivals") if f.endswith(".csv")]) == 10
+    assert [r["batch"] for r in batches.log(spark, f"{tmpdir_path}/loads")] == [*(f"stream-{i}" for i in range(4)), "merged"]
+
+
 def test_a_load_that_stops_does_not_count(spark, tmpdir_path, monkeypatch):
     root = f"{tmpdir_path}/root"
     df = raw_frame(spark, [tx(1, 1999, 1, 1), tx(2, 2000, 1, 1)])

@@ -13,8 +13,9 @@ Empty fields are nulls.
 from __future__ import annotations
 
 import re
-import uuid
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,8 +73,8 @@ def load_csv(spark: SparkSession, path: str, types: dict[str, str] | None = None
     detected ones; ``names`` maps headers to column names (default: the
     header with other characters than ``[A-Za-z0-9_]`` as ``_``).
     ``required`` columns must have a value and ``checks`` (name -> SQL condition
-    over the typed columns) must hold.  The text is parsed once, into a
-    staging table."""
+    over the typed columns) must hold.  The text is parsed, typed and checked
+    once, into a staging table that counts, rows and rejects are read from."""
     types = types or detect_types(spark, path, **options)
     header = header_of(spark, path, **options)
     types = {h: types.get(h, "string") for h in header}
@@ -85,23 +86,27 @@ def load_csv(spark: SparkSession, path: str, types: dict[str, str] | None = None
         r = r.option(k, v)
     schema = StructType([StructField(f, StringType()) for f in fields] + [StructField(BROKEN, StringType())])
     text = r.schema(schema).csv(path).select("*", F.input_file_name().alias("_file"))
-    staged = held(text, "load-text")
 
     empty = {f: F.col(f).isNull() | (F.trim(F.col(f)) == "") for f in fields}
     value = {h: F.when(~empty[f], TYPES[types[h]][1](F.col(f))) for f, h in zip(fields, header)}
-    typed = staged.select("*", *(value[h].alias(f"_v_{names[h]}") for h in header))
-    wrong = [F.when(~empty[f] & F.col(f"_v_{names[h]}").isNull(), F.concat(F.lit(f"{names[h]}: "), F.col(f))) for f, h in zip(fields, header) if types[h] != "string"]
-    missing = [F.when(empty[f], F.lit(f"{names[h]} is missing")) for f, h in zip(fields, header) if names[h] in required]
+    typed = text.select("*", *(value[h].alias(f"_v_{names[h]}") for h in header))
+    wrong = [(~empty[f] & F.col(f"_v_{names[h]}").isNull(), F.concat(F.lit(f"{names[h]}: "), F.col(f))) for f, h in zip(fields, header) if types[h] != "string"]
+    missing = [(empty[f], F.lit(f"{names[h]} is missing")) for f, h in zip(fields, header) if names[h] in required]
     bound = {name: _over(cond, names.values()) for name, cond in (checks or {}).items()}
-    failed = [F.when(~F.coalesce(cond, F.lit(True)), F.lit(name)) for name, cond in bound.items()]
+    failed = [(~F.coalesce(cond, F.lit(True)), F.lit(name)) for name, cond in bound.items()]
     broken = F.col(BROKEN).isNotNull()
-    reasons = F.when(broken, F.array(F.lit("columns"))).otherwise(F.filter(F.array(*wrong, *missing, *failed, F.lit(None).cast("string")), lambda x: x.isNotNull()))
-    typed = typed.withColumn("_reasons", reasons)
-    fits = F.size("_reasons") == 0
-    counts = typed.agg(F.count(F.lit(1)).alias("read"), F.count_if(fits).alias("kept"), F.count_if(~fits).alias("rejected")).first().asDict()
+    found = [*wrong, *missing, *failed]
+    rejected = reduce(or_, (cond for cond, _ in found), broken)
+    reasons = F.when(broken, F.array(F.lit("columns"))).otherwise(F.filter(F.array(*(F.when(cond, reason) for cond, reason in found), F.lit(None).cast("string")), lambda x: x.isNotNull()))
     line = F.when(broken, F.col(BROKEN)).otherwise(F.to_json(F.struct(*(F.col(f).alias(h) for f, h in zip(fields, header)))))
-    return Loaded(typed.where(fits).select(*(F.col(f"_v_{names[h]}").alias(names[h]) for h in header)),
-                  typed.where(~fits).select(F.col("_file").alias("file"), F.col("_reasons").alias("reasons"), line.alias("line")), counts)
+    # reasons and lines are made for the rejected rows only
+    only = typed.withColumn("_rejected", rejected)
+    values = [F.col(f"_v_{names[h]}").alias(f"v{i}") for i, h in enumerate(header)]
+    staged = held(only.select(*values, "_rejected", *(F.when(F.col("_rejected"), c).alias(n) for n, c in (("file", F.col("_file")), ("reasons", reasons), ("line", line)))), "load-rows")
+
+    counts = staged.agg(F.count(F.lit(1)).alias("read"), F.count_if(~F.col("_rejected")).alias("kept"), F.count_if("_rejected").alias("rejected")).first().asDict()
+    return Loaded(staged.where(~F.col("_rejected")).select(*(F.col(f"v{i}").alias(names[h]) for i, h in enumerate(header))),
+                  staged.where("_rejected").select("file", "reasons", "line"), counts)
 
 
 def _over(condition, names) -> Column:

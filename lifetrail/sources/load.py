@@ -99,14 +99,14 @@ def load_csv(spark: SparkSession, path: str, types: dict[str, str] | None = None
     rejected = reduce(or_, (cond for cond, _ in found), broken)
     reasons = F.when(broken, F.array(F.lit("columns"))).otherwise(F.filter(F.array(*(F.when(cond, reason) for cond, reason in found), F.lit(None).cast("string")), lambda x: x.isNotNull()))
     line = F.when(broken, F.col(BROKEN)).otherwise(F.to_json(F.struct(*(F.col(f).alias(h) for f, h in zip(fields, header)))))
-    # reasons and lines are made for the rejected rows only
-    only = typed.withColumn("_rejected", rejected)
-    values = [F.col(f"_v_{names[h]}").alias(f"v{i}") for i, h in enumerate(header)]
-    staged = held(only.select(*values, "_rejected", *(F.when(F.col("_rejected"), c).alias(n) for n, c in (("file", F.col("_file")), ("reasons", reasons), ("line", line)))), "load-rows")
+    # the text stays for the rejected rows only; their reasons and lines are made when they are read
+    checked = typed.withColumn("_rejected", rejected)
+    kept_text = [F.when(F.col("_rejected"), F.col(c)).alias(c) for c in (*fields, BROKEN, "_file")]
+    staged = held(checked.select(*(f"_v_{names[h]}" for h in header), "_rejected", *kept_text), "load-rows")
 
     counts = staged.agg(F.count(F.lit(1)).alias("read"), F.count_if(~F.col("_rejected")).alias("kept"), F.count_if("_rejected").alias("rejected")).first().asDict()
-    return Loaded(staged.where(~F.col("_rejected")).select(*(F.col(f"v{i}").alias(names[h]) for i, h in enumerate(header))),
-                  staged.where("_rejected").select("file", "reasons", "line"), counts)
+    return Loaded(staged.where(~F.col("_rejected")).select(*(F.col(f"_v_{names[h]}").alias(names[h]) for h in header)),
+                  staged.where("_rejected").select(F.col("_file").alias("file"), reasons.alias("reasons"), line.alias("line")), counts)
 
 
 def _over(condition, names) -> Column:
